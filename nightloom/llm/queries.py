@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, compression_quality, packing, quality_rules, toxicity
+from . import bpe, common, compression_quality, deleted_interpolation, jaccard_join, packing, quality_rules, quote_links, secrets, toxicity
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
@@ -23,6 +23,22 @@ def op2_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_quality.score(docs, model).select("doc_id", (common.fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_components(common.table(spark, sf_dir, "documents"))
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(secrets.secret_spans(common.table(spark, sf_dir, "documents")))
+
+
+def op6_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quote_links.link_quotes(common.table(spark, sf_dir, "conversations"))
+
+
+def op7_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deleted_interpolation.language_scores(common.table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(common.table(spark, sf_dir, "documents"))
 
@@ -41,6 +57,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op2_compression_quality": op2_compression_quality,
+        "op3_jaccard_join": op3_jaccard_join,
+        "op5_secret_scan": op5_secret_scan,
+        "op6_quote_links": op6_quote_links,
+        "op7_deleted_interpolation": op7_deleted_interpolation,
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_toxicity": op10_toxicity,
