@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, compression_quality, deleted_interpolation, jaccard_join, packing, quality_rules, quote_links, secrets, toxicity
+from . import bpe, common, compression_quality, deleted_interpolation, jaccard_join, media_jpeg, packing, quality_rules, quote_links, secrets, toxicity
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
@@ -27,6 +27,10 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_components(common.table(spark, sf_dir, "documents"))
 
 
+def op4_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_jpeg.digests(media_jpeg.encode_column(common.table(spark, sf_dir, "documents")))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.secret_spans(common.table(spark, sf_dir, "documents")))
 
@@ -58,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": op1_quality_rules,
         "op2_compression_quality": op2_compression_quality,
         "op3_jaccard_join": op3_jaccard_join,
+        "op4_progressive_jpeg": op4_progressive_jpeg,
         "op5_secret_scan": op5_secret_scan,
         "op6_quote_links": op6_quote_links,
         "op7_deleted_interpolation": op7_deleted_interpolation,
