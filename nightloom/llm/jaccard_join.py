@@ -9,14 +9,17 @@ v + 1 exceeds H. The allowances of a band are those of least estimated cost, sig
 
 Sets with equal shingles are one node from the start. Nodes with a signature in common form a bucket:
 
-* Of a small bucket all pairs are candidates.
-* A large bucket gives a star: its least node with every other. Buckets are pre-combined within each batch of the
-  scan, so that a signature of a third of all documents reaches its reducer as a few rows.
-* Stars alone could miss links. So after the stars' components are known, the members of large buckets come back, but
-  only those that need it: a node whose small buckets alone exceed H has been compared with all its partners. Of the
-  rest, the pairs in different components become candidates as well.
-
-All candidates are verified on their whole texts' shingles. So links between different components are exact.
+* Of a small bucket all pairs are candidates. A node whose small buckets alone exceed H is settled by them.
+* Of a large bucket only the nodes that are not settled go on. Its hub, the node in most large buckets, is compared with
+  the others; near copies of one text all meet its plainest version that way. A second round takes a new hub from the
+  nodes that the first one left in other components.
+* What is left, unsettled nodes whose large buckets hold several components, meets by rare shingles: in the order of their
+  frequency among these nodes, two similar sets share one of their first shingles, as many as their two sizes leave
+  room for differences, and one. Pairs in different components that do become candidates.
+
+Signatures of many documents are combined within each batch of the scan, so that one of a third of all documents reaches
+its reducer as a few rows. All candidates are verified on their whole texts' shingles. So components are exact, and
+their number of candidates does not grow with the square of a group of copies.
 
 Defined results: null and empty texts and texts without words have no shingles, no links, and their own id as component;
 a null id links nothing and has a null component; repeated rows each return; an empty table gives no rows; columns other
@@ -30,7 +33,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -184,7 +187,8 @@ def nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return common.map_batches(common.keyed(docs, id_col, text_col).toDF("doc_id", "_text"), fn, NODES.format(key=key))
 
 
-# Kinds of rows between scan and buckets: a signature and a node; the same from a batch that has more members; an edge; a member.
+# Kinds of rows between scan and buckets: a signature and a node; the same from a batch that has many members; an edge; a
+# member of a large bucket.
 ROW, CROWDED, EDGE, MEMBER = 0, 1, 2, 3
 ROWS = "x long, y long, kind int"
 
@@ -202,7 +206,7 @@ def _distinct(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """ROWS of all documents, signatures with many members in one batch combined to a star and its members."""
+    """ROWS of all documents; a signature with many members in one batch as one marked row, and its members."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,40 +228,31 @@ def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             start = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
             size = np.diff(np.r_[start, len(x)])
             crowd = np.repeat(size > LOCAL_BUCKET, size)
-            first = np.repeat(y[start], size)
             yield _batch(x[~crowd], y[~crowd], ROW)
             if crowd.any():
                 yield _batch(x[start[size > LOCAL_BUCKET]], y[start[size > LOCAL_BUCKET]], CROWDED)
                 yield _batch(x[crowd], y[crowd], MEMBER)
-                a, b = _distinct(first[crowd], y[crowd])
-                yield _batch(a[a != b], b[a != b], EDGE)
 
     # A null id links nothing.
     small = common.keyed(docs, id_col, text_col).toDF("_id", "_text")
     return small.where(F.col("_id").isNotNull()).select("_text").mapInArrow(run, ROWS)
 
 
-def _bucket_rows(x: np.ndarray, y: np.ndarray, crowded: np.ndarray, star: tuple[int, int] | None) -> tuple[list[pa.RecordBatch], tuple[int, int] | None]:
-    """Output of whole or started buckets in sorted, distinct rows; ``star``: (signature, least node) of a crowded bucket that goes on."""
-    out = []
+def _bucket_rows(x: np.ndarray, y: np.ndarray, crowded: np.ndarray, large: int | None) -> tuple[list[pa.RecordBatch], int | None]:
+    """Output of whole or started buckets in sorted, distinct rows; ``large``: signature of a large bucket that goes on."""
     start = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
     size = np.diff(np.r_[start, len(x)])
-    first = y[start].copy()
     big = (size > SMALL_BUCKET) | np.logical_or.reduceat(crowded, start)
-    if star is not None and x[0] == star[0]:
-        first[0], big[0] = star[1], True
+    if large is not None and x[0] == large:
+        big[0] = True
     small = np.repeat(~big, size)
     pairs = []
     for d in range(1, SMALL_BUCKET):
         same = (x[d:] == x[:-d]) & small[d:]
         pairs.append((y[:-d][same], y[d:][same]))
-    star_of = np.repeat(first, size)[~small]
-    pairs.append((star_of, y[~small]))
     a, b = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
     a, b = _distinct(np.minimum(a, b), np.maximum(a, b))
-    out.append(_batch(a[a != b], b[a != b], EDGE))
-    out.append(_batch(x[~small], y[~small], MEMBER))
-    return out, (int(x[-1]), int(first[-1])) if big[-1] else None
+    return [_batch(a, b, EDGE), _batch(x[~small], y[~small], MEMBER)], int(x[-1]) if big[-1] else None
 
 
 def bucketed(rows: DataFrame) -> DataFrame:
@@ -265,7 +260,7 @@ def bucketed(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
-        star: tuple[int, int] | None = None
+        large: int | None = None
         for batch in batches:
             x, y, kind = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             done = kind >= EDGE
@@ -279,16 +274,16 @@ def bucketed(rows: DataFrame) -> DataFrame:
             at = np.flatnonzero(new)
             x, y, crowd = x[at], y[at], np.logical_or.reduceat(crowd, at)
             last = int(np.searchsorted(x, x[-1]))
-            if len(x) - last > SMALL_BUCKET or (star is not None and star[0] == x[-1]):
-                cut = len(x)  # a large bucket may go on; its least node is known
+            if len(x) - last > SMALL_BUCKET or large == x[-1]:
+                cut = len(x)  # a large bucket may go on
             else:
                 cut = last
             if cut:
-                out, star = _bucket_rows(x[:cut], y[:cut], crowd[:cut], star)
+                out, large = _bucket_rows(x[:cut], y[:cut], crowd[:cut], large)
                 yield from out
             held = (x[cut:], y[cut:], crowd[cut:])
         if len(held[0]):
-            yield from _bucket_rows(*held, star)[0]
+            yield from _bucket_rows(*held, large)[0]
 
     return rows.mapInArrow(run, ROWS)
 
@@ -329,6 +324,54 @@ def _texts_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
     return common.map_batches(found, fn, "node long, text string").groupBy("node").agg(F.min("text").alias("text"))
 
 
+def unsettled(members: DataFrame, kinds: DataFrame) -> DataFrame:
+    """(sig, node, hot) of large buckets' members that their small buckets do not settle; hot: how many large ones a node is in."""
+    banded = members.withColumn("band", F.col("sig").bitwiseAND(63).cast("int"))
+    twice = [j for j in range(63) if band_plan(j)[0]]
+    crowd = banded.groupBy("node", "band").agg(F.count("*").alias("hot"))
+    spare = kinds.select("node", F.inline("spare")).groupBy("node", F.least(F.col("band"), F.lit(63)).alias("band")).agg(F.min("spare").alias("spare"))
+    weight = F.col("hot") * F.when(F.col("band").isin(twice), 2).otherwise(1)
+    needy = crowd.join(spare, ["node", "band"]).where(weight > F.col("spare")).select("node", "band", "hot")
+    return common.cut(banded.join(needy, ["node", "band"]).select("sig", "node", "hot"))
+
+
+def least_common(x: Column, y: Column) -> Column:
+    """The least intersection of similar sets of sizes x and y; with a y of 0, of one of size x and the smallest it may meet."""
+    both = F.when(y > 0, x + y)
+    return F.when(y > 0, -F.floor(-both * NUM / (NUM + DEN))).otherwise(-F.floor(-x * NUM / DEN)).cast("long")
+
+
+def rare_pairs(nodes_: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b), a < b, of different roots that share one of their rarest shingles. nodes_: (node, root).
+
+    Any fixed order of shingles would do for completeness; by frequency, a shingle that many have is in few sets' first
+    ones, unless they have hardly any other, and those are near copies of one component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = [shingles(x) for x in common.texts(batch, "text")]
+            n = np.array([len(t) for t in tokens])
+            node, root = (np.repeat(batch.column(i).to_numpy(), n) for i in (0, 1))
+            flat = np.concatenate(tokens).view(np.int64) if tokens else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(node), pa.array(root), pa.array(np.repeat(n, n))], names=["token", "node", "root", "n"])
+
+    own = common.written(nodes_.join(texts, "node").select("node", "root", "text").mapInArrow(run, "token long, node long, root long, n long"), "tokens")
+    often = own.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = own.join(often, "token", "left").select("node", "root", "n", F.struct(F.coalesce("df", F.lit(1)).alias("df"), "token").alias("t"))
+    # The sets' first shingles: n - ceil(t n) + 1 of them when the partner is smaller, fewer when it is larger.
+    lead = ranked.groupBy("node").agg(F.first("root").alias("root"), F.first("n").alias("n"), F.array_sort(F.collect_list("t")).alias("t"))
+    lead = lead.select("node", "root", "n", F.posexplode(F.slice("t", 1, (F.col("n") - least_common(F.col("n"), F.lit(0)) + 1).cast("int"))).alias("at", "t"))
+    lead = common.cut(lead.where("t.df > 1").select("node", "root", "n", "at", F.col("t.token").alias("token")))
+    mixed = lead.groupBy("token").agg(F.min("root").alias("_l"), F.max("root").alias("_h")).where("_l <> _h").select("token")
+    lead = lead.join(mixed, "token", "left_semi")
+    side = lambda k: lead.select("token", F.col("node").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("root", "n", "at")])
+    small = side("b").where(F.col("at_b") <= F.col("n_b") - least_common(F.col("n_b"), F.col("n_b")))
+    met = side("a").join(small, "token").where((F.col("root_a") != F.col("root_b")) & ((F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))))
+    common_ = least_common(F.col("n_a"), F.col("n_b"))
+    met = met.where((F.col("at_a") <= F.col("n_a") - common_) & (F.col("at_b") <= F.col("n_b") - common_))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles and component_id: the least id that links reach, one row per document."""
     own = common.cut(nodes(docs, id_col, text_col))
@@ -343,33 +386,38 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = common.written(bucketed(rows.withColumn("by", by).repartition(parts, "by").drop("by").sortWithinPartitions("x", "y", "kind")), "buckets")
 
     size = lambda side: kinds.select(F.col("node").alias(f"_n{side}"), F.col("n").alias(f"_s{side}"))
+
     def sized(pairs: DataFrame) -> DataFrame:
         both = pairs.join(size("a"), F.col("a") == F.col("_na")).join(size("b"), F.col("b") == F.col("_nb"))
         return both.where(F.least("_sa", "_sb") * DEN >= F.greatest("_sa", "_sb") * NUM).select("a", "b")
 
     edges = found.where(F.col("kind") == EDGE).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-    pairs = common.cut(sized(edges))
-    members = found.where(F.col("kind") == MEMBER).select(F.col("x").alias("sig"), F.col("y").alias("node")).distinct()
+    members = unsettled(found.where(F.col("kind") == MEMBER).select(F.col("x").alias("sig"), F.col("y").alias("node")).distinct(), kinds)
+    hubs = members.groupBy("sig").agg(F.max(F.struct("hot", "node")).alias("_h")).select("sig", F.col("_h.node").alias("hub"))
+    first = members.join(hubs, "sig").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+    pairs = common.cut(sized(edges.unionAll(first).distinct()))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionAll(members.select("node")).distinct()
     texts = common.written(_texts_of(docs, wanted.join(kinds.select("node", "doc_id"), "node"), id_col, text_col), "texts")
     links = common.cut(verified(pairs, texts))
     roots = components(links)
 
-    # Members of large buckets that their small buckets do not settle, in different components.
-    banded = members.withColumn("band", F.col("sig").bitwiseAND(63).cast("int"))
-    twice = [j for j in range(63) if band_plan(j)[0]]
-    crowd = banded.groupBy("node", "band").agg(F.sum(F.when(F.col("band").isin(twice), 2).otherwise(1)).alias("hot"))
-    spare = kinds.select("node", F.inline("spare")).groupBy("node", F.least(F.col("band"), F.lit(63)).alias("band")).agg(F.min("spare").alias("spare"))
-    needy = crowd.join(spare, ["node", "band"]).where("hot > spare").select("node", "band")
-    rest = banded.join(needy, ["node", "band"]).join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
-    rest = common.cut(rest)
+    rooted = lambda: members.join(roots, "node", "left").select("sig", "node", "hot", F.coalesce("root", "node").alias("root"))
+    of_hub = hubs.join(roots, F.col("hub") == F.col("node"), "left").select(F.col("sig").alias("_sig"), F.coalesce("root", "hub").alias("_root"))
+    others = rooted().join(of_hub, F.col("sig") == F.col("_sig")).where("root <> _root").select("sig", "node", "hot")
+    again = others.groupBy("sig").agg(F.max(F.struct("hot", "node")).alias("_h")).select("sig", F.col("_h.node").alias("hub"))
+    second = others.join(again, "sig").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    second_links = common.cut(verified(sized(second), texts))
+    if not second_links.isEmpty():
+        links = links.unionAll(second_links)
+        roots = components(links)
+
+    rest = common.cut(rooted().select("sig", "node", "root"))
     mixed = rest.groupBy("sig").agg(F.min("root").alias("_l"), F.max("root").alias("_h")).where("_l <> _h").select("sig")
-    rest = rest.join(mixed, "sig")
-    l, r = rest.select("sig", F.col("node").alias("a"), F.col("root").alias("_ra")), rest.select("sig", F.col("node").alias("b"), F.col("root").alias("_rb"))
-    more = l.join(r, "sig").where("a < b AND _ra <> _rb").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    more_links = common.cut(verified(sized(more), texts))
-    if not more_links.isEmpty():
-        roots = components(links.unionAll(more_links))
+    rest = common.cut(rest.join(mixed, "sig", "left_semi").select("node", "root").distinct())
+    third = rare_pairs(rest, texts).join(pairs, ["a", "b"], "left_anti")
+    third_links = common.cut(verified(sized(third), texts))
+    if not third_links.isEmpty():
+        roots = components(links.unionAll(third_links))
 
     least = roots.join(kinds.select("node", "doc_id"), "node").select("root", "doc_id").unionAll(roots.select("root").distinct().join(kinds.select(F.col("node").alias("root"), "doc_id"), "root")).groupBy("root").agg(F.min("doc_id").alias("component"))
     of_node = kinds.join(roots, "node", "left").select(F.col("node").alias("_node"), "doc_id", F.coalesce("root", "node").alias("root")).join(least, "root", "left").select("_node", F.coalesce("component", "doc_id").alias("_component"))
