@@ -37,7 +37,7 @@ from . import common
 END = np.uint64(xxhash.xxh3_64_intdigest(b"\x00end"))
 BEGIN = np.uint64(xxhash.xxh3_64_intdigest(b"\x00begin"))
 BUCKETS, OCTAVE, LEVELS = 24, 4, 160
-BLOCK_TOKENS = 3_000_000
+BLOCK_TOKENS = 1_500_000
 #: Routing of a row after the scan: a block, a question, or (from the counting tasks) an answer and a task's totals.
 BLOCK, ASK, ANSWER, TOTAL = 0, 1, 2, 3
 
