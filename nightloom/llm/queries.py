@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, compression_quality, deleted_interpolation, jaccard_join, media_jpeg, packing, quality_rules, quote_links, secrets, toxicity
+from . import bpe, common, compression_quality, deleted_interpolation, jaccard_join, media_jpeg, oracle, packing, quality_rules, quote_links, secrets, toxicity
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
@@ -73,4 +73,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.oracle_sql()
