@@ -98,9 +98,13 @@ def band_power(rows: DataFrame, by: Sequence[str], spectrum: str, hertz_per_bin:
     return own.groupBy(*by, "band").agg(F.count("*").alias("n"), F.avg(F.col("x").cast("double")).alias("power"))
 
 
-def ranked_baselines(prototypes: DataFrame, baselines: DataFrame, max_baselines: int = 4096) -> DataFrame:
-    """(proto, base, distance, rank): baselines of each prototype by distance, then by id. Both are model parameters."""
-    pairs = prototypes.crossJoin(F.broadcast(baselines.limit(max_baselines))).select("proto", "base", F.sqrt(squared_distance(F.col("proto_vec"), F.col("base_vec"))).alias("distance"))
+def ranked_baselines(prototypes: DataFrame, baselines: DataFrame, max_prototypes: int = 4096) -> DataFrame:
+    """(proto, base, distance, rank): all baselines of each prototype by distance, then by id. Prototypes are a model
+    parameter; more than max_prototypes are refused, so that their broadcast is bounded."""
+    book = prototypes.limit(max_prototypes + 1).agg(F.collect_list(F.struct("proto", "proto_vec")).alias("_book"))
+    book = book.where(F.when(F.size("_book") <= max_prototypes, F.lit(True)).otherwise(F.raise_error(F.lit("too many prototypes")).cast("boolean")))
+    each = F.explode(F.transform("_book", lambda p: F.struct(p["proto"].alias("proto"), F.sqrt(squared_distance(p["proto_vec"], F.col("base_vec"))).alias("distance"))))
+    pairs = baselines.crossJoin(F.broadcast(book)).select("base", each.alias("_p")).select("_p.proto", "base", "_p.distance")
     return pairs.withColumn("rank", F.row_number().over(W.partitionBy("proto").orderBy("distance", "base")))
 
 

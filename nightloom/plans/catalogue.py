@@ -28,10 +28,14 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
 
 
 def queries() -> dict[str, Query]:
+    from nightloom.plans import catalogue_records  # noqa: F401  adds its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from nightloom.plans import catalogue_records  # noqa: F401
+
     return dict(SQL)
 
 
@@ -253,10 +257,10 @@ def fold_assignment(spark, d):
     return _folds(spark, d)
 
 
-@query(f"""WITH {SUBJ}, p AS (SELECT subject_id, row_number() OVER (ORDER BY subject_id) - 1 AS i, count(*) OVER () AS n FROM subj WHERE subject_id < 12)
+@query(f"""WITH {SUBJ}, p AS (SELECT subject_id, row_number() OVER (ORDER BY subject_id) - 1 AS i, count(*) OVER () AS n FROM subj)
 SELECT a.subject_id, b.i AS fold, CASE WHEN a.i = b.i THEN 'valid' WHEN a.i = (b.i + 1) % a.n THEN 'test' ELSE 'train' END AS split FROM p a CROSS JOIN p b""")
 def loso_folds(spark, d):
-    return splits.leave_one_out(epochs(spark, d).where("subject_id < 12"))
+    return splits.leave_one_out(epochs(spark, d))
 
 
 @query(f"WITH {SUBJ} SELECT subject_id, subject_id % 3 AS grp, (row_number() OVER (PARTITION BY subject_id % 3 ORDER BY (subject_id * 7919) % 10007, subject_id) - 1) % 4 AS fold FROM subj")
@@ -559,10 +563,10 @@ def hard_attention_topn(spark, d):
 
 
 @query(f"""WITH w AS (SELECT s AS start, k AS width FROM (SELECT unnest(range(29)) AS s) CROSS JOIN (SELECT unnest(range(1, 16, 2)) AS k) WHERE s + k <= 29), {UN}
-SELECT label, start, width, round(avg(x), 6) AS mean FROM u JOIN w ON pos >= start AND pos < start + width WHERE vec_id < 40 GROUP BY 1, 2, 3""")
+SELECT label, start, width, round(avg(x), 6) AS mean FROM u JOIN w ON pos >= start AND pos < start + width GROUP BY 1, 2, 3""")
 def time_mask_windows(spark, d):
     masks = spark.createDataFrame(prototypes.odd_windows(29), "start int, width int")
-    own = vectors(spark, d).where("vec_id < 40").select("label", F.posexplode("embedding").alias("pos", "x"))
+    own = vectors(spark, d).select("label", F.posexplode("embedding").alias("pos", "x"))
     cells = masks.select("start", "width", F.explode(F.expr("sequence(start, start + width - 1)")).alias("pos"))
     return own.join(F.broadcast(cells), "pos").groupBy("label", "start", "width").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))
 
@@ -581,13 +585,13 @@ def positional_encoding(spark, d):
     return models.positional_encoding(spark, 21, 16).select("pos", "dim", r6("value"))
 
 
-@query(f"""WITH dist AS (SELECT a.vec_id AS proto, b.vec_id AS base, sqrt(list_sum(list_transform(range(1, 65), lambda i: (a.embedding[i]::DOUBLE - b.embedding[i]) * (a.embedding[i]::DOUBLE - b.embedding[i])))) AS distance FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id < {CODES} AND b.vec_id BETWEEN 16 AND 47),
+@query(f"""WITH dist AS (SELECT a.vec_id AS proto, b.vec_id AS base, sqrt(list_sum(list_transform(range(1, 65), lambda i: (a.embedding[i]::DOUBLE - b.embedding[i]) * (a.embedding[i]::DOUBLE - b.embedding[i])))) AS distance FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id < {CODES} AND b.vec_id >= {CODES}),
 r AS (SELECT *, row_number() OVER (PARTITION BY proto ORDER BY distance, base) AS rank FROM dist), s AS (SELECT *, (distance - lag(distance) OVER w) * (rank + lag(rank) OVER w) / 2 AS part FROM r WINDOW w AS (PARTITION BY proto ORDER BY rank))
 SELECT proto, round(coalesce(sum(part), 0), 4) AS integral FROM s GROUP BY 1""")
 def expected_gradient_path(spark, d):
     v = vectors(spark, d)
     protos = v.where(F.col("vec_id") < CODES).select(F.col("vec_id").alias("proto"), F.col("embedding").alias("proto_vec"))
-    bases = v.where("vec_id BETWEEN 16 AND 47").select(F.col("vec_id").alias("base"), F.col("embedding").alias("base_vec"))
+    bases = v.where(F.col("vec_id") >= CODES).select(F.col("vec_id").alias("base"), F.col("embedding").alias("base_vec"))
     ranked = prototypes.ranked_baselines(protos, bases)
     return prototypes.trapezoid(ranked, ["proto"], "rank", "distance", "rank").select("proto", F.round("integral", 4).alias("integral"))
 
