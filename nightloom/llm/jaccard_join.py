@@ -86,29 +86,35 @@ def band_of(n: int) -> int:
     return j
 
 
-def allocate(need: int, size: int, meet: float = 0.5, weight: float = 50.0) -> tuple[int, int]:
-    """(segments of allowance 1, of allowance 0) whose sum of v + 1 is ``need``, at the least estimated cost.
+def reserve(need: int, segments: int) -> int:
+    """Further segments, so that empty and crowded ones can be left out; a few large segments are neither."""
+    return 0 if segments <= 3 else 1 + need // 16
 
-    ``meet`` is the chance that a shingle of a set is in an unrelated one which it might meet, ``weight`` the number of such.
-    """
+
+def allocate(need: int, size: int, meet: float = 0.6, weight: float = 200.0) -> tuple[int, int]:
+    """(segments of allowance 1, of allowance 0) whose sum of v + 1 is at least ``need``, at the least estimated cost.
+
+    ``meet`` is the chance that a shingle of a set is in an unrelated one which it might meet, ``weight`` the number of such
+    sets. A segment of allowance 0 costs one signature and the sets that have the same shingles there; one of allowance 1
+    costs a signature for each shingle too, with one shingle less to tell sets apart, but saves a segment, so that all
+    are larger. Small sets come out with one-deletion neighbourhoods, large ones with many plain segments."""
     best = None
     for ones in range(min(need // 2, 32) + 1):
-        m = need - ones
+        zeros = need - 2 * ones
+        zeros += reserve(need, ones + zeros)
+        m = ones + zeros
         same = (1 - (1 - meet) / m) ** size
-        each = 1 + size / m
-        cost = (m - ones) * (1 + weight * same) + ones * each * (1 + weight * same / meet)
+        cost = zeros * (1 + weight * same) + ones * (1 + size / m) * (1 + weight * same / meet)
         if best is None or cost < best[0]:
-            best = (cost, ones, m - ones)
+            best = (cost, ones, zeros)
     return best[1], best[2]
 
 
 @lru_cache(maxsize=None)
 def band_plan(j: int) -> tuple[int, int]:
-    """(segments of allowance 1, of allowance 0) of band j, with a reserve for empty and crowded segments."""
+    """(segments of allowance 1, of allowance 0) of band j."""
     top = band_start(j + 1) - 1
-    need = most_different(top, top * DEN // NUM) + 1
-    reserve = 0 if need == 1 else 1 + need // 16
-    return allocate(need + reserve, (band_start(j) + top) // 2)
+    return allocate(most_different(top, top * DEN // NUM) + 1, (band_start(j) + top) // 2)
 
 
 @lru_cache(maxsize=None)
