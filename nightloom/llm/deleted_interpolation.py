@@ -38,13 +38,15 @@ END = np.uint64(xxhash.xxh3_64_intdigest(b"\x00end"))
 BEGIN = np.uint64(xxhash.xxh3_64_intdigest(b"\x00begin"))
 BUCKETS, OCTAVE, LEVELS = 24, 4, 160
 BLOCK_TOKENS = 1_500_000
+#: Bytes of text for each counting task; a task's memory follows this, not the corpus.
+TASK_BYTES = 4 << 20
 #: Routing of a row after the scan: a block, a question, or (from the counting tasks) an answer and a task's totals.
 BLOCK, ASK, ANSWER, TOTAL = 0, 1, 2, 3
 
 
 def pack_ints(x: np.ndarray) -> bytes:
     """Unsigned numbers as compressed byte planes."""
-    wide = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1)
+    wide = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize)
     return zstandard.ZstdCompressor(level=1).compress(wide.T.tobytes())
 
 
@@ -243,7 +245,9 @@ def expectation_maximisation(bucket: np.ndarray, p2: np.ndarray, p1: np.ndarray,
 def language_scores(docs: DataFrame, parts: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10)."""
     spark, key_name = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if parts is None:
+        size = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
     counts = common.written(counted(blocks(docs, parts, id_col, text_col), key_name), "counts")
     sums = counts.where(F.col("kind") == TOTAL).select(*[F.sum(F.get("n", F.lit(i))).alias(f"s{i}") for i in range(6)]).first()
     n, v, n_kept, v_kept, texts, texts_kept = (int(x or 0) for x in sums)
