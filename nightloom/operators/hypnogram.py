@@ -71,10 +71,17 @@ def onset(labels: DataFrame, record: Sequence[str] = ("subject_id",)) -> DataFra
     return labels.groupBy(*record).agg(F.min(F.when(F.col("stage") != 0, F.col("epoch_idx"))).alias("onset"))
 
 
-def after_onset(labels: DataFrame, minutes: float, epoch_s: int = 30, record: Sequence[str] = ("subject_id",)) -> DataFrame:
-    """Epochs up to so many minutes after the first that is not wake; all of a record that never sleeps."""
-    last = onset(labels, record).withColumn("last", F.col("onset") + int(minutes * 60 // epoch_s)).drop("onset")
-    return labels.join(last, [*record]).where(F.col("last").isNull() | (F.col("epoch_idx") < F.col("last"))).drop("last")
+def nap_end(labels: DataFrame, after: float = 15, without: float = 20, epoch_s: int = 30, record: Sequence[str] = ("subject_id",)) -> DataFrame:
+    """(record, last): a nap test ends ``without`` minutes after its start if there is no sleep by then, else ``after`` minutes
+    after sleep onset. In epochs."""
+    limit, more = int(without * 60 // epoch_s), int(after * 60 // epoch_s)
+    late = F.col("onset").isNull() | (F.col("onset") >= limit)
+    return onset(labels, record).select(*record, F.when(late, F.lit(limit)).otherwise(F.col("onset") + more).alias("last"))
+
+
+def within_nap(labels: DataFrame, after: float = 15, without: float = 20, epoch_s: int = 30, record: Sequence[str] = ("subject_id",)) -> DataFrame:
+    """Epochs up to the end of the nap test."""
+    return labels.join(nap_end(labels, after, without, epoch_s, record), [*record]).where(F.col("epoch_idx") < F.col("last")).drop("last")
 
 
 def modal_label(fine: DataFrame, key: Sequence[str], stage: str = "stage") -> DataFrame:

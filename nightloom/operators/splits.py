@@ -67,30 +67,44 @@ def strata_split(subjects: DataFrame, stratum: str, order: Column, train: float
     return ranked.select(record, stratum, split.alias("split"))
 
 
-def greedy_by_duration(durations: Sequence[tuple[int, int]], k: int = 4, seed: int = 42, train: float = 0.7, valid: float = 0.15) -> list[tuple[int, int, str]]:
-    """(record, fold, split): k folds whose test and valid sets are disjoint across folds and filled by duration up to
-    their share of all windows. Stateful over a small table of records, so it runs on the driver."""
-    rng = np.random.RandomState(seed)
-    total = sum(n for _, n in durations)
-    goal = total * (1 - train) / 2
-    used: dict[str, set[int]] = {"test": set(), "valid": set()}
+def greedy_by_duration(durations: Sequence[tuple[int, int]], k: int = 4, seed: int = 42, test: float = 0.15, valid: float = 0.15) -> list[tuple[int, int, str]]:
+    """(record, fold, split) for k folds by duration. In each fold, records are looked at in a random order and test if they
+    still fit into its share of all windows, then the rest likewise validates; a record tests, and validates, at most once
+    over all folds. Stateful over a table of one row a record, so it runs on the driver."""
+    rng, size = np.random.RandomState(seed), dict(durations)
+    total, spent = sum(size.values()), {"test": set(), "valid": set()}
+    base = rng.permutation(np.array(list(size))).tolist()
     out = []
+
+    def fill(pool: list[int], kind: str, share: float) -> list[int]:
+        """Moves records from the pool to a split, and returns what is left of it."""
+        rng.shuffle(pool)
+        room, rest = share * total * (1 + 1e-12), []
+        for r in pool:
+            if r not in spent[kind] and size[r] <= room:
+                room -= size[r]
+                spent[kind].add(r)
+                out.append((r, fold, kind))
+            else:
+                rest.append(r)
+        return rest
+
     for fold in range(k):
-        split = {r: "train" for r, _ in durations}
-        for kind, share in (("test", goal), ("valid", total * valid)):
-            free = [d for d in durations if d[0] not in used[kind] and split[d[0]] == "train"]
-            order = rng.permutation(len(free))
-            size = 0
-            for i in order:
-                r, n = free[i]
-                if size >= share / max(1, k * share / total):
-                    break
-                split[r], size = kind, size + n
-                used[kind].add(r)
-        out += [(r, fold, s) for r, s in split.items()]
+        left = fill(fill(list(base), "test", test), "valid", valid)
+        out += [(r, fold, "train") for r in left]
     return out
 
 
+def stratified_with_validation(subjects: DataFrame, group: str, k: int, order: Column, valid: float = 0.1765, record: str = "subject_id") -> DataFrame:
+    """k folds that test on one fold each; of the other records of each group, the first share validates, the rest trains."""
+    own = stratified(subjects, group, k, order, record).withColumnRenamed("fold", "_own").join(subjects.select(record, order.alias("_o")).distinct(), record)
+    runs = own.crossJoin(F.broadcast(own.sparkSession.range(k).select(F.col("id").cast("int").alias("fold"))))
+    w = W.partitionBy("fold", group, F.col("_own") == F.col("fold"))
+    rank = F.row_number().over(w.orderBy("_o", record))
+    split = F.when(F.col("_own") == F.col("fold"), "test").when(rank <= F.ceil(F.count("*").over(w) * valid), "valid").otherwise("train")
+    return runs.select(record, group, "fold", split.alias("split"))
+
+
 def from_ids(subjects: DataFrame, ids: DataFrame, record: str = "subject_id") -> DataFrame:
     """Splits from given (record, fold, split) rows of test and valid; all other records train in each fold."""
     folds = ids.select("fold").distinct()

@@ -88,10 +88,11 @@ def sleep_onset(spark, d):
     return hypnogram.onset(epochs(spark, d))
 
 
-@query(f"""WITH {EP}, o AS (SELECT subject_id, min(CASE WHEN stage <> 0 THEN epoch_idx END) + 30 AS last FROM ep GROUP BY 1)
-SELECT subject_id, count(*) AS n FROM ep JOIN o USING (subject_id) WHERE last IS NULL OR epoch_idx < last GROUP BY 1""")
+@query(f"""WITH {EP}, h AS (SELECT subject_id, epoch_idx, CASE WHEN value < 40 THEN 0 ELSE stage END AS stage FROM ep), o AS (SELECT subject_id, min(CASE WHEN stage <> 0 THEN epoch_idx END) AS o FROM h GROUP BY 1),
+e AS (SELECT subject_id, CASE WHEN o IS NULL OR o >= 40 THEN 40 ELSE o + 30 END AS last FROM o) SELECT subject_id, last, count(*) AS n, sum(stage)::BIGINT AS stages FROM h JOIN e USING (subject_id) WHERE epoch_idx < last GROUP BY 1, 2""")
 def nap_after_onset(spark, d):
-    return hypnogram.after_onset(epochs(spark, d), 15).groupBy("subject_id").agg(F.count("*").alias("n"))
+    own = epochs(spark, d).select("subject_id", "epoch_idx", F.when(F.col("value") < 40, 0).otherwise(F.col("stage")).alias("stage"))
+    return hypnogram.within_nap(own).join(hypnogram.nap_end(own), "subject_id").groupBy("subject_id", "last").agg(F.count("*").alias("n"), F.sum("stage").alias("stages"))
 
 
 @query(f"""WITH {EP}, c AS (SELECT subject_id, CAST(ts AS DATE) AS day, stage, count(*) AS n FROM ep GROUP BY 1, 2, 3)
@@ -276,6 +277,14 @@ def stratified_next_fold(spark, d):
     return splits.next_fold_validates(splits.stratified(own, "grp", 4, (F.col("subject_id") * 7919) % 10007), 4)
 
 
+@query(f"""WITH {SUBJ}, f AS (SELECT subject_id, subject_id % 3 AS grp, (subject_id * 7919) % 10007 AS o, (row_number() OVER (PARTITION BY subject_id % 3 ORDER BY (subject_id * 7919) % 10007, subject_id) - 1) % 4 AS own FROM subj),
+r AS (SELECT *, row_number() OVER (PARTITION BY k, grp, own = k ORDER BY o, subject_id) AS r, count(*) OVER (PARTITION BY k, grp, own = k) AS n FROM f CROSS JOIN (SELECT unnest(range(4)) AS k))
+SELECT subject_id, grp, k AS fold, CASE WHEN own = k THEN 'test' WHEN r <= ceil(n * 0.1765) THEN 'valid' ELSE 'train' END AS split FROM r""")
+def stratified_validation(spark, d):
+    own = epochs(spark, d).select("subject_id", "grp").distinct()
+    return splits.stratified_with_validation(own, "grp", 4, (F.col("subject_id") * 7919) % 10007)
+
+
 AV = f"""{EP}, a AS (SELECT DISTINCT subject_id FROM ep WHERE stage = 0 AND value < 2), b AS (SELECT DISTINCT subject_id FROM ep WHERE stage = 2 AND value < 2),
 av AS (SELECT coalesce(a.subject_id, b.subject_id) AS subject_id, CASE WHEN a.subject_id IS NOT NULL AND b.subject_id IS NOT NULL THEN 'both' WHEN a.subject_id IS NOT NULL THEN 'first' ELSE 'second' END AS availability FROM a FULL JOIN b ON a.subject_id = b.subject_id)"""
 

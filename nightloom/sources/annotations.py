@@ -34,8 +34,8 @@ def nsrr_xml(spark: SparkSession, path: str, epoch_s: int = 30) -> DataFrame:
     return hypnogram.expand_intervals(own, "first", "n").select("path", "epoch_idx", "stage")
 
 
-def rodent_tsv(spark: SparkSession, path: str, skip: int = 9, column: int = 4) -> DataFrame:
-    """Stage codes in a column of a tab-separated file behind a preamble; unknown codes are 3."""
+def rodent_tsv(spark: SparkSession, path: str, skip: int = 10, column: int = 4) -> DataFrame:
+    """Stage codes in a column of a tab-separated file behind a preamble of nine lines and a header; unknown codes are 3."""
     own = _numbered(spark, path).where(F.col("n") >= skip)
     code = F.try_element_at(F.split("line", "\t"), F.lit(column + 1)).try_cast("int")
     stage = hypnogram.recode(code, hypnogram.RODENT_CODES, 3)
@@ -90,13 +90,18 @@ def rat_csv(spark: SparkSession, path: str, scorer: int = 1) -> DataFrame:
     return own.select("path", F.col("n").alias("epoch_idx"), hypnogram.recode(letter, hypnogram.RAT_LETTERS, 3).alias("stage"))
 
 
-def interval_tsv(spark: SparkSession, path: str, epoch_s: int = 30, skip: int = 0, lights: bool = True) -> DataFrame:
-    """start, end, label lines; with ``lights``, from behind lights-off and without the last line; unknown labels are -1."""
+def interval_tsv(spark: SparkSession, path: str, skip: int = 0, lights: bool = True, strict: bool = False, epoch_s: int | None = None) -> DataFrame:
+    """start, end, label lines, one epoch each (or, with ``epoch_s``, as many as the line lasts). With ``lights``, from behind
+    lights-off and without the last line. Unknown labels are -1; with ``strict`` they fail."""
     own = _numbered(spark, path).where(F.col("n") >= skip).withColumn("c", F.split("line", "\t"))
     own = own.select("path", "n", F.get("c", F.lit(0)).try_cast("double").alias("start"), F.get("c", F.lit(1)).try_cast("double").alias("end"), F.trim(F.get("c", F.lit(2))).alias("label"))
     if lights:
         own = hypnogram.after_lights_off(own, ["path"], "n")
-    own = own.select("path", "n", F.round((F.col("end") - F.col("start")) / epoch_s).cast("int").alias("len"), hypnogram.recode(F.col("label"), INTERVAL_STAGES, -1).alias("stage"))
+    stage = hypnogram.recode(F.col("label"), INTERVAL_STAGES, None if strict else -1)
+    if strict:
+        stage = F.coalesce(stage, F.raise_error(F.concat(F.lit("unknown stage "), F.col("label"))).cast("int"))
+    length = F.lit(1) if epoch_s is None else F.round((F.col("end") - F.col("start")) / epoch_s).cast("int")
+    own = own.select("path", "n", length.alias("len"), stage.alias("stage"))
     first = F.coalesce(F.sum("len").over(W.partitionBy("path").orderBy("n").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("int")
     return hypnogram.expand_intervals(own.withColumn("first", first), "first", "len").select("path", "epoch_idx", "stage")
 

@@ -100,6 +100,8 @@ def test_splits(spark):
     for kind in ("test", "valid"):
         ids = [r for r, _, s in folds if s == kind]
         assert len(ids) == len(set(ids))
+        assert all(sum(100 for r, f, s in folds if f == fold and s == kind) == 300 for fold in range(4))
+    assert len(folds) == 80
 
 
 def test_votes(spark):

@@ -34,13 +34,16 @@ def test_scoring_files(spark, tmp_path):
 
     xml = "<A><ScoredEvents>" + "".join(f"<ScoredEvent><EventType>Stages|Stages</EventType><EventConcept>x|{s}</EventConcept><Start>{a}</Start><Duration>{n}</Duration></ScoredEvent>" for s, a, n in ((0, 0, 60), (2, 60, 30))) + "<ScoredEvent><EventType>Other</EventType></ScoredEvent></ScoredEvents></A>"
     assert by_path(an.nsrr_xml(spark, put("xml", xml))) == [0, 0, 2]
-    assert by_path(an.rodent_tsv(spark, put("tsv", "h\n" * 9 + "a\tb\tc\td\t1\na\tb\tc\td\t3\na\tb\tc\td\t9\n"))) == [0, 2, 3]
+    assert by_path(an.rodent_tsv(spark, put("tsv", "h\n" * 10 + "a\tb\tc\td\t1\na\tb\tc\td\t3\na\tb\tc\td\t9\n"))) == [0, 2, 3]
     assert by_path(an.run_length_csv(spark, put("csv", "0,40,W\n40,20,N2\n60,10,REM\n"))) == [0, 2, 0]
     assert by_path(an.stage_txt(spark, put("stg", "Epoch\tUser-Defined Stage\n5\t0\n6\t5\n7\t7\n"))) == [0, 4, -1]
     log = "22:00:00.00\tSTART RECORDING\n22:01:00.00\tSTAGE - N1\n22:01:30.00\tSTAGE - W\n22:02:00.00\tend\n"
     assert by_path(an.event_log(spark, put("log", log))) == [-1, -1, 1, 0]
     assert by_path(an.rat_csv(spark, put("rat", "x,w,n\nx,r,w\nx,?,w\n"))) == [0, 2, 3]
-    assert by_path(an.interval_tsv(spark, put("iv", "0\t30\tWake\n30\t60\tLIGHTS_OFF\n60\t120\tS1\n120\t150\tREM\n150\t180\tWake\n"))) == [1, 1, 4]
+    lines = put("iv", "0\t30\tWake\n30\t60\tLIGHTS_OFF\n60\t120\tS1\n120\t150\tREM\n150\t180\tWake\n")
+    assert by_path(an.interval_tsv(spark, lines)) == [1, 4] and by_path(an.interval_tsv(spark, lines, epoch_s=30)) == [1, 1, 4]
+    with pytest.raises(Exception, match="unknown stage"):
+        an.interval_tsv(spark, lines, lights=False, strict=True).collect()
     us = "Subtype;Start time relative (total µs);Duration (total µs)\nW;0;60000000\nN2;90000000;30000000\n"
     assert by_path(an.interval_csv_us(spark, put("us", us), {"W": 0, "N2": 2})) == [0, 0, -1, 2]
     assert an.discover(spark, str(tmp_path), "*.txt").count() == 8
