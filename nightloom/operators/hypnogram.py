@@ -40,29 +40,49 @@ def drop_invalid(labels: DataFrame, low: int = 0, high: int = 4, record: Sequenc
     return reindexed(labels.where(F.col("stage").between(low, high)), record)
 
 
+def _changes(labels: DataFrame, record: Sequence[str]) -> DataFrame:
+    """Adds _wake, and _change: the epoch's number where it is wake and the one before is not, or the other way round."""
+    w = W.partitionBy(*record).orderBy("epoch_idx")
+    marked = labels.withColumn("_wake", F.col("stage") == 0).withColumn("_before", F.lag("_wake").over(w))
+    return marked.withColumn("_change", F.when(F.col("_before").isNotNull() & (F.col("_wake") != F.col("_before")), F.col("epoch_idx"))).drop("_before")
+
+
+def _wake_aggregates(classes: int) -> dict[str, Column]:
+    second = F.greatest(*[F.count_if(F.col("stage") == c) for c in range(1, classes)]) if classes > 2 else F.count_if(F.col("stage") == 1)
+    return {
+        "n": F.count("*"), "wakes": F.count_if("_wake"), "second": second,
+        "first_change": F.min("_change"), "last_change": F.max("_change"), "starts_awake": F.min_by("_wake", "epoch_idx"),
+    }
+
+
+def _wake_range() -> tuple[Column, Column]:
+    """lo and hi from the aggregates' columns."""
+    eve = F.when(F.col("starts_awake"), F.col("first_change")).otherwise(F.lit(0))
+    surplus = eve + F.col("n") - F.col("last_change") + 1 - F.col("second")
+    trim = (F.col("wakes") > F.col("second")) & F.col("first_change").isNotNull() & (surplus > 0)
+    lo = F.when(trim, F.when(eve > surplus, surplus).otherwise(eve)).otherwise(F.lit(0))
+    hi = F.when(trim & ~(eve > surplus), F.col("n") - (surplus - eve)).otherwise(F.col("n"))
+    return lo.cast("long"), hi.cast("long")
+
+
 def wake_bounds(labels: DataFrame, record: Sequence[str] = ("subject_id",), classes: int = 5) -> DataFrame:
     """lo and hi of the epochs to keep for each record: where wake outnumbers every other stage, surplus wake goes, first
     from the evening, then from the morning. Morning wake is counted from the last change of state on, and one more."""
-    w = W.partitionBy(*record).orderBy("epoch_idx")
-    marked = labels.withColumn("wake", F.col("stage") == 0).withColumn("before", F.lag("wake").over(w))
-    change = F.when(F.col("before").isNotNull() & (F.col("wake") != F.col("before")), F.col("epoch_idx"))
-    counts = [F.count_if(F.col("stage") == c) for c in range(1, classes)]
-    s = marked.groupBy(*record).agg(
-        F.count("*").alias("n"), F.count_if("wake").alias("wakes"), F.greatest(*counts).alias("second"),
-        F.min(change).alias("first_change"), F.max(change).alias("last_change"), F.min_by("wake", "epoch_idx").alias("starts_awake"),
-    )
-    s = s.withColumn("eve", F.when(F.col("starts_awake"), F.col("first_change")).otherwise(F.lit(0))).withColumn("morn", F.col("n") - F.col("last_change") + 1)
-    s = s.withColumn("surplus", F.col("eve") + F.col("morn") - F.col("second"))
-    trim = (F.col("wakes") > F.col("second")) & F.col("first_change").isNotNull() & (F.col("surplus") > 0)
-    evening = F.col("eve") > F.col("surplus")
-    lo = F.when(trim, F.when(evening, F.col("surplus")).otherwise(F.col("eve"))).otherwise(F.lit(0))
-    hi = F.when(trim & ~evening, F.col("n") - (F.col("surplus") - F.col("eve"))).otherwise(F.col("n"))
-    return s.select(*record, "n", lo.cast("long").alias("lo"), hi.cast("long").alias("hi"))
+    lo, hi = _wake_range()
+    s = _changes(labels, record).groupBy(*record).agg(*[c.alias(k) for k, c in _wake_aggregates(classes).items()])
+    return s.select(*record, "n", lo.alias("lo"), hi.alias("hi"))
 
 
 def trim_wake(labels: DataFrame, record: Sequence[str] = ("subject_id",), classes: int = 5) -> DataFrame:
-    bounds = wake_bounds(labels, record, classes).drop("n")
-    kept = labels.join(bounds, [*record]).where((F.col("epoch_idx") >= F.col("lo")) & (F.col("epoch_idx") < F.col("hi"))).drop("lo", "hi")
+    """Epochs within wake_bounds(), numbered anew. Windows by record all the way: one shuffle and no self-join."""
+    w = W.partitionBy(*record)
+    counted = _changes(labels, record)
+    plain = _wake_aggregates(classes)
+    stages = [F.count_if(F.col("stage") == c).over(w) for c in range(1, classes)]
+    plain["second"] = F.greatest(*stages) if len(stages) > 1 else stages[0]
+    wide = counted.select("*", *[(c if k == "second" else c.over(w)).alias(k) for k, c in plain.items()])
+    lo, hi = _wake_range()
+    kept = wide.where((F.col("epoch_idx") >= lo) & (F.col("epoch_idx") < hi)).select(*[F.col(f"`{c}`") for c in labels.columns])
     return reindexed(kept, record)
 
 
@@ -105,9 +125,9 @@ def fill_gaps(intervals: DataFrame, record: Sequence[str], unit_s: float = 30.0)
     """(record, epoch_idx, stage) from (onset_s, duration_s, stage). Later starts cut earlier intervals short; gaps are -1."""
     w = W.partitionBy(*record).orderBy("onset_s", "duration_s")
     at = intervals.withColumn("next", F.lead("onset_s").over(w)).withColumn("stop", F.least(F.col("onset_s") + F.col("duration_s"), F.coalesce("next", F.col("onset_s") + F.col("duration_s"))))
-    scored = at.select(*record, "onset_s", F.col("stop"), "stage")
-    gaps = at.where(F.col("next") > F.col("stop")).select(*record, F.col("stop").alias("onset_s"), F.col("next").alias("stop"), F.lit(-1).alias("stage"))
-    every = scored.unionByName(gaps).select(*record, "stage", (F.col("onset_s") / unit_s).cast("int").alias("first"), ((F.col("stop") - F.col("onset_s")) / unit_s).cast("int").alias("n"))
+    gap = F.col("next") > F.col("stop")
+    spans = F.array(F.struct(F.col("onset_s").alias("a"), F.col("stop").alias("b"), F.col("stage").alias("stage")), F.struct(F.col("stop").alias("a"), F.when(gap, F.col("next")).otherwise(F.col("stop")).alias("b"), F.lit(-1).alias("stage")))
+    every = at.select(*record, F.inline(spans)).select(*record, "stage", (F.col("a") / unit_s).cast("int").alias("first"), ((F.col("b") - F.col("a")) / unit_s).cast("int").alias("n"))
     return expand_intervals(every, "first", "n").select(*record, "epoch_idx", "stage")
 
 

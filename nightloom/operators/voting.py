@@ -15,11 +15,16 @@ def softmax(scores: Column) -> Column:
 
 
 def vote(preds: DataFrame, classes: int, record: str = "subject_id", scores: str = "logits") -> DataFrame:
-    """(record, epoch_idx, class, votes, coverage): sums of softmax over the sequences that cover an epoch.
-
-    Rows are (record, rel_idx, off, scores); the probabilities are summed as columns, which Spark combines map-side."""
-    p = preds.select(record, (F.col("rel_idx") + F.col("off")).alias("epoch_idx"), softmax(F.col(scores)).alias("p"))
-    sums = p.groupBy(record, "epoch_idx").agg(F.count("*").alias("coverage"), *[F.sum(F.get("p", F.lit(c))).alias(f"v{c}") for c in range(classes)])
+    """(record, epoch_idx, coverage, votes): sums of softmax over the sequences that cover an epoch.
+
+    Rows are (record, rel_idx, off, scores). The softmax is spelled out in columns, which compile, and the sums are plain
+    ones, which Spark combines map-side; no array is built for each row."""
+    z = [F.get(scores, F.lit(c)) for c in range(classes)]
+    p = preds.select(record, (F.col("rel_idx") + F.col("off")).alias("epoch_idx"), *[z[c].alias(f"z{c}") for c in range(classes)])
+    top = F.greatest(*[f"z{c}" for c in range(classes)]) if classes > 1 else F.col("z0")
+    p = p.select(record, "epoch_idx", *[F.exp(F.col(f"z{c}") - top).alias(f"e{c}") for c in range(classes)])
+    total = sum((F.col(f"e{c}") for c in range(1, classes)), F.col("e0"))
+    sums = p.groupBy(record, "epoch_idx").agg(F.count("*").alias("coverage"), *[F.sum(F.col(f"e{c}") / total).alias(f"v{c}") for c in range(classes)])
     return sums.select(record, "epoch_idx", "coverage", F.array(*[f"v{c}" for c in range(classes)]).alias("votes"))
 
 
