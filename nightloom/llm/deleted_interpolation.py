@@ -17,7 +17,8 @@ grid reaches the driver.
 Defined results: null and empty texts are one end token; a null id counts as the empty text in the fold and is not
 learned from; repeated rows each teach and return; without training texts all counts are 0 and the score is the uniform
 share's; an empty table gives no rows; columns other than id and text are never read. Words are told apart by 64-bit
-hashes, bigrams by 56 bits.
+hashes, bigrams by 20 bits more than it takes to count the corpus's bytes (64 at most), so that one in a million meets
+another, whatever the size.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from . import common
 END = np.uint64(xxhash.xxh3_64_intdigest(b"\x00end"))
 BEGIN = np.uint64(xxhash.xxh3_64_intdigest(b"\x00begin"))
 BUCKETS, OCTAVE, LEVELS = 24, 4, 160
-BLOCK_TOKENS = 1_500_000
+BLOCK_TOKENS = 1_000_000
 #: Bytes of text for each counting task; a task's memory follows this, not the corpus.
 TASK_BYTES = 4 << 20
 #: Routing of a row after the scan: a block, a question, or (from the counting tasks) an answer and a task's totals.
@@ -65,14 +66,23 @@ def unpack_keys(data: bytes) -> np.ndarray:
     return np.cumsum(unpack_ints(data, np.uint64), dtype=np.uint64)
 
 
-def bigrams(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+def bigrams(before: np.ndarray, word: np.ndarray, bits: int = 64) -> np.ndarray:
+    """The high bits of a hash of each pair."""
     with np.errstate(over="ignore"):
-        return common.mix(before * np.uint64(0x9E3779B97F4A7C15) + common.mix(word)) >> np.uint64(8) << np.uint64(8)
+        x = common.mix(word)
+        x += before * np.uint64(0x9E3779B97F4A7C15)
+        x = common.mix(x)
+    x >>= np.uint64(64 - bits)
+    return x
 
 
-def owner(keys: np.ndarray, parts: int) -> np.ndarray:
-    """The counting task of a key, by its high bits; ascending where keys are."""
-    return ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+def bits_for(size: int) -> int:
+    return min(64, max(40, int(size).bit_length() + 20))
+
+
+def owner(keys: np.ndarray, parts: int, bits: int = 64) -> np.ndarray:
+    """The counting task of a key, by its highest 32 bits; ascending where keys are."""
+    return ((keys >> np.uint64(bits - 32)) * np.uint64(parts)) >> np.uint64(32)
 
 
 @dataclass
@@ -99,36 +109,39 @@ def _rows(rows: list[dict], key: pa.DataType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], k) for n, k in zip(NAMES, kinds, strict=True)], names=NAMES)
 
 
-def _ask(words: np.ndarray, lens: np.ndarray, folds: np.ndarray, ids: list, parts: int) -> list[dict]:
-    """The block's own row and its questions."""
-    fold = np.repeat(folds, lens)
+def _ask(words: np.ndarray, lens: np.ndarray, folds: np.ndarray, ids: list, parts: int, bits: int = 64) -> list[dict]:
+    """The block's own row and its questions. A block's texts are all kept back, or none is."""
+    kept = bool(len(folds)) and folds[0] == 9
+    block = int(np.uint64(xxhash.xxh3_64_intdigest(repr(ids).encode() + words[:100_000].tobytes() + folds.tobytes())).astype(np.int64))
+    train = np.repeat((folds != 0).astype(np.float64), lens)
+    before = Tokens.of(words, lens).before
+    pairs, at = np.unique(bigrams(before, words, bits), return_inverse=True)
+    del before
+    of_pairs = np.bincount(at, weights=train, minlength=len(pairs)).astype(np.uint32)
+    del at
     uniq, inverse, count = np.unique(words, return_inverse=True, return_counts=True)
     rank = np.empty(len(uniq), np.uint32)
     rank[np.argsort(-count, kind="stable")] = np.arange(len(uniq), dtype=np.uint32)
-    kept = (fold == 9).astype(float)
-    train = (fold != 0).astype(float)
-    block = int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(repr(ids).encode() + words[:100_000].tobytes() + folds.tobytes())).astype(np.int64)))
     out = [{"dest": parts + block % parts, "kind": BLOCK, "block": block, "ids": ids, "lens": lens.tolist(), "folds": folds.tolist(), "a": pack_ints(rank[inverse]), "b": pack_ints(uniq[np.argsort(rank)])}]
-    t = Tokens.of(words, lens)
-    pairs, at = np.unique(bigrams(t.before, t.words), return_inverse=True)
+    of_words = np.bincount(inverse, weights=train, minlength=len(uniq)).astype(np.uint32)
+    del inverse, train
     sides = []
-    for keys, where in ((uniq, inverse), (pairs, at)):
-        some = [np.bincount(where, weights=w, minlength=len(keys)).astype(np.uint32) for w in (train, kept)]
-        begin = np.searchsorted(owner(keys, parts), np.arange(parts + 1).astype(np.uint64))
-        sides.append((keys, some, begin))
+    for keys, some, b, names in ((uniq, of_words, 64, "ab"), (pairs, of_pairs, bits, "cd")):
+        begin = np.searchsorted(owner(keys, parts, b), np.arange(parts + 1).astype(np.uint64))
+        sides.append((keys, some, begin, names))
     for p in range(parts):
-        row = {"dest": p, "kind": ASK, "block": block, "part": p}
-        for (keys, (train_, kept_), begin), names in zip(sides, ("ab", "cd"), strict=True):
+        row = {"dest": p, "kind": ASK, "block": block, "part": p, "folds": [9] if kept else [], "n": []}
+        for keys, some, begin, names in sides:
             i, j = begin[p], begin[p + 1]
             row[names[0]] = pack_keys(keys[i:j])
-            row[names[1]] = pack_ints(np.concatenate([train_[i:j], kept_[i:j]]))
-        row["n"] = [int(sides[0][2][p + 1] - sides[0][2][p]), int(sides[1][2][p + 1] - sides[1][2][p])]
+            row[names[1]] = pack_ints(np.concatenate([some[i:j], some[i:j] if kept else np.zeros(j - i, np.uint32)]))
+            row["n"].append(int(j - i))
         if any(row["n"]):
             out.append(row)
     return out
 
 
-def blocks(docs: DataFrame, parts: int, id_col: str, text_col: str) -> DataFrame:
+def blocks(docs: DataFrame, parts: int, id_col: str, text_col: str, bits: int = 64) -> DataFrame:
     """Blocks and their questions. Texts that are kept back for the weights get blocks of their own."""
     key_name = docs.schema[id_col].dataType.simpleString()
 
@@ -140,7 +153,7 @@ def blocks(docs: DataFrame, parts: int, id_col: str, text_col: str) -> DataFrame
         def flush(side: bool):
             own, held[side], size[side] = held[side], [], 0
             words = np.concatenate([w for _, _, w in own])
-            for row in _ask(words, np.array([len(w) for _, _, w in own]), np.array([f for _, f, _ in own]), [i for i, _, _ in own], parts):
+            for row in _ask(words, np.array([len(w) for _, _, w in own]), np.array([f for _, f, _ in own]), [i for i, _, _ in own], parts, bits):
                 yield _rows([row], key)
 
         for batch in batches:
@@ -166,8 +179,8 @@ def counted(asked: DataFrame, key_name: str) -> DataFrame:
         own = table.column("kind").to_pylist()
         if own[0] == BLOCK:
             return table.select(NAMES)
-        rows = table.select(["block", "part", "a", "b", "c", "d", "n"]).to_pylist()
-        answers = [{"dest": 0, "kind": ANSWER, "block": r["block"], "part": r["part"], "n": r["n"]} for r in rows]
+        rows = table.select(["block", "part", "folds", "a", "b", "c", "d", "n"]).to_pylist()
+        answers = [{"dest": 0, "kind": ANSWER, "block": r["block"], "part": r["part"], "folds": r["folds"], "n": r["n"]} for r in rows]
         total = [0] * 6
         for k, (keys_of, counts_of, to) in enumerate((("a", "b", "a"), ("c", "d", "c"))):
             keys = [unpack_keys(r[keys_of]) for r in rows]
@@ -195,7 +208,7 @@ class Totals:
     texts: int
 
 
-def _estimates(table: pa.Table, without_kept: bool, totals: Totals):
+def _estimates(table: pa.Table, without_kept: bool, totals: Totals, bits: int = 64):
     """(row of the block, p of the bigram, p of the word, bucket of the context, count of the word) by token."""
     kinds = np.array(table.column("kind").to_pylist())
     at = int(np.flatnonzero(kinds == BLOCK)[0])
@@ -207,15 +220,21 @@ def _estimates(table: pa.Table, without_kept: bool, totals: Totals):
     by_word = np.empty(len(vocabulary))
     by_word[np.argsort(vocabulary)] = c1
     t = Tokens.of(vocabulary[number], np.array(own["lens"]))
+    pairs, i = np.unique(bigrams(t.before, t.words, bits), return_inverse=True)
+    assert len(pairs) == len(c2) and len(vocabulary) == len(c1), "a counting task's answer is missing"
+    first = t.before == BEGIN
+    del pairs, t
     word = by_word[number]
     context = np.empty(len(word))
     context[1:] = word[:-1]
-    context[t.before == BEGIN] = totals.texts
-    pairs, i = np.unique(bigrams(t.before, t.words), return_inverse=True)
-    assert len(pairs) == len(c2) and len(vocabulary) == len(c1), "a counting task's answer is missing"
-    p2 = c2[i] / np.maximum(context, 1)
-    p1 = word / max(totals.tokens, 1)
-    return own, np.minimum(p2, 1.0), p1, np.minimum(np.log2(context + 1).astype(np.int64), BUCKETS - 1), word
+    context[first] = totals.texts
+    p2 = c2[i]
+    del i
+    p2 /= np.maximum(context, 1)
+    np.minimum(p2, 1.0, out=p2)
+    context += 1
+    bucket = np.minimum(np.log2(context, out=context).astype(np.int8), BUCKETS - 1)
+    return own, p2, word / max(totals.tokens, 1), bucket, word
 
 
 def _level(p: np.ndarray) -> np.ndarray:
@@ -245,32 +264,35 @@ def expectation_maximisation(bucket: np.ndarray, p2: np.ndarray, p1: np.ndarray,
 def language_scores(docs: DataFrame, parts: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10)."""
     spark, key_name = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
+    bits = bits_for(size)
     if parts is None:
-        size = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
-    counts = common.written(counted(blocks(docs, parts, id_col, text_col), key_name), "counts")
+    counts = common.written(counted(blocks(docs, parts, id_col, text_col, bits), key_name), "counts")
     sums = counts.where(F.col("kind") == TOTAL).select(*[F.sum(F.get("n", F.lit(i))).alias(f"s{i}") for i in range(6)]).first()
     n, v, n_kept, v_kept, texts, texts_kept = (int(x or 0) for x in sums)
     full, rest = Totals(n, v, texts), Totals(n_kept, v_kept, texts_kept)
 
     tasks = counts.where(F.col("kind").isin(BLOCK, ANSWER))
-    kept = tasks.where((F.col("kind") == BLOCK) & (F.get("folds", F.lit(0)) == 9)).select(F.col("block").alias("_b")).distinct()
+    kept = tasks.where(F.get("folds", F.lit(0)) == 9)
 
     def histogram(table: pa.Table) -> pa.Table:
-        _, p2, p1, bucket, _ = _estimates(table, True, rest)
-        cell, n = np.unique((bucket * (LEVELS + 1) + _level(p2)) * (LEVELS + 1) + _level(p1), return_counts=True)
+        _, p2, p1, bucket, _ = _estimates(table, True, rest, bits)
+        cell, n = np.unique((bucket.astype(np.int64) * (LEVELS + 1) + _level(p2)) * (LEVELS + 1) + _level(p1), return_counts=True)
         return pa.table({"cell": pa.array(cell, pa.int64()), "n": pa.array(n, pa.int64())})
 
-    grid = tasks.join(kept, F.col("block") == F.col("_b"), "left_semi").groupBy("block").applyInArrow(histogram, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    grid = kept.groupBy("block").applyInArrow(histogram, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     cell, count = grid["cell"].to_numpy(dtype=np.int64), grid["n"].to_numpy(dtype=np.float64)
     value = np.r_[0.0, 2.0 ** (-(np.arange(1, LEVELS + 1) - 1) / OCTAVE)]
     l1, l2 = cell % (LEVELS + 1), cell // (LEVELS + 1) % (LEVELS + 1)
     weights = expectation_maximisation(cell // (LEVELS + 1) ** 2, value[l2], value[l1], 1 / (v_kept + 1), count)
 
     def score(table: pa.Table) -> pa.Table:
-        own, p2, p1, bucket, word = _estimates(table, False, full)
-        w = weights[bucket]
-        logp = np.log10(w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] / (full.kinds + 1))
+        own, p2, p1, bucket, word = _estimates(table, False, full, bits)
+        logp = weights[:, 0][bucket] * p2
+        logp += weights[:, 1][bucket] * p1
+        logp += weights[:, 2][bucket] / (full.kinds + 1)
+        np.log10(logp, out=logp)
         base = np.log10((word + 0.1) / (full.tokens + 0.1 * (full.kinds + 1)))
         lens = np.array(own["lens"], dtype=np.int64)
         start = np.r_[0, np.cumsum(lens)[:-1]]
