@@ -6,7 +6,7 @@ the dictionaries have not seen. A text is compressed in blocks against each dict
 compressed sizes over their sum is the normalised difference, from -1 to 1. A logistic model fitted on labelled texts that
 built no dictionary turns the differences, with the sizes a byte, into a probability that the label is 1.
 
-The fitting sample is bounded: at most ``rows_per_class`` rows of each label, of which every second one builds the
+The fitting sample is bounded: at most ``rows_per_class`` rows of each label, of texts up to 64 KB, of which every second one builds the
 dictionaries, with at most ``dict_bytes`` x 100 bytes of each label's text. Scoring covers all blocks of every text.
 
 Defined results: null and empty texts, which compress to nothing, get the score of an all-zero difference; without

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from . import common
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, rows_per_class: int, learns: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[bytes, int]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, rows_per_class: int, learns: Column | None = None, id_col: str = "doc_id", text_col: str = "text", longest: int = 1 << 16) -> list[tuple[bytes, int]]:
     """(UTF-8 text, label) of at most ``rows_per_class`` labelled rows of each class, the first by a hash of the id.
 
     Ids are chosen from the labels alone; so at most 2 x rows_per_class ids are broadcast to fetch their whole texts.
-    Rows with a null label or id are left out, and ``learns`` (on ``_id``) says which ids may teach.
+    Texts of more than ``longest`` bytes teach nothing, so that the sample's size is bounded as well. Rows with a null label
+    or id are left out, and ``learns`` (on ``_id``) says which ids may teach.
     """
     own = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).where(F.col("_label").isin(0, 1) & F.col("_id").isNotNull())
     own = own.groupBy("_id").agg(F.max("_label").alias("_label"))
@@ -24,7 +25,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, rows_per
     for label in (0, 1):
         some = own.where(F.col("_label") == label).orderBy(rank, "_id").limit(rows_per_class)
         picked = some if picked is None else picked.unionAll(some)
-    small = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
+    small = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text")).where(F.coalesce(F.octet_length("_text"), F.lit(0)) <= longest)
     rows = small.join(F.broadcast(picked), F.col("_doc") == F.col("_id")).select("_id", "_label", "_text").collect()
     rows.sort(key=lambda r: (str(r[0]), r[1], r[2] or ""))
     return [((r[2] or "").encode(), r[1]) for r in rows]

@@ -311,7 +311,7 @@ class Scan:
     data: tuple[int, int] = (0, 0)
 
     def key(self) -> tuple:
-        return (self.parts, self.dc, self.ac, self.first, self.last, self.high, self.low, bool(self.restart == 1), tuple((k, tuple(t[0]), tuple(t[1])) for k, t in sorted(self.tables.items())))
+        return (self.parts, self.dc, self.ac, self.first, self.last, self.high, self.low, tuple((k, tuple(t[0]), tuple(t[1])) for k, t in sorted(self.tables.items())))
 
 
 @dataclass
@@ -547,8 +547,10 @@ def _read_refine(bits: Bits, at: np.ndarray, end_run: np.ndarray, scan: Scan, pl
     """A refinement of one block of each interval; blocks that only have correction bits are read all at once."""
     symbol, size = lookup_of(scan.tables, 0x10 | scan.ac[0])
     c = bits.peek(at, 16)
-    plain = (end_run == 0) & (symbol[c] == 0)
-    i = np.flatnonzero(plain | (end_run > 0))
+    over = end_run > 0  # within a run of ended blocks
+    plain = ~over & (symbol[c] == 0)
+    slow = np.flatnonzero(~over & ~plain)
+    i = np.flatnonzero(plain | over)
     if len(i):
         p = at[i] + np.where(plain[i], size[c[i]], 0)
         band = plane[rows[i], scan.first : scan.last + 1]
@@ -561,9 +563,8 @@ def _read_refine(bits: Bits, at: np.ndarray, end_run: np.ndarray, scan: Scan, pl
         plane[rows[i], scan.first : scan.last + 1] = band
         at[i] = p + old.sum(1)
         end_run[i] = np.maximum(end_run[i] - 1, 0)
-    for i in np.flatnonzero(~plain & (symbol[c] != 0) & (end_run == 0) | False):
-        if not plain[i]:
-            at[i], end_run[i] = _read_refine_one(bits, int(at[i]), 0, scan, plane[rows[i]])
+    for i in slow:
+        at[i], end_run[i] = _read_refine_one(bits, int(at[i]), 0, scan, plane[rows[i]])
 
 
 def coefficients(files: list[File]) -> list[list[np.ndarray]]:

@@ -282,6 +282,28 @@ def test_files_without_restarts_and_with_long_runs():
     assert bits == ""
 
 
+def test_refinement_behind_a_run_of_ended_blocks():
+    """Blocks 0 and 1 end together; block 2 has a new coefficient of its own."""
+
+    def put(table, symbol):
+        code, length = media_jpeg.codes(table)
+        return format(int(code[symbol]), f"0{int(length[symbol])}b")
+
+    def body(bits):
+        bits += "1" * (-len(bits) % 8)
+        return bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8)).replace(b"\xff", b"\xff\0")
+
+    seg = media_jpeg._segment
+    huff = b"".join(bytes([k]) + bytes(t[0]) + bytes(t[1]) for k, t in ((0x00, media_jpeg.DC_TABLE), (0x10, media_jpeg.FIRST_TABLE), (0x11, media_jpeg.REFINE_TABLE)))
+    start = b"\xff\xd8" + seg(0xDB, b"\0" + b"\1" * 64) + seg(0xC2, b"\x08\x00\x08\x00\x18\x01\x01\x11\x00") + seg(0xC4, huff)
+    first = "".join(put(media_jpeg.FIRST_TABLE, 1) + "1" + put(media_jpeg.FIRST_TABLE, 0) for _ in range(3))  # each: 1 at place 1
+    refine = put(media_jpeg.REFINE_TABLE, 0x10) + "0" + "1" + "0" + put(media_jpeg.REFINE_TABLE, 0x01) + "1" + "1" + put(media_jpeg.REFINE_TABLE, 0)
+    scan = lambda a, b, hl, use: seg(0xDA, bytes([1, 1, use, a, b, hl]))
+    data = start + scan(0, 0, 0, 0) + body(put(media_jpeg.DC_TABLE, 0) * 3) + scan(1, 63, 0x01, 0) + body(first) + scan(1, 63, 0x10, 1) + body(refine) + b"\xff\xd9"
+    (_, (plane,)), = media_jpeg.decode([data])
+    assert plane[:, 1].tolist() == [3, 2, 3] and plane[:, 2].tolist() == [0, 0, 1] and not plane[:, 3:].any()
+
+
 def test_media_columns(spark):
     rows = corpus()
     got = media_jpeg.digests(media_jpeg.encode_column(made(spark, rows))).collect()
