@@ -53,6 +53,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Like cut(), as a Parquet table: columnar and compressed, for wide intermediate rows."""
     path = f"{checkpoint_dir(df.sparkSession)}/nightloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    context = df.sparkSession.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(where)  # goes with the application
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -82,7 +85,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Rows of a batch that goes to Python, where the session has Spark's default of 10,000: whole texts are long.
+BATCH_ROWS = 2000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """A session that says nothing about the size of Arrow batches gets one for rows that hold whole texts: both the
+    executor's buffers and the Python worker's objects follow it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def keyed(docs: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns; one that is missing is null. Extra columns of the input cannot clash with computed ones."""
+    bounded_batches(docs.sparkSession)
     have = set(docs.columns)
     return docs.select(*[F.col(f"`{c}`") if c in have else F.lit(None).cast("string").alias(c) for c in columns])

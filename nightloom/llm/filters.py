@@ -22,6 +22,7 @@ def keep_where(docs: DataFrame, make: Callable[[], Callable[[list[bytes]], np.nd
             if batch.num_rows:
                 yield batch.filter(pa.array(judge(common.texts(batch, text_col)), pa.bool_()))
 
+    common.bounded_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 
