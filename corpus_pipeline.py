@@ -5,8 +5,8 @@ returns the packed pieces. Each is written as Parquet and read again before the
 
 1. toxicity: documents that the classifier calls toxic go. It learns from four fifths of the labels.
 2. quality: documents that the compression classifier calls bad go.
-3. near_duplicates: of each component of near duplicates, the document with the least id stays. Documents with a null id
-   stay.
+3. near_duplicates: of each component of near duplicates (NEAR), the document with the least id stays. Documents with a
+   null id stay.
 4. secrets: base-kind secrets and long tokens that look live are replaced by a mark; all documents stay.
 5. packing: the documents are packed into sequences of the permitted lengths.
 
@@ -20,7 +20,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nightloom.llm import common, compression_quality, filters, packing, secrets, toxicity
+from nightloom.llm import common, compression_quality, filters, jaccard_join, packing, secrets, toxicity
+
+#: Near duplicates share 0.8 of their five-word shingles or more; op3's own contract (four words, 0.85) binds only its query.
+NEAR = jaccard_join.Rule(5, 80, 100)
 
 def learns() -> Column:
     """Rows whose labels may teach."""
@@ -38,7 +41,7 @@ def drop_bad(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return filters.first_of_near_duplicates(docs)
+    return filters.first_of_near_duplicates(docs, rule=NEAR)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,9 +40,9 @@ def good(docs: DataFrame, model: compression_quality.Model, cut: float = 0.3) ->
     return keep_where(docs, lambda: lambda data: model.scores(data) >= cut)
 
 
-def first_of_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def first_of_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: jaccard_join.Rule = jaccard_join.RULE) -> DataFrame:
     """One row of each component: that of the least id. Rows of one id and text are one document; rows without an id stay."""
-    found = jaccard_join.similar_components(docs, id_col, text_col)
+    found = jaccard_join.similar_components(docs, id_col, text_col, rule)
     first = found.where(F.col("component_id") == F.col(id_col)).select(F.col(id_col).alias("_first")).distinct()
     named = docs.where(F.col(id_col).isNotNull()).join(first, F.col(id_col) == F.col("_first"), "left_semi")
     plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, T.MapType | T.VariantType)]

@@ -30,6 +30,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,17 @@ from . import common
 from .components import components
 
 WORDS, NUM, DEN = 4, 85, 100
+
+
+class Rule(NamedTuple):
+    """What counts as similar: shingles of so many words, and a Jaccard similarity of at least num / den."""
+
+    words: int = WORDS
+    num: int = NUM
+    den: int = DEN
+
+
+RULE = Rule()
 SMALL_BUCKET = 6
 LOCAL_BUCKET = 64
 _A = np.uint64(0x9E3779B97F4A7C15)
@@ -64,9 +76,9 @@ def shingles(data: bytes, k: int = WORDS) -> np.ndarray:
         return np.unique(common.mix(x))
 
 
-def most_different(x: int, y: int) -> int:
+def most_different(x: int, y: int, rule: Rule = RULE) -> int:
     """H for two set sizes."""
-    return (x + y) * (DEN - NUM) // (DEN + NUM)
+    return (x + y) * (rule.den - rule.num) // (rule.den + rule.num)
 
 
 @lru_cache(maxsize=None)
@@ -111,20 +123,20 @@ def allocate(need: int, size: int, meet: float = 0.6, weight: float = 200.0) ->
 
 
 @lru_cache(maxsize=None)
-def band_plan(j: int) -> tuple[int, int]:
+def band_plan(j: int, rule: Rule = RULE) -> tuple[int, int]:
     """(segments of allowance 1, of allowance 0) of band j."""
     top = band_start(j + 1) - 1
-    return allocate(most_different(top, top * DEN // NUM) + 1, (band_start(j) + top) // 2)
+    return allocate(most_different(top, top * rule.den // rule.num, rule) + 1, (band_start(j) + top) // 2)
 
 
 @lru_cache(maxsize=None)
-def bands_for(n: int) -> tuple[tuple[int, int], ...]:
+def bands_for(n: int, rule: Rule = RULE) -> tuple[tuple[int, int], ...]:
     """(band, most differences to a partner there) of the pairs whose smaller set is in the band, for a set of size n."""
     own = band_of(n)
-    out = [(own, most_different(n, n * DEN // NUM))]
+    out = [(own, most_different(n, n * rule.den // rule.num, rule))]
     j = own - 1
-    while j >= 0 and band_start(j + 1) - 1 >= -(-n * NUM // DEN):
-        out.append((j, most_different(n, min(n, band_start(j + 1) - 1))))
+    while j >= 0 and band_start(j + 1) - 1 >= -(-n * rule.num // rule.den):
+        out.append((j, most_different(n, min(n, band_start(j + 1) - 1), rule)))
         j -= 1
     return tuple(out)
 
@@ -132,14 +144,14 @@ def bands_for(n: int) -> tuple[tuple[int, int], ...]:
 _BAND_BITS = np.uint64(6)
 
 
-def signatures(tokens: np.ndarray) -> list[tuple[int, np.ndarray, int]]:
+def signatures(tokens: np.ndarray, rule: Rule = RULE) -> list[tuple[int, np.ndarray, int]]:
     """(band, signatures, by how much the allowances exceed H) in each band where the set may have partners."""
     out = []
     with np.errstate(over="ignore"):
         high = tokens >> np.uint64(32)
         mixed = common.mix(tokens ^ np.uint64(0x5851F42D4C957F2D))
-        for j, most in bands_for(len(tokens)):
-            ones, zeros = band_plan(j)
+        for j, most in bands_for(len(tokens), rule):
+            ones, zeros = band_plan(j, rule)
             m = ones + zeros
             seg = ((high * np.uint64(m)) >> np.uint64(32)).astype(np.int64)  # ascending, as tokens are sorted
             begin = np.searchsorted(seg, np.arange(m + 1))
@@ -174,19 +186,19 @@ def node_of(tokens: np.ndarray) -> tuple[int, int]:
 NODES = "doc_id {key}, n long, node long, proof long, spare array<struct<band:int,spare:int>>"
 
 
-def nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Rule = RULE) -> DataFrame:
     """One row per document: its set's size and hashes, and what its allowances exceed H by in each band."""
     key = docs.schema[id_col].dataType.simpleString()
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         n, node, proof, spare = [], [], [], []
         for data in common.texts(batch, "_text"):
-            t = shingles(data)
+            t = shingles(data, rule.words)
             a, b = node_of(t) if len(t) else (None, None)
             n.append(len(t))
             node.append(a)
             proof.append(b)
-            spare.append([{"band": j, "spare": s} for j, _, s in signatures(t)] if len(t) else [])
+            spare.append([{"band": j, "spare": s} for j, _, s in signatures(t, rule)] if len(t) else [])
         kind = pa.list_(pa.struct([("band", pa.int32()), ("spare", pa.int32())]))
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(proof, pa.int64()), pa.array(spare, kind)], names=["doc_id", "n", "node", "proof", "spare"])
 
@@ -211,21 +223,21 @@ def _distinct(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[new], y[new]
 
 
-def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Rule = RULE) -> DataFrame:
     """ROWS of all documents; a signature with many members in one batch as one marked row, and its members."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sigs, owner, known = [], [], set()
             for data in common.texts(batch, "_text"):
-                t = shingles(data)
+                t = shingles(data, rule.words)
                 if not len(t):
                     continue
                 node = node_of(t)[0]
                 if node in known:
                     continue
                 known.add(node)
-                for _, s, _ in signatures(t):
+                for _, s, _ in signatures(t, rule):
                     sigs.append(s.view(np.int64))
                     owner.append(np.full(len(s), node, np.int64))
             if not sigs:
@@ -294,7 +306,7 @@ def bucketed(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, ROWS)
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, rule: Rule = RULE) -> DataFrame:
     """The pairs (a, b) of nodes whose shingle sets are similar enough; texts: (node, text), one row per node."""
     left = texts.select(F.col("node").alias("_na"), F.col("text").alias("_ta"))
     right = texts.select(F.col("node").alias("_nb"), F.col("text").alias("_tb"))
@@ -308,32 +320,32 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             ta, tb = (batch.column(i).cast(pa.binary()) for i in (2, 3))
             for i, node in enumerate(a.tolist()):
                 if node != last:
-                    last, own = node, shingles(ta[i].as_py())
-                other = shingles(tb[i].as_py())
+                    last, own = node, shingles(ta[i].as_py(), rule.words)
+                other = shingles(tb[i].as_py(), rule.words)
                 both = len(np.intersect1d(own, other, assume_unique=True))
-                keep[i] = DEN * both >= NUM * (len(own) + len(other) - both)
+                keep[i] = rule.den * both >= rule.num * (len(own) + len(other) - both)
             yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
 
     return wide.mapInArrow(run, "a long, b long")
 
 
-def _texts_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _texts_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, rule: Rule) -> DataFrame:
     """(node, text) for wanted (node, doc_id), one row per node."""
     small = common.keyed(docs, id_col, text_col).toDF("_id", "_text")
     found = small.join(wanted, F.col("_id") == F.col("doc_id")).select("node", "_text")
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep = [node_of(t)[0] == n if len(t := shingles(x)) else False for n, x in zip(batch.column(0).to_pylist(), common.texts(batch, "_text"), strict=True)]
+        keep = [node_of(t)[0] == n if len(t := shingles(x, rule.words)) else False for n, x in zip(batch.column(0).to_pylist(), common.texts(batch, "_text"), strict=True)]
         return batch.filter(pa.array(keep, pa.bool_())).rename_columns(["node", "text"])
 
     # An id may stand on several rows; the text is the one that has the node's shingles.
     return common.map_batches(found, fn, "node long, text string").groupBy("node").agg(F.min("text").alias("text"))
 
 
-def unsettled(members: DataFrame, kinds: DataFrame) -> DataFrame:
+def unsettled(members: DataFrame, kinds: DataFrame, rule: Rule = RULE) -> DataFrame:
     """(sig, node, hot) of large buckets' members that their small buckets do not settle; hot: how many large ones a node is in."""
     banded = members.withColumn("band", F.col("sig").bitwiseAND(63).cast("int"))
-    twice = [j for j in range(63) if band_plan(j)[0]]
+    twice = [j for j in range(63) if band_plan(j, rule)[0]]
     crowd = banded.groupBy("node", "band").agg(F.count("*").alias("hot"))
     spare = kinds.select("node", F.inline("spare")).groupBy("node", F.least(F.col("band"), F.lit(63)).alias("band")).agg(F.min("spare").alias("spare"))
     weight = F.col("hot") * F.when(F.col("band").isin(twice), 2).otherwise(1)
@@ -341,13 +353,13 @@ def unsettled(members: DataFrame, kinds: DataFrame) -> DataFrame:
     return common.cut(banded.join(needy, ["node", "band"]).select("sig", "node", "hot"))
 
 
-def least_common(x: Column, y: Column) -> Column:
+def least_common(x: Column, y: Column, rule: Rule = RULE) -> Column:
     """The least intersection of similar sets of sizes x and y; with a y of 0, of one of size x and the smallest it may meet."""
     both = F.when(y > 0, x + y)
-    return F.when(y > 0, -F.floor(-both * NUM / (NUM + DEN))).otherwise(-F.floor(-x * NUM / DEN)).cast("long")
+    return F.when(y > 0, -F.floor(-both * rule.num / (rule.num + rule.den))).otherwise(-F.floor(-x * rule.num / rule.den)).cast("long")
 
 
-def rare_pairs(nodes_: DataFrame, texts: DataFrame) -> DataFrame:
+def rare_pairs(nodes_: DataFrame, texts: DataFrame, rule: Rule = RULE) -> DataFrame:
     """(a, b), a < b, of different roots that share one of their rarest shingles. nodes_: (node, root).
 
     Any fixed order of shingles would do for completeness; by frequency, a shingle that many have is in few sets' first
@@ -355,7 +367,7 @@ def rare_pairs(nodes_: DataFrame, texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens = [shingles(x) for x in common.texts(batch, "text")]
+            tokens = [shingles(x, rule.words) for x in common.texts(batch, "text")]
             n = np.array([len(t) for t in tokens])
             node, root = (np.repeat(batch.column(i).to_numpy(), n) for i in (0, 1))
             flat = np.concatenate(tokens).view(np.int64) if tokens else np.zeros(0, np.int64)
@@ -366,27 +378,27 @@ def rare_pairs(nodes_: DataFrame, texts: DataFrame) -> DataFrame:
     ranked = own.join(often, "token", "left").select("node", "root", "n", F.struct(F.coalesce("df", F.lit(1)).alias("df"), "token").alias("t"))
     # The sets' first shingles: n - ceil(t n) + 1 of them when the partner is smaller, fewer when it is larger.
     lead = ranked.groupBy("node").agg(F.first("root").alias("root"), F.first("n").alias("n"), F.array_sort(F.collect_list("t")).alias("t"))
-    lead = lead.select("node", "root", "n", F.posexplode(F.slice("t", 1, (F.col("n") - least_common(F.col("n"), F.lit(0)) + 1).cast("int"))).alias("at", "t"))
+    lead = lead.select("node", "root", "n", F.posexplode(F.slice("t", 1, (F.col("n") - least_common(F.col("n"), F.lit(0), rule) + 1).cast("int"))).alias("at", "t"))
     lead = common.cut(lead.where("t.df > 1").select("node", "root", "n", "at", F.col("t.token").alias("token")))
     mixed = lead.groupBy("token").agg(F.min("root").alias("_l"), F.max("root").alias("_h")).where("_l <> _h").select("token")
     lead = lead.join(mixed, "token", "left_semi")
     side = lambda k: lead.select("token", F.col("node").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("root", "n", "at")])
-    small = side("b").where(F.col("at_b") <= F.col("n_b") - least_common(F.col("n_b"), F.col("n_b")))
+    small = side("b").where(F.col("at_b") <= F.col("n_b") - least_common(F.col("n_b"), F.col("n_b"), rule))
     met = side("a").join(small, "token").where((F.col("root_a") != F.col("root_b")) & ((F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))))
-    common_ = least_common(F.col("n_a"), F.col("n_b"))
+    common_ = least_common(F.col("n_a"), F.col("n_b"), rule)
     met = met.where((F.col("at_a") <= F.col("n_a") - common_) & (F.col("at_b") <= F.col("n_b") - common_))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Rule = RULE) -> DataFrame:
     """id, n_shingles and component_id: the least id that links reach, one row per document."""
-    own = common.cut(nodes(docs, id_col, text_col))
+    own = common.cut(nodes(docs, id_col, text_col, rule))
     kinds = own.where(F.col("doc_id").isNotNull() & F.col("node").isNotNull()).groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.first("spare").alias("spare"), F.assert_true(F.min("proof") == F.max("proof"), F.lit("two sets with one 64-bit hash; change the seed")).alias("_proof")
     )
     kinds = common.cut(kinds.where(F.col("_proof").isNull()).drop("_proof"))
 
-    rows = signed(docs, id_col, text_col)
+    rows = signed(docs, id_col, text_col, rule)
     by = F.when(F.col("kind") >= EDGE, F.xxhash64("x", "y")).otherwise(F.col("x"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = common.written(bucketed(rows.withColumn("by", by).repartition(parts, "by").drop("by").sortWithinPartitions("x", "y", "kind")), "buckets")
@@ -395,16 +407,16 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def sized(pairs: DataFrame) -> DataFrame:
         both = pairs.join(size("a"), F.col("a") == F.col("_na")).join(size("b"), F.col("b") == F.col("_nb"))
-        return both.where(F.least("_sa", "_sb") * DEN >= F.greatest("_sa", "_sb") * NUM).select("a", "b")
+        return both.where(F.least("_sa", "_sb") * rule.den >= F.greatest("_sa", "_sb") * rule.num).select("a", "b")
 
     edges = found.where(F.col("kind") == EDGE).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-    members = unsettled(found.where(F.col("kind") == MEMBER).select(F.col("x").alias("sig"), F.col("y").alias("node")).distinct(), kinds)
+    members = unsettled(found.where(F.col("kind") == MEMBER).select(F.col("x").alias("sig"), F.col("y").alias("node")).distinct(), kinds, rule)
     hubs = members.groupBy("sig").agg(F.max(F.struct("hot", "node")).alias("_h")).select("sig", F.col("_h.node").alias("hub"))
     first = members.join(hubs, "sig").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
     pairs = common.cut(sized(edges.unionAll(first).distinct()))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionAll(members.select("node")).distinct()
-    texts = common.written(_texts_of(docs, wanted.join(kinds.select("node", "doc_id"), "node"), id_col, text_col), "texts")
-    links = common.cut(verified(pairs, texts))
+    texts = common.written(_texts_of(docs, wanted.join(kinds.select("node", "doc_id"), "node"), id_col, text_col, rule), "texts")
+    links = common.cut(verified(pairs, texts, rule))
     roots = components(links)
 
     rooted = lambda: members.join(roots, "node", "left").select("sig", "node", "hot", F.coalesce("root", "node").alias("root"))
@@ -412,7 +424,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     others = rooted().join(of_hub, F.col("sig") == F.col("_sig")).where("root <> _root").select("sig", "node", "hot")
     again = others.groupBy("sig").agg(F.max(F.struct("hot", "node")).alias("_h")).select("sig", F.col("_h.node").alias("hub"))
     second = others.join(again, "sig").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    second_links = common.cut(verified(sized(second), texts))
+    second_links = common.cut(verified(sized(second), texts, rule))
     if not second_links.isEmpty():
         links = links.unionAll(second_links)
         roots = components(links)
@@ -420,8 +432,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rest = common.cut(rooted().select("sig", "node", "root"))
     mixed = rest.groupBy("sig").agg(F.min("root").alias("_l"), F.max("root").alias("_h")).where("_l <> _h").select("sig")
     rest = common.cut(rest.join(mixed, "sig", "left_semi").select("node", "root").distinct())
-    third = rare_pairs(rest, texts).join(pairs, ["a", "b"], "left_anti")
-    third_links = common.cut(verified(sized(third), texts))
+    third = rare_pairs(rest, texts, rule).join(pairs, ["a", "b"], "left_anti")
+    third_links = common.cut(verified(sized(third), texts, rule))
     if not third_links.isEmpty():
         roots = components(links.unionAll(third_links))
 

@@ -210,6 +210,32 @@ def test_signatures_meet_whenever_sets_are_similar():
             assert a & b, (len(x), len(y), both)
 
 
+def test_signatures_meet_under_the_pipeline_s_rule():
+    """The pigeonhole guarantee for five words and 0.8."""
+    rng = np.random.default_rng(1)
+    rule, met = jaccard_join.Rule(5, 80, 100), 0
+    for _ in range(600):
+        n = int(rng.integers(1, 160))
+        x = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        y = np.unique(np.r_[x[rng.random(len(x)) > 0.11 * rng.random()], rng.integers(0, 2**63, int(rng.integers(0, 1 + n // 9))).astype(np.uint64)])
+        both = len(np.intersect1d(x, y))
+        if len(y) and 100 * both >= 80 * (len(x) + len(y) - both):
+            met += 100 * both < 85 * (len(x) + len(y) - both)
+            a, b = (set(np.concatenate([s for _, s, _ in jaccard_join.signatures(t, rule)]).tolist()) for t in (x, y))
+            assert a & b, (len(x), len(y), both)
+    assert met > 50
+
+
+def test_pipeline_drops_near_duplicates_at_five_words_and_four_fifths(spark):
+    import corpus_pipeline
+
+    text = [f"w{i}" for i in range(100)]
+    rows = [(1, " ".join(text)), (2, " ".join([*text, *(f"x{i}" for i in range(20))])), (3, " ".join([*text, *(f"y{i}" for i in range(30))]))]
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, made(spark, rows), "").collect()}
+    assert kept == {1, 3}  # 96 of 116 shingles are 0.83, 96 of 126 are 0.76
+    assert [r.component_id for r in jaccard_join.similar_components(made(spark, rows)).sort("doc_id").collect()] == [1, 2, 3]
+
+
 def test_allocation_covers_its_need():
     for need in range(1, 60):
         for size in (need * 6, need * 7):
