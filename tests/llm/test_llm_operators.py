@@ -141,6 +141,20 @@ def test_toxicity(spark):
     assert toxicity.fit([]).scores([b"x"]).tolist() == [0.0]
 
 
+def test_disguises_of_every_kind_and_length(spark):
+    rows, _, toxic = labelled()
+    truth = dict(toxic)
+    model = toxicity.fit(random.Random(0).sample([((t or "").encode(), truth[i]) for i, t in rows if i in truth], len(truth)))
+    for disguise in ("grumbl" + "e" * 30 + "foot", "g...r...u...m...b...l...e...f...o...o...t", "g/r/u/m/b/l/e/f/o/o/t", "g:r:u:m:b:l:e:foot", "d,r,i,v,e,l,h,e,a,d", "ggrruummbblleeffoott", "drivvelhead", "g\\rumblefoot"):
+        assert model.word(disguise) > 2, disguise
+    mild = b"ka lo mi ter " * 20
+    spaced = lambda x: mild + " ".join(x).encode()
+    assert model.scores([spaced("grumblefootsnotwaffledrivelhead")])[0] > 0.5 > model.scores([mild])[0]
+    assert model.scores([mild + b"g / r / u / m / b / l / e / f / o / o / t"]) > model.scores([mild])
+    assert toxicity.spaced_runs(b"a b c  d e f x y") == {"abc defxy"}
+    assert toxicity.restore("x" * 50_000 + "." * 50_000, model.chars) in {"x", "xx"}
+
+
 def test_restoration_is_the_best_path():
     """Viterbi against all paths of the lattice."""
     chars = toxicity.CharModel({"grumble": 5, "foot": 3, "tofu": 2})
