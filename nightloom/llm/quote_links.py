@@ -1,8 +1,9 @@
 """Quotation linking in DataFrame functions only.
 
 A line's quote level is the number of marks (``>``) that it starts with. Runs of lines of one level are passages. The
-normalised text of each quoted passage, and of each of its lines, is hashed and joined, within the conversation, to the
-hashes of what earlier messages wrote themselves: their whole text, paragraphs and lines. A message answers the one that
+normalised text of each quoted passage, and of each of its paragraphs and lines, is hashed and joined, within the
+conversation, to the hashes of what earlier messages wrote themselves: their whole text, paragraphs and lines. Units of any
+length count, but a short one only where it is the whole passage or the whole message. A message answers the one that
 its outermost quotes match best (most characters, then the latest). Threads follow by pointer jumping, in as many rounds
 as the logarithm of the longest chain of answers; within a conversation, sorting by (thread, turn) puts every answer
 after what it answers. Joins go by conversation and hash or by conversation and turn together, never by conversation
@@ -24,7 +25,7 @@ from . import common
 # What starts a quoted line, and lines that introduce a quotation.
 MARK = r"^[ \t]*>[> \t]*"
 INTRO = r"(?i)(wrote|writes|said|schrieb|écrit|escribió)[^\p{L}\p{N}]*:[ \t]*$"
-#: Quoted lines with fewer letters and digits than this are no evidence by themselves.
+#: Units with fewer letters and digits than this are evidence only as a whole passage or a whole message.
 LEAST = 12
 
 
@@ -51,30 +52,36 @@ def own_text(text: Column) -> Column:
 
 
 def quoted(messages: DataFrame) -> DataFrame:
-    """conv, turn, level, hash, size: passages and lines that messages quote."""
+    """conv, turn, level, hash, size, all_quoted: passages, their paragraphs and lines; all_quoted: it is a whole passage."""
     own = lines(messages.where(F.col("text").rlike("(?m)" + MARK)))
     w = W.partitionBy("conv", "turn", "mid").orderBy("n")
     own = own.where(~((F.col("level") < F.coalesce("next", F.lit(0))) & F.col("body").rlike(INTRO)))
-    own = own.withColumn("new", F.coalesce((F.col("level") != F.lag("level").over(w)).cast("int"), F.lit(0))).withColumn("run", F.sum("new").over(w)).where("level > 0")
-    passages = own.groupBy("conv", "turn", "mid", "run", "level").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "body"))), lambda s: s["body"]), " ").alias("body"))
-    units = own.select("conv", "turn", "level", "body").unionAll(passages.select("conv", "turn", "level", "body")).withColumn("body", normal(F.col("body")))
-    return units.where(F.length("body") >= LEAST).select("conv", "turn", "level", F.md5("body").alias("hash"), F.length("body").alias("size")).distinct()
+    own = own.withColumn("new", F.coalesce((F.col("level") != F.lag("level").over(w)).cast("int"), F.lit(0))).withColumn("run", F.sum("new").over(w))
+    own = own.withColumn("par", F.sum((F.col("body") == "").cast("int")).over(w)).where("level > 0")
+
+    def joined(*by: str) -> DataFrame:
+        return own.groupBy("conv", "turn", "mid", *by, "level").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "body"))), lambda s: s["body"]), " ").alias("body"))
+
+    unit = lambda d, whole: d.select("conv", "turn", "level", "body", F.lit(whole).alias("whole"))
+    units = unit(own, False).unionAll(unit(joined("run", "par"), False)).unionAll(unit(joined("run"), True)).withColumn("body", normal(F.col("body")))
+    return units.where(F.length("body") > 0).groupBy("conv", "turn", "level", F.md5("body").alias("hash")).agg(F.first(F.length("body")).alias("size"), F.max("whole").alias("all_quoted"))
 
 
 def written(messages: DataFrame) -> DataFrame:
-    """conv, turn, hash: what messages wrote themselves, as a whole, by paragraph and by line."""
+    """conv, turn, hash, all_written: what messages wrote themselves, as a whole (all_written), by paragraph and by line."""
     own = messages.select("conv", "turn", own_text(F.col("text")).alias("own"))
-    units = F.array_union(F.array_union(F.array("own"), F.split("own", r"\n[ \t]*\n", -1)), F.split("own", "\n", -1))
-    units = own.select("conv", "turn", F.explode(units).alias("unit")).withColumn("unit", normal(F.col("unit")))
-    return units.where(F.length("unit") >= LEAST).select("conv", "turn", F.md5("unit").alias("hash")).distinct()
+    units = F.array_union(F.split("own", r"\n[ \t]*\n", -1), F.split("own", "\n", -1))
+    units = F.concat(F.array(F.struct(F.col("own").alias("unit"), F.lit(True).alias("whole"))), F.transform(units, lambda x: F.struct(x.alias("unit"), F.lit(False).alias("whole"))))
+    units = own.select("conv", "turn", F.inline(units)).withColumn("unit", normal(F.col("unit")))
+    return units.where(F.length("unit") > 0).groupBy("conv", "turn", F.md5("unit").alias("hash")).agg(F.max("whole").alias("all_written"))
 
 
 def parents(messages: DataFrame) -> DataFrame:
     """conv, turn, parent, links: the earlier turn that a message answers, and how many turns it quotes."""
     q = quoted(messages)
     quoting = q.select(F.col("conv").alias("_c")).distinct()
-    w = written(messages).join(quoting, F.col("conv") == F.col("_c"), "left_semi").select(F.col("conv").alias("_c"), F.col("turn").alias("from"), F.col("hash").alias("_h"))
-    met = q.join(w, (F.col("conv") == F.col("_c")) & (F.col("hash") == F.col("_h")) & (F.col("from") < F.col("turn")))
+    w = written(messages).join(quoting, F.col("conv") == F.col("_c"), "left_semi").select(F.col("conv").alias("_c"), F.col("turn").alias("from"), F.col("hash").alias("_h"), "all_written")
+    met = q.join(w, (F.col("conv") == F.col("_c")) & (F.col("hash") == F.col("_h")) & (F.col("from") < F.col("turn")) & ((F.col("size") >= LEAST) | F.col("all_quoted") | F.col("all_written")))
     met = met.groupBy("conv", "turn", "from", "level").agg(F.sum("size").alias("size"))
     best = F.min(F.struct("level", (-F.col("size")).alias("size"), (-F.col("from").cast("long")).alias("from")))
     return met.groupBy("conv", "turn").agg((-best["from"]).alias("parent"), F.count_distinct("from").alias("links"))

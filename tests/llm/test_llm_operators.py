@@ -420,6 +420,17 @@ def test_quote_links(spark):
     assert quote_links.link_quotes(talk(spark).limit(0)).count() == 0
 
 
+def test_short_quotes_and_quoted_paragraphs(spark):
+    rows = [
+        (1, 0, "Sounds good"), (1, 1, "Yes"), (1, 2, "> Sounds good\nThen let us start"), (1, 3, "> Then let us start\nFine"), (1, 4, "> Yes\nReally?"),
+        (2, 0, "One two three four\nfive six seven.\n\nEight nine ten eleven\ntwelve thirteen.\n\nThe end of it"), (2, 1, "Thanks!\n\nAnother thing"),
+        (2, 2, "> One two three four five\n> six seven.\n>\n> Eight nine ten eleven twelve\n> thirteen.\nSo it is"), (2, 3, "> so here is something else\n> Thanks!\nNo"), (2, 4, "> ...\nNo"),
+    ]
+    got = {(r.conv_id, r.turn): r for r in quote_links.link_quotes(spark.createDataFrame([(c, t, "u", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")).collect()}
+    assert [got[1, t].parent for t in range(5)] == [None, None, 0, 2, 1] and got[1, 3].thread == 0
+    assert [got[2, t].parent for t in range(5)] == [None, None, 0, None, None]  # a short line of both is no evidence
+
+
 def test_quote_links_against_sql(spark):
     import duckdb
     import pandas as pd
