@@ -23,6 +23,7 @@ another, whatever the size.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -109,10 +111,11 @@ def _rows(rows: list[dict], key: pa.DataType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], k) for n, k in zip(NAMES, kinds, strict=True)], names=NAMES)
 
 
-def _ask(words: np.ndarray, lens: np.ndarray, folds: np.ndarray, ids: list, parts: int, bits: int = 64) -> list[dict]:
-    """The block's own row and its questions. A block's texts are all kept back, or none is."""
+def _ask(words: np.ndarray, lens: np.ndarray, folds: np.ndarray, ids: list, parts: int, bits: int = 64, place: tuple[int, int] = (0, 0)) -> list[dict]:
+    """The block's own row and its questions. A block's texts are all kept back, or none is. ``place``, the task and a count,
+    tells blocks of equal contents apart."""
     kept = bool(len(folds)) and folds[0] == 9
-    block = int(np.uint64(xxhash.xxh3_64_intdigest(repr(ids).encode() + words[:100_000].tobytes() + folds.tobytes())).astype(np.int64))
+    block = int(np.uint64(xxhash.xxh3_64_intdigest(repr((place, ids)).encode() + words.tobytes() + folds.tobytes())).astype(np.int64))
     train = np.repeat((folds != 0).astype(np.float64), lens)
     before = Tokens.of(words, lens).before
     pairs, at = np.unique(bigrams(before, words, bits), return_inverse=True)
@@ -149,11 +152,12 @@ def blocks(docs: DataFrame, parts: int, id_col: str, text_col: str, bits: int =
         key = None
         held: dict[bool, list] = {True: [], False: []}
         size = {True: 0, False: 0}
+        task, count = TaskContext.get().partitionId(), itertools.count()
 
         def flush(side: bool):
             own, held[side], size[side] = held[side], [], 0
             words = np.concatenate([w for _, _, w in own])
-            for row in _ask(words, np.array([len(w) for _, _, w in own]), np.array([f for _, f, _ in own]), [i for i, _, _ in own], parts, bits):
+            for row in _ask(words, np.array([len(w) for _, _, w in own]), np.array([f for _, f, _ in own]), [i for i, _, _ in own], parts, bits, (task, next(count))):
                 yield _rows([row], key)
 
         for batch in batches:

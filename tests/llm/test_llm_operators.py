@@ -473,6 +473,14 @@ def test_language_scores_by_brute_force(spark):
     assert deleted_interpolation.language_scores(empty(spark), parts=2).count() == 0
 
 
+def test_language_scores_of_a_table_united_with_itself(spark, tmp_path):
+    made(spark, [(i, t) for i, t in corpus(3, 40) if i is not None]).coalesce(1).write.parquet(path := str(tmp_path / "once"))
+    once = spark.read.parquet(path)
+    twice = once.union(once)
+    assert twice.rdd.getNumPartitions() == 2
+    assert deleted_interpolation.language_scores(twice, 3).count() == 2 * once.count()
+
+
 def test_mixture_weights_are_the_likeliest():
     rng = np.random.default_rng(0)
     p2, p1 = rng.random(400) * (rng.random(400) > 0.5), rng.random(400) * 0.1
