@@ -3,11 +3,11 @@
 The distinct words of a batch that no earlier batch had are laid out as one flat array of symbol ids. In each round, the
 keys of all adjacent pairs are looked up by binary search among the sorted keys of the merge table; every word merges all
 places of its own lowest-ranked pair, from left to right; the rounds end when no word has a pair that merges. Ids of known
-words are kept for later batches in a bounded table, which is emptied when full and costs only time.
+words are kept for later batches in a table of bounded bytes, which is emptied when full and costs only time.
 
 Defined results: null and empty texts have no tokens and decode to the empty text; special tokens written out in a text
-are encoded as such; repeated rows each return; an empty table gives no rows; columns other than id and text are never
-read.
+are encoded as such; repeated rows each return; ties between pairs go by rank, then from the left; a very long text is one
+batch, whole; an empty table gives no rows; columns other than id and text are never read.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import common
 
@@ -37,7 +38,7 @@ def byte_letters() -> list[str]:
 class Codec:
     """Encoder and decoder of one vocabulary file in the tokenizers library's format."""
 
-    def __init__(self, path: str, remember: int = 1_000_000):
+    def __init__(self, path: str, remember: int = 160 << 20):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, vocab = spec["model"], spec["model"]["vocab"]
@@ -56,59 +57,77 @@ class Codec:
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order], order.astype(np.int64)
         self.made = np.array([vocab[a + b] for a, b in merges], dtype=np.int64)  # by rank
+        one = np.repeat(self.first, 256), np.tile(self.first, 256)
+        self.first_ranks = self.ranked(*one)  # of all pairs of bytes
         self.split = regex.compile(PATTERN)
         self.mark = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
+        # Known words: (number of ids, ids, bytes), or the number of ids alone.
         self.words: dict[str, tuple[int, bytes, bytes]] = {}
-        self.remember = remember
+        self.sizes: dict[str, int] = {}
+        self.remember, self.held = remember, 0
+
+    def ranked(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs, by binary search among the sorted keys; len(made) for a pair that does not merge."""
+        pair = (left << 32) | right
+        at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
+        return np.where(self.keys[at] == pair, self.ranks[at], len(self.made))
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words in a row, number of ids of each word)."""
         none = len(self.made)
-        flat = self.first[np.frombuffer(b"".join(words), dtype=np.uint8)]
+        raw = np.frombuffer(b"".join(words), dtype=np.uint8)
+        flat = self.first[raw]
         owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
         done_ids, done_owner = [], []
+        # The rank of each symbol with the next one; kept up to date where symbols merge.
+        rank = np.full(len(flat), none, dtype=np.int64)
+        if len(flat) > 1:
+            rank[:-1] = np.where(owner[:-1] == owner[1:], self.first_ranks[raw[:-1].astype(np.int64) << 8 | raw[1:]], none)
         while len(flat):
-            rank = np.full(len(flat), none, dtype=np.int64)
-            if len(flat) > 1:
-                pair = (flat[:-1] << 32) | flat[1:]
-                at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
-                rank[:-1] = np.where((self.keys[at] == pair) & (owner[:-1] == owner[1:]), self.ranks[at], none)
             starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
             lowest = np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.r_[starts, len(flat)]))
             over = lowest == none
             if over.any():  # words that are finished leave the array
                 done_ids.append(flat[over])
                 done_owner.append(owner[over])
-                flat, owner, rank, lowest = flat[~over], owner[~over], rank[~over], lowest[~over]
+                stay = ~over
+                flat, owner, rank, lowest = flat[stay], owner[stay], rank[stay], lowest[stay]
                 if not len(flat):
                     break
             hit = rank == lowest
-            begin = hit & ~np.r_[False, hit[:-1]]
             where = np.flatnonzero(hit)
-            run = np.maximum.accumulate(np.where(begin, np.arange(len(flat)), 0))
-            take = where[(where - run[where]) % 2 == 0]  # of overlapping places, every other one from the left
-            flat = flat.copy()
+            first = np.r_[True, np.diff(where) > 1]  # of overlapping places, every other one from the left
+            nth = np.arange(len(where)) - np.flatnonzero(first)[np.cumsum(first) - 1]
+            take = where[nth % 2 == 0]
             flat[take] = self.made[rank[take]]
             keep = np.ones(len(flat), bool)
             keep[take + 1] = False
-            flat, owner = flat[keep], owner[keep]
+            at = take - np.arange(len(take))  # places after the merge: one symbol less for each merge before
+            flat, owner, rank = flat[keep], owner[keep], rank[keep]
+            for i in (at, at[at > 0] - 1):
+                j = np.minimum(i + 1, len(flat) - 1)
+                rank[i] = np.where((i < j) & (owner[i] == owner[j]), self.ranked(flat[i], flat[j]), none)
         if not done_ids:
             return np.zeros(0, np.int64), np.zeros(len(words), np.int64)
         ids, owners = np.concatenate(done_ids), np.concatenate(done_owner)
         return ids[np.argsort(owners, kind="stable")], np.bincount(owners, minlength=len(words))
 
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.words]
-        if len(self.words) + len(new) > self.remember:
+    def new_words(self, words: set[str], known: dict) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Words that a table lacks, their ids in a row and their numbers of ids; a full table is emptied first."""
+        if self.held > self.remember:
             self.words.clear()
-            new = [*words]
-        if not new:
-            return
-        ids, counts = self.merge([w.encode() for w in new])
-        ends = np.cumsum(counts)
-        for w, end, n in zip(new, ends.tolist(), counts.tolist(), strict=True):
-            own = ids[end - n : end].tolist()
+            self.sizes.clear()
+            self.held = 0
+        new = [w for w in words if w not in known]
+        return new, *self.merge([w.encode() for w in new])
+
+    def learn(self, words: set[str]) -> None:
+        new, ids, counts = self.new_words(words, self.words)
+        ends, flat = np.cumsum(counts).tolist(), ids.tolist()
+        for w, end, n in zip(new, ends, counts.tolist(), strict=True):
+            own = flat[end - n : end]
             self.words[w] = (n, ",".join(map(str, own)).encode(), b"".join([self.bytes[i] for i in own]))
+            self.held += 300 + 8 * len(w)
 
     def pieces(self, text: str) -> list[str]:
         """Words of a text, with each special token as a piece of its own."""
@@ -130,6 +149,15 @@ class Codec:
             out.append((sum([f[0] for f in found]), b",".join([f[1] for f in found]), b"".join([f[2] for f in found])))
         return out
 
+    def counts(self, texts: list[str]) -> list[int]:
+        """Number of tokens of each text."""
+        own = [self.pieces(t) for t in texts]
+        new, _, n = self.new_words({w for ws in own for w in ws}.difference(self.special), self.sizes)
+        self.sizes.update(zip(new, n.tolist(), strict=True))
+        self.held += sum(map(len, new)) * 2 + 150 * len(new)
+        sizes = self.sizes | dict.fromkeys(self.special, 1) if any(t in ws for ws in own for t in self.special) else self.sizes
+        return [sum(map(sizes.__getitem__, ws)) for ws in own]
+
     def encode(self, text: str) -> list[int]:
         n, ids, _ = self.run([text])[0]
         return [int(x) for x in ids.split(b",")] if n else []
@@ -140,6 +168,11 @@ class Codec:
 
 @cache
 def codec(path: str) -> Codec:
+    """The codec of a file, once a process. A bare name is that of a public vocabulary, found where the task runs."""
+    if "/" not in path:
+        import public_tokenizers
+
+        path = str(public_tokenizers.path(path))
     return Codec(path)
 
 
@@ -170,16 +203,32 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     return common.map_batches(common.keyed(docs, id_col, text_col), fn, f"{id_col} {key}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def encode_column(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and the ids of its text as an array."""
+def count_column(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, text_hash (of the text, null as empty) and n_tokens."""
+    key = docs.schema[id_col].dataType.simpleString()
+
+    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own, out = codec(path), []
+        for some in slices([t or "" for t in batch.column(2).to_pylist()]):
+            out += own.counts(some)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int64())], names=[id_col, "text_hash", "n_tokens"])
+
+    small = common.keyed(docs, id_col, text_col).toDF("_id", "_text")
+    return common.map_batches(small.select("_id", F.xxhash64(F.coalesce("_text", F.lit(""))).alias("_hash"), "_text"), fn, f"{id_col} {key}, text_hash long, n_tokens long")
+
+
+def encode_column(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_hash: bool = False) -> DataFrame:
+    """id and the ids of its text as an array; ``with_hash``: and text_hash, as count_column() has it."""
     key = docs.schema[id_col].dataType.simpleString()
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = codec(path)
-        ids = [own.encode(t or "") for t in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[id_col, "ids"])
+        ids = [own.encode(t or "") for t in batch.column(2).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], names=[id_col, "text_hash", "ids"])
 
-    return common.map_batches(common.keyed(docs, id_col, text_col), fn, f"{id_col} {key}, ids array<int>")
+    small = common.keyed(docs, id_col, text_col).toDF("_id", "_text")
+    out = common.map_batches(small.select("_id", F.xxhash64(F.coalesce("_text", F.lit(""))).alias("_hash"), "_text"), fn, f"{id_col} {key}, text_hash long, ids array<int>")
+    return out if with_hash else out.drop("text_hash")
 
 
 def decode_column(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
