@@ -2,16 +2,20 @@
 
 Two zstandard dictionaries are built from good and from bad labelled texts, once over the text as it is and once over its
 shape (letter case, digits, punctuation and word lengths, with letters made alike), which carries over to words that
-the dictionaries have not seen. A text is compressed in blocks against each dictionary; the difference of the two
-compressed sizes over their sum is the normalised difference, from -1 to 1. A logistic model fitted on labelled texts that
-built no dictionary turns the differences, with the sizes a byte, into a probability that the label is 1.
+the dictionaries have not seen. A text is compressed in blocks against each dictionary, in two sizes of block: the smaller
+they are, the more the dictionary counts beside what a block repeats itself. What the score sees is the difference of the
+two compressed sizes, bad less good, and nothing else: normalised by their sum, and by the size of the text. A logistic
+model of second degree on these differences, fitted on labelled texts that built no dictionary, gives the probability
+that the label is 1.
 
-The fitting sample is bounded: at most ``rows_per_class`` rows of each label, of texts up to 64 KB, of which every second one builds the
-dictionaries, with at most ``dict_bytes`` x 100 bytes of each label's text. Scoring covers all blocks of every text.
+The fitting sample is bounded: at most ``rows_per_class`` labelled ids of each class, half of which build the dictionaries.
+Of these, whole texts are taken in order until ``dict_bytes`` x 100 bytes of a label are reached, and only they are sent to
+the driver. The other half is compressed on the executors. Scoring covers all blocks of every text.
 
 Defined results: null and empty texts, which compress to nothing, get the score of an all-zero difference; without
-labelled rows of both kinds every score is 0.5; repeated rows each return; an empty table gives no rows; columns other
-than id and text are never read.
+labelled rows of both kinds in both halves every score is 0.5; repeated rows each return (and teach once); ties do not
+arise; a very long text is compressed block by block; an empty table gives no rows; columns other than id and text are
+never read.
 """
 
 from __future__ import annotations
@@ -22,10 +26,12 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from . import common, fitting
 
-BLOCK = 4096
+BLOCKS = (1024, 256)
+FEATURES = 8
 _SHAPE = bytes.maketrans(
     b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789" + bytes(range(128, 256)),
     b"A" * 26 + b"a" * 26 + b"0" * 10 + b"a" * 128,
@@ -36,7 +42,7 @@ def shape(data: bytes) -> bytes:
     return data.translate(_SHAPE)
 
 
-def blocks(data: bytes, size: int = BLOCK) -> list[bytes]:
+def blocks(data: bytes, size: int) -> list[bytes]:
     return [data[i : i + size] for i in range(0, len(data), size)]
 
 
@@ -60,46 +66,53 @@ class Model:
         return {k: v for k, v in self.__dict__.items() if k != "_made"}
 
     def features(self, data: bytes) -> tuple[float, ...]:
+        """The normalised differences over the text and over its shape, for each size of block."""
         if not data:
-            return (0.0,) * 6
-        good, bad, sgood, sbad = self.compressors()
-        raw, shaped = blocks(data), blocks(shape(data))
-        a, b = sum(len(good.compress(x)) for x in raw), sum(len(bad.compress(x)) for x in raw)
-        c, d = sum(len(sgood.compress(x)) for x in shaped), sum(len(sbad.compress(x)) for x in shaped)
-        n = len(data)
-        return ((b - a) / (a + b), (d - c) / (c + d), a / n, c / n, min(b, a) / max(d, 1), 1 / (1 + np.log1p(n)))
+            return (0.0,) * FEATURES
+        good, bad, sgood, sbad = (x.compress for x in self.compressors())
+        out: list[float] = []
+        for size in BLOCKS:
+            a = b = c = d = 0
+            for x in blocks(data, size):
+                a, b = a + len(good(x)), b + len(bad(x))
+                x = shape(x)
+                c, d = c + len(sgood(x)), d + len(sbad(x))
+            out += [(b - a) / (a + b), (d - c) / (c + d), (b - a) / len(data), (d - c) / len(data)]
+        return tuple(out)
 
     def scores(self, data: list[bytes]) -> np.ndarray:
         if self.calibration is None:
             return np.full(len(data), 0.5)
-        return fitting.probability(np.array([self.features(x) for x in data], dtype=float).reshape(-1, 6), self.calibration)
+        return fitting.probability(curved(np.array([self.features(x) for x in data], dtype=float).reshape(-1, FEATURES)), self.calibration)
+
+
+def curved(x: np.ndarray) -> np.ndarray:
+    """The features, their squares and products."""
+    return np.hstack([x, *[x[:, i : i + 1] * x[:, i:] for i in range(x.shape[1])]])
 
 
 def dictionary(samples: list[bytes], size: int) -> bytes:
     """A trained dictionary; where zstandard finds too little to train on, the samples' own bytes."""
-    cut = [b for x in samples for b in blocks(x, 2048)]
+    cut = [b for x in samples for b in blocks(x, 512)]
     try:
         return zstandard.train_dictionary(size, cut).as_bytes()
     except zstandard.ZstdError:
         return (b"\n".join(cut) or b"\n" * 8)[-size:]
 
 
-def fit(sample: list[tuple[bytes, int]], dict_bytes: int = 112_640) -> Model:
-    build, rest = sample[::2], sample[1::2]
-    out: list[bytes] = []
-    for view in (lambda x: x, shape):
-        for label in (1, 0):
-            own, room = [], dict_bytes * 100
-            for x, y in build:
-                if y == label and x and room > 0:
-                    own.append(view(x[:room]))
-                    room -= len(x)
-            out.append(dictionary(own, dict_bytes))
-    model = Model(tuple(out), None)
-    y = np.array([y for _, y in rest], dtype=float)
-    if 0 < y.sum() < len(y):
-        model.calibration = fitting.logistic(np.array([model.features(x) for x, _ in rest]), y)
-    return model
+def dictionaries(build: list[tuple[bytes, int]], dict_bytes: int) -> tuple[bytes, ...]:
+    """Good and bad over the texts, good and bad over their shapes."""
+    return tuple(dictionary([view(x) for x, y in build if y == label and x], dict_bytes) for view in (bytes, shape) for label in (1, 0))
+
+
+def within(sizes: list[tuple[int, int, int]], room: int) -> list[int]:
+    """Of (key, label, bytes) in order, the keys of whole texts until each label's room is used up."""
+    left, out = {0: room, 1: room}, []
+    for key, label, size in sizes:
+        if left[label] > 0:
+            left[label] -= size
+            out.append(key)
+    return out
 
 
 def score(docs: DataFrame, model: Model, cut: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -113,5 +126,15 @@ def score(docs: DataFrame, model: Model, cut: float = 0.3, id_col: str = "doc_id
     return common.map_batches(common.keyed(docs, id_col, text_col).toDF(id_col, "_text"), run, f"{id_col} {key}, score double, predicted int")
 
 
-def quality_model(docs: DataFrame, labels: DataFrame, learns: Column | None = None, rows_per_class: int = 3000) -> Model:
-    return fit(fitting.labelled_sample(docs, labels, "quality", rows_per_class, learns))
+def quality_model(docs: DataFrame, labels: DataFrame, learns: Column | None = None, rows_per_class: int = 3000, dict_bytes: int = 112_640) -> Model:
+    sample = fitting.labelled_sample(docs, labels, "quality", rows_per_class, learns)
+    build = sample.where("_build")
+    sizes = sorted(tuple(r) for r in build.select("_rank", "_label", F.octet_length("_text")).collect())
+    chosen = within(sizes, dict_bytes * 100)
+    texts = sorted(tuple(r) for r in build.where(F.col("_rank").isin(chosen)).select("_rank", "_label", "_text").collect()) if chosen else []
+    model = Model(dictionaries([(t.encode(), y) for _, y, t in texts], dict_bytes), None)
+    if len({y for _, y, _ in texts}) == 2:
+        x, y = fitting.features_of(sample.where("NOT _build"), model.features)
+        if 0 < y.sum() < len(y):
+            model.calibration = fitting.logistic(curved(x), y)
+    return model

@@ -2,33 +2,66 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, rows_per_class: int, learns: Column | None = None, id_col: str = "doc_id", text_col: str = "text", longest: int = 1 << 16) -> list[tuple[bytes, int]]:
-    """(UTF-8 text, label) of at most ``rows_per_class`` labelled rows of each class, the first by a hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, rows_per_class: int, learns: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(_id, _label, _rank, _build, _text): whole texts of at most ``rows_per_class`` labelled ids of each class, the first by a
+    hash of the id, as a table in the shared folder. Half of them, by another hash, are to build a model (_build), the
+    others to calibrate it.
 
-    Ids are chosen from the labels alone; so at most 2 x rows_per_class ids are broadcast to fetch their whole texts.
-    Texts of more than ``longest`` bytes teach nothing, so that the sample's size is bounded as well. Rows with a null label
-    or id are left out, and ``learns`` (on ``_id``) says which ids may teach.
+    Ids are chosen from the labels alone, so at most 2 x rows_per_class ids are broadcast to fetch their texts, which stay on
+    the executors. Defined results: labels that are null or neither 0 nor 1, null ids and labels without a document teach
+    nothing; of several labels of one id the largest counts, of several documents of one id the least text, so that
+    repeated rows add nothing to the bound; null texts are empty; ``learns`` (on ``_id``) says which ids may teach; empty
+    tables give an empty sample; other columns are never read.
     """
-    own = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).where(F.col("_label").isin(0, 1) & F.col("_id").isNotNull())
+    own = labels.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{label_col}`").cast("int").alias("_label")).where(F.col("_label").isin(0, 1) & F.col("_id").isNotNull())
     own = own.groupBy("_id").agg(F.max("_label").alias("_label"))
     if learns is not None:
         own = own.where(learns)
-    rank = F.xxhash64(F.col("_id").cast("string"))
+    key = F.col("_id").cast("string")
+    own = own.select("_id", "_label", F.xxhash64(key).alias("_rank"), (F.pmod(F.xxhash64(key, F.lit("half")), F.lit(2)) == 0).alias("_build"))
     picked = None
     for label in (0, 1):
-        some = own.where(F.col("_label") == label).orderBy(rank, "_id").limit(rows_per_class)
+        some = own.where(F.col("_label") == label).orderBy("_rank", "_id").limit(rows_per_class)
         picked = some if picked is None else picked.unionAll(some)
-    small = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text")).where(F.coalesce(F.octet_length("_text"), F.lit(0)) <= longest)
-    rows = small.join(F.broadcast(picked), F.col("_doc") == F.col("_id")).select("_id", "_label", "_text").collect()
-    rows.sort(key=lambda r: (str(r[0]), r[1], r[2] or ""))
-    return [((r[2] or "").encode(), r[1]) for r in rows]
+    small = common.keyed(docs, id_col, text_col).toDF("_doc", "_text")
+    met = small.join(F.broadcast(picked), F.col("_doc") == F.col("_id"))
+    return common.written(met.groupBy("_id", "_label", "_rank", "_build").agg(F.coalesce(F.min("_text"), F.lit("")).alias("_text")), "sample")
+
+
+def counted_words(sample: DataFrame, words: Callable[[bytes], set[str]]) -> DataFrame:
+    """(word, n0, n1): in how many of the sample's texts of each label a word is, as ``words`` gives them for a text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for y, data in zip(batch.column(0).to_pylist(), common.texts(batch, "_text"), strict=True):
+                own = sorted(words(data))
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([1 - y] * len(own), pa.int64()), pa.array([y] * len(own), pa.int64())], names=["word", "n0", "n1"])
+
+    common.bounded_batches(sample.sparkSession)
+    return sample.select("_label", "_text").mapInArrow(run, "word string, n0 long, n1 long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
+
+def features_of(sample: DataFrame, features: Callable[[bytes], tuple[float, ...]]) -> tuple[np.ndarray, np.ndarray]:
+    """(features, labels) of the sample's texts in the order of their ranks; only these numbers reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [[float(v) for v in features(x)] for x in common.texts(batch, "_text")]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.float64()))], names=["_rank", "_label", "x"])
+
+    common.bounded_batches(sample.sparkSession)
+    rows = sorted(tuple(r) for r in sample.select("_rank", "_label", "_text").mapInArrow(run, "_rank long, _label int, x array<double>").collect())
+    return np.array([r[2] for r in rows], dtype=float), np.array([r[1] for r in rows], dtype=float)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, l2: float = 1e-3, steps: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -50,5 +83,7 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, l2:
 
 
 def probability(x: np.ndarray, model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """Probabilities of the rows; a row's does not depend on the others, to the last bit."""
     c, mean, scale = model
-    return 1 / (1 + np.exp(-np.clip(((x - mean) / scale) @ c[:-1] + c[-1], -30, 30)))
+    z = np.ascontiguousarray((x - mean) / scale * c[:-1]).sum(axis=1) + c[-1]
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
