@@ -7,9 +7,10 @@ UTF-8. Null texts have no words.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +31,14 @@ def fold(col: Column, k: int) -> Column:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a local one only where the session names none, as in tests."""
+    """The shared folder that the session names. In local mode, where all tasks share one disk, a temporary one will do."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    if not found and hasattr(context, "getCheckpointDir"):
+        found = context.getCheckpointDir()
     if not found:
-        context = spark.sparkContext
-        found = context.getCheckpointDir() if hasattr(context, "getCheckpointDir") else None
-    if not found:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = os.path.join(tempfile.gettempdir(), f"nightloom-checkpoints-{os.getpid()}")
     return found
 
@@ -49,14 +52,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Like cut(), as a Parquet table: columnar and compressed, for wide intermediate rows."""
+def _path(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df as a Parquet table in the shared folder, and its path. It goes with the application, or with removed()."""
     path = f"{checkpoint_dir(df.sparkSession)}/nightloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    context = df.sparkSession.sparkContext
-    where = context._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(where)  # goes with the application
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    where, store = _path(df.sparkSession, path)
+    store.deleteOnExit(where)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Like cut(), as a Parquet table: columnar and compressed, for wide intermediate rows."""
+    return stored(df, name)[0]
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Removes what stored() has written, once nothing reads it any more."""
+    where, store = _path(spark, path)
+    store.delete(where, True)
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
@@ -85,16 +103,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-#: Rows of a batch that goes to Python, where the session has Spark's default of 10,000: whole texts are long.
-BATCH_ROWS = 2000
+#: Bytes of a batch that goes to Python, where the session sets none: whole texts are long, and the executor's buffers and
+#: the Python worker's objects follow the batch. A longer text is a batch of its own.
+BATCH_BYTES = 8 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """A session that says nothing about the size of Arrow batches gets one for rows that hold whole texts: both the
-    executor's buffers and the Python worker's objects follow it."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, str(BATCH_ROWS))
+    """Gives a session that says nothing about the bytes of Arrow batches a bound for rows that hold whole texts. A value that
+    the user or the cluster has set stays; the number of rows in a batch is never touched."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if name not in spark.conf.getAll:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def unused(columns: Iterable[str], *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as it takes to be none of the columns (whatever their case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def keyed(docs: DataFrame, *columns: str) -> DataFrame:

@@ -1,4 +1,8 @@
-"""Row filters that operators' verdicts give: same columns, whole rows, nothing else changed."""
+"""Row filters that operators' verdicts give: same columns, whole rows, nothing else changed.
+
+Defined results: a null text is judged as the empty one; repeated rows are judged alike; columns of any name pass through;
+very long texts are judged whole; an empty table gives no rows.
+"""
 
 from __future__ import annotations
 
@@ -41,11 +45,18 @@ def good(docs: DataFrame, model: compression_quality.Model, cut: float = 0.3) ->
 
 
 def first_of_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: jaccard_join.Rule = jaccard_join.RULE) -> DataFrame:
-    """One row of each component: that of the least id. Rows of one id and text are one document; rows without an id stay."""
+    """One row of each component: that of the least id.
+
+    Rows of one id and text are one document, of which the row with the least hash stays (of equal hashes, any; maps and
+    variants are not hashed). Rows without an id stay, and so does each document without words. Only rows of an id that
+    stands on several are aggregated, map-side first; all others are joined to their key and no more."""
+    key, n, h, by, row = common.unused(docs.columns, "_id", "_n", "_h", "_by", "_row")
+    name, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     found = jaccard_join.similar_components(docs, id_col, text_col, rule)
-    first = found.where(F.col("component_id") == F.col(id_col)).select(F.col(id_col).alias("_first")).distinct()
-    named = docs.where(F.col(id_col).isNotNull()).join(first, F.col(id_col) == F.col("_first"), "left_semi")
+    first = found.where(name.isNotNull()).groupBy(name.alias(key)).agg(F.count("*").alias(n), F.min("component_id").alias(h)).where(F.col(key) == F.col(h)).select(key, n)
+    met = docs.join(first, name == F.col(key))
+    every = [F.col(f"`{c}`") for c in docs.columns]
     plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, T.MapType | T.VariantType)]
-    rows = named.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_h"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.xxhash64(*plain).alias("_by"))
-    one = rows.groupBy("_id", "_h").agg(F.min_by("_row", "_by").alias("_row")).select("_row.*")
-    return one.unionByName(docs.where(F.col(id_col).isNull()))
+    rows = met.where(F.col(n) > 1).select(key, F.xxhash64(text).alias(h), F.xxhash64(*plain).alias(by), F.struct(*every).alias(row))
+    one = rows.groupBy(key, h).agg(F.min_by(row, by).alias(row)).select(f"{row}.*")
+    return met.where(F.col(n) == 1).select(*every).unionByName(one).unionByName(docs.where(name.isNull()))
