@@ -8,7 +8,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 _GRID = ", ".join(f"('{rule}', {i}, {c}::DOUBLE)" for rule, (_, _, grid) in quality_rules.RULES.items() for i, c in enumerate(grid))
 _RATIOS = ", ".join(f"{a}::DOUBLE / greatest({b}, 1) AS r_{rule}" for rule, (a, b, _) in quality_rules.RULES.items())
 _UNPIVOT = " UNION ALL ".join(f"SELECT rk, stratum, '{rule}' AS rule, r_{rule} AS ratio FROM q" for rule in quality_rules.RULES)
-_WALKS = (len(quality_rules.STRATA) + 1) * len(quality_rules.RULES)
+_FAMILY = ", ".join(str((i, *member)) for i, member in enumerate(quality_rules.FAMILY))
 
 OP1 = f"""WITH d AS (SELECT row_number() OVER () AS rk, doc_id, CASE WHEN lang IN {quality_rules.STRATA} THEN lang ELSE 'other' END AS stratum, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '{WORD}') AS ws, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '{WORD}')) AS ls FROM d),
@@ -19,12 +19,18 @@ s AS (SELECT w.rk, doc_id, stratum, len(ws)::BIGINT AS n_words, coalesce(list_su
  len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(c, 0) AS n_repeat_words, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_capitals, length(regexp_replace(t, '[^!]', '', 'g')) AS n_shouts, len(ls) AS n_lines FROM w LEFT JOIN cov ON cov.rk = w.rk),
 q AS (SELECT *, {_RATIOS}, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s),
 m AS ({_UNPIVOT}),
-good AS (SELECT rk FROM q WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
-grid AS (SELECT * FROM (VALUES {_GRID}) g(rule, step, cutoff)),
-tally AS (SELECT stratum, m.rule, step, cutoff, count(*) AS n, count_if(ratio > cutoff) AS k FROM m JOIN good USING (rk) JOIN grid ON grid.rule = m.rule GROUP BY ALL),
-tail AS (SELECT stratum, rule, step, cutoff, CASE WHEN k >= n THEN 1 ELSE (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.01) + (n - i) * ln(0.99))) FROM (SELECT unnest(range(k::BIGINT + 1)) AS i)) END AS p FROM tally),
-walk AS (SELECT *, max((p > 0.05 / {_WALKS})::INTEGER) OVER (PARTITION BY stratum, rule ORDER BY step) AS stopped FROM tail),
-best AS (SELECT stratum, rule, arg_max(cutoff, step) AS cutoff FROM walk WHERE stopped = 0 GROUP BY 1, 2),
+good AS (SELECT rk, substring(md5(doc_id::VARCHAR), 32, 1) IN ('0', '4', '8', 'c') AS learns FROM q WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+grid AS (SELECT * FROM (VALUES {_GRID}) g(rule, step, cutoff)), fam AS (SELECT * FROM (VALUES {_FAMILY}) f(f, scale, back)),
+ex AS (SELECT rk, stratum, learns, m.rule, step, ratio > cutoff AS over FROM m JOIN good USING (rk) JOIN grid ON grid.rule = m.rule),
+learned AS (SELECT stratum, rule, step, count_if(over) AS k, count(*) AS n FROM ex WHERE learns GROUP BY ALL),
+cand AS (SELECT stratum, rule, f, coalesce(max(step) FILTER (k * {len(quality_rules.RULES)} <= scale * 0.01 * n + 1e-9), -1) - any_value(back) AS step FROM learned, fam GROUP BY ALL),
+held AS (SELECT stratum, count(*) AS n FROM q JOIN good USING (rk) WHERE NOT learns GROUP BY 1),
+rej AS (SELECT stratum, f, count(DISTINCT rk) AS k FROM ex JOIN cand USING (stratum, rule, step) WHERE NOT learns AND over GROUP BY 1, 2),
+tally AS (SELECT DISTINCT stratum, f, n, coalesce(k, 0) AS k FROM cand JOIN held USING (stratum) LEFT JOIN rej USING (stratum, f)),
+tail AS (SELECT stratum, f, CASE WHEN k >= n THEN 1 ELSE (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.01) + (n - i) * ln(0.99))) FROM (SELECT unnest(range(k::BIGINT + 1)) AS i)) END AS p FROM tally),
+walk AS (SELECT *, max((p > 0.05 / {len(quality_rules.STRATA) + 1})::INTEGER) OVER (PARTITION BY stratum ORDER BY f) AS stopped FROM tail),
+last AS (SELECT stratum, max(f) AS f FROM walk WHERE stopped = 0 GROUP BY 1),
+best AS (SELECT stratum, rule, cutoff FROM last JOIN cand USING (stratum, f) JOIN grid USING (rule, step)),
 hit AS (SELECT rk, string_agg(m.rule, ',' ORDER BY m.rule) AS rules FROM m JOIN best ON best.stratum = m.stratum AND best.rule = m.rule WHERE ratio > cutoff GROUP BY 1)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rules IS NULL AS kept, coalesce(rules, '') AS failed_rules FROM q LEFT JOIN hit ON hit.rk = q.rk"""
 
@@ -43,9 +49,9 @@ SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(l.met,
 
 def _kind(kind: str, rank: int, group: int, keep: str) -> str:
     p = secrets.PATTERNS[kind].replace("'", "''")
-    return f"""SELECT rk, doc_id, owner, '{kind}' AS kind, {rank} AS rank, pos AS start, pos + length(x) AS stop, v AS value FROM (
- SELECT rk, doc_id, owner, ms[i] AS x, vs[i] AS v, (list_sum(list_transform(ps[1:i], lambda z: length(z))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda z: length(z))), 0))::BIGINT AS pos FROM (
- SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT rk, doc_id, owner, regexp_extract_all(t, '{p}') AS ms, regexp_extract_all(t, '{p}', {group}) AS vs, string_split_regex(t, '{p}') AS ps FROM d))) WHERE {keep}"""
+    return f"""SELECT rk, doc_id, owner, repo, '{kind}' AS kind, {rank} AS rank, pos AS start, pos + length(x) AS stop, v AS value FROM (
+ SELECT rk, doc_id, owner, repo, ms[i] AS x, vs[i] AS v, (list_sum(list_transform(ps[1:i], lambda z: length(z))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda z: length(z))), 0))::BIGINT AS pos FROM (
+ SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT rk, doc_id, owner, repo, regexp_extract_all(t, '{p}') AS ms, regexp_extract_all(t, '{p}', {group}) AS vs, string_split_regex(t, '{p}') AS ps FROM d))) WHERE {keep}"""
 
 
 _SPANS = " UNION ALL ".join((
@@ -53,32 +59,40 @@ _SPANS = " UNION ALL ".join((
     _kind("owned", 3, 0, "regexp_matches(x, '[a-z]') AND regexp_matches(x, '[A-Z]') AND regexp_matches(x, '[0-9]')"),
 ))
 _TOLD = "coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank){}, '')"
-OP5 = f"""WITH d AS (SELECT row_number() OVER () AS rk, doc_id, coalesce(source, '') AS owner, coalesce(text, '') AS t FROM documents),
-sp AS ({_SPANS}), own AS (SELECT value, count(DISTINCT owner) AS owners FROM sp GROUP BY 1), j AS (SELECT sp.*, owners, owners < 3 AS live FROM sp JOIN own USING (value)),
+OP5 = f"""WITH d AS (SELECT row_number() OVER () AS rk, doc_id, coalesce(source, '') AS owner, coalesce(source, '') || chr(0) || coalesce(lang, '') AS repo, coalesce(text, '') AS t FROM documents),
+sp AS ({_SPANS}), own AS (SELECT value, count(DISTINCT owner) AS owners, count(DISTINCT repo) AS repos FROM sp GROUP BY 1), j AS (SELECT sp.*, owners, repos, owners < 3 AND repos < 4 AS live FROM sp JOIN own USING (value)),
 r AS (SELECT rk, count_if(kind = 'assign') AS n_assign, count_if(kind = 'access') AS n_access, count_if(kind = 'hex') AS n_hex, {_TOLD.format(" FILTER (kind <> 'owned')")} AS base, {_TOLD.format(" FILTER (kind <> 'owned' OR live)")} AS spans,
- count_if(live) AS n_live, count_if(NOT live) AS n_copied, max(owners) AS most_owners FROM j GROUP BY 1)
+ count_if(live) AS n_live, count_if(NOT live) AS n_copied, max(owners) AS most_owners, max(repos) AS most_repos FROM j GROUP BY 1)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
- coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied, coalesce(most_owners, 0) AS most_owners FROM d LEFT JOIN r ON r.rk = d.rk"""
+ coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied, coalesce(most_owners, 0) AS most_owners, coalesce(most_repos, 0) AS most_repos FROM d LEFT JOIN r ON r.rk = d.rk"""
 
 _MARK, _INTRO = quote_links.MARK, quote_links.INTRO
 _OWN = f"""regexp_replace(regexp_replace(array_to_string(list_filter(string_split(t, chr(10)), lambda x, i: NOT regexp_matches(x, '{_MARK}')
  AND NOT (regexp_matches(x, '{_INTRO}') AND coalesce(regexp_matches(string_split(t, chr(10))[i + 1], '{_MARK}'), false))), chr(10)), '^[\\t\\n\\x0B\\f\\r ]+', ''), '[\\t\\n\\x0B\\f\\r ]+$', '')"""
 _NORMAL = r"trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
-OP6 = f"""WITH RECURSIVE m AS (SELECT row_number() OVER () AS rk, conv_id, turn, role, coalesce(text, '') AS t FROM conversations), o AS (SELECT *, {_OWN} AS own FROM m),
+_RENDERED = """one AS (SELECT conv_id, turn, min(text) AS text FROM conversations GROUP BY 1, 2),
+ back AS (SELECT c.conv_id, c.turn, c.role, c.text, array_to_string(list_transform(string_split(x.text, chr(10)), lambda l: '> ' || l), chr(10)) || chr(10) AS near,
+  array_to_string(list_transform(string_split(y.text, chr(10)), lambda l: '> > ' || l), chr(10)) || chr(10) AS far
+  FROM conversations c LEFT JOIN one x ON x.conv_id = c.conv_id AND x.turn = c.turn - 1 LEFT JOIN one y ON y.conv_id = c.conv_id AND y.turn = c.turn - 2),
+ replies AS (SELECT conv_id, turn, role, CASE turn % 3 WHEN 0 THEN text WHEN 1 THEN coalesce(near, '') || coalesce(text, '') ELSE coalesce(far, '') || coalesce(near, '') || coalesce(text, '') END AS text FROM back), """
+_LINKS = f"""m AS (SELECT row_number() OVER () AS rk, conv_id, turn, role, coalesce(text, '') AS t FROM {{source}}), o AS (SELECT *, {_OWN} AS own FROM m),
 l AS (SELECT rk, conv_id, turn, i, string_split(t, chr(10))[i] AS line FROM (SELECT *, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS i FROM m WHERE regexp_matches(t, '(?m){_MARK}'))),
 v AS (SELECT *, length(regexp_extract(line, '{_MARK}')) - length(replace(regexp_extract(line, '{_MARK}'), '>', '')) AS level, trim(regexp_replace(line, '{_MARK}', '')) AS body FROM l),
 x AS (SELECT * FROM (SELECT *, lead(level) OVER (PARTITION BY rk ORDER BY i) AS nx FROM v) WHERE NOT (level < coalesce(nx, 0) AND regexp_matches(body, '{_INTRO}'))),
-g AS (SELECT *, sum(nw) OVER (PARTITION BY rk ORDER BY i) AS run FROM (SELECT *, coalesce((level <> lag(level) OVER (PARTITION BY rk ORDER BY i))::INTEGER, 0) AS nw FROM x)),
-u AS (SELECT conv_id, turn, level, body FROM g WHERE level > 0 UNION ALL SELECT conv_id, turn, level, string_agg(body, ' ' ORDER BY i) FROM g WHERE level > 0 GROUP BY rk, run, conv_id, turn, level),
-qd AS (SELECT DISTINCT conv_id, turn, level, {_NORMAL.format("body")} AS h FROM u WHERE length({_NORMAL.format("body")}) >= {quote_links.LEAST}),
-wr AS (SELECT DISTINCT conv_id, turn AS frm, {_NORMAL.format("unit")} AS h FROM (SELECT conv_id, turn, own AS unit FROM o UNION ALL SELECT conv_id, turn, unnest(string_split_regex(own, '\\n[ \\t]*\\n')) FROM o UNION ALL SELECT conv_id, turn, unnest(string_split(own, chr(10))) FROM o)),
-mt AS (SELECT conv_id, turn, frm, level, sum(length(h)) AS size FROM qd JOIN wr USING (conv_id, h) WHERE frm < turn GROUP BY ALL),
-up AS (SELECT conv_id, turn, (SELECT frm FROM mt z WHERE z.conv_id = mt.conv_id AND z.turn = mt.turn ORDER BY level, size DESC, frm DESC LIMIT 1) AS parent, count(DISTINCT frm) AS links FROM mt GROUP BY ALL),
+g AS (SELECT *, sum(nw) OVER (PARTITION BY rk ORDER BY i) AS run, sum((body = '')::INTEGER) OVER (PARTITION BY rk ORDER BY i) AS par FROM (SELECT *, coalesce((level <> lag(level) OVER (PARTITION BY rk ORDER BY i))::INTEGER, 0) AS nw FROM x)),
+u AS (SELECT conv_id, turn, level, body, false AS whole FROM g WHERE level > 0 UNION ALL SELECT conv_id, turn, level, string_agg(body, ' ' ORDER BY i), false FROM g WHERE level > 0 GROUP BY rk, run, par, conv_id, turn, level
+ UNION ALL SELECT conv_id, turn, level, string_agg(body, ' ' ORDER BY i), true FROM g WHERE level > 0 GROUP BY rk, run, conv_id, turn, level),
+qd AS (SELECT conv_id, turn, level, {_NORMAL.format("body")} AS h, bool_or(whole) AS quoted FROM u GROUP BY 1, 2, 3, 4 HAVING length(h) > 0),
+wr AS (SELECT conv_id, turn AS frm, {_NORMAL.format("unit")} AS h, bool_or(whole) AS said FROM (SELECT conv_id, turn, own AS unit, true AS whole FROM o UNION ALL SELECT conv_id, turn, unnest(string_split_regex(own, '\\n[ \\t]*\\n')), false FROM o UNION ALL SELECT conv_id, turn, unnest(string_split(own, chr(10))), false FROM o) GROUP BY 1, 2, 3),
+mt AS (SELECT conv_id, turn, frm, level, sum(length(h)) AS size FROM qd JOIN wr USING (conv_id, h) WHERE frm < turn AND (length(h) >= {quote_links.LEAST} OR quoted OR said) GROUP BY ALL),
+up AS (SELECT conv_id, turn, (arg_min(frm, (level, -size, -frm))) AS parent, count(DISTINCT frm) AS links FROM mt GROUP BY ALL),
 th AS (SELECT conv_id, turn, parent AS thread, 1 AS depth FROM up UNION ALL SELECT th.conv_id, th.turn, up.parent, depth + 1 FROM th JOIN up ON up.conv_id = th.conv_id AND up.turn = th.thread),
 tp AS (SELECT conv_id, turn, arg_max(thread, depth) AS thread, max(depth) AS depth FROM th GROUP BY 1, 2)
 SELECT o.conv_id, o.turn, role, own AS own_text, parent, coalesce(links, 0) AS links, coalesce(thread, o.turn) AS thread, coalesce(depth, 0) AS depth
 FROM o LEFT JOIN up ON up.conv_id = o.conv_id AND up.turn = o.turn LEFT JOIN tp ON tp.conv_id = o.conv_id AND tp.turn = o.turn"""
+OP6 = "WITH RECURSIVE " + _LINKS.replace("{source}", "conversations")
+RENDERED = "WITH RECURSIVE " + _RENDERED + _LINKS.replace("{source}", "replies")
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1, "op3_jaccard_join": OP3, "op5_secret_scan": OP5, "op6_quote_links": OP6}
+    return {"op1_quality_rules": OP1, "op3_jaccard_join": OP3, "op5_secret_scan": OP5, "op6_quote_links": OP6, "rendered_quote_links": RENDERED}

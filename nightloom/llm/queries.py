@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from . import bpe, common, compression_quality, deleted_interpolation, jaccard_join, media_jpeg, oracle, packing, quality_rules, quote_links, secrets, toxicity
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+#: A public vocabulary by its name; ``public_tokenizers.path`` finds the file on each executor.
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,12 +40,17 @@ def op6_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quote_links.link_quotes(common.table(spark, sf_dir, "conversations"))
 
 
+def rendered_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sixth operator over replies rendered from the conversations, as these hold no quotations themselves."""
+    return quote_links.link_quotes(quote_links.rendered_replies(common.table(spark, sf_dir, "conversations")))
+
+
 def op7_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deleted_interpolation.language_scores(common.table(spark, sf_dir, "documents"))
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.best_fit(common.table(spark, sf_dir, "documents"))
+    return packing.best_fit(packing.bpe_counts(common.table(spark, sf_dir, "documents"), TOKENIZER))
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_progressive_jpeg": op4_progressive_jpeg,
         "op5_secret_scan": op5_secret_scan,
         "op6_quote_links": op6_quote_links,
+        "rendered_quote_links": rendered_quote_links,
         "op7_deleted_interpolation": op7_deleted_interpolation,
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_byte_bpe": op9_byte_bpe,

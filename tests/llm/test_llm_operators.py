@@ -11,7 +11,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from nightloom.llm import bpe, common, components, compression_quality, deleted_interpolation, filters, jaccard_join, media_jpeg, packing, quality_rules, quote_links, secrets, toxicity
+from nightloom.llm import bpe, common, components, compression_quality, deleted_interpolation, filters, fitting, jaccard_join, media_jpeg, packing, quality_rules, quote_links, secrets, toxicity
+
+from nightloom.llm.queries import TOKENIZER
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, node long, kind int, _text string"
 
@@ -81,7 +83,51 @@ def test_cutoffs_are_certified_and_strict(spark):
     assert all(r.kept for r in few)  # too few labels to certify a cutoff
     stats = quality_rules.add_stats(made(spark, good))
     for c in quality_rules.select_cutoffs(stats, labels):
-        assert quality_rules.binomial_tail(c.rejected, c.good, 0.01) <= 0.05 / 25
+        assert quality_rules.binomial_tail(c.rejected, c.good, 0.01) <= 0.05 / 5
+
+
+def union_fixture(seed=0, n=2400):
+    """Good texts of which a few are odd under one rule or another, bad ones that are odd throughout."""
+    rng = random.Random(seed)
+    rows, quality = [], []
+    for i in range(n):
+        ws = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        if i % 8 == 0:
+            ws = [w + rng.choice(("###", "!!!", "|%")) for w in ws]
+        elif rng.random() < 0.02:
+            ws[: rng.randint(5, 50)] = [rng.choice(("A#", "B!", "CC"))] * 30
+        rows.append((i, " ".join(ws)))
+        quality.append((i, int(i % 8 != 0)))
+    return rows, quality
+
+
+def test_rules_together_reject_few_good_documents(spark):
+    rows, quality = union_fixture()
+    labels = spark.createDataFrame(quality, "doc_id long, quality int")
+    stats = quality_rules.add_stats(made(spark, rows)).cache()
+    found = quality_rules.select_cutoffs(stats, labels)
+    assert len({c.rule for c in found}) > 1
+    by, truth = {r.doc_id: r for r in quality_rules.apply_rules(stats, found).collect()}, dict(quality)
+    held = [i for i, q in quality if q and hashlib.md5(str(i).encode()).hexdigest()[-1] not in "048c"]
+    rejected = sum(bool(by[i].failed_rules) for i in held)
+    assert {(c.good, c.rejected) for c in found} == {(len(held), rejected)}  # of all rules together
+    assert quality_rules.binomial_tail(rejected, len(held), 0.01) <= 0.01
+    assert sum(not by[i].kept for i in by if not truth[i]) > 0.9 * sum(not q for q in truth.values())
+
+
+def test_certified_rules_against_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    from nightloom.llm import oracle
+
+    rows, quality = union_fixture(1)
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame([(i, t, "en") for i, t in rows], columns=["doc_id", "text", "lang"]))
+    con.register("labels", pd.DataFrame(quality, columns=["doc_id", "quality"]))
+    want = dict(con.execute(f"SELECT doc_id, failed_rules || kept FROM ({oracle.OP1})").fetchall())
+    got = {r.doc_id: ",".join(r.failed_rules) + str(r.kept).lower() for r in quality_rules.quality_rules(made(spark, rows), spark.createDataFrame(quality, "doc_id long, quality int")).collect()}
+    assert got == want and any(x.strip("truefals") for x in got.values())
 
 
 def test_quality_rules_on_odd_rows(spark):
@@ -125,6 +171,86 @@ def test_compression_classifier(spark):
     assert {r.score for r in compression_quality.score(docs, none).collect()} == {0.5}
 
 
+def test_normalised_differences_by_brute_force():
+    import zstandard
+
+    rng = random.Random(2)
+    texts = [(" ".join("".join(rng.choices("abc", k=4)) for _ in range(300)).encode(), k % 2) for k in range(40)]
+    model = compression_quality.Model(compression_quality.dictionaries(texts, 4000), None)
+
+    def size(data, d, step):
+        kind = {} if d[:4] == b"\x37\xa4\x30\xec" else {"dict_type": zstandard.DICT_TYPE_RAWCONTENT}
+        made_ = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d, **kind), write_content_size=False, write_checksum=False, write_dict_id=False)
+        return sum(len(made_.compress(data[i : i + step])) for i in range(0, len(data), step))
+
+    for x in (b"abca bcab " * 100, b"Zz9 !" * 7, b"x"):
+        want = []
+        for step in compression_quality.BLOCKS:
+            (a, b), (c, d) = ([size(v, m, step) for m in model.dictionaries[k : k + 2]] for v, k in ((x, 0), (compression_quality.shape(x), 2)))
+            want += [(b - a) / (b + a), (d - c) / (d + c), (b - a) / len(x), (d - c) / len(x)]
+        assert np.allclose(model.features(x), want, atol=0.02)
+    assert set(model.features(b"")) == {0.0}
+
+
+def test_whole_long_texts_teach(spark):
+    """Labelled texts of 70 KB are part of the sample, whole; a budget ends behind a whole text."""
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(9000))) for i in range(6)] + [(9, None), (3, "repeated id")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(10)] + [(0, 1), (None, 1)], "doc_id long, quality int")
+    got = {r._id: (r._label, r._text) for r in fitting.labelled_sample(made(spark, rows), labels, "quality", 50).collect()}
+    texts = dict(reversed(rows))
+    assert got == {i: (int(i % 2 or i == 0), "" if i == 9 else "repeated id" if i == 3 else texts[i]) for i in (0, 1, 2, 3, 4, 5, 9)}
+    assert compression_quality.within([(1, 0, 60), (2, 0, 60), (3, 0, 1), (4, 1, 500)], 100) == [1, 2, 4]
+
+
+def test_fit_on_executors_is_the_fit_in_one_place(spark):
+    rows, _, toxic = labelled()
+    docs, labels = made(spark, rows), spark.createDataFrame(toxic, "doc_id long, toxic int")
+    model = toxicity.toxicity_model(docs, labels, None, 200)
+    sample = sorted((r._rank, r._build, r._text.encode(), r._label) for r in fitting.labelled_sample(docs, labels, "toxic", 200).collect())
+    one = toxicity.fit(*[[(t, y) for _, b, t, y in sample if b == side] for side in (True, False)])
+    assert model.odds.keys() == one.odds.keys() and all(math.isclose(model.odds[w], one.odds[w]) for w in one.odds)
+    data = [t.encode() for _, t in rows[:40]]
+    assert np.allclose(model.scores(data), one.scores(data))
+
+
+def brute_odds(model, token):
+    """Log-odds of a token without a cache: restored, else as it stands, else by the longest prefix."""
+    for w in (model.restored(token), token.strip(toxicity._EDGE)):
+        for key in (w, *(w[:k] + "+" for k in (7, 6, 5, 4) if len(w) > k)):
+            if key in model.odds:
+                return model.odds[key]
+    return model.none
+
+
+def test_scores_by_brute_force(spark):
+    rows, _, toxic = labelled()
+    model = fitted_toxicity(rows, toxic)
+    c, mean, scale = model.calibration
+    for _, t in rows[:60]:
+        data = t.encode()
+        each = [brute_odds(model, w.lower()) for w in set(t.split())] + [model.shreds(r) for r in toxicity.short_runs(data)]
+        top = sorted([*each, *[model.none] * 3], reverse=True)[:3]
+        x = (np.array([*top, max(top[0] - 4.5, 0), max(top[1] - 4.5, 0)]) - mean) / scale
+        assert math.isclose(model.scores([data])[0], 1 / (1 + math.exp(-max(-30, min(30, x @ c[:-1] + c[-1])))), rel_tol=1e-9)
+
+
+def test_words_in_shreds(spark):
+    rows, _, toxic = labelled()
+    model = fitted_toxicity(rows, toxic)
+    mild = b"ka lo mi ter " * 20
+    for shreds in ("gru mbl efo ot", "sno t waf fle", "dr ive lh ead"):
+        assert model.shreds(shreds) > 2, shreds
+        assert model.scores([mild + shreds.encode()])[0] > model.scores([mild])[0]
+    assert model.shreds("ka lo mi") <= 0.5
+    assert toxicity.short_runs(b"st up id there a b  c\nd longer x") == {"st up id", "a b c d"}
+
+
+def fitted_toxicity(rows, toxic):
+    truth = dict(toxic)
+    sample = random.Random(0).sample([((t or "").encode(), truth[i]) for i, t in rows if i in truth], len(truth))
+    return toxicity.fit(sample[::2], sample[1::2])
+
+
 def test_toxicity(spark):
     rows, _, toxic = labelled()
     docs, labels = made(spark, [*rows, (900, None), (901, "")]), spark.createDataFrame(toxic, "doc_id long, toxic int")
@@ -138,13 +264,12 @@ def test_toxicity(spark):
     scores = model.scores([b"ka lo mi ter " * 20 + b"s n o t w a f f l e d r i v e l h e a d grumblef00t", b"ka lo mi ter " * 20])
     assert scores[0] > 0.5 > scores[1]
     assert toxicity.score(empty(spark), model).count() == 0
-    assert toxicity.fit([]).scores([b"x"]).tolist() == [0.0]
+    assert toxicity.fit([], []).scores([b"x"]).tolist() == [0.0]
 
 
 def test_disguises_of_every_kind_and_length(spark):
     rows, _, toxic = labelled()
-    truth = dict(toxic)
-    model = toxicity.fit(random.Random(0).sample([((t or "").encode(), truth[i]) for i, t in rows if i in truth], len(truth)))
+    model = fitted_toxicity(rows, toxic)
     for disguise in ("grumbl" + "e" * 30 + "foot", "g...r...u...m...b...l...e...f...o...o...t", "g/r/u/m/b/l/e/f/o/o/t", "g:r:u:m:b:l:e:foot", "d,r,i,v,e,l,h,e,a,d", "ggrruummbblleeffoott", "drivvelhead", "g\\rumblefoot"):
         assert model.word(disguise) > 2, disguise
     mild = b"ka lo mi ter " * 20
@@ -179,12 +304,12 @@ def test_restoration_is_the_best_path():
 # --- 3 ---
 
 
-def brute_components(rows):
+def brute_components(rows, size=4, percent=85):
     low = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
     sets = []
     for i, t in rows:
         w = words(t and t.encode().translate(low).decode())
-        sets.append((i, {tuple(w)} if 0 < len(w) < 4 else {tuple(w[j : j + 4]) for j in range(len(w) - 3)}))
+        sets.append((i, {tuple(w)} if 0 < len(w) < size else {tuple(w[j : j + size]) for j in range(len(w) - size + 1)}))
     root = {i: i for i, _ in rows if i is not None}
 
     def find(x):
@@ -194,7 +319,7 @@ def brute_components(rows):
 
     for k, (i, a) in enumerate(sets):
         for j, b in sets[:k]:
-            if i is not None and j is not None and a and b and 100 * len(a & b) >= 85 * len(a | b):
+            if i is not None and j is not None and a and b and 100 * len(a & b) >= percent * len(a | b):
                 p, q = find(i), find(j)
                 root[max(p, q)] = min(p, q)
     return [(i, len(s), None if i is None else find(i)) for i, s in sets]
@@ -390,12 +515,43 @@ def test_secret_base_spans_by_brute_force(spark):
     assert secrets.digests(secrets.secret_spans(empty(spark))).count() == 0
 
 
+def test_templates_and_examples(spark):
+    """A value in four repositories of one owner is a template, one of three owners an example; one in three repositories is live."""
+    token = {k: k * 8 + "a1" + k * 20 for k in "PQR"}
+    rows = [(i, f"x {token['P']} y", f"l{i}", "one") for i in range(4)] + [(10 + i, f"x {token['Q']} y", "en", f"o{i}") for i in range(3)] + [(20 + i, f"x {token['R']} y", f"l{i % 3}", "one") for i in range(6)]
+    got = {r.doc_id: (r.spans, r.most_owners, r.most_repos) for r in secrets.digests(secrets.secret_spans(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))).collect()}
+    assert got[0] == ("", 1, 4) and got[10] == ("", 3, 3) and got[20] == ("owned:2:32", 1, 3)
+
+
+def test_many_matches_in_one_text(spark):
+    text = "\n".join(f"token={i:012d} é" for i in range(20_000))
+    r = secrets.digests(secrets.secret_spans(made(spark, [(1, text)]))).first()
+    assert r.n_assign == 20_000 and r.spans.split(",")[19_999] == f"assign:{19_999 * 21}:{19_999 * 21 + 18}"
+
+
+def test_stages_hand_on_columns_of_any_name(spark):
+    names = "_id long, _h string, _spans string, _th string, _cut string, _first string, _n int, _by string, _row string, h string, spans string, component_id string, n_shingles string, text_hash string, n_tokens string, bin_id string"
+    kinds = [x.split() for x in names.split(", ")]
+    rows = [(1, f"key {KEY}"), (2, "one two three four five six"), (2, "one two three four five six"), (3, "One two three four five six"), (None, "x"), (4, None)]
+    docs = spark.createDataFrame([(i, t, *[7 if k != "string" else n for n, k in kinds]) for i, t in rows], "doc_id long, text string, " + names)
+    out = secrets.redact(docs, secrets.secret_spans(docs))
+    assert out.columns == docs.columns and {r.text for r in out.collect()} == {"key [SECRET]", rows[1][1], rows[3][1], "x", None}
+    assert all(r._th == "_th" and r._id == 7 for r in out.collect())
+    once = filters.first_of_near_duplicates(docs)
+    assert once.columns == docs.columns and sorted(str(r.doc_id) for r in once.collect()) == ["1", "2", "4", "None"]
+    assert packing.best_fit(packing.counted_by(docs, packing.word_count())).count() == 6
+
+
 def test_redaction(spark):
     docs = made(spark, SECRETS)
     out = secrets.redact(docs, secrets.secret_spans(docs))
     assert out.columns == docs.columns and out.count() == docs.count()
     by = {r.doc_id: r.text for r in out.collect()}
     assert by[0] == "[SECRET]' and [SECRET] then [SECRET]" and by[3] is None and by[4] == "" and by[6] == "live [SECRET] x" and "Qq7" in by[20]
+    span = "struct<start:int,rank:int,stop:int,kind:string,value:string>"
+    two = spark.createDataFrame([(1, "0123456789")], "doc_id long, text string")
+    cuts = two.selectExpr("doc_id", "xxhash64(text) AS h", f"cast(array(struct(1, 0, 4, 'a', ''), struct(3, 0, 6, 'b', ''), struct(6, 0, 7, 'c', '')) AS array<{span}>) AS spans")
+    assert secrets.redact(two, cuts, "*").first().text == "0**789"
 
 
 # --- 6 ---
@@ -420,6 +576,50 @@ def test_quote_links(spark):
     assert quote_links.link_quotes(talk(spark).limit(0)).count() == 0
 
 
+def threads(seed, turns=40, conversations=3):
+    """Messages of few different lines that quote earlier ones, wholly, in part and nested."""
+    rng = random.Random(seed)
+    lines = [f"this is the common line number {i}" for i in range(6)] + ["ok", "thanks a lot"]
+    out = []
+    for c in range(conversations):
+        said = []
+        for t in range(turns):
+            own = [rng.choice(lines) if rng.random() < 0.8 else f"a line of its own {c} {t}" for _ in range(rng.randint(1, 3))]
+            quotes = []
+            for _ in range(rng.choice((0, 1, 1, 2)) if said else 0):
+                mark = "> " * rng.randint(1, 2)
+                quotes += [mark + x for x in rng.choice(said)[: rng.randint(1, 3)]] + [rng.choice(("", mark.strip()))]
+            out.append((c, t, "u", "\n".join([*quotes, *own])))
+            said.append(own)
+    return out
+
+
+@pytest.mark.parametrize("hot", [0, 3, 1000])
+def test_quote_links_of_common_lines_against_sql(spark, hot, monkeypatch):
+    import duckdb
+    import pandas as pd
+
+    from nightloom.llm import oracle
+
+    monkeypatch.setattr(quote_links, "HOT", hot)
+    monkeypatch.setattr(quote_links, "BLOCK", 7)
+    rows = threads(hot)
+    con = duckdb.connect()
+    con.register("conversations", pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]))
+    want = sorted(map(str, con.execute(f"SELECT conv_id::BIGINT, turn::BIGINT, own_text, parent::BIGINT, links, thread::BIGINT, depth FROM ({oracle.OP6})").fetchall()))
+    got = quote_links.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).select("conv_id", "turn", "own_text", "parent", "links", "thread", "depth").collect()
+    assert sorted(str(tuple(r)) for r in got) == want
+
+
+def test_turns_that_all_quote_one_line(spark):
+    """As many rows as turns, not as pairs of turns."""
+    n = 3000
+    rows = [(1, t, "u", "> the one line of all of them\nthe one line of all of them") for t in range(n)]
+    messages = quote_links.common.keyed(spark.createDataFrame(rows, "conv long, turn long, role string, text string"), "conv", "turn", "role", "text")
+    got = {r.turn: (r.parent, r.links) for r in quote_links.parents(messages).collect()}
+    assert got == {t: (t - 1, t) for t in range(1, n)}
+
+
 def test_short_quotes_and_quoted_paragraphs(spark):
     rows = [
         (1, 0, "Sounds good"), (1, 1, "Yes"), (1, 2, "> Sounds good\nThen let us start"), (1, 3, "> Then let us start\nFine"), (1, 4, "> Yes\nReally?"),
@@ -503,7 +703,7 @@ def test_integers_survive_packing():
 
 def test_packing(spark):
     rows = corpus(4) * 3
-    got = packing.best_fit(made(spark, rows), shard_pieces=60).collect()
+    got = packing.best_fit(packing.counted_by(made(spark, rows), packing.word_count()), shard_pieces=60).collect()
     whole = collections.Counter()
     bins = collections.defaultdict(list)
     for r in got:
@@ -521,24 +721,60 @@ def test_packing(spark):
             assert r.bin_start == at
             at += r.n
         assert at == own[0].bin_fill and own[0].bin_size == min(s for s in packing.SIZES if s >= at)
-    assert packing.best_fit(empty(spark)).count() == 0
+    assert packing.best_fit(packing.bpe_counts(empty(spark), TOKENIZER)).count() == 0
 
 
-def test_best_fit_by_brute_force():
-    rng = random.Random(0)
-    lengths = sorted((rng.randint(1, 256) for _ in range(500)), reverse=True)
-    where, start, size = packing.pack(lengths)
-    room, opened, left = [], [], sum(lengths)
-    for n, b in zip(lengths, where.tolist(), strict=True):
-        fits = [r for r in room if r >= n]
+def brute_pack(lengths, menu):
+    """Best fit by looking at every bin."""
+    room, size, left = [], [], sum(lengths)
+    for n in lengths:
+        fits = [b for b, r in enumerate(room) if r >= n]
         if fits:
-            assert room[b] == min(fits)
+            b = min(fits, key=lambda b: room[b])
         else:
-            assert b == len(room)
-            room.append(min((s for s in packing.SIZES if s >= n), key=lambda s: (packing.bin_cost(s) / min(s, left), s)))
+            b = len(room)
+            size.append(min((s for s in menu if s >= n), key=lambda s: (packing.bin_cost(s) / min(s, left), s)))
+            room.append(size[b])
         room[b] -= n
         left -= n
-    assert opened == [] and sum(size) < 1.05 * sum(lengths)
+    return sorted(min(s for s in packing.SIZES if s >= z - r) for z, r in zip(size, room, strict=True))
+
+
+@pytest.mark.parametrize("longest", [256, 900, 4096])
+def test_best_fit_by_brute_force(longest):
+    """Every menu's packing, and the choice of the cheapest, for short and for long pieces."""
+    rng = random.Random(longest)
+    lengths = sorted((rng.randint(1, longest) for _ in range(300)), reverse=True)
+    costs = {}
+    for menu in packing.menus(packing.SIZES, lengths[0]):
+        where, start, size = packing.pack(lengths, menu=menu)
+        assert sorted(size.tolist()) == brute_pack(lengths, menu)
+        costs[menu] = sum(packing.bin_cost(s) for s in size.tolist())
+    where, start, size = packing.pack_jointly(lengths)
+    assert math.isclose(sum(packing.bin_cost(s) for s in size.tolist()), min(costs.values()))
+    assert len({*costs.values()}) > 1 and sum(size.tolist()) >= sum(lengths)
+    assert packing.pack_jointly([])[2].tolist() == []
+
+
+def test_sequences_hold_every_document(spark):
+    """Token ids of the bins, taken apart at the pieces, give back all texts."""
+    rows = [*corpus(6, 30), (500, "long text é " * 3000), (501, None), (501, None)]
+    docs = made(spark, rows)
+    packed = packing.best_fit(packing.bpe_counts(docs, TOKENIZER), shard_pieces=40)
+    packed = spark.createDataFrame(packed.collect(), packed.schema)
+    bins = {r.bin_id: r for r in packing.sequences(docs, packed, TOKENIZER, 50256).collect()}
+    parts = collections.defaultdict(list)
+    for r in packed.collect():
+        own = bins[r.bin_id]
+        assert len(own.ids) == r.bin_fill <= own.bin_size == r.bin_size and r.bin_start in own.starts
+        parts[r.doc_id, r.text_hash, r.piece].append(own.ids[r.bin_start : r.bin_start + r.n])
+    codec, back = bpe.codec(TOKENIZER), collections.Counter()
+    for i, h in {k[:2] for k in parts}:
+        for one in zip(*[v for k, v in sorted(parts.items(), key=lambda x: x[0][2]) if k[:2] == (i, h)], strict=True):
+            ids = [x for piece in one for x in piece]
+            assert ids[-1] == 50256
+            back[i, codec.decode(ids[:-1])] += 1
+    assert back == collections.Counter((i, t or "") for i, t in rows)
 
 
 # --- 9 ---
@@ -546,17 +782,18 @@ def test_best_fit_by_brute_force():
 
 @pytest.mark.skipif(importlib.util.find_spec("tokenizers") is None, reason="no tokenizers")
 def test_bpe_against_the_library(spark):
+    import public_tokenizers
     from tokenizers import Tokenizer
 
-    from nightloom.llm.queries import TOKENIZER
-
-    own, rng = bpe.Codec(TOKENIZER), random.Random(5)
-    lib = Tokenizer.from_file(TOKENIZER)
-    letters = [chr(x) for x in (*range(0, 0x250), *range(0x2000, 0x2040), 0x3042, 0x1F600, 0xFEFF)]
+    own, rng = bpe.codec(TOKENIZER), random.Random(5)
+    lib = Tokenizer.from_file(str(public_tokenizers.path(TOKENIZER)))
+    letters = [chr(x) for x in (*range(0, 0x250), *range(0x2000, 0x2040), 0x3042, 0x1F600, 0xFEFF)] + list(" \nab") * 40
     texts = ["".join(rng.choices(letters, k=rng.randint(0, 50))) for _ in range(300)] + [t or "" for _, t in corpus()] + ["a<|endoftext|> b", "aaaaaaaa", "don't I'LL", " \n\n x"]
     for t in texts:
         ids = lib.encode(t, add_special_tokens=False).ids
-        assert own.encode(t) == ids and own.decode(ids) == lib.decode(ids, skip_special_tokens=False)
+        assert own.encode(t) == ids and own.decode(ids) == lib.decode(ids, skip_special_tokens=False) and own.counts([t]) == [len(ids)]
+    small = bpe.Codec(str(public_tokenizers.path(TOKENIZER)), remember=1000)  # a table that is always full
+    assert [small.encode(t) for t in texts[-80:]] == [own.encode(t) for t in texts[-80:]] and small.counts(texts[:80]) == own.counts(texts[:80])
     docs = made(spark, corpus())
     got = {(r.doc_id, r.n_tokens) for r in bpe.digests(docs, TOKENIZER).collect()}
     assert got == {(i, len(lib.encode(t or "", add_special_tokens=False).ids)) for i, t in corpus()}
@@ -565,6 +802,33 @@ def test_bpe_against_the_library(spark):
     assert bpe.digests(empty(spark), TOKENIZER).count() == 0
 
 
+# --- shared ---
+
+
+def test_checkpoints_and_batches(spark):
+    class Conf(dict):
+        getAll = property(lambda self: dict(self))
+        set = dict.__setitem__
+
+    class Session:
+        conf = Conf()
+
+        class sparkContext:
+            master, getCheckpointDir = "spark://host:7077", staticmethod(lambda: None)
+
+    with pytest.raises(RuntimeError):
+        common.checkpoint_dir(Session)
+    Session.conf["spark.checkpoint.dir"] = "hdfs:///shared"
+    assert common.checkpoint_dir(Session) == "hdfs:///shared"
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    common.bounded_batches(Session)
+    assert Session.conf[name] == str(common.BATCH_BYTES)
+    Session.conf[name] = "1000"
+    common.bounded_batches(Session)
+    assert Session.conf[name] == "1000"
+    assert common.unused(["_ID", "_id_", "x"], "_id", "x", "y") == ["_id__", "x_", "y"]
+
+
 # --- pipeline ---
 
 
@@ -583,6 +847,61 @@ def test_pipeline_filters(spark):
     assert collections.Counter(i for i in ids if i is not None) == collections.Counter(kept) and ids.count(None) == 1
 
 
+def test_pipeline_by_brute_force(spark, tmp_path):
+    """All five stages on repeated rows, ties, nulls and copies: each stage's rows from the rows that the one before kept."""
+    import corpus_pipeline
+
+    rows, quality, toxic = labelled()
+    rows += [(200 + i, rows[i][1]) for i in range(20)] + [(5, rows[5][1]), (5, rows[5][1]), (6, rows[7][1]), (900, None), (901, ""), (None, rows[2][1]), (None, rows[2][1])]
+    mixed = lambda k: " ".join(x for i in range(k, k + 60, 3) if i % 4 != 1 for x in rows[i + (i % 3 == 0)][1].split()[k % 5 :: 5])
+    rows += [(300, f"{mixed(1)} password = abcdefghijkl12"), (301, f"{mixed(22)} {KEY} x"), (302, f"{mixed(43)} live Zz9Zz9Zz9Zz9Zz9Zz9Zz9Zz9 x"), (303, " ".join(rows[i][1] for i in range(160) if i % 3 and i % 4 != 1))]
+    d = str(tmp_path)
+    made(spark, rows).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(i, q, t) for (i, q), (_, t) in zip(quality, toxic, strict=True)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    told = lambda found: collections.Counter((r.doc_id, r.text) for r in found)
+    at, stage = docs, dict(corpus_pipeline.STAGES)
+
+    def step(name):
+        nonlocal at
+        out = stage[name](spark, at, d)
+        out.write.parquet(path := f"{d}/{name}")
+        before, at = at.collect(), spark.read.parquet(path)
+        return before, at.collect()
+
+    judge = toxicity.toxicity_model(docs, labels, corpus_pipeline.learns())
+    before, after = step("toxicity")
+    assert told(after) == told(r for r in before if judge.scores([(r.text or "").encode()])[0] < 0.5)
+    judge = compression_quality.quality_model(at, labels, corpus_pipeline.learns())
+    before, after = step("quality")
+    assert told(after) == told(r for r in before if judge.scores([(r.text or "").encode()])[0] >= 0.3)
+    before, after = step("near_duplicates")
+    root = dict((i, c) for i, _, c in brute_components([(r.doc_id, r.text) for r in before], 5, 80))
+    assert told(after) == told({(r.doc_id, r.text): r for r in before if r.doc_id is not None and root[r.doc_id] == r.doc_id}.values()) + told(r for r in before if r.doc_id is None)
+    assert len(after) < len(before) - 8
+    before, after = step("secrets")
+    want = collections.Counter()
+    for r in before:
+        x = (r.text or "").replace("password = abcdefghijkl12", "[SECRET]").replace(KEY, "[SECRET]").replace("Zz9" * 8, "[SECRET]")
+        want[r.doc_id, None if r.text is None else x] += 1
+    assert not [(x[0], x[1][-60:], n) for x, n in ((told(after) - want) + (want - told(after))).items()]
+    assert all(r.n_chars == len(r.text) for r in after if r.text) and told(after) != told(before)
+    before, after = step("packing")
+    tokens = bpe.codec(TOKENIZER)
+    whole = collections.Counter()
+    for r in after:
+        whole[r.doc_id] += r.n
+    want = collections.Counter()
+    for r in before:
+        want[r.doc_id] += len(tokens.encode(r.text or "")) + 1
+    assert whole == want
+    fill = collections.Counter()
+    for r in after:
+        fill[r.bin_id] += r.n
+    assert all(fill[r.bin_id] == r.bin_fill <= r.bin_size for r in after)
+    assert corpus_pipeline.run(spark, d).count() == len(after)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
