@@ -8,19 +8,22 @@ returns the packed pieces. Each is written as Parquet and read again before the
 3. near_duplicates: of each component of near duplicates (NEAR), the document with the least id stays. Documents with a
    null id stay.
 4. secrets: base-kind secrets and long tokens that look live are replaced by a mark; all documents stay.
-5. packing: the documents are packed into sequences of the permitted lengths.
-
-Empty tables go through all stages. n_chars follows the text where a stage changes it.
+5. packing: the documents are packed, by their BPE tokens and an end mark, into sequences of the permitted lengths.
+
+Defined results: null and empty texts are judged as empty ones, and packed as an end mark if they are kept; repeated rows
+share the verdicts of the first two stages, and of rows of one id and text one stays behind the third (all, where the id
+is null); equal texts under different ids leave the least id; very long texts go through whole; empty tables go
+through all stages; further columns are handed on up to the last stage, whatever their names. n_chars follows the text
+where a stage changes it. Folders of the stages are removed as soon as the next one is written, the last one with the
+application.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nightloom.llm import common, compression_quality, filters, jaccard_join, packing, secrets, toxicity
+from nightloom.llm import common, compression_quality, filters, jaccard_join, packing, queries, secrets, toxicity
 
 #: Near duplicates share 0.8 of their five-word shingles or more; op3's own contract (four words, 0.85) binds only its query.
 NEAR = jaccard_join.Rule(5, 80, 100)
@@ -50,7 +53,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.best_fit(docs)
+    return packing.best_fit(packing.bpe_counts(docs, queries.TOKENIZER))
 
 
 STAGES = [
@@ -65,9 +68,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
-    where = f"{common.checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for i, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(path := f"{where}/{i}-{name}")
-        docs = spark.read.parquet(path)
+    docs, before = common.table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES:
+        docs, path = common.stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            common.removed(spark, before)
+        before = path
     return docs
