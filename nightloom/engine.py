@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
@@ -33,6 +34,14 @@ def register_preprocessor(name: str, fn: Callable[[Column], Column]) -> None:
     PREPROCESSORS[name] = fn
 
 
+def imported(spec: str) -> object:
+    """What ``module:name`` names."""
+    module, _, name = spec.partition(":")
+    if not name:
+        raise ValueError(f"{spec} is not of the form module:name")
+    return getattr(importlib.import_module(module), name)
+
+
 def register_loss(name: str, fn: Callable[[Column, Column], Column]) -> None:
     LOSSES[name] = fn
 
@@ -56,7 +65,8 @@ class DatasetSource(ABC):
     def folds(self, subjects: DataFrame) -> DataFrame:
         """(subject_id, fold, split); by default a seeded random choice by subject."""
         spark = subjects.sparkSession
-        ids = [r[0] for r in subjects.select("subject_id").orderBy("subject_id").collect()]  # metadata: one row a record
+        # The ids are metadata, one a record: the draw is the same as numpy's on one machine, and as small.
+        ids = [r[0] for r in subjects.select("subject_id").orderBy("subject_id").collect()]
         return spark.createDataFrame([(i, 0, s) for i, s in zip(ids, splits.random_split(len(ids)), strict=True)], "subject_id int, fold int, split string")
 
 
@@ -86,7 +96,9 @@ def ingest(spark: SparkSession, source: DatasetSource, path: str, preprocessors:
     kept = epochs.join(labels.select("subject_id", "epoch_idx"), ["subject_id", "epoch_idx"], "left_semi")
     sinks.write_epochs(kept.select(name.alias("dataset"), "subject_id", "epoch_idx", "channel", "samples"), f"{path}/epochs")
     epochs = spark.read.parquet(f"{path}/epochs").where(F.col("dataset") == source.name)
-    table = sequences.subject_table(labels).join(records.drop("num_windows"), "subject_id", "left")
+    others = [c for c in records.columns if c not in ("subject_id", "num_windows")]
+    named = records.groupBy("subject_id").agg(F.min(F.struct(*others)).alias("_r")).select("subject_id", "_r.*")  # of several recordings, the first
+    table = sequences.subject_table(labels).join(named, "subject_id", "left")
     sinks.write_table(source.customise(table).withColumn("dataset", name), f"{path}/subjects", "dataset")
     folds = source.folds(table)
     sinks.write_table(folds.withColumn("dataset", name), f"{path}/folds", "dataset")
@@ -140,16 +152,62 @@ class EpochDataset:
         out = rows.groupBy("record", "rel_idx").agg(F.array_sort(F.collect_list(F.struct("off", "stage"))).alias("s")).select("record", "rel_idx", F.transform("s", lambda x: x["stage"]).alias("stages"))
         return out if self.target is None else out.withColumn("y", self.target(F.col("stages")))
 
+    def samples(self, split: str) -> DataFrame:
+        """(record, rel_idx, stages, x): training sequences with their epochs, x[epoch][channel][sample]. Positions beyond the
+        record are zeros, standardised like the rest."""
+        own = self.wide(split)
+        index = sequences.sequences(self.labels().join(self.split(split), list(self._key), "left_semi"), self.sequence_length, "record")
+        pad = self._pad().select(F.col("x").alias("_pad"))
+        rows = index.join(own, ["record", "epoch_idx"], "left").crossJoin(F.broadcast(pad)).withColumn("x", F.coalesce("x", "_pad"))
+        out = rows.groupBy("record", "rel_idx").agg(F.array_sort(F.collect_list(F.struct("off", "stage", "x"))).alias("s"))
+        out = out.select("record", "rel_idx", F.transform("s", lambda e: e["stage"]).alias("stages"), F.transform("s", lambda e: e["x"]).alias("x"))
+        return out if self.target is None else out.withColumn("y", self.target(F.col("stages")))
+
+    def night_samples(self, split: str) -> DataFrame:
+        """(record, stages, x): whole records for validation and test, one row each."""
+        rows = self.labels().join(self.split(split), list(self._key), "left_semi").select("record", "epoch_idx", "stage").join(self.wide(split), ["record", "epoch_idx"])
+        out = rows.groupBy("record").agg(F.array_sort(F.collect_list(F.struct("epoch_idx", "stage", "x"))).alias("s"))
+        return out.select("record", F.transform("s", lambda e: e["stage"]).alias("stages"), F.transform("s", lambda e: e["x"]).alias("x"))
+
+    def loaders(self) -> dict[str, DataFrame]:
+        """What a training run reads: sequences to train on, whole nights to validate and test on."""
+        return {"train": self.samples("train"), "valid": self.night_samples("valid"), "test": self.night_samples("test")}
+
+    def wide(self, split: str) -> DataFrame:
+        """(record, epoch_idx, x): an epoch's standardised channels in the caller's order; epochs without all of them are left out."""
+        own = self.signal(split).withColumn("record", F.concat_ws("/", "dataset", F.col("subject_id").cast("string")))
+        rows = own.groupBy("record", "epoch_idx").agg(F.array_sort(F.collect_list(F.struct("channel_idx", "samples"))).alias("c"))
+        return rows.where(F.size("c") == len(self.selected_channels)).select("record", F.col("epoch_idx").cast("int").alias("epoch_idx"), F.transform("c", lambda e: e["samples"]).alias("x"))
+
+    def _pad(self) -> DataFrame:
+        """One row: the epoch of zeros, standardised with the statistics of the first data set."""
+        stats = scaling.packed(self.tables.scaling.where((F.col("prep") == self.prep) & (F.col("dataset") == self.datasets[0])), ["channel"])
+        own = channels.select_channels(stats, self.selected_channels).withColumn("z", scaling.standardised(F.transform("mean", lambda m: F.lit(0.0)), F.col("mean"), F.col("std")))
+        return own.agg(F.array_sort(F.collect_list(F.struct("channel_idx", "z"))).alias("c")).select(F.transform("c", lambda e: e["z"]).alias("x"))
+
     def nights(self, split: str) -> DataFrame:
         return sequences.whole_records(self.labels().join(self.split(split), list(self._key), "left_semi"), "record")
 
     def signal(self, split: str) -> DataFrame:
-        """Standardised epochs of the chosen channels, in the caller's order."""
-        own = channels.select_channels(self.tables.epochs.where(F.col("dataset").isin(*self.datasets)), self.selected_channels).join(self.split(split), list(self._key), "left_semi")
+        """Standardised epochs of the chosen channels, in the caller's order: samples, or a preprocessor's spectra as one array."""
+        if self.prep == "raw":
+            epochs = self.tables.epochs
+        else:
+            epochs = getattr(self.tables, f"spectra_{self.prep}").withColumn("samples", F.flatten("spec")).drop("spec")
+        own = channels.select_channels(epochs.where(F.col("dataset").isin(*self.datasets)), self.selected_channels).join(self.split(split), list(self._key), "left_semi")
         stats = scaling.packed(self.tables.scaling.where(F.col("prep") == self.prep), ["dataset", "channel"])
         return own.join(F.broadcast(stats), ["dataset", "channel"]).withColumn("samples", scaling.standardised(F.col("samples"), F.col("mean"), F.col("std"))).drop("mean", "std")
 
 
+def zipped(split: str, **views: EpochDataset) -> DataFrame:
+    """(record, rel_idx, stages, one column of samples for each view): the same sequences under several preprocessings."""
+    out = None
+    for name, view in views.items():
+        own = view.samples(split).withColumnRenamed("x", name)
+        out = own if out is None else out.join(own.drop("stages", "y"), ["record", "rel_idx"])
+    return out
+
+
 def evaluate(preds: DataFrame, by: Sequence[str] = ("dataset",), y: str = "y", p: str = "p", record: str = "subject_id") -> DataFrame:
     """One row for each data set: metrics of each record, averaged, next to the pooled ones."""
     each = metrics.classification(preds, [*by, record], y, p)
@@ -173,18 +231,59 @@ def prototype_report(rows: DataFrame, codes: int, classes: int = 5, record: str
     }
 
 
-def load_model(spark: SparkSession, name: str, sequence_length: int, in_channels: int) -> str:
-    """The checkpoint of a registered model; fails where there is none."""
+def load_model(spark: SparkSession, name: str, sequence_length: int, in_channels: int, models_: dict[str, Callable[..., models.Model]] | None = None) -> models.Model | str:
+    """A registered model: what fits or reads it, or its checkpoint's name where ``models_`` has none; fails where there is none."""
     found = models.lookup(models.registry(spark), name, sequence_length, in_channels).select("checkpoint").head(1)
     if not found:
         raise KeyError(f"no model {name} for {sequence_length} epochs and {in_channels} channels")
-    return found[0][0]
+    make = (models_ or {}).get(name)
+    return found[0][0] if make is None else make(found[0][0])
+
+
+def preprocess(spark: SparkSession, args: argparse.Namespace) -> Tables:
+    """Ingests a data set by name, or by the class that --source names. Options of a YAML file come before those given here."""
+    from nightloom.sources import datasets
+
+    options = {"dataset": args.dataset, "data_folder": args.data_folder, "output": args.output, "source": args.source, "preprocessors": args.preprocessors, "source_kwargs": {}}
+    if args.config is not None:
+        import yaml
+
+        with open(args.config, encoding="utf-8") as f:
+            options |= yaml.safe_load(f) or {}
+    kind = datasets.SOURCES.get(options["dataset"]) if options["source"] is None else imported(options["source"])
+    if kind is None:
+        raise KeyError(f"no data set {options['dataset']}; there are {', '.join(sorted(datasets.SOURCES))}")
+    names = []
+    for spec in options["preprocessors"] or ():
+        name = spec.partition(":")[2] or spec
+        if ":" in spec:
+            register_preprocessor(name, imported(spec))
+        names.append(name)
+    return ingest(spark, kind(options["data_folder"], **options["source_kwargs"]), options["output"], names)
+
+
+def compress(spark: SparkSession, path: str, output: str, fold: int = 0, half: Sequence[str] = ("shhs",)) -> None:
+    """Bundles of all data sets' epochs by split; those of the data sets named in ``half`` in half precision."""
+    tables = Tables(spark, path)
+    sinks.write_bundle(tables.epochs, tables.folds, output, fold=fold, half=half)
 
 
 def main(argv: Sequence[str] | None = None) -> None:
-    """Command line: evaluate a table of predictions, or look a model up."""
+    """Command line: ingest a data set, bundle it, evaluate a table of predictions, or look a model up."""
     parser = argparse.ArgumentParser(prog="nightloom")
     commands = parser.add_subparsers(dest="command", required=True)
+    take = commands.add_parser("preprocess", help="ingest a data set")
+    take.add_argument("-d", "--dataset")
+    take.add_argument("-df", "--data-folder", dest="data_folder")
+    take.add_argument("-o", "--output")
+    take.add_argument("-s", "--source", help="module:Class of a source of one's own")
+    take.add_argument("-p", "--preprocessors", nargs="*", default=(), help="names, or module:function")
+    take.add_argument("-c", "--config", help="YAML file with these options and source_kwargs")
+    pack = commands.add_parser("compress", help="bundles by split")
+    pack.add_argument("tables")
+    pack.add_argument("output")
+    pack.add_argument("--fold", type=int, default=0)
+    pack.add_argument("--half", nargs="*", default=("shhs",))
     test = commands.add_parser("test", help="metrics of a Parquet table (dataset, subject_id, y, p)")
     test.add_argument("predictions")
     test.add_argument("--results", required=True)
@@ -197,7 +296,11 @@ def main(argv: Sequence[str] | None = None) -> None:
     from nightloom.session import session
 
     spark = session()
-    if args.command == "test":
+    if args.command == "preprocess":
+        preprocess(spark, args)
+    elif args.command == "compress":
+        compress(spark, args.tables, args.output, args.fold, args.half)
+    elif args.command == "test":
         preds = spark.read.parquet(args.predictions)
         sinks.write_report(evaluate(preds, () if args.aggregate else ("dataset",)), args.results)
     else:

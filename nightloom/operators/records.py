@@ -42,15 +42,21 @@ def validated(labels: DataFrame, low: int, high: int, stage: str = "stage") -> D
     return labels.where(F.when(ok, F.lit(True)).otherwise(F.raise_error(F.lit("stage out of range")).cast("boolean")))
 
 
+def by_hash(*key: str) -> Column:
+    """A fixed pseudo-random order of rows: a digest of their key as text, which other engines have too."""
+    return F.md5(F.concat_ws("/", *key).cast("binary"))
+
+
 def first_by_hash(rows: DataFrame, n: int, *key: str) -> DataFrame:
-    """n rows in the fixed order of a hash of their key: a sample that is the same everywhere."""
-    return rows.orderBy(F.crc32(F.concat_ws("/", *key).cast("binary")), *key).limit(n)
+    """n rows in the order of a hash of their key: a sample that is the same everywhere."""
+    return rows.orderBy(by_hash(*key), *key).limit(n)
 
 
 def shuffled_batches(rows: DataFrame, size: int, shards: int, *key: str) -> DataFrame:
     """batch and place of each row, in the order of a hash; numbered within shards, so that no task sorts everything."""
-    h = F.crc32(F.concat_ws("/", *key).cast("binary"))
-    ranked = rows.withColumn("shard", F.pmod(h, F.lit(shards))).withColumn("place", F.row_number().over(W.partitionBy("shard").orderBy(h, *key)) - 1)
+    h = by_hash(*key)
+    shard = F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(shards))
+    ranked = rows.withColumn("shard", shard).withColumn("place", F.row_number().over(W.partitionBy("shard").orderBy(h, *key)) - 1)
     return ranked.withColumn("batch", F.expr(f"place div {size}"))
 
 

@@ -37,13 +37,17 @@ def rank_folds(subjects: DataFrame, order: Column, train: float = 0.7, test: flo
 
 
 def leave_one_out(subjects: DataFrame, record: str = "subject_id") -> DataFrame:
-    """Fold i validates on person i and tests on the next one; the rest trains. As many rows as persons squared."""
-    ranked = subjects.select(record).distinct().withColumn("i", F.row_number().over(W.orderBy(record)) - 1)
-    n = ranked.agg(F.count("*").alias("n"))
-    folds = ranked.select(F.col("i").alias("fold"))
-    out = ranked.crossJoin(F.broadcast(n)).crossJoin(F.broadcast(folds))
-    split = F.when(F.col("i") == F.col("fold"), "valid").when(F.col("i") == (F.col("fold") + 1) % F.col("n"), "test").otherwise("train")
-    return out.select(record, "fold", split.alias("split"))
+    """(record, valid_fold, test_fold): fold i validates on person i and tests on the next one, so each person validates in one
+    fold, tests in one, and trains in all others. As many rows as persons; ``one_fold`` expands a fold where it is read."""
+    ranked = subjects.select(record).distinct().withColumn("valid_fold", F.row_number().over(W.orderBy(record)) - 1)
+    n = ranked.agg(F.count("*").alias("_n"))
+    return ranked.crossJoin(F.broadcast(n)).select(record, "valid_fold", F.pmod(F.col("valid_fold") - 1, F.greatest(F.col("_n"), F.lit(1))).cast("int").alias("test_fold"))
+
+
+def one_fold(folds: DataFrame, fold: int, record: str = "subject_id") -> DataFrame:
+    """(record, fold, split) of one fold of leave_one_out()."""
+    split = F.when(F.col("valid_fold") == fold, "valid").when(F.col("test_fold") == fold, "test").otherwise("train")
+    return folds.select(record, F.lit(fold).alias("fold"), split.alias("split"))
 
 
 def stratified(subjects: DataFrame, group: str, k: int, order: Column, record: str = "subject_id") -> DataFrame:

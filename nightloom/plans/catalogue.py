@@ -28,13 +28,13 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
 
 
 def queries() -> dict[str, Query]:
-    from nightloom.plans import catalogue_records  # noqa: F401  adds its own
+    from nightloom.plans import catalogue_layers, catalogue_records, signals  # noqa: F401  they add their own
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from nightloom.plans import catalogue_records  # noqa: F401
+    from nightloom.plans import catalogue_layers, catalogue_records, signals  # noqa: F401
 
     return dict(SQL)
 
@@ -259,7 +259,7 @@ def fold_assignment(spark, d):
 
 
 @query(f"""WITH {SUBJ}, p AS (SELECT subject_id, row_number() OVER (ORDER BY subject_id) - 1 AS i, count(*) OVER () AS n FROM subj)
-SELECT a.subject_id, b.i AS fold, CASE WHEN a.i = b.i THEN 'valid' WHEN a.i = (b.i + 1) % a.n THEN 'test' ELSE 'train' END AS split FROM p a CROSS JOIN p b""")
+SELECT subject_id, i AS valid_fold, (i - 1 + n) % n AS test_fold FROM p""")
 def loso_folds(spark, d):
     return splits.leave_one_out(epochs(spark, d))
 
@@ -668,42 +668,7 @@ def pooled_and_stretched(spark, d):
     return vectors(spark, d).select("vec_id", "label", F.round(F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / 64, 6).alias("pooled"), F.round(F.get(x, F.lit(0)), 6).alias("first"), F.round(F.element_at(twice, 2) + F.element_at(twice, 64), 6).alias("stretched"))
 
 
-# --- signals: no SQL ---
-
-
-def _signals(spark, d):
-    return vectors(spark, d).select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
-
-
-@query()
-def log_spectrogram(spark, d):
-    own = _signals(spark, d).select("vec_id", dsp.log_spectrogram_column("x", 64.0, 32, 16, 64).alias("s"))
-    return own.select("vec_id", F.size("s").alias("frames"), F.size(F.get("s", F.lit(0))).alias("bins"), F.round(F.get(F.get("s", F.lit(0)), F.lit(3)), 4).alias("s03"))
-
-
-@query()
-def fir_bandpass(spark, d):
-    return _signals(spark, d).select("vec_id", dsp.fir_bandpass_column("x", 64.0, 0.3, 20.0, 15).alias("y"))
-
-
-@query()
-def fft_resample(spark, d):
-    return _signals(spark, d).select("vec_id", dsp.resample_column("x", 64.0, 100.0).alias("y"))
-
-
-@query()
-def butter_bandpass(spark, d):
-    return _signals(spark, d).select("vec_id", dsp.bandpass_column("x", 0.5, 20.0, 64.0).alias("y"))
-
-
-@query()
-def welch_psd(spark, d):
-    return _signals(spark, d).select("vec_id", dsp.welch_column("x", 64.0, 32).alias("y"))
-
-
-@query()
-def polyphase_resample(spark, d):
-    return _signals(spark, d).select("vec_id", dsp.polyphase_column("x", 25, 16).alias("y"))
+# --- iterative models: no SQL ---
 
 
 @query()
@@ -713,7 +678,7 @@ def mid_label_baseline(spark, d):
 
 @query()
 def kmeans_rand_index(spark, d):
-    return models.kmeans_rand(vectors(spark, d), range(2, 4))
+    return models.kmeans_rand(vectors(spark, d), range(2, 10))
 
 
 @query()

@@ -37,12 +37,13 @@ def label_range_check(spark, d):
     return records.validated(epochs(spark, d), 0, 4).agg(F.min("stage").alias("low"), F.max("stage").alias("high"), F.countDistinct("subject_id").alias("subjects"))
 
 
-@query()
+@query(f"WITH {EP} SELECT subject_id, epoch_idx, stage FROM ep ORDER BY md5(subject_id || '/' || epoch_idx), subject_id, epoch_idx LIMIT 4000")
 def visual_sample(spark, d):
     return records.first_by_hash(epochs(spark, d), 4000, "subject_id", "epoch_idx").select("subject_id", "epoch_idx", "stage")
 
 
-@query()
+@query(f"""WITH {EP}, h AS (SELECT subject_id, epoch_idx, md5(subject_id || '/' || epoch_idx) AS h FROM ep), s AS (SELECT *, ('0x' || substring(h, 1, 8))::BIGINT % 8 AS shard FROM h),
+r AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY h, subject_id, epoch_idx) - 1 AS place FROM s) SELECT subject_id, epoch_idx, shard, place // 32 AS batch, place FROM r""")
 def shuffled_batches(spark, d):
     return records.shuffled_batches(epochs(spark, d), 32, 8, "subject_id", "epoch_idx").select("subject_id", "epoch_idx", "shard", "batch", "place")
 

@@ -10,7 +10,8 @@ from pyspark.sql import Window as W
 
 from nightloom.operators import metrics, sequences, voting
 
-#: (name, sequence_length, in_channels, loss, checkpoint): an inline registry of the baselines that this engine can fit.
+#: (name, sequence_length, in_channels, loss, checkpoint): published networks that a user may bring, by their shape, and the
+#: baselines that this engine fits itself.
 REGISTRY = [
     ("chambon2018", 21, 1, "cel", "chambon2018-l21-c1"),
     ("chambon2018", 21, 3, "cel", "chambon2018-l21-c3"),
@@ -102,7 +103,7 @@ def kmeans_rand(vectors: DataFrame, ks: Sequence[int], seed: int = 42) -> DataFr
     rows = vectors.select("label", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
     out = None
     for k in ks:
-        found = KMeans(k=k, seed=seed, maxIter=5).fit(rows).transform(rows)
+        found = KMeans(k=k, seed=seed).fit(rows).transform(rows)
         one = metrics.rand_index(found, "prediction", "label").select(F.lit(k).alias("k"), F.round("ari", 4).alias("ari"))
         out = one if out is None else out.unionAll(one)
     return out

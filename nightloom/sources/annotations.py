@@ -1,7 +1,13 @@
-"""Readers of scoring files, each to (path, epoch_idx, stage) or to intervals. Plain Spark readers and expressions."""
+"""Readers of scoring files, each to (path, epoch_idx, stage) or to intervals. Plain Spark readers and expressions.
+
+A reader is a file scan and a parser of its own (``parse_...``): of whole texts (path, text), of lines, or of events. Where a
+path is asked for, ``Files`` names the files below a folder that match.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -14,37 +20,71 @@ LOG_STAGES = {"W": 0, "N1": 1, "N2": 2, "N3": 3, "R": 4, "NO STAGE": -1, "MVT":
 INTERVAL_STAGES = {"Wake": 0, "S1": 1, "S2": 2, "S3": 3, "REM": 4}
 
 
+@dataclass(frozen=True)
+class Files:
+    """Files below a folder whose names match."""
+
+    folder: str
+    glob: str
+
+
+def _load(reader, where: str | Files) -> DataFrame:
+    if isinstance(where, Files):
+        reader, where = reader.option("pathGlobFilter", where.glob), where.folder
+    return reader.option("recursiveFileLookup", "true").load(where)
+
+
 def _path() -> Column:
     return F.col("_metadata.file_path")
 
 
-def _numbered(spark: SparkSession, path: str, encoding: str = "UTF-8", **options: str) -> DataFrame:
-    """(path, n, line): lines of each file, numbered from 0. A scoring file is one row of its own, cut up afterwards."""
-    own = spark.read.format("binaryFile").options(**options).option("recursiveFileLookup", "true").load(path)
-    text = F.regexp_replace(F.decode("content", encoding), "\r\n", "\n")
-    return own.select("path", F.posexplode(F.split(text, "\n")).alias("n", "line")).where(F.length("line") > 0)
+def texts(spark: SparkSession, where: str | Files, encoding: str = "UTF-8") -> DataFrame:
+    """(path, text): whole files. A scoring file is one row, cut up afterwards."""
+    return _load(spark.read.format("binaryFile"), where).select("path", F.decode("content", encoding).alias("text"))
+
 
+def lines(files: DataFrame) -> DataFrame:
+    """(path, n, line): lines of each text that are not empty, numbered from 0 with those that are."""
+    text = F.regexp_replace("text", "\r\n", "\n")
+    return files.select("path", F.posexplode(F.split(text, "\n")).alias("n", "line")).where(F.length("line") > 0)
 
-def nsrr_xml(spark: SparkSession, path: str, epoch_s: int = 30) -> DataFrame:
+
+def nsrr_xml(spark: SparkSession, path: str | Files, epoch_s: int = 30) -> DataFrame:
     """Stages of ScoredEvent elements of type "Stages|Stages": the number behind the last bar, once for each epoch."""
-    own = spark.read.format("xml").option("rowTag", "ScoredEvent").schema("EventType string, EventConcept string, Start double, Duration double").load(path).select(_path().alias("path"), "*")
-    own = own.where(F.col("EventType") == "Stages|Stages").withColumn("stage", F.element_at(F.split("EventConcept", r"\|"), -1).cast("int"))
-    whole = F.when(F.col("Duration") % epoch_s == 0, (F.col("Start") / epoch_s).cast("int")).otherwise(F.raise_error(F.lit("a stage does not last whole epochs")).cast("int"))
-    own = own.select("path", "stage", whole.alias("first"), (F.col("Duration") / epoch_s).cast("int").alias("n"))
+    own = _load(spark.read.format("xml").option("rowTag", "ScoredEvent").schema("EventType string, EventConcept string, Start double, Duration double"), path)
+    return parse_events(own.select(_path().alias("path"), "EventType", "EventConcept", "Start", "Duration"), epoch_s)
+
+
+def parse_events(events: DataFrame, epoch_s: int = 30) -> DataFrame:
+    """Fails where a stage does not last whole epochs, or where the end of the last stage is not that of the last epoch."""
+    own = events.where(F.col("EventType") == "Stages|Stages").withColumn("stage", F.element_at(F.split("EventConcept", r"\|"), -1).cast("int"))
+    w = W.partitionBy("path")
+    whole = F.col("Duration") % epoch_s == 0
+    ends = F.max(F.col("Start") + F.col("Duration")).over(w) == F.sum("Duration").over(w)
+    first = F.when(~whole, F.raise_error(F.lit("a stage does not last whole epochs")).cast("int")).when(~ends, F.raise_error(F.lit("the epochs do not end with the last event")).cast("int")).otherwise((F.col("Start") / epoch_s).cast("int"))
+    own = own.select("path", "stage", first.alias("first"), (F.col("Duration") / epoch_s).cast("int").alias("n"))
     return hypnogram.expand_intervals(own, "first", "n").select("path", "epoch_idx", "stage")
 
 
-def rodent_tsv(spark: SparkSession, path: str, skip: int = 10, column: int = 4) -> DataFrame:
+def rodent_tsv(spark: SparkSession, path: str | Files, skip: int = 10, column: int = 4) -> DataFrame:
     """Stage codes in a column of a tab-separated file behind a preamble of nine lines and a header; unknown codes are 3."""
-    own = _numbered(spark, path).where(F.col("n") >= skip)
+    return parse_rodent(lines(texts(spark, path)), skip, column)
+
+
+def parse_rodent(own: DataFrame, skip: int = 10, column: int = 4) -> DataFrame:
     code = F.try_element_at(F.split("line", "\t"), F.lit(column + 1)).try_cast("int")
     stage = hypnogram.recode(code, hypnogram.RODENT_CODES, 3)
-    return own.select("path", (F.row_number().over(W.partitionBy("path").orderBy("n")) - 1).alias("epoch_idx"), stage.alias("stage"))
+    return own.where(F.col("n") >= skip).select("path", (F.row_number().over(W.partitionBy("path").orderBy("n")) - 1).alias("epoch_idx"), stage.alias("stage"))
 
 
-def run_length_csv(spark: SparkSession, path: str, epoch_s: int = 30) -> DataFrame:
+def run_length_csv(spark: SparkSession, path: str | Files, epoch_s: int = 30) -> DataFrame:
     """start, length, stage in seconds without a header: the most frequent stage of each epoch, wake where none is given."""
-    own = spark.read.schema("start int, length int, code string").csv(path).select(_path().alias("path"), "start", "length", hypnogram.recode(F.col("code"), hypnogram.LETTERS, 0).alias("stage"))
+    return parse_run_length(lines(texts(spark, path)), epoch_s)
+
+
+def parse_run_length(own: DataFrame, epoch_s: int = 30) -> DataFrame:
+    cells = F.split("line", ",")
+    own = own.select("path", F.trim(F.get(cells, F.lit(0))).try_cast("int").alias("start"), F.trim(F.get(cells, F.lit(1))).try_cast("int").alias("length"), hypnogram.recode(F.trim(F.get(cells, F.lit(2))), hypnogram.LETTERS, 0).alias("stage"))
     seconds = hypnogram.expand_intervals(own, "start", "length", "second").withColumn("epoch_idx", F.expr(f"second div {epoch_s}"))
     scored = seconds.groupBy("path", "epoch_idx", "stage").agg(F.count("*").alias("n"))
     missing = scored.groupBy("path", "epoch_idx").agg((epoch_s - F.sum("n")).alias("n")).where("n > 0").select("path", "epoch_idx", F.lit(0).alias("stage"), "n")
@@ -53,9 +93,13 @@ def run_length_csv(spark: SparkSession, path: str, epoch_s: int = 30) -> DataFra
     return counts.groupBy("path", "epoch_idx").agg((-best["rank"]).cast("int").alias("stage"))
 
 
-def stage_txt(spark: SparkSession, path: str) -> DataFrame:
+def stage_txt(spark: SparkSession, path: str | Files) -> DataFrame:
     """epoch, stage code lines, perhaps under a header; epochs are counted from the first."""
-    own = _numbered(spark, path).withColumn("cells", F.split("line", r"\t"))
+    return parse_stages(lines(texts(spark, path)))
+
+
+def parse_stages(own: DataFrame) -> DataFrame:
+    own = own.withColumn("cells", F.split("line", r"\t"))
     own = own.select("path", F.get("cells", F.lit(0)).try_cast("int").alias("epoch"), F.get("cells", F.lit(1)).try_cast("int").alias("code")).where("epoch IS NOT NULL")
     first = F.min("epoch").over(W.partitionBy("path"))
     return own.select("path", (F.col("epoch") - first).alias("epoch_idx"), hypnogram.recode(F.col("code"), TXT_STAGES, -1).alias("stage"))
@@ -66,10 +110,14 @@ def _seconds(text: Column) -> Column:
     return part(1) * 3600 + part(2) * 60 + part(3)
 
 
-def event_log(spark: SparkSession, path: str, epoch_s: float = 30.0, encoding: str = "ISO-8859-1") -> DataFrame:
+def event_log(spark: SparkSession, path: str | Files, epoch_s: float = 30.0, encoding: str = "ISO-8859-1") -> DataFrame:
     """Stages from the change points of an event log, from START RECORDING to its last line; times up to noon are of the
     next day. Epochs before the first stage are unscored (-1)."""
-    own = _numbered(spark, path, encoding).select("path", "n", F.split("line", "\t").alias("c"))
+    return parse_log(lines(texts(spark, path, encoding)), epoch_s)
+
+
+def parse_log(own: DataFrame, epoch_s: float = 30.0) -> DataFrame:
+    own = own.select("path", "n", F.split("line", "\t").alias("c"))
     own = own.select("path", "n", _seconds(F.trim(F.get("c", F.lit(0)))).alias("s"), F.trim(F.get("c", F.lit(1))).alias("text")).where("s IS NOT NULL")
     own = own.withColumn("s", F.when(F.col("s") < 13 * 3600, F.col("s") + 86400).otherwise(F.col("s")))
     w = W.partitionBy("path")
@@ -83,20 +131,36 @@ def event_log(spark: SparkSession, path: str, epoch_s: float = 30.0, encoding: s
     return hypnogram.expand_intervals(marks.withColumn("first", before), "first", "len").select("path", "epoch_idx", "stage")
 
 
-def rat_csv(spark: SparkSession, path: str, scorer: int = 1) -> DataFrame:
+def rat_csv(spark: SparkSession, path: str | Files, scorer: int = 1) -> DataFrame:
     """Letters of one of two scorers, one epoch a line; others are 3."""
-    own = _numbered(spark, path)
+    return parse_letters(lines(texts(spark, path)), scorer)
+
+
+def parse_letters(own: DataFrame, scorer: int = 1) -> DataFrame:
     letter = F.trim(F.get(F.split("line", ","), F.lit(scorer)))
     return own.select("path", F.col("n").alias("epoch_idx"), hypnogram.recode(letter, hypnogram.RAT_LETTERS, 3).alias("stage"))
 
 
-def interval_tsv(spark: SparkSession, path: str, skip: int = 0, lights: bool = True, strict: bool = False, epoch_s: int | None = None) -> DataFrame:
+def interval_tsv(spark: SparkSession, path: str | Files, skip: int = 0, lights: bool = True, strict: bool = False, epoch_s: int | None = None) -> DataFrame:
     """start, end, label lines, one epoch each (or, with ``epoch_s``, as many as the line lasts). With ``lights``, from behind
     lights-off and without the last line. Unknown labels are -1; with ``strict`` they fail."""
-    own = _numbered(spark, path).where(F.col("n") >= skip).withColumn("c", F.split("line", "\t"))
+    return parse_intervals(lines(texts(spark, path)), skip, lights, strict, epoch_s)
+
+
+def scored_intervals(own: DataFrame, skip: int = 0, lights: bool = True) -> DataFrame:
+    """(path, n, start, end, label) of the lines that are scored."""
+    own = own.where(F.col("n") >= skip).withColumn("c", F.split("line", "\t"))
     own = own.select("path", "n", F.get("c", F.lit(0)).try_cast("double").alias("start"), F.get("c", F.lit(1)).try_cast("double").alias("end"), F.trim(F.get("c", F.lit(2))).alias("label"))
-    if lights:
-        own = hypnogram.after_lights_off(own, ["path"], "n")
+    return hypnogram.after_lights_off(own, ["path"], "n") if lights else own
+
+
+def scored_span(own: DataFrame, skip: int = 0, lights: bool = True) -> DataFrame:
+    """(path, start_s, end_s): the part of the recording that is scored, to which ``edf.samples`` and ``read_epochs`` crop it."""
+    return scored_intervals(own, skip, lights).groupBy("path").agg(F.min_by("start", "n").alias("start_s"), F.max_by("end", "n").alias("end_s"))
+
+
+def parse_intervals(own: DataFrame, skip: int = 0, lights: bool = True, strict: bool = False, epoch_s: int | None = None) -> DataFrame:
+    own = scored_intervals(own, skip, lights)
     stage = hypnogram.recode(F.col("label"), INTERVAL_STAGES, None if strict else -1)
     if strict:
         stage = F.coalesce(stage, F.raise_error(F.concat(F.lit("unknown stage "), F.col("label"))).cast("int"))
@@ -123,8 +187,13 @@ def paired(recordings: DataFrame, scorings: DataFrame, strip: str = r"(-nsrr)?(\
 
 def discover(spark: SparkSession, path: str, glob: str, contains: str = "") -> DataFrame:
     """Paths below a folder that match; sorted numbers make record ids the same everywhere."""
-    own = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).select("path").where(F.col("path").contains(contains))
-    return own.withColumn("subject_id", F.row_number().over(W.orderBy("path")) - 1)
+    own = _load(spark.read.format("binaryFile"), Files(path, glob)).select("path").where(F.col("path").contains(contains))
+    return numbered(own, "path")
+
+
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """Dense numbers in an order; one row a record, so one task numbers them."""
+    return rows.withColumn("subject_id", F.row_number().over(W.orderBy(*order)) - 1)
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:

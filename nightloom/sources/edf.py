@@ -84,29 +84,40 @@ def _mapped(found: DataFrame, fn, schema: str, kinds: list[pa.DataType]) -> Data
 
 
 def read_headers(spark: SparkSession, path: str, glob: str = "*.edf") -> DataFrame:
-    """One row per file and signal."""
+    """One row per file and signal. Only the start of each file goes to Python: a header is 256 bytes, and as many for each signal."""
 
     def fn(name: str, data: bytes) -> list[tuple]:
         h = header(data)
         return [(name, i, s["label"], s["rate"], s["unit"], h["records"], h["duration"]) for i, s in enumerate(h["signals"])]
 
-    return _mapped(files(spark, path, glob), fn, "path string, signal int, label string, rate double, unit string, records long, record_s double", [pa.string(), pa.int32(), pa.string(), pa.float64(), pa.string(), pa.int64(), pa.float64()])
+    size = F.coalesce(F.trim(F.decode(F.substring("content", 253, 4), "US-ASCII")).try_cast("int"), F.lit(0)) * 256 + 256
+    return _mapped(files(spark, path, glob).select("path", F.substring(F.col("content"), F.lit(1), size).alias("content")), fn, "path string, signal int, label string, rate double, unit string, records long, record_s double", [pa.string(), pa.int32(), pa.string(), pa.float64(), pa.string(), pa.int64(), pa.float64()])
 
 
-def read_epochs(spark: SparkSession, path: str, channels: Sequence[str], epoch_s: float = 30.0, glob: str = "*.edf") -> DataFrame:
-    """(path, label, rate, epoch_idx, samples) of the channels whose label is named; whole epochs only."""
-    wanted = set(channels)
+def read_epochs(spark: SparkSession, path: str, channels: Sequence[str], epoch_s: float = 30.0, glob: str = "*.edf", spans: DataFrame | None = None) -> DataFrame:
+    """(path, label, rate, epoch_idx, samples) of the channels whose label is named; whole epochs only, a batch for each
+    channel. ``spans`` (path, start_s, end_s): the part of each file that is read; other files are left out."""
+    wanted, kinds = set(channels), "path string, label string, rate double, epoch_idx int, samples array<float>"
 
-    def fn(name: str, data: bytes) -> list[tuple]:
-        h, out = header(data), []
-        for k, s in enumerate(h["signals"]):
-            if s["label"] in wanted:
-                x = samples(data, h, k).astype(np.float32)
-                width = int(round(epoch_s * s["rate"]))
-                out += [(name, s["label"], s["rate"], i, x[i * width : (i + 1) * width].tolist()) for i in range(len(x) // width)]
-        return out
-
-    return _mapped(files(spark, path, glob), fn, "path string, label string, rate double, epoch_idx int, samples array<float>", [pa.string(), pa.string(), pa.float64(), pa.int32(), pa.list_(pa.float32())])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, data, start, stop in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
+                h = header(data)
+                for k, s in enumerate(h["signals"]):
+                    if s["label"] not in wanted:
+                        continue
+                    x, width = samples(data, h, k, start or 0.0, stop).astype(np.float32), int(round(epoch_s * s["rate"]))
+                    n = len(x) // width
+                    arrays = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(x[: n * width]))
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), pa.array([s["label"]] * n, pa.string()), pa.array([s["rate"]] * n, pa.float64()), pa.array(np.arange(n), pa.int32()), arrays], names=["path", "label", "rate", "epoch_idx", "samples"])
+
+    found = files(spark, path, glob)
+    if spans is None:
+        own = found.select("path", "content", F.lit(0.0).alias("start_s"), F.lit(None).cast("double").alias("end_s"))
+    else:
+        key = lambda c: F.element_at(F.split(c, "/"), -1)
+        own = found.join(F.broadcast(spans.select(key("path").alias("_f"), "start_s", "end_s")), key("path") == F.col("_f")).select("path", "content", "start_s", "end_s")  # one row a file
+    return own.mapInArrow(run, kinds)
 
 
 def read_annotations(spark: SparkSession, path: str, glob: str = "*.edf") -> DataFrame:
@@ -137,10 +148,11 @@ def write(path: str, signals: list[tuple[str, float, np.ndarray]], notes: list[t
         blocks[min(int(onset / record_s), n - 1)].append(b"+%g\x15%g\x14%s\x14\0" % (onset, length, text.encode()))
     notes_width = max(len(b"".join(b)) for b in blocks) // 2 + 1
     heads = [(label, w, x.min(), x.max()) for label, w, x in own] + [(ANNOTATIONS, notes_width, -1, 1)]
+    number = lambda v: f"{v:.6g}" if len(f"{v:.6g}") <= 8 else f"{v:.8f}"[:8]
     pad = lambda v, k: str(v)[:k].ljust(k).encode("latin-1")
     head = pad(0, 8) + pad("X", 80) + pad("X", 80) + pad("01.01.01", 8) + pad("00.00.00", 8) + pad(256 * (len(heads) + 1), 8) + pad("EDF+C", 44) + pad(n, 8) + pad(record_s, 8) + pad(len(heads), 4)
     columns = {
-        "label": [h[0] for h in heads], "transducer": [""] * len(heads), "unit": ["uV"] * len(heads), "physical_min": [f"{h[2]:.6g}" for h in heads], "physical_max": [f"{h[3] if h[3] > h[2] else h[2] + 1:.6g}" for h in heads],
+        "label": [h[0] for h in heads], "transducer": [""] * len(heads), "unit": ["uV"] * len(heads), "physical_min": [number(h[2]) for h in heads], "physical_max": [number(h[3] if h[3] > h[2] else h[2] + 1) for h in heads],
         "digital_min": [-32768] * len(heads), "digital_max": [32767] * len(heads), "filter": [""] * len(heads), "samples": [h[1] for h in heads], "reserved": [""] * len(heads),
     }
     head += b"".join(pad(v, width) for name, width in FIELDS for v in columns[name])

@@ -94,7 +94,9 @@ def test_splits(spark):
     assert [splits.random_split(20).count(s) for s in ("train", "test", "valid")] == [14, 3, 3]
     assert [splits.random_split(10).count(s) for s in ("train", "test", "valid")] == [7, 1, 2]
     people = spark.createDataFrame([("A",), ("B",), ("C",)], "subject_id string")
-    got = {(r.fold, r.subject_id): r.split for r in splits.leave_one_out(people).collect()}
+    table = splits.leave_one_out(people)
+    got = {(r.fold, r.subject_id): r.split for k in range(3) for r in splits.one_fold(table, k).collect()}
+    assert table.count() == 3
     assert got[0, "A"] == "valid" and got[0, "B"] == "test" and got[0, "C"] == "train" and got[2, "C"] == "valid" and got[2, "A"] == "test"
     folds = splits.greedy_by_duration([(i, 100) for i in range(20)], 4)
     for kind in ("test", "valid"):
