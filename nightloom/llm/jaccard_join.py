@@ -18,12 +18,15 @@ Sets with equal shingles are one node from the start. Nodes with a signature in
   room for differences, and one. Pairs in different components that do become candidates.
 
 Signatures of many documents are combined within each batch of the scan, so that one of a third of all documents reaches
-its reducer as a few rows. All candidates are verified on their whole texts' shingles. So components are exact, and
+its reducer as a few rows. Members of a bucket that holds more than one in ``HOT_SHARE`` of all members meet its hub where
+they are: there are fewer than HOT_SHARE such buckets, whatever the input, so these hubs are broadcast and no bucket is
+one task's work. All candidates are verified on their whole texts' shingles. So components are exact, and
 their number of candidates does not grow with the square of a group of copies.
 
 Defined results: null and empty texts and texts without words have no shingles, no links, and their own id as component;
-a null id links nothing and has a null component; repeated rows each return; an empty table gives no rows; columns other
-than id and text are never read. Shingles are told apart by 64-bit hashes.
+a null id links nothing and has a null component; repeated rows each return; of equally good hubs the one with the larger
+hash is taken; very long texts count with all their shingles; an empty table gives no rows; columns other than id and
+text are never read. Shingles are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -54,6 +57,9 @@ class Rule(NamedTuple):
 RULE = Rule()
 SMALL_BUCKET = 6
 LOCAL_BUCKET = 64
+HOT_SHARE = 10_000
+#: Shingles of the documents for each task that gathers signatures.
+TASK_SHINGLES = 2_000_000
 _A = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = [np.uint64(pow(0x9E3779B97F4A7C15, i, 1 << 64)) for i in range(64)]
 
@@ -353,6 +359,19 @@ def unsettled(members: DataFrame, kinds: DataFrame, rule: Rule = RULE) -> DataFr
     return common.cut(banded.join(needy, ["node", "band"]).select("sig", "node", "hot"))
 
 
+def hot_signatures(members: DataFrame) -> DataFrame:
+    """Signatures of more than one in HOT_SHARE of the members: fewer than HOT_SHARE rows."""
+    sizes = common.cut(members.groupBy("sig").agg(F.count("*").alias("n")))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    return sizes.where(F.col("n") * HOT_SHARE > total).select("sig")
+
+
+def by_signature(rows: DataFrame, one: DataFrame, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """Joins rows to a table with one row a signature; rows of hot signatures are not moved."""
+    few = one.join(F.broadcast(hot), "sig", "left_semi")
+    return rows.join(F.broadcast(few), "sig", how).unionAll(rows.join(F.broadcast(hot), "sig", "left_anti").join(one.join(F.broadcast(hot), "sig", "left_anti"), "sig", how))
+
+
 def least_common(x: Column, y: Column, rule: Rule = RULE) -> Column:
     """The least intersection of similar sets of sizes x and y; with a y of 0, of one of size x and the smallest it may meet."""
     both = F.when(y > 0, x + y)
@@ -400,7 +419,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     rows = signed(docs, id_col, text_col, rule)
     by = F.when(F.col("kind") >= EDGE, F.xxhash64("x", "y")).otherwise(F.col("x"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(own.agg(F.sum("n")).first()[0] or 0) // TASK_SHINGLES))
     found = common.written(bucketed(rows.withColumn("by", by).repartition(parts, "by").drop("by").sortWithinPartitions("x", "y", "kind")), "buckets")
 
     size = lambda side: kinds.select(F.col("node").alias(f"_n{side}"), F.col("n").alias(f"_s{side}"))
@@ -411,27 +430,32 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     edges = found.where(F.col("kind") == EDGE).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
     members = unsettled(found.where(F.col("kind") == MEMBER).select(F.col("x").alias("sig"), F.col("y").alias("node")).distinct(), kinds, rule)
-    hubs = members.groupBy("sig").agg(F.max(F.struct("hot", "node")).alias("_h")).select("sig", F.col("_h.node").alias("hub"))
-    first = members.join(hubs, "sig").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+    crowds = common.cut(hot_signatures(members))
+    hubs = common.cut(members.groupBy("sig").agg(F.max(F.struct("hot", "node")).alias("_h")).select("sig", F.col("_h.node").alias("hub")))
+    first = by_signature(members, hubs, crowds).where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
     pairs = common.cut(sized(edges.unionAll(first).distinct()))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionAll(members.select("node")).distinct()
     texts = common.written(_texts_of(docs, wanted.join(kinds.select("node", "doc_id"), "node"), id_col, text_col, rule), "texts")
     links = common.cut(verified(pairs, texts, rule))
     roots = components(links)
 
-    rooted = lambda: members.join(roots, "node", "left").select("sig", "node", "hot", F.coalesce("root", "node").alias("root"))
-    of_hub = hubs.join(roots, F.col("hub") == F.col("node"), "left").select(F.col("sig").alias("_sig"), F.coalesce("root", "hub").alias("_root"))
-    others = rooted().join(of_hub, F.col("sig") == F.col("_sig")).where("root <> _root").select("sig", "node", "hot")
+    def rooted() -> DataFrame:
+        return common.cut(members.join(roots, "node", "left").select("sig", "node", "hot", F.coalesce("root", "node").alias("root")))
+
+    here = rooted()
+    of_hub = hubs.join(roots, F.col("hub") == F.col("node"), "left").select("sig", F.coalesce("root", "hub").alias("_root"))
+    others = common.cut(by_signature(here, of_hub, crowds).where("root <> _root").select("sig", "node", "hot"))
     again = others.groupBy("sig").agg(F.max(F.struct("hot", "node")).alias("_h")).select("sig", F.col("_h.node").alias("hub"))
-    second = others.join(again, "sig").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    second = by_signature(others, again, crowds).where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     second_links = common.cut(verified(sized(second), texts, rule))
     if not second_links.isEmpty():
         links = links.unionAll(second_links)
         roots = components(links)
+        here = rooted()
 
-    rest = common.cut(rooted().select("sig", "node", "root"))
+    rest = here.select("sig", "node", "root")
     mixed = rest.groupBy("sig").agg(F.min("root").alias("_l"), F.max("root").alias("_h")).where("_l <> _h").select("sig")
-    rest = common.cut(rest.join(mixed, "sig", "left_semi").select("node", "root").distinct())
+    rest = common.cut(by_signature(rest, mixed, crowds, "left_semi").select("node", "root").distinct())
     third = rare_pairs(rest, texts, rule).join(pairs, ["a", "b"], "left_anti")
     third_links = common.cut(verified(sized(third), texts, rule))
     if not third_links.isEmpty():
