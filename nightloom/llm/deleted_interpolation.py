@@ -1,30 +1,34 @@
 """Language-model scores by deleted interpolation.
 
-The model's probability of a token is a mixture of the maximum-likelihood estimates of the bigram, of the word, and of a
-uniform share. The mixture's weights depend on how often the context was seen, in buckets of powers of two, and are
-learned by expectation-maximisation on held-out counts: a ninth of the training texts is kept back, its tokens are seen
-with counts of the rest only, and the weights are those that make it most likely. The final estimates use all training
-texts.
+The model's probability of a token is a mixture of maximum-likelihood estimates: of the bigram, of the word, and a uniform
+share; and for an order above two, of each longer n-gram and the mixture below it. The mixture's weights depend on how
+often the context was seen, in buckets of powers of two, and are learned by expectation-maximisation on held-out counts: a
+ninth of the training texts is kept back, its tokens are seen with counts of the rest only, and the weights are those that
+make it most likely. The final estimates use all training texts.
 
 Neither the counts nor the texts fit one machine, and shipping each token to its count and back would move the corpus
-several times. So texts are read once into blocks of a few million tokens. A block asks for each of its distinct words and
-bigrams once: the sorted hashes go to the counting task that owns them, as one compressed array for each pair of block and
-task. The answer is an array of counts in the order of the question. With it goes the block itself, as the numbers of its
-words in its own vocabulary. Contexts are counted as words, and bigrams are spread by the hash of both words, so a very
-frequent word is no hot task. Nothing is dropped, capped or sampled. Only a histogram of held-out estimates on a fixed
-grid reaches the driver.
+several times. So texts are read into blocks of a few million tokens. A block asks for each of its distinct words and
+n-grams once: the sorted hashes go to the counting task that owns them, as one compressed array for each pair of block and
+task that has any. The answer is an array of counts in the order of the question. The blocks themselves do not travel with the
+questions: the texts are read again, and a block is joined to its answers as the numbers of its words in its own
+vocabulary. Contexts are counted as the n-grams that they are, and n-grams are spread by the hash of all their words, so a
+very frequent word is no hot task. Nothing is dropped, capped or sampled. Only histograms of held-out estimates on a
+fixed grid reach the driver.
+
+Memory follows ``BLOCK_TOKENS`` and ``TASK_BYTES``, not the corpus. The number of questions is at most that of the
+distinct n-grams of all blocks; each costs some 100 bytes besides its keys, which count where a block has less than about
+50 keys for a task, at corpora of more than about 100 GB.
 
 Defined results: null and empty texts are one end token; a null id counts as the empty text in the fold and is not
 learned from; repeated rows each teach and return; without training texts all counts are 0 and the score is the uniform
-share's; an empty table gives no rows; columns other than id and text are never read. Words are told apart by 64-bit
-hashes, bigrams by 20 bits more than it takes to count the corpus's bytes (64 at most), so that one in a million meets
-another, whatever the size.
+share's; a very long text is a block of its own; an empty table gives no rows; columns other than id and text are never
+read. Words and n-grams are told apart by 64-bit hashes. As the table is read more than once, it has to come in the
+same order each time, as files do; where it does not, the join of a block to its answers fails and says so.
 """
 
 from __future__ import annotations
 
-import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,12 +43,11 @@ from . import common
 
 END = np.uint64(xxhash.xxh3_64_intdigest(b"\x00end"))
 BEGIN = np.uint64(xxhash.xxh3_64_intdigest(b"\x00begin"))
+ORDER = 3
 BUCKETS, OCTAVE, LEVELS = 24, 4, 160
 BLOCK_TOKENS = 1_000_000
 #: Bytes of text for each counting task; a task's memory follows this, not the corpus.
 TASK_BYTES = 4 << 20
-#: Routing of a row after the scan: a block, a question, or (from the counting tasks) an answer and a task's totals.
-BLOCK, ASK, ANSWER, TOTAL = 0, 1, 2, 3
 
 
 def pack_ints(x: np.ndarray) -> bytes:
@@ -68,141 +71,150 @@ def unpack_keys(data: bytes) -> np.ndarray:
     return np.cumsum(unpack_ints(data, np.uint64), dtype=np.uint64)
 
 
-def bigrams(before: np.ndarray, word: np.ndarray, bits: int = 64) -> np.ndarray:
-    """The high bits of a hash of each pair."""
+def joined(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hashes of contexts with the word behind each."""
     with np.errstate(over="ignore"):
         x = common.mix(word)
         x += before * np.uint64(0x9E3779B97F4A7C15)
-        x = common.mix(x)
-    x >>= np.uint64(64 - bits)
-    return x
+        return common.mix(x)
 
 
-def bits_for(size: int) -> int:
-    return min(64, max(40, int(size).bit_length() + 20))
+def owner(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The counting task of a key, by its highest 32 bits; ascending where keys are."""
+    return ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
 
 
-def owner(keys: np.ndarray, parts: int, bits: int = 64) -> np.ndarray:
-    """The counting task of a key, by its highest 32 bits; ascending where keys are."""
-    return ((keys >> np.uint64(bits - 32)) * np.uint64(parts)) >> np.uint64(32)
+def starts_of(lens: np.ndarray) -> np.ndarray:
+    return np.r_[0, np.cumsum(lens)[:-1]].astype(np.int64)
 
 
-@dataclass
-class Tokens:
-    """A block's texts: hash of each token, and of the token before it."""
-
-    words: np.ndarray
-    before: np.ndarray
-
-    @classmethod
-    def of(cls, words: np.ndarray, lens: np.ndarray) -> Tokens:
-        before = np.empty_like(words)
-        before[1:] = words[:-1]
-        before[np.r_[0, np.cumsum(lens)[:-1]].astype(np.int64)] = BEGIN
-        return cls(words, before)
-
-
-ROW = "dest int, kind int, block long, part int, ids array<{key}>, lens array<int>, folds array<int>, a binary, b binary, c binary, d binary, n array<long>"
-NAMES = ["dest", "kind", "block", "part", "ids", "lens", "folds", "a", "b", "c", "d", "n"]
-
-
-def _rows(rows: list[dict], key: pa.DataType) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(key), pa.list_(pa.int32()), pa.list_(pa.int32()), *[pa.binary()] * 4, pa.list_(pa.int64())]
-    return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], k) for n, k in zip(NAMES, kinds, strict=True)], names=NAMES)
-
-
-def _ask(words: np.ndarray, lens: np.ndarray, folds: np.ndarray, ids: list, parts: int, bits: int = 64, place: tuple[int, int] = (0, 0)) -> list[dict]:
-    """The block's own row and its questions. A block's texts are all kept back, or none is. ``place``, the task and a count,
-    tells blocks of equal contents apart."""
-    kept = bool(len(folds)) and folds[0] == 9
-    block = int(np.uint64(xxhash.xxh3_64_intdigest(repr((place, ids)).encode() + words.tobytes() + folds.tobytes())).astype(np.int64))
-    train = np.repeat((folds != 0).astype(np.float64), lens)
-    before = Tokens.of(words, lens).before
-    pairs, at = np.unique(bigrams(before, words, bits), return_inverse=True)
-    del before
-    of_pairs = np.bincount(at, weights=train, minlength=len(pairs)).astype(np.uint32)
-    del at
-    uniq, inverse, count = np.unique(words, return_inverse=True, return_counts=True)
-    rank = np.empty(len(uniq), np.uint32)
-    rank[np.argsort(-count, kind="stable")] = np.arange(len(uniq), dtype=np.uint32)
-    out = [{"dest": parts + block % parts, "kind": BLOCK, "block": block, "ids": ids, "lens": lens.tolist(), "folds": folds.tolist(), "a": pack_ints(rank[inverse]), "b": pack_ints(uniq[np.argsort(rank)])}]
-    of_words = np.bincount(inverse, weights=train, minlength=len(uniq)).astype(np.uint32)
-    del inverse, train
-    sides = []
-    for keys, some, b, names in ((uniq, of_words, 64, "ab"), (pairs, of_pairs, bits, "cd")):
-        begin = np.searchsorted(owner(keys, parts, b), np.arange(parts + 1).astype(np.uint64))
-        sides.append((keys, some, begin, names))
-    for p in range(parts):
-        row = {"dest": p, "kind": ASK, "block": block, "part": p, "folds": [9] if kept else [], "n": []}
-        for keys, some, begin, names in sides:
-            i, j = begin[p], begin[p + 1]
-            row[names[0]] = pack_keys(keys[i:j])
-            row[names[1]] = pack_ints(np.concatenate([some[i:j], some[i:j] if kept else np.zeros(j - i, np.uint32)]))
-            row["n"].append(int(j - i))
-        if any(row["n"]):
-            out.append(row)
-    return out
-
-
-def blocks(docs: DataFrame, parts: int, id_col: str, text_col: str, bits: int = 64) -> DataFrame:
-    """Blocks and their questions. Texts that are kept back for the weights get blocks of their own."""
-    key_name = docs.schema[id_col].dataType.simpleString()
+def grams(words: np.ndarray, lens: np.ndarray, order: int) -> Iterator[np.ndarray]:
+    """The hash of the n-gram that ends at each token, for n from 1 to order; texts begin behind as many begin marks."""
+    own, first = words, starts_of(lens)
+    yield own
+    begin = np.array([BEGIN])
+    for _ in range(order - 1):
+        before = np.empty_like(own)
+        before[1:] = own[:-1]
+        before[first] = begin
+        own = joined(before, words)
+        yield own
+        begin = joined(begin, np.array([BEGIN]))
+
+
+def number_of(words: np.ndarray, lens: np.ndarray, ids: list, place: tuple) -> int:
+    """A block's number: of its contents and its place, which tells blocks of equal contents apart."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(repr((place, ids)).encode() + words.tobytes() + lens.tobytes())).astype(np.int64))
+
+
+def _blocks(docs: DataFrame, make: Callable, schema: str, only_kept: bool, id_col: str, text_col: str) -> DataFrame:
+    """Rows that ``make`` gives for (number, ids, folds, hashes of words, lengths, kept) of each block. Texts that are kept back
+    for the weights have blocks of their own, which are the same whether or not others are read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = None
         held: dict[bool, list] = {True: [], False: []}
-        size = {True: 0, False: 0}
-        task, count = TaskContext.get().partitionId(), itertools.count()
+        size, count, key = {True: 0, False: 0}, {True: 0, False: 0}, None
+        task = TaskContext.get().partitionId()
 
-        def flush(side: bool):
+        def flush(side: bool) -> Iterator[pa.RecordBatch]:
             own, held[side], size[side] = held[side], [], 0
-            words = np.concatenate([w for _, _, w in own])
-            for row in _ask(words, np.array([len(w) for _, _, w in own]), np.array([f for _, f, _ in own]), [i for i, _, _ in own], parts, bits, (task, next(count))):
-                yield _rows([row], key)
+            count[side] += 1
+            ids, folds, hashes = zip(*own, strict=True)
+            words, lens = np.concatenate(hashes), np.array([len(w) for w in hashes])
+            yield from make(number_of(words, lens, [*ids], (task, side, count[side])), [*ids], np.array(folds), words, lens, side, key)
 
         for batch in batches:
             key = batch.schema.field(0).type
             for i, f, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), common.texts(batch, "_text"), strict=True):
                 own = np.append(common.word_hashes(data.translate(common.ASCII_LOWER)), END)
-                held[f == 9].append((i, f, own))
-                size[f == 9] += len(own)
-                if size[f == 9] >= BLOCK_TOKENS:
-                    yield from flush(f == 9)
+                side = f == 9
+                held[side].append((i, f, own))
+                size[side] += len(own)
+                if size[side] >= BLOCK_TOKENS:
+                    yield from flush(side)
         for side in (True, False):
             if held[side]:
                 yield from flush(side)
 
     small = common.keyed(docs, id_col, text_col).toDF("_id", "_text")
-    return small.select("_id", common.fold(F.col("_id"), 10).cast("int").alias("_fold"), "_text").mapInArrow(run, ROW.format(key=key_name))
+    small = small.select("_id", common.fold(F.col("_id"), 10).cast("int").alias("_fold"), "_text")
+    return (small.where("_fold = 9") if only_kept else small).mapInArrow(run, schema)
+
+
+_BINARIES = pa.list_(pa.binary())
+
+
+def questions(docs: DataFrame, parts: int, order: int, id_col: str, text_col: str) -> DataFrame:
+    """dest (the counting task), block, kept, and for each n the block's distinct n-grams there and how often training texts
+    of the block have them."""
+    names = ["dest", "block", "kept", "keys", "counts"]
+
+    def make(block, ids, folds, words, lens, kept, key) -> Iterator[pa.RecordBatch]:
+        train = np.repeat((folds != 0).astype(np.float64), lens)
+        rows: dict[int, tuple[list, list]] = {}
+        for k, own in enumerate(grams(words, lens, order)):
+            keys, at = np.unique(own, return_inverse=True)
+            some = np.bincount(at, weights=train, minlength=len(keys)).astype(np.uint32)
+            del at
+            of = owner(keys, parts)
+            begin = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+            for p, i, j in zip(of[begin].tolist(), begin.tolist(), [*begin[1:].tolist(), len(keys)], strict=True):
+                row = rows.setdefault(p, ([b""] * order, [b""] * order))
+                row[0][k], row[1][k] = pack_keys(keys[i:j]), pack_ints(some[i:j])
+        at = sorted(rows)
+        for a in range(0, len(at), 256):
+            some = at[a : a + 256]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([block] * len(some), pa.int64()), pa.array([kept] * len(some)), *[pa.array([rows[p][i] for p in some], _BINARIES) for i in (0, 1)]], names=names)
 
+    return _blocks(docs, make, "dest int, block long, kept boolean, keys array<binary>, counts array<binary>", False, id_col, text_col)
 
-def counted(asked: DataFrame, key_name: str) -> DataFrame:
-    """Answers in the order of the questions, each task's totals, and the blocks as they are."""
+
+def counted(asked: DataFrame, order: int) -> DataFrame:
+    """block, part, kept, full and rest: the answers in the order of the questions, with all training texts and (for blocks that
+    are kept back) without those kept back; and a row without a block, each task's totals."""
 
     def fn(table: pa.Table) -> pa.Table:
-        own = table.column("kind").to_pylist()
-        if own[0] == BLOCK:
-            return table.select(NAMES)
-        rows = table.select(["block", "part", "folds", "a", "b", "c", "d", "n"]).to_pylist()
-        answers = [{"dest": 0, "kind": ANSWER, "block": r["block"], "part": r["part"], "folds": r["folds"], "n": r["n"]} for r in rows]
-        total = [0] * 6
-        for k, (keys_of, counts_of, to) in enumerate((("a", "b", "a"), ("c", "d", "c"))):
-            keys = [unpack_keys(r[keys_of]) for r in rows]
-            counts = [unpack_ints(r[counts_of], np.uint32).reshape(2, -1).astype(np.float64) for r in rows]
+        dest, block, kept = (table.column(c).to_pylist() for c in ("dest", "block", "kept"))
+        asked_keys, asked_counts = table.column("keys"), table.column("counts")
+        full, rest = [[] for _ in block], [[] for _ in block]
+        totals = [0] * 6
+        for k in range(order):
+            keys = [unpack_keys(x) if (x := asked_keys[i][k].as_py()) else np.zeros(0, np.uint64) for i in range(len(block))]
+            counts = [unpack_ints(x, np.uint32).astype(np.float64) if (x := asked_counts[i][k].as_py()) else np.zeros(0) for i in range(len(block))]
+            lens = np.array([len(x) for x in keys])
             uniq, at = np.unique(np.concatenate(keys), return_inverse=True)
-            train, kept = (np.bincount(at, weights=np.concatenate([c[s] for c in counts]), minlength=len(uniq)) for s in (0, 1))
+            weight = np.concatenate(counts)
+            del keys, counts
+            all_ = np.bincount(at, weights=weight, minlength=len(uniq))
+            less = all_ - np.bincount(at, weights=weight * np.repeat(kept, lens), minlength=len(uniq))
             if k == 0:
-                words = uniq != END
-                total = [int(train.sum()), int((train > 0).sum()), int((train - kept).sum()), int((train - kept > 0).sum()), int(train[~words].sum()), int((train - kept)[~words].sum())]
-            end = 0
-            for r, x, answer in zip(rows, keys, answers, strict=True):
-                i = at[end : end + len(x)]
-                end += len(x)
-                answer[to] = pack_ints(train[i].astype(np.uint64))
-                answer["d" if k else "b"] = pack_ints((train - kept)[i].astype(np.uint64))
-        return pa.Table.from_batches([_rows([*answers, {"dest": 0, "kind": TOTAL, "n": total}], table.schema.field("ids").type.value_type)])
+                end = uniq == END
+                totals = [int(x) for own in (all_, less) for x in (own.sum(), (own > 0).sum(), own[end].sum())]
+            for r, (i, n) in enumerate(zip(starts_of(lens).tolist(), lens.tolist(), strict=True)):
+                own = at[i : i + n]
+                full[r].append(pack_ints(all_[own].astype(np.uint64)) if n else b"")
+                if kept[r]:
+                    rest[r].append(pack_ints(less[own].astype(np.uint64)) if n else b"")
+        return pa.table({
+            "block": pa.array([*block, None], pa.int64()), "part": pa.array([*dest, None], pa.int32()), "kept": pa.array([*kept, None], pa.bool_()),
+            "full": pa.array([*full, None], _BINARIES), "rest": pa.array([*rest, None], _BINARIES), "n": pa.array([*[None] * len(block), totals], pa.list_(pa.int64())),
+        })
+
+    return asked.groupBy("dest").applyInArrow(fn, "block long, part int, kept boolean, full array<binary>, rest array<binary>, n array<long>")
+
+
+def blocks(docs: DataFrame, id_col: str, text_col: str, only_kept: bool = False) -> DataFrame:
+    """block, kept, ids, folds, lens, the number of each token's word, and the vocabulary, the most frequent word first."""
+    key_name = docs.schema[id_col].dataType.simpleString()
 
-    return asked.groupBy("dest").applyInArrow(fn, ROW.format(key=key_name))
+    def make(block, ids, folds, words, lens, kept, key) -> Iterator[pa.RecordBatch]:
+        uniq, inverse, count = np.unique(words, return_inverse=True, return_counts=True)
+        rank = np.empty(len(uniq), np.uint32)
+        rank[np.argsort(-count, kind="stable")] = np.arange(len(uniq), dtype=np.uint32)
+        columns = [pa.array([block], pa.int64()), pa.array([kept]), pa.array([ids], pa.list_(key)), pa.array([folds.tolist()], pa.list_(pa.int32())), pa.array([lens.tolist()], pa.list_(pa.int32()))]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array([pack_ints(rank[inverse])]), pa.array([pack_ints(uniq[np.argsort(rank)])])], names=["block", "kept", "ids", "folds", "lens", "numbers", "vocabulary"])
+
+    return _blocks(docs, make, f"block long, kept boolean, ids array<{key_name}>, folds array<int>, lens array<int>, numbers binary, vocabulary binary", only_kept, id_col, text_col)
 
 
 @dataclass(frozen=True)
@@ -212,102 +224,130 @@ class Totals:
     texts: int
 
 
-def _estimates(table: pa.Table, without_kept: bool, totals: Totals, bits: int = 64):
-    """(row of the block, p of the bigram, p of the word, bucket of the context, count of the word) by token."""
-    kinds = np.array(table.column("kind").to_pylist())
-    at = int(np.flatnonzero(kinds == BLOCK)[0])
-    own = table.slice(at, 1).to_pylist()[0]
-    answers = sorted(table.filter(pa.array(kinds == ANSWER)).select(["part", "a", "b", "c", "d"]).to_pylist(), key=lambda r: r["part"])
-    number, vocabulary = unpack_ints(own["a"], np.uint32), unpack_ints(own["b"], np.uint64)
-    read = lambda name: np.concatenate([unpack_ints(r[name], np.uint64) for r in answers]).astype(np.float64)
-    c1, c2 = (read("b"), read("d")) if without_kept else (read("a"), read("c"))
-    by_word = np.empty(len(vocabulary))
-    by_word[np.argsort(vocabulary)] = c1
-    t = Tokens.of(vocabulary[number], np.array(own["lens"]))
-    pairs, i = np.unique(bigrams(t.before, t.words, bits), return_inverse=True)
-    assert len(pairs) == len(c2) and len(vocabulary) == len(c1), "a counting task's answer is missing"
-    first = t.before == BEGIN
-    del pairs, t
-    word = by_word[number]
-    context = np.empty(len(word))
-    context[1:] = word[:-1]
-    context[first] = totals.texts
-    p2 = c2[i]
-    del i
-    p2 /= np.maximum(context, 1)
-    np.minimum(p2, 1.0, out=p2)
-    context += 1
-    bucket = np.minimum(np.log2(context, out=context).astype(np.int8), BUCKETS - 1)
-    return own, p2, word / max(totals.tokens, 1), bucket, word
-
-
-def _level(p: np.ndarray) -> np.ndarray:
+@dataclass
+class Estimates:
+    """By token: the count of its word, the maximum-likelihood estimate of each n-gram from the word on, and for those from
+    the bigram on the bucket of the context."""
+
+    lens: np.ndarray
+    word: np.ndarray
+    likely: list[np.ndarray]
+    bucket: list[np.ndarray]
+
+
+def estimates(block: pa.Table, answers: pa.Table, without_kept: bool, totals: Totals, order: int) -> Estimates:
+    if block.num_rows != 1:
+        raise ValueError("a block has no row of its own; the table was not read in the same order twice")
+    own = block.select(["lens", "numbers", "vocabulary"]).to_pylist()[0]
+    rows = sorted(answers.select(["part", "rest" if without_kept else "full"]).to_pylist(), key=lambda r: r["part"])
+    lens, number, vocabulary = np.array(own["lens"], dtype=np.int64), unpack_ints(own["numbers"], np.uint32), unpack_ints(own["vocabulary"], np.uint64)
+    words, first = vocabulary[number], starts_of(lens)
+    found: list[np.ndarray] = []
+    for k, hashes in enumerate(grams(words, lens, order)):
+        parts = [unpack_ints(x, np.uint64) for r in rows if (x := r["rest" if without_kept else "full"][k])]
+        counts = np.concatenate(parts).astype(np.float64) if parts else np.zeros(0)
+        keys, at = np.unique(hashes, return_inverse=True)
+        if len(keys) != len(counts):
+            raise ValueError("a block's answers do not fit it; the table was not read in the same order twice")
+        found.append(counts[at])
+        del keys, at
+    likely, bucket = [found[0] / max(totals.tokens, 1)], []
+    for k in range(1, order):
+        context = np.empty(len(words))
+        context[1:] = found[k - 1][:-1]
+        context[first] = totals.texts
+        likely.append(np.minimum(found[k] / np.maximum(context, 1), 1.0))
+        bucket.append(np.minimum(np.log2(context + 1).astype(np.int8), BUCKETS - 1))
+    return Estimates(lens, found[0], likely, bucket)
+
+
+def level(p: np.ndarray) -> np.ndarray:
+    """Place of a probability on the grid; 0 for none."""
     return np.where(p > 0, np.minimum(1 + np.rint(-np.log2(np.maximum(p, 1e-30)) * OCTAVE), LEVELS), 0).astype(np.int64)
 
 
-def expectation_maximisation(bucket: np.ndarray, p2: np.ndarray, p1: np.ndarray, p0: float, weight: np.ndarray, rounds: int = 100) -> np.ndarray:
-    """Mixture weights (bigram, word, uniform) for each bucket; a bucket without held-out tokens takes those of all."""
-    p = np.column_stack([p2, p1, np.full(len(p1), p0)])
+#: The probability of each place on the grid.
+VALUES = np.r_[0.0, 2.0 ** (-np.arange(LEVELS) / OCTAVE)]
+
+
+def expectation_maximisation(bucket: np.ndarray, p: np.ndarray, weight: np.ndarray, rounds: int = 100) -> np.ndarray:
+    """Weights of the mixture of p's columns for each bucket; a bucket without held-out tokens takes those of all, and without
+    any tokens the last column counts alone."""
+    m = p.shape[1]
 
     def mixed(rows: np.ndarray) -> np.ndarray:
-        w = np.full(3, 1 / 3)
+        w = np.full(m, 1 / m)
         for _ in range(rounds):
             share = p[rows] * w
             share *= (weight[rows] / np.maximum(share.sum(1), 1e-300))[:, None]
-            new = (share.sum(0) + 1e-3) / (weight[rows].sum() + 3e-3)
+            new = (share.sum(0) + 1e-3) / (weight[rows].sum() + m * 1e-3)
             if np.abs(new - w).max() < 1e-7:
                 break
             w = new
         return w
 
-    every = np.ones(len(p1), bool)
-    overall = mixed(every) if len(p1) else np.array([0.0, 0.0, 1.0])
+    every = np.ones(len(p), bool)
+    overall = mixed(every) if len(p) else np.r_[np.zeros(m - 1), 1.0]
     return np.array([mixed(bucket == b) if (bucket == b).any() else overall for b in range(BUCKETS)])
 
 
-def language_scores(docs: DataFrame, parts: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10)."""
+def mixture(e: Estimates, weights: list[np.ndarray], uniform: float) -> np.ndarray:
+    """Each token's probability under as many levels of weights as there are: bigram, word and uniform share; then, level by
+    level, the next longer n-gram and what is below it."""
+    if not weights:  # order 1
+        return e.likely[0]
+    w = weights[0][e.bucket[0]]
+    p = w[:, 0] * e.likely[1] + w[:, 1] * e.likely[0] + w[:, 2] * uniform
+    for k, more in enumerate(weights[1:], 1):
+        w = more[e.bucket[k]]
+        p = w[:, 0] * e.likely[k + 1] + w[:, 1] * p
+    return p
+
+
+def language_scores(docs: DataFrame, parts: int | None = None, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
+    """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10). ``order`` is 2 or more."""
+    if order < 2:
+        raise ValueError("an interpolation needs bigrams at least")
     spark, key_name = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
-    size = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
-    bits = bits_for(size)
     if parts is None:
+        size = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")))).first()[0] or 0
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
-    counts = common.written(counted(blocks(docs, parts, id_col, text_col, bits), key_name), "counts")
-    sums = counts.where(F.col("kind") == TOTAL).select(*[F.sum(F.get("n", F.lit(i))).alias(f"s{i}") for i in range(6)]).first()
-    n, v, n_kept, v_kept, texts, texts_kept = (int(x or 0) for x in sums)
-    full, rest = Totals(n, v, texts), Totals(n_kept, v_kept, texts_kept)
-
-    tasks = counts.where(F.col("kind").isin(BLOCK, ANSWER))
-    kept = tasks.where(F.get("folds", F.lit(0)) == 9)
-
-    def histogram(table: pa.Table) -> pa.Table:
-        _, p2, p1, bucket, _ = _estimates(table, True, rest, bits)
-        cell, n = np.unique((bucket.astype(np.int64) * (LEVELS + 1) + _level(p2)) * (LEVELS + 1) + _level(p1), return_counts=True)
-        return pa.table({"cell": pa.array(cell, pa.int64()), "n": pa.array(n, pa.int64())})
-
-    grid = kept.groupBy("block").applyInArrow(histogram, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    cell, count = grid["cell"].to_numpy(dtype=np.int64), grid["n"].to_numpy(dtype=np.float64)
-    value = np.r_[0.0, 2.0 ** (-(np.arange(1, LEVELS + 1) - 1) / OCTAVE)]
-    l1, l2 = cell % (LEVELS + 1), cell // (LEVELS + 1) % (LEVELS + 1)
-    weights = expectation_maximisation(cell // (LEVELS + 1) ** 2, value[l2], value[l1], 1 / (v_kept + 1), count)
-
-    def score(table: pa.Table) -> pa.Table:
-        own, p2, p1, bucket, word = _estimates(table, False, full, bits)
-        logp = weights[:, 0][bucket] * p2
-        logp += weights[:, 1][bucket] * p1
-        logp += weights[:, 2][bucket] / (full.kinds + 1)
-        np.log10(logp, out=logp)
-        base = np.log10((word + 0.1) / (full.tokens + 0.1 * (full.kinds + 1)))
-        lens = np.array(own["lens"], dtype=np.int64)
-        start = np.r_[0, np.cumsum(lens)[:-1]]
+    counts = common.written(counted(questions(docs, parts, order, id_col, text_col), order), "counts")
+    sums = counts.where(F.col("block").isNull()).select(*[F.sum(F.get("n", F.lit(i))) for i in range(6)]).first()
+    full, rest = (Totals(*(int(x or 0) for x in sums[i : i + 3])) for i in (0, 3))
+    answers = counts.where(F.col("block").isNotNull()).select("block", "part", "kept", "full", "rest")
+
+    kept = blocks(docs, id_col, text_col, only_kept=True).groupBy("block").cogroup(answers.where("kept").groupBy("block"))
+    weights: list[np.ndarray] = []
+    for k in range(1, order):
+
+        def histogram(block: pa.Table, own: pa.Table) -> pa.Table:
+            """Held-out tokens by bucket of the context and places of the estimates that this level mixes."""
+            e = estimates(block, own, True, rest, k + 1)
+            below = e.likely[0] if k == 1 else mixture(e, weights, 1 / (rest.kinds + 1))
+            cell, n = np.unique((e.bucket[k - 1].astype(np.int64) * (LEVELS + 1) + level(e.likely[k])) * (LEVELS + 1) + level(below), return_counts=True)
+            return pa.table({"cell": pa.array(cell, pa.int64()), "n": pa.array(n, pa.int64())})
+
+        grid = kept.applyInArrow(histogram, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+        cell, n = grid["cell"].to_numpy(dtype=np.int64), grid["n"].to_numpy(dtype=np.float64)
+        p = [VALUES[cell // (LEVELS + 1) % (LEVELS + 1)], VALUES[cell % (LEVELS + 1)]]
+        p += [np.full(len(cell), 1 / (rest.kinds + 1))] if k == 1 else []
+        weights.append(expectation_maximisation(cell // (LEVELS + 1) ** 2, np.column_stack(p), n))
+
+    def score(block: pa.Table, own: pa.Table) -> pa.Table:
+        e = estimates(block, own, False, full, order)
+        logp = np.log10(mixture(e, weights, 1 / (full.kinds + 1)))
+        base = np.log10((e.word + 0.1) / (full.tokens + 0.1 * (full.kinds + 1)))
+        first = starts_of(e.lens)
         return pa.table({
-            id_col: pa.array(own["ids"], table.schema.field("ids").type.value_type),
-            "held_out": pa.array(np.array(own["folds"]) == 0),
-            "n_tokens": pa.array(lens),
-            "n_known": pa.array(np.add.reduceat((word > 0).astype(np.int64), start)),
-            "train_tokens": pa.array(np.full(len(lens), full.tokens, np.int64)),
-            "base_score": pa.array(np.add.reduceat(base, start)),
-            "score": pa.array(np.add.reduceat(logp, start)),
+            id_col: block.column("ids").combine_chunks().flatten(),
+            "held_out": pa.array(block.column("folds").combine_chunks().flatten().to_numpy() == 0),
+            "n_tokens": pa.array(e.lens),
+            "n_known": pa.array(np.add.reduceat((e.word > 0).astype(np.int64), first)),
+            "train_tokens": pa.array(np.full(len(e.lens), full.tokens, np.int64)),
+            "base_score": pa.array(np.add.reduceat(base, first)),
+            "score": pa.array(np.add.reduceat(logp, first)),
         })
 
-    return tasks.groupBy("block").applyInArrow(score, f"{id_col} {key_name}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    every = blocks(docs, id_col, text_col).groupBy("block").cogroup(answers.groupBy("block"))
+    return every.applyInArrow(score, f"{id_col} {key_name}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

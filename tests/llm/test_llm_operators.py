@@ -647,30 +647,77 @@ def test_quote_links_against_sql(spark):
 # --- 7 ---
 
 
-def test_language_scores_by_brute_force(spark):
+def brute_mixture(order, texts, learned, kept):
+    """log10 probability of each text: all estimates and weights anew, from dictionaries, on the same grid."""
+    model = deleted_interpolation
+
+    def counts(some):
+        grams = collections.Counter()
+        for w in some:
+            for i in range(len(w)):
+                for k in range(1, order + 1):
+                    own = ("^",) * max(0, k - 1 - i) + tuple(w[max(0, i - k + 1) : i + 1])
+                    grams[own] += 1
+        return grams, sum(len(w) for w in some), len({x for w in some for x in w}), len(some)
+
+    def tokens(w, found):
+        grams, n, v, texts_ = found
+        for i in range(len(w)):
+            likely, bucket = [grams[(w[i],)] / max(n, 1)], []
+            for k in range(2, order + 1):
+                own = ("^",) * max(0, k - 1 - i) + tuple(w[max(0, i - k + 1) : i + 1])
+                context = texts_ if i == 0 else grams[own[:-1]]
+                likely.append(min(grams[own] / max(context, 1), 1))
+                bucket.append(min(int(math.log2(context + 1)), model.BUCKETS - 1))
+            yield likely, bucket
+
+    def mixed(likely, bucket, weights, v):
+        a, b, c = weights[0][bucket[0]]
+        p = a * likely[1] + b * likely[0] + c / (v + 1)
+        for k, w in enumerate(weights[1:], 1):
+            a, b = w[bucket[k]]
+            p = a * likely[k + 1] + b * p
+        return p
+
+    rest = counts([w for w, l, h in zip(texts, learned, kept, strict=True) if l and not h])
+    held = [t for w, h in zip(texts, kept, strict=True) if h for t in tokens(w, rest)]
+    weights = []
+    for k in range(1, order):
+        at = lambda p: model.VALUES[int(model.level(np.array([p]))[0])]
+        rows = collections.Counter()
+        for likely, bucket in held:
+            below = likely[0] if k == 1 else mixed(likely, bucket, weights, rest[2])
+            rows[(bucket[k - 1], at(likely[k]), at(below), *([1 / (rest[2] + 1)] if k == 1 else []))] += 1
+        weights.append(model.expectation_maximisation(np.array([r[0] for r in rows], int), np.array([r[1:] for r in rows], float).reshape(len(rows), 3 if k == 1 else 2), np.array([*rows.values()], float)))
+    full = counts([w for w, l in zip(texts, learned, strict=True) if l])
+    return [sum(math.log10(mixed(*t, weights, full[2])) for t in tokens(w, full)) for w in texts]
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_language_scores_by_brute_force(spark, order, monkeypatch):
+    monkeypatch.setattr(deleted_interpolation, "BLOCK_TOKENS", 2000)
     rows = [(i, t) for i, t in corpus(3) if i is not None] + [(None, "kept apart"), (None, None)]
-    got = deleted_interpolation.language_scores(made(spark, rows), parts=3).collect()
+    docs = made(spark, rows)
+    got = deleted_interpolation.language_scores(docs, parts=3, order=order).collect()
     assert len(got) == len(rows)
     low = lambda t: [w.lower() if w.isascii() else w for w in words(t)] + [b"\0end"]
     fold = lambda i, k: zlib.crc32(("" if i is None else str(i)).encode()) % k
-    one, two, begins = collections.Counter(), collections.Counter(), 0
-    for i, t in rows:
-        if fold(i, 10):
-            w = low(t)
-            one.update(w)
-            two.update(zip([b"\0begin", *w], w))
-            begins += 1
+    texts, folds = [low(t) for _, t in rows], [fold(i, 10) for i, _ in rows]
+    one = collections.Counter(x for w, f in zip(texts, folds, strict=True) if f for x in w)
     n, v = sum(one.values()), len(one)
+    scores = brute_mixture(order, texts, [f != 0 for f in folds], [f == 9 for f in folds])
     want = collections.Counter()
-    for i, t in rows:
-        w = low(t)
+    for (i, _), w, f, p in zip(rows, texts, folds, scores, strict=True):
         base = sum(math.log10((one[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w)
-        want[str((i, fold(i, 10) == 0, len(w), sum(one[x] > 0 for x in w), n, round(base, 6)))] += 1
-    assert collections.Counter(str((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6))) for r in got) == want
-    assert all(r.score <= 0 for r in got)
-    held = [r for r in got if r.held_out]
-    assert sum(r.score for r in held) > sum(len(low(None)) * -math.log10(v + 1) * r.n_tokens for r in held)
-    assert deleted_interpolation.language_scores(empty(spark), parts=2).count() == 0
+        want[str((i, f == 0, len(w), sum(one[x] > 0 for x in w), n, round(base, 6), round(p, 6)))] += 1
+    assert collections.Counter(str((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6))) for r in got) == want
+    assert deleted_interpolation.language_scores(empty(spark), parts=2, order=order).count() == 0
+
+
+def test_language_scores_without_training_texts(spark):
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0][:3]
+    got = deleted_interpolation.language_scores(made(spark, [(i, "some words") for i in ids]), 2).collect()
+    assert [(r.n_known, r.train_tokens, r.score) for r in got] == [(0, 0, 0.0)] * 3
 
 
 def test_language_scores_of_a_table_united_with_itself(spark, tmp_path):
@@ -678,15 +725,18 @@ def test_language_scores_of_a_table_united_with_itself(spark, tmp_path):
     once = spark.read.parquet(path)
     twice = once.union(once)
     assert twice.rdd.getNumPartitions() == 2
-    assert deleted_interpolation.language_scores(twice, 3).count() == 2 * once.count()
+    got = collections.defaultdict(list)
+    for r in deleted_interpolation.language_scores(twice, 3).collect():
+        got[r.doc_id, r.n_tokens].append((r.base_score, r.score))
+    assert sum(map(len, got.values())) == 2 * once.count() and all(len(v) % 2 == 0 and len({round(s, 9) for _, s in v}) <= len(v) // 2 for v in got.values())
 
 
 def test_mixture_weights_are_the_likeliest():
     rng = np.random.default_rng(0)
-    p2, p1 = rng.random(400) * (rng.random(400) > 0.5), rng.random(400) * 0.1
-    w = deleted_interpolation.expectation_maximisation(np.zeros(400, int), p2, p1, 1e-3, np.ones(400), 2000)[0]
+    p = np.column_stack([rng.random(400) * (rng.random(400) > 0.5), rng.random(400) * 0.1, np.full(400, 1e-3)])
+    w = deleted_interpolation.expectation_maximisation(np.zeros(400, int), p, np.ones(400), 2000)[0]
     assert abs(w.sum() - 1) < 1e-9
-    like = lambda w: np.log(w[0] * p2 + w[1] * p1 + w[2] * 1e-3).sum()
+    like = lambda w: np.log(p @ w).sum()
     for _ in range(200):
         other = np.abs(w + rng.normal(0, 0.02, 3))
         assert like(w) >= like(other / other.sum()) - 1e-3
