@@ -190,15 +190,48 @@ def _refine_bits(c: list[int]) -> list[int]:
     return out + put(0) + held if run or held else out
 
 
+def _refine_tokens(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and lengths of the refinements of blocks where coefficients become significant, none behind more than 15 zeros. A
+    symbol stands behind the coefficient before it that becomes significant; the corrections up to its own follow it."""
+    code, length = codes(REFINE_TABLE)
+    n, width = c.shape
+    a = np.abs(c)
+    rows, cols = np.nonzero(a == 1)
+    first = np.r_[True, rows[1:] != rows[:-1]]
+    before = np.where(first, -1, np.r_[-1, cols[:-1]])
+    zeros = np.concatenate([np.zeros((n, 1), np.int64), np.cumsum(a == 0, axis=1)], axis=1)
+    run = zeros[rows, cols] - zeros[rows, before + 1]
+    symbol = run << 4 | 1
+    words, sizes, order = code[symbol] << 1 | (c[rows, cols] > 0), length[symbol] + 1, (rows * (width + 1) + before + 1) * 2 + 1
+    last = np.full(n, -1)
+    last[rows] = cols  # the last write of a row stays
+    over = np.flatnonzero(last < width - 1)
+    r, k = np.nonzero(a > 1)
+    words = np.r_[words, np.full(len(over), code[0]), a[r, k] & 1]
+    sizes = np.r_[sizes, np.full(len(over), length[0]), np.ones(len(r), np.int64)]
+    order = np.r_[order, (over * (width + 1) + last[over] + 1) * 2 + 1, (r * (width + 1) + k + 1) * 2]
+    by = np.argsort(order, kind="stable")
+    return _close(words[by], sizes[by], order[by] // (2 * (width + 1)), n)
+
+
 def _ac_refine(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     a = np.abs(c)
     old = a > 1
-    slow = np.flatnonzero((a == 1).any(1))
     bits = 1 + old.sum(1)
-    own = {int(i): np.array(_refine_bits(c[i].tolist()), dtype=np.uint8) for i in slow}
-    for i, b in own.items():
-        bits[i] = len(b)
+    slow = np.flatnonzero((a == 1).any(1))
     length = (bits + 7) >> 3
+    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # rows, bytes, lengths
+    if len(slow):
+        zeros = np.cumsum(a[slow] == 0, axis=1)
+        far = zeros[:, -1] > 15  # a symbol may have to stand for 16 zeros
+        near = slow[~far]
+        if len(near):
+            parts.append((near, *_refine_tokens(c[near])))
+        if far.any():
+            own = [np.packbits(np.array(x + [1] * (-len(x) % 8), dtype=np.uint8)) for x in (_refine_bits(c[i].tolist()) for i in slow[far])]
+            parts.append((slow[far], np.concatenate(own), np.array([len(x) for x in own])))
+        for rows, _, lens in parts:
+            length[rows] = lens
     begin = np.r_[0, np.cumsum(length)]
     out = np.ones(int(begin[-1]) * 8, np.uint8)
     plain = np.ones(len(c), bool)
@@ -207,9 +240,10 @@ def _ac_refine(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     where = old & plain[:, None]
     at = begin[:-1, None] * 8 + np.cumsum(old, axis=1)
     out[at[where]] = (a[where] & 1).astype(np.uint8)
-    for i, b in own.items():
-        out[begin[i] * 8 : begin[i] * 8 + len(b)] = b
-    return np.packbits(out), length
+    data = np.packbits(out)
+    for rows, own, lens in parts:
+        data[np.repeat(begin[rows] - np.r_[0, np.cumsum(lens)[:-1]], lens) + np.arange(len(own))] = own
+    return data, length
 
 
 def _marked(data: np.ndarray, length: np.ndarray, mark: np.ndarray) -> tuple[bytes, np.ndarray]:
@@ -498,53 +532,59 @@ def _read_first(bits: Bits, at: np.ndarray, end_run: np.ndarray, scan: Scan, pla
             go, p, k, row = go[stay], p[stay], k[stay], row[stay]
 
 
-def _read_refine_one(bits: Bits, at: int, end_run: int, scan: Scan, block: np.ndarray) -> tuple[int, int]:
-    """Refinement of one block, symbol by symbol: (place, blocks that are still to end)."""
+def _read_symbols(bits: Bits, at: np.ndarray, end_run: np.ndarray, scan: Scan, band: np.ndarray) -> None:
+    """Refinements that have symbols of their own, one of each block a step; changes at, end_run and band.
+
+    A symbol's run counts the coefficients that are still zero, so the place of the next new one follows from the places of
+    the zeros; the corrections that are passed on the way stand in a row, and are made together at the end."""
     symbol, size = lookup_of(scan.tables, 0x10 | scan.ac[0])
-    read = lambda n: int(bits.peek(np.array([at]), n)[0])
-    one, k = 1 << scan.low, scan.first
-    if not end_run:
-        while k <= scan.last:
-            c = read(16)
-            s, n = int(symbol[c]), int(size[c])
-            at += n
-            r, s = s >> 4, s & 15
-            value = 0
-            if s:
-                value = one if read(1) else -one
-                at += 1
-            elif r < 15:
-                end_run = 1 << r
-                if r:
-                    end_run += read(r)
-                    at += r
-                break
-            while k <= scan.last:
-                if block[k]:
-                    if read(1) and not abs(int(block[k])) & one:
-                        block[k] += one if block[k] > 0 else -one
-                    at += 1
-                elif r == 0:
-                    if value:
-                        block[k] = value
-                    k += 1
-                    break
-                else:
-                    r -= 1
-                k += 1
-    if end_run:
-        while k <= scan.last:
-            if block[k]:
-                if read(1) and not abs(int(block[k])) & one:
-                    block[k] += one if block[k] > 0 else -one
-                at += 1
-            k += 1
-        end_run -= 1
-    return at, end_run
+    n, width = band.shape
+    old = band != 0
+    passed = np.concatenate([np.zeros((n, 1), np.int64), np.cumsum(old, axis=1)], axis=1)  # significant ones before a place
+    zeros, olds = np.argsort(old, axis=1, kind="stable"), np.argsort(~old, axis=1, kind="stable")
+    free = width - passed[:, width]
+    go, k = np.arange(n), np.zeros(n, np.int64)
+    rows, cols, places = [], [], []
+    new = np.zeros_like(band)
+    while len(go):
+        p = at[go]
+        c = bits.peek(p, 16)
+        both = symbol[c].astype(np.int64)
+        p = p + size[c]
+        r, value = both >> 4, (both & 15) > 0
+        sign = np.where(value, bits.single(p).astype(np.int64), 0)
+        p += value
+        ends = ~value & (r < 15)
+        if ends.any():
+            i = np.flatnonzero(ends)
+            extra = np.where(r[i] > 0, bits.peek(p[i], np.maximum(r[i], 1)), 0)
+            end_run[go[i]] = (1 << r[i]) - 1 + extra
+            p[i] += r[i]
+        here = k[go]
+        nth = here - passed[go, here] + r
+        found = ~ends & (nth < free[go])
+        stop = np.where(found, zeros[go, np.minimum(nth, width - 1)], width)
+        some = passed[go, stop] - passed[go, here]
+        if some.any():
+            each = np.arange(int(some.sum())) - np.repeat(np.cumsum(some) - some, some)
+            rows.append(np.repeat(go, some))
+            cols.append(olds[rows[-1], np.repeat(passed[go, here], some) + each])
+            places.append(np.repeat(p, some) + each)
+            p += some
+        i = np.flatnonzero(found & value)
+        new[go[i], stop[i]] = np.where(sign[i] > 0, 1 << scan.low, -(1 << scan.low))
+        at[go], k[go] = p, stop + 1
+        go = go[~ends & (stop + 1 < width)]
+    if rows:
+        r, c = np.concatenate(rows), np.concatenate(cols)
+        v = band[r, c]
+        band[r, c] = v + np.sign(v) * (bits.single(np.concatenate(places)).astype(band.dtype) & ~(np.abs(v) >> scan.low) & 1) * (1 << scan.low)
+    band += new
 
 
 def _read_refine(bits: Bits, at: np.ndarray, end_run: np.ndarray, scan: Scan, plane: np.ndarray, rows: np.ndarray) -> None:
-    """A refinement of one block of each interval; blocks that only have correction bits are read all at once."""
+    """A refinement of one block of each interval; blocks that only have correction bits are read all at once, the others symbol
+    by symbol, side by side."""
     symbol, size = lookup_of(scan.tables, 0x10 | scan.ac[0])
     c = bits.peek(at, 16)
     over = end_run > 0  # within a run of ended blocks
@@ -563,8 +603,11 @@ def _read_refine(bits: Bits, at: np.ndarray, end_run: np.ndarray, scan: Scan, pl
         plane[rows[i], scan.first : scan.last + 1] = band
         at[i] = p + old.sum(1)
         end_run[i] = np.maximum(end_run[i] - 1, 0)
-    for i in slow:
-        at[i], end_run[i] = _read_refine_one(bits, int(at[i]), 0, scan, plane[rows[i]])
+    if len(slow):
+        band = plane[rows[slow], scan.first : scan.last + 1]
+        p, e = at[slow], end_run[slow]
+        _read_symbols(bits, p, e, scan, band)
+        plane[rows[slow], scan.first : scan.last + 1], at[slow], end_run[slow] = band, p, e
 
 
 def coefficients(files: list[File]) -> list[list[np.ndarray]]:

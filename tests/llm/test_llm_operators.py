@@ -469,6 +469,52 @@ def test_refinement_behind_a_run_of_ended_blocks():
     assert plane[:, 1].tolist() == [3, 2, 3] and plane[:, 2].tolist() == [0, 0, 1] and not plane[:, 3:].any()
 
 
+def test_refinements_by_brute_force():
+    """The tokens of new coefficients against the block-wise coder, and texts that are rich in them there and back."""
+    rng = np.random.default_rng(3)
+    c = rng.choice([-40, -3, -2, -1, 0, 1, 2, 3, 50], size=(400, 63), p=[0.2, 0.1, 0.1, 0.1, 0.05, 0.1, 0.1, 0.05, 0.2])
+    c[(np.abs(c) == 1).sum(1) == 0, 0] = 1
+    c = c[(c == 0).sum(1) <= 15]
+    data, lens = media_jpeg._refine_tokens(c)
+    at = 0
+    for row, n in zip(c.tolist(), lens.tolist(), strict=True):
+        bits = media_jpeg._refine_bits(row)
+        bits += [1] * (-len(bits) % 8)
+        assert np.packbits(np.array(bits, np.uint8)).tolist() == data[at : at + n].tolist()
+        at += n
+    texts = [("съешь ещё этих булок с сыром ÁÁ " * 400).encode(), bytes([127, 128, 129]) * 3000, b"\x81" * 2000, bytes(rng.integers(126, 131, 9000).tolist())]
+    payloads = [media_jpeg.padded(x) for x in texts]
+    assert [media_jpeg.payload(*x) for x in media_jpeg.decode(media_jpeg.encode(payloads))] == payloads
+
+
+def test_colour_tensor_by_a_second_decoder():
+    """A file with subsampled chroma: blocks by the cosine sum, chroma doubled by hand, colours in floating point."""
+    data = media_jpeg.padded(bytes(np.random.default_rng(4).integers(118, 139, 1500).tolist()))
+    f, planes = media_jpeg.decode(media_jpeg.encode([data]))[0]
+    w, h = f.mcus()
+    flat = np.full(w * h * 384, 128)
+    flat[: len(data)] = list(data)
+    flat = flat.astype(float) - 128
+    basis = [[(math.sqrt(1 / 8) if u == 0 else 0.5) * math.cos((2 * x + 1) * u * math.pi / 16) for x in range(8)] for u in range(8)]
+    cells = sorted(((x, y) for x in range(8) for y in range(8)), key=lambda c: (c[0] + c[1], c[0] if (c[0] + c[1]) % 2 else -c[0]))
+
+    def image(blocks, across, down):
+        out = np.zeros((down * 8, across * 8))
+        for i, block in enumerate(blocks):
+            grid = np.zeros((8, 8))
+            for (u, v), value in zip(cells, block, strict=True):
+                grid[u, v] = value
+            out[i // across * 8 :, i % across * 8 :][:8, :8] = np.array(basis).T @ grid @ np.array(basis)
+        return np.clip(np.round(out + 128), 0, 255)
+
+    m = w * h
+    y, cb, cr = image(flat[: m * 256].reshape(-1, 64), 2 * w, 2 * h), image(flat[m * 256 : m * 320].reshape(-1, 64), w, h), image(flat[m * 320 :].reshape(-1, 64), w, h)
+    cb, cr = (np.kron(x, np.ones((2, 2))) - 128 for x in (cb, cr))
+    want = np.clip(np.stack([y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb], axis=2), 0, 255)
+    got = media_jpeg.tensor(f, planes)
+    assert got.shape == want.shape == (16 * h, 16 * w, 3) and np.abs(got - want).max() <= 3 and got.std() > 5
+
+
 def test_media_columns(spark):
     rows = corpus()
     got = media_jpeg.digests(media_jpeg.encode_column(made(spark, rows))).collect()
