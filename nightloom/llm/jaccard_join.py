@@ -18,8 +18,8 @@ Sets with equal shingles are one node from the start. Nodes with a signature in
   room for differences, and one. Pairs in different components that do become candidates.
 
 Signatures of many documents are combined within each batch of the scan, so that one of a third of all documents reaches
-its reducer as a few rows. Members of a bucket that holds more than one in ``HOT_SHARE`` of all members meet its hub where
-they are: there are fewer than HOT_SHARE such buckets, whatever the input, so these hubs are broadcast and no bucket is
+its reducer as a few rows. Members of a bucket that holds more than one in ``HOT_SHARE`` of all members (and ``HOT_LEAST``) meet its
+hub where they are: there are fewer than HOT_SHARE such buckets, whatever the input, so these hubs are broadcast and no bucket is
 one task's work. All candidates are verified on their whole texts' shingles. So components are exact, and
 their number of candidates does not grow with the square of a group of copies.
 
@@ -57,7 +57,7 @@ class Rule(NamedTuple):
 RULE = Rule()
 SMALL_BUCKET = 6
 LOCAL_BUCKET = 64
-HOT_SHARE = 10_000
+HOT_SHARE, HOT_LEAST = 10_000, 1000
 #: Shingles of the documents for each task that gathers signatures.
 TASK_SHINGLES = 2_000_000
 _A = np.uint64(0x9E3779B97F4A7C15)
@@ -360,10 +360,9 @@ def unsettled(members: DataFrame, kinds: DataFrame, rule: Rule = RULE) -> DataFr
 
 
 def hot_signatures(members: DataFrame) -> DataFrame:
-    """Signatures of more than one in HOT_SHARE of the members: fewer than HOT_SHARE rows."""
-    sizes = common.cut(members.groupBy("sig").agg(F.count("*").alias("n")))
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    return sizes.where(F.col("n") * HOT_SHARE > total).select("sig")
+    """Signatures of more than one in HOT_SHARE of the members, and HOT_LEAST of them at least: fewer than HOT_SHARE rows."""
+    total = members.count()
+    return common.cut(members.groupBy("sig").agg(F.count("*").alias("n")).where((F.col("n") * HOT_SHARE > total) & (F.col("n") >= HOT_LEAST)).select("sig").repartition(1))
 
 
 def by_signature(rows: DataFrame, one: DataFrame, hot: DataFrame, how: str = "inner") -> DataFrame:
@@ -430,8 +429,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     edges = found.where(F.col("kind") == EDGE).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
     members = unsettled(found.where(F.col("kind") == MEMBER).select(F.col("x").alias("sig"), F.col("y").alias("node")).distinct(), kinds, rule)
-    crowds = common.cut(hot_signatures(members))
-    hubs = common.cut(members.groupBy("sig").agg(F.max(F.struct("hot", "node")).alias("_h")).select("sig", F.col("_h.node").alias("hub")))
+    crowds = hot_signatures(members)
+    hubs = members.groupBy("sig").agg(F.max(F.struct("hot", "node")).alias("_h")).select("sig", F.col("_h.node").alias("hub"))
     first = by_signature(members, hubs, crowds).where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
     pairs = common.cut(sized(edges.unionAll(first).distinct()))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionAll(members.select("node")).distinct()
@@ -444,7 +443,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     here = rooted()
     of_hub = hubs.join(roots, F.col("hub") == F.col("node"), "left").select("sig", F.coalesce("root", "hub").alias("_root"))
-    others = common.cut(by_signature(here, of_hub, crowds).where("root <> _root").select("sig", "node", "hot"))
+    others = by_signature(here, of_hub, crowds).where("root <> _root").select("sig", "node", "hot")
     again = others.groupBy("sig").agg(F.max(F.struct("hot", "node")).alias("_h")).select("sig", F.col("_h.node").alias("hub"))
     second = by_signature(others, again, crowds).where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     second_links = common.cut(verified(sized(second), texts, rule))
