@@ -242,6 +242,11 @@ def test_words_in_shreds(spark):
         assert model.shreds(shreds) > 2, shreds
         assert model.scores([mild + shreds.encode()])[0] > model.scores([mild])[0]
     assert model.shreds("ka lo mi") <= 0.5
+    rng = random.Random(7)  # what is not decoded would have given nothing
+    for _ in range(400):
+        run = " ".join(rng.choice(("gru", "mbl", "efo", "ot", "ka", "sno", "tw", "aff", "le", "mb,", "oot", "fle", "e.")) for _ in range(rng.randint(2, 5)))
+        found = [model.odds[w] for w in toxicity.restore_shreds(run.split(), model.chars) if w in model.odds]
+        assert model.shreds(run) == max([*found, model.none]) or max(found) <= model.none, run
     assert toxicity.short_runs(b"st up id there a b  c\nd longer x") == {"st up id", "a b c d"}
 
 
@@ -325,9 +330,12 @@ def brute_components(rows, size=4, percent=85):
     return [(i, len(s), None if i is None else find(i)) for i, s in sets]
 
 
-@pytest.mark.parametrize("small", [6, 2])
-def test_jaccard_components_by_brute_force(spark, small, monkeypatch):
+@pytest.mark.parametrize(("small", "share"), [(6, 10_000), (2, 10_000), (2, 4), (2, 1)])
+def test_jaccard_components_by_brute_force(spark, small, share, monkeypatch):
+    """With small buckets and few hot ones, so that every way to meet a hub is taken."""
     monkeypatch.setattr(jaccard_join, "SMALL_BUCKET", small)
+    monkeypatch.setattr(jaccard_join, "HOT_SHARE", share)
+    monkeypatch.setattr(jaccard_join, "HOT_LEAST", 1)
     rows = corpus(small)
     got = sorted(map(str, map(tuple, jaccard_join.similar_components(made(spark, rows)).collect())))
     assert got == sorted(map(str, brute_components(rows)))
@@ -384,7 +392,7 @@ def test_allocation_covers_its_need():
 
 
 def test_components_of_a_chain_and_a_star(spark):
-    pairs = [(i, i + 1) for i in range(100, 160)] + [(0, i) for i in range(1, 40)] + [(5, 5)]
+    pairs = [(i, i + 1) for i in range(100, 160)] + [(0, i) for i in range(1, 40)] + [(5, 5), (None, 7), (7, None), (None, None), (101, 100)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {i: 100 for i in range(101, 161)} | {i: 0 for i in range(1, 40)}
 
