@@ -183,14 +183,18 @@ class Codec:
         return b"".join([self.bytes[i] for i in ids]).decode("utf-8", "replace")
 
 
+#: Bytes of known words that a Python worker keeps, beside a vocabulary of some megabytes.
+REMEMBER = 160 << 20
+
+
 @cache
-def codec(path: str) -> Codec:
+def codec(path: str, remember: int = REMEMBER) -> Codec:
     """The codec of a file, once a process. A bare name is that of a public vocabulary, found where the task runs."""
     if "/" not in path:
         import public_tokenizers
 
         path = str(public_tokenizers.path(path))
-    return Codec(path)
+    return Codec(path, remember)
 
 
 def slices(texts: list[str], most: int = 2_000_000):
@@ -220,12 +224,12 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     return common.map_batches(common.keyed(docs, id_col, text_col), fn, f"{id_col} {key}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def count_column(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def count_column(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", remember: int = REMEMBER) -> DataFrame:
     """id, text_hash (of the text, null as empty) and n_tokens."""
     key = docs.schema[id_col].dataType.simpleString()
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own, out = codec(path), []
+        own, out = codec(path, remember), []
         for some in slices([t or "" for t in batch.column(2).to_pylist()]):
             out += own.counts(some)
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int64())], names=[id_col, "text_hash", "n_tokens"])

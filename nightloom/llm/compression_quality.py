@@ -131,9 +131,12 @@ def quality_model(docs: DataFrame, labels: DataFrame, learns: Column | None = No
     build = sample.where("_build")
     sizes = sorted(tuple(r) for r in build.select("_rank", "_label", F.octet_length("_text")).collect())
     chosen = within(sizes, dict_bytes * 100)
-    texts = sorted(tuple(r) for r in build.where(F.col("_rank").isin(chosen)).select("_rank", "_label", "_text").collect()) if chosen else []
-    model = Model(dictionaries([(t.encode(), y) for _, y, t in texts], dict_bytes), None)
-    if len({y for _, y, _ in texts}) == 2:
+    rows = build.where(F.col("_rank").isin(chosen)).select("_rank", "_label", F.col("_text").cast("binary")).toLocalIterator() if chosen else ()
+    texts = sorted((rank, y, bytes(t)) for rank, y, t in rows)
+    model = Model(dictionaries([(t, y) for _, y, t in texts], dict_bytes), None)
+    both = len({y for _, y, _ in texts}) == 2
+    del texts
+    if both:
         x, y = fitting.features_of(sample.where("NOT _build"), model.features)
         if 0 < y.sum() < len(y):
             model.calibration = fitting.logistic(curved(x), y)

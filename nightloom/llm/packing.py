@@ -101,9 +101,9 @@ def word_count(text: str = "text", extra: int = 1) -> Column:
     return F.length(packed) - F.length(F.replace(packed, F.lit("w"), F.lit(""))) + F.lit(extra)
 
 
-def bpe_counts(docs: DataFrame, vocabulary: str, extra: int = 1, id_col: str = "doc_id") -> DataFrame:
-    """id, text_hash and n_tokens of each document, with the end mark."""
-    return bpe.count_column(docs, vocabulary, id_col).withColumn("n_tokens", F.col("n_tokens") + extra)
+def bpe_counts(docs: DataFrame, vocabulary: str, extra: int = 1, id_col: str = "doc_id", remember: int = bpe.REMEMBER) -> DataFrame:
+    """id, text_hash and n_tokens of each document, with the end mark. ``remember``: bytes of known words that a worker keeps."""
+    return bpe.count_column(docs, vocabulary, id_col, remember=remember).withColumn("n_tokens", F.col("n_tokens") + extra)
 
 
 def counted_by(docs: DataFrame, tokens: Column, id_col: str = "doc_id") -> DataFrame:

@@ -170,13 +170,18 @@ def parse_intervals(own: DataFrame, skip: int = 0, lights: bool = True, strict:
     return hypnogram.expand_intervals(own.withColumn("first", first), "first", "len").select("path", "epoch_idx", "stage")
 
 
-def interval_csv_us(spark: SparkSession, path: str, mapping: dict[str, int], epoch_s: int = 30) -> DataFrame:
-    """Semicolon-separated start and duration in microseconds with a subtype; gaps are -1, later starts win."""
+def intervals_us(spark: SparkSession, path: str | Files, mapping: dict[str, int]) -> DataFrame:
+    """(path, onset_s, duration_s, stage) of the rows whose subtype is a stage."""
     names = "`Start time relative (total µs)`", "`Duration (total µs)`"
-    own = spark.read.option("header", "true").option("sep", ";").csv(path).select(
-        _path().alias("path"), (F.col(names[0]).cast("double") / 1e6).alias("onset_s"), (F.col(names[1]).cast("double") / 1e6).alias("duration_s"), hypnogram.recode(F.col("Subtype"), mapping, -1).alias("stage")
-    )
-    return hypnogram.fill_gaps(own, ["path"], epoch_s)
+    own = _load(spark.read.format("csv").option("header", "true").option("sep", ";"), path)
+    own = own.select(_path().alias("path"), (F.col(names[0]).cast("double") / 1e6).alias("onset_s"), (F.col(names[1]).cast("double") / 1e6).alias("duration_s"), hypnogram.recode(F.col("Subtype"), mapping).alias("stage"))
+    return own.where("stage IS NOT NULL")
+
+
+def interval_csv_us(spark: SparkSession, path: str | Files, mapping: dict[str, int], epoch_s: int = 30) -> DataFrame:
+    """Semicolon-separated start and duration in microseconds with a subtype; gaps are -1, later starts win, other subtypes are
+    left out."""
+    return hypnogram.fill_gaps(intervals_us(spark, path, mapping), ["path"], epoch_s)
 
 
 def paired(recordings: DataFrame, scorings: DataFrame, strip: str = r"(-nsrr)?(\.\w+)+$") -> DataFrame:

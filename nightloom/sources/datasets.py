@@ -26,6 +26,13 @@ EMG: tuple[Candidate, ...] = (
     ("EMG3", "EMG1"), ("EMG3", "EMG2"), "EMG3-EMG1", "EMG3-EMG2", "EMG1-EMG3", ("L-LEGS", "R-LEGS"),
 )
 RODENT_EEG1, RODENT_EEG2, RODENT_EMG = ("EEG", "EEG1", "EEG EEG1A-B"), ("EEG2", "EEG EEG2A-B"), ("EMG", "EMG EMG")
+INTERVAL_EEG = ("EEG C4-A1", "EEG C4-REF", "EEG C3-A2", "EEG C3-REF")
+INTERVAL_EOG = (("EOG LEFT", "EOG RIGHT"), ("EOG2", "EOG1"), ("EEG EOG1-REF", "EEG EOG2-REF"))
+INTERVAL_EMG = ("EMG CHIN", "EMG1", "EMG2", "EMG3", "EMG4", "EMG5")
+DEPTH_EEG = (("EEG C4", "EEG A1"), ("EEG C4", "EEG A2"), ("EEG OPPEEG-C4", "EEG OPPEEG-A1"))
+DEPTH_EOG = (("EOG LIO", "EOG RSO"), ("EOG OPPEEG-LIO", "EOG OPPEEG-RSO"))
+DEPTH_EMG = ("EMG EMG CHIN", "EMG OPPEEG-EMG C")
+SUBTYPES = {"Wake": 0, "N1": 1, "N2": 2, "N3": 3, "REM": 4}
 HMC_STAGES = {"Sleep stage W": 0, "Sleep stage N1": 1, "Sleep stage N2": 2, "Sleep stage N3": 3, "Sleep stage R": 4}
 EDF_STAGES = {"Sleep stage W": 0, "Sleep stage 1": 1, "Sleep stage 2": 2, "Sleep stage 3": 3, "Sleep stage 4": 3, "Sleep stage R": 4}
 
@@ -42,8 +49,8 @@ class Channel:
     sign: int = -1
     any_case: bool = True
 
-    def read(self, data: bytes, head: dict) -> tuple[np.ndarray, float] | None:
-        """The signal and its rate; none where the file has no candidate."""
+    def read(self, data: bytes, head: dict, start_s: float = 0.0, stop_s: float | None = None) -> tuple[np.ndarray, float] | None:
+        """The signal, from start to stop, and its rate; none where the file has no candidate."""
         labels = [s["label"] for s in head["signals"]]
         known = [x.upper() for x in labels] if self.any_case else labels
         for candidate in self.candidates:
@@ -51,7 +58,7 @@ class Channel:
             names = [x.upper() for x in names] if self.any_case else names
             if all(x in known for x in names):
                 at = [known.index(x) for x in names]
-                parts = [edf.samples(data, head, k) for k in at]
+                parts = [edf.samples(data, head, k, start_s, stop_s) for k in at]
                 return (parts[0] if len(parts) == 1 else parts[0] + self.sign * parts[1]), head["signals"][at[0]]["rate"]
         return None
 
@@ -91,6 +98,10 @@ class Recordings(DatasetSource):
         """(path, epoch_idx, stage)."""
         return annotations.nsrr_xml(spark, annotations.Files(self.folder, self.scorings_glob))
 
+    def spans(self, spark: SparkSession) -> DataFrame | None:
+        """(path, start_s, end_s) of the scored part, where scorings do not start with the recording."""
+        return None
+
     def clean(self, labels: DataFrame) -> DataFrame:
         """Labels (subject_id, epoch_idx, stage, source) to those that stay, numbered anew; source is the epoch of the signal."""
         return labels
@@ -111,9 +122,9 @@ class Recordings(DatasetSource):
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for subject, path, data in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+                for subject, path, data, start, stop in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
                     head = edf.header(data)
-                    signals = [c.read(data, head) for c in me.channels]
+                    signals = [c.read(data, head, start or 0.0, stop) for c in me.channels]
                     if any(s is None for s in signals):
                         continue
                     parts = me.cut(signals)
@@ -124,7 +135,12 @@ class Recordings(DatasetSource):
                         yield pa.RecordBatch.from_arrays([pa.array([subject] * n, pa.int32()), pa.array([path] * n), pa.array(np.arange(n), pa.int32()), pa.array([channel] * n), arrays], names=["subject_id", "path", "epoch_idx", "channel", "samples"])
 
         files = edf.files(spark, self.folder, self.glob)
-        own = files.join(F.broadcast(found.select("subject_id", F.col("path").alias("_p"))), F.col("path") == F.col("_p")).select(F.col("subject_id").cast("int").alias("subject_id"), "path", "content")
+        few = found.select("subject_id", F.col("path").alias("_p"), self.key("path").alias("_k"))  # one row a file
+        if (spans := self.spans(spark)) is not None:
+            few = few.join(spans.select(self.key("path").alias("_k"), "start_s", "end_s"), "_k")
+        else:
+            few = few.withColumns({"start_s": F.lit(0.0), "end_s": F.lit(None).cast("double")})
+        own = files.join(F.broadcast(few), F.col("path") == F.col("_p")).select(F.col("subject_id").cast("int").alias("subject_id"), "path", "content", "start_s", "end_s")
         return own.mapInArrow(run, "subject_id int, path string, epoch_idx int, channel string, samples array<float>")
 
     def read(self, spark: SparkSession, found: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -332,5 +348,72 @@ class SleepyRat(Recordings):
         return subjects.select("subject_id", F.lit(0).alias("fold"), F.lit("test").alias("split"))
 
 
+class Parkinsons(Recordings):
+    """A folder for each record, with intervals that start behind lights-off; the signal is cropped to them. Unscored epochs go."""
+
+    def __init__(self, folder: str, **kw):
+        channels = (Channel("EEG", INTERVAL_EEG), Channel("EOG", INTERVAL_EOG), Channel("EMG", INTERVAL_EMG, 10.0, None))
+        super().__init__(folder, **{"name": "parkinsons", "channels": channels, "taps": 501, "scorings_glob": "*.tsv"} | kw)
+
+    def key(self, path: str):
+        return F.element_at(F.split(path, "/"), -2)
+
+    def wanted(self):
+        return ~self.key("path").endswith("_nap")
+
+    def _lines(self, spark: SparkSession) -> DataFrame:
+        return annotations.lines(annotations.texts(spark, annotations.Files(self.folder, self.scorings_glob)))
+
+    def scorings(self, spark: SparkSession) -> DataFrame:
+        return annotations.parse_intervals(self._lines(spark))
+
+    def spans(self, spark: SparkSession) -> DataFrame:
+        return annotations.scored_span(self._lines(spark))
+
+    def clean(self, labels: DataFrame) -> DataFrame:
+        return _plain(hypnogram.drop_invalid(labels, 0, 5))
+
+
+class Alzheimers(Parkinsons):
+    """The same with eight lines before the intervals, no lights-off, and no unknown labels."""
+
+    def __init__(self, folder: str, **kw):
+        super().__init__(folder, **{"name": "alzheimers"} | kw)
+
+    def wanted(self):
+        return F.lit(True)
+
+    def scorings(self, spark: SparkSession) -> DataFrame:
+        return annotations.parse_intervals(self._lines(spark), 8, False, True)
+
+    def spans(self, spark: SparkSession) -> DataFrame:
+        return annotations.scored_span(self._lines(spark), 8, False)
+
+    def clean(self, labels: DataFrame) -> DataFrame:
+        return labels
+
+
+class Intracranial(Recordings):
+    """A folder for each person and night, with intervals in millionths of a second; invalid epochs go and surplus wake is trimmed."""
+
+    def __init__(self, folder: str, **kw):
+        channels = (Channel("EEG", DEPTH_EEG), Channel("EOG", DEPTH_EOG), Channel("EMG", DEPTH_EMG, 10.0, None))
+        super().__init__(folder, **{"name": "intracranial", "channels": channels, "taps": 501, "scorings_glob": "*.csv"} | kw)
+
+    def key(self, path: str):
+        parts = F.split(path, "/")
+        return F.concat_ws("_", F.element_at(parts, -3), F.element_at(parts, -2))
+
+    def scorings(self, spark: SparkSession) -> DataFrame:
+        return annotations.interval_csv_us(spark, annotations.Files(self.folder, self.scorings_glob), SUBTYPES, self.epoch_s)
+
+    def spans(self, spark: SparkSession) -> DataFrame:
+        own = annotations.intervals_us(spark, annotations.Files(self.folder, self.scorings_glob), SUBTYPES)
+        return own.groupBy("path").agg(F.min("onset_s").alias("start_s"), F.max_by(F.col("onset_s") + F.col("duration_s"), "onset_s").alias("end_s"))
+
+    def clean(self, labels: DataFrame) -> DataFrame:
+        return _plain(hypnogram.trim_wake(_plain(hypnogram.drop_invalid(labels, 0, 4)), classes=5))
+
+
 #: The sources that the preprocess command knows by name.
-SOURCES: dict[str, type[DatasetSource]] = {"shhs": Shhs, "mros": Mros, "mesa": Mesa, "hmc": Hmc, "dcsm": Dcsm, "sleepedf": SleepEdf, "wsc": Wsc, "kornum": Kornum, "sleepyrat": SleepyRat}
+SOURCES: dict[str, type[DatasetSource]] = {"shhs": Shhs, "mros": Mros, "mesa": Mesa, "hmc": Hmc, "dcsm": Dcsm, "sleepedf": SleepEdf, "wsc": Wsc, "kornum": Kornum, "sleepyrat": SleepyRat, "parkinsons": Parkinsons, "alzheimers": Alzheimers, "intracranial": Intracranial}

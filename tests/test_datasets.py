@@ -112,6 +112,30 @@ def test_wsc_recordings(spark, tmp_path):
     assert np.allclose(epochs[0, 2, "EEG"], np.r_[np.zeros(2000), x].reshape(-1, 3000)[4], atol=1e-3)
 
 
+def test_interval_recordings(spark, tmp_path):
+    """Signals are cropped to where their scorings start, which is neither the recording's nor the file's beginning."""
+    names = ("EEG C4-REF", "EOG LEFT", "EOG RIGHT", "EMG1")
+    for kind, lines in (("pd", "0\t30\tWake\n60\t60\tLIGHTS_OFF\n60\t90\tWake\n90\t120\tS2\n120\t150\tmovement\n150\t180\tREM\n180\t190\tWake\n"), ("ad", "h\n" * 8 + "30\t60\tS1\n60\t90\tS3\n")):
+        for record in ("r1", "r1_nap"):
+            d = tmp_path / kind / record
+            d.mkdir(parents=True)
+            edf.write(str(d / "x.edf"), [(n, 200, wave(200, 200, k)) for k, n in enumerate(names)])
+            (d / "x.tsv").write_text(lines)
+    _, labels, epochs = ingested(spark, datasets.Parkinsons(str(tmp_path / "pd")), tmp_path / "out")
+    assert labels == {0: [0, 2, 4]}
+    x = edf.samples(*both(tmp_path / "pd" / "r1" / "x.edf", 0), 60, 180)
+    assert np.allclose(epochs[0, 2, "EEG"], dsp.resample_rate(dsp.fir_bandpass(x, 200, taps=501), 200, 100)[9000:], atol=1e-3)
+    _, labels, _ = ingested(spark, datasets.Alzheimers(str(tmp_path / "ad")), tmp_path / "out2")
+    assert labels == {0: [1, 3], 1: [1, 3]}
+    d = tmp_path / "ic" / "Subj001" / "Night001"
+    d.mkdir(parents=True)
+    edf.write(str(d / "a.edf"), [(n, 100, wave(400, 100, k)) for k, n in enumerate(("EEG C4", "EEG A1", "EOG LIO", "EOG RSO", "EMG EMG CHIN"))])
+    rows = [(100, 30, "N1"), (110, 5, "Arousal"), (130, 60, "N2"), (220, 60, "REM"), (280, 30, "N2")]  # a gap of an epoch before REM
+    (d / "a.csv").write_text("Start time relative (total µs);Duration (total µs);Subtype\n" + "".join(f"{a * 10**6};{b * 10**6};{c}\n" for a, b, c in rows), encoding="utf-8")
+    _, labels, epochs = ingested(spark, datasets.Intracranial(str(tmp_path / "ic")), tmp_path / "out3")
+    assert labels == {0: [1, 2, 2, 4, 4, 2]} and len({k[1] for k in epochs}) == 6
+
+
 def test_rodent_recordings(spark, tmp_path):
     for name, n in (("m1-EDF", 3), ("m1-EDFb", 2), ("m2-EDF", 4)):
         edf.write(str(tmp_path / f"{name}.edf"), [(c, 100, wave(4 * n, 100, k)) for k, c in enumerate(("EEG1", "EEG2", "EMG"))])
