@@ -53,7 +53,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.best_fit(packing.bpe_counts(docs, queries.TOKENIZER))
+    # The workers have held the other stages' models before.
+    return packing.best_fit(packing.bpe_counts(docs, queries.TOKENIZER, remember=16 << 20))
 
 
 STAGES = [
