@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from nightloom.engine import DatasetSource
 from nightloom.functions import dsp
@@ -405,7 +406,9 @@ class Intracranial(Recordings):
         return F.concat_ws("_", F.element_at(parts, -3), F.element_at(parts, -2))
 
     def scorings(self, spark: SparkSession) -> DataFrame:
-        return annotations.interval_csv_us(spark, annotations.Files(self.folder, self.scorings_glob), SUBTYPES, self.epoch_s)
+        own = annotations.intervals_us(spark, annotations.Files(self.folder, self.scorings_glob), SUBTYPES)
+        own = own.withColumn("onset_s", F.col("onset_s") - F.min("onset_s").over(W.partitionBy("path")))  # the signal is cropped likewise
+        return hypnogram.fill_gaps(own, ["path"], self.epoch_s)
 
     def spans(self, spark: SparkSession) -> DataFrame:
         own = annotations.intervals_us(spark, annotations.Files(self.folder, self.scorings_glob), SUBTYPES)
