@@ -65,9 +65,10 @@ class Codec:
         narrow = PATTERN.replace(r"[^\s\p{L}\p{N}]", f"[^{blanks}{letters}{numbers}]").replace(r"(?!\S)", f"(?![^{blanks}])")
         self.narrow = re.compile(narrow.replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", f"[{numbers}]").replace(r"\s", f"[{blanks}]"))
         self.mark = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        # Known words: (number of ids, ids, bytes), or the number of ids alone.
+        # Known words: (number of ids, ids, bytes), the number of ids alone, or the packed ids alone.
         self.words: dict[str, tuple[int, bytes, bytes]] = {}
         self.sizes: dict[str, int] = {}
+        self.ids: dict[str, bytes] = {}
         self.remember, self.held = remember, 0
 
     def ranked(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -121,6 +122,7 @@ class Codec:
         if self.held > self.remember:
             self.words.clear()
             self.sizes.clear()
+            self.ids.clear()
             self.held = 0
 
     def new_words(self, words: set[str], known: dict) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -175,6 +177,19 @@ class Codec:
         sizes = self.sizes | dict.fromkeys(self.special, 1) if any(t in ws for ws in own for t in self.special) else self.sizes
         return [sum(map(sizes.__getitem__, ws)) for ws in own]
 
+    def packed(self, texts: list[str], kind: np.dtype) -> list[bytes]:
+        """The ids of each text in a row, as numbers of one type; one codec must be asked for one type only."""
+        self.emptied_if_full()
+        own = [self.pieces(t) for t in texts]
+        known = self.ids
+        new, ids, n = self.new_words({w for ws in own for w in ws}.difference(self.special), known)
+        raw, ends = ids.astype(kind).tobytes(), (np.cumsum(n) * np.dtype(kind).itemsize).tolist()
+        known.update((w, raw[a:b]) for w, a, b in zip(new, [0, *ends], ends))
+        self.held += sum(map(len, new)) * 2 + 190 * len(new)
+        for t, i in self.special.items():
+            known[t] = np.array([i], kind).tobytes()
+        return [b"".join(map(known.__getitem__, ws)) for ws in own]
+
     def encode(self, text: str) -> list[int]:
         n, ids, _ = self.run([text])[0]
         return [int(x) for x in ids.split(b",")] if n else []

@@ -57,10 +57,19 @@ def _path(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one. It goes with the application, or with removed()."""
+    path = f"{checkpoint_dir(spark)}/nightloom-{name}-{uuid.uuid4().hex}"
+    where, store = _path(spark, path)
+    store.mkdirs(where)
+    store.deleteOnExit(where)
+    return path
+
+
+def stored(df: DataFrame, name: str, options: dict | None = None) -> tuple[DataFrame, str]:
     """df as a Parquet table in the shared folder, and its path. It goes with the application, or with removed()."""
     path = f"{checkpoint_dir(df.sparkSession)}/nightloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     where, store = _path(df.sparkSession, path)
     store.deleteOnExit(where)
     return df.sparkSession.read.schema(df.schema).parquet(path), path

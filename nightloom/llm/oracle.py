@@ -94,5 +94,42 @@ OP6 = "WITH RECURSIVE " + _LINKS.replace("{source}", "conversations")
 RENDERED = "WITH RECURSIVE " + _RENDERED + _LINKS.replace("{source}", "replies")
 
 
+_KEPT = """kept AS MATERIALIZED (SELECT row_number() OVER () AS rk, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+ WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"""
+
+
+def _code_round(r: int, last: bool) -> str:
+    """Assignment to the entries of round r, and the next entries."""
+    d = " + ".join(f"(q.v[{i}] - b.v[{i}]) * (q.v[{i}] - b.v[{i}])" for i in range(1, 5))
+    means = ", ".join(f"floor(sum(v[{i}])::DOUBLE / count(*))::BIGINT" for i in range(1, 5))
+    assign = f"a{r} AS MATERIALIZED (SELECT rk, q.p, min(({d}) * 64 + e) AS de FROM part q JOIN b{r} b ON b.p = q.p GROUP BY ALL)"
+    replace = f"b{r + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(n.v, b.v) AS v FROM b{r} b LEFT JOIN (SELECT p, de % 64 AS e, [{means}] AS v FROM a{r} JOIN part USING (rk, p) GROUP BY ALL) n ON n.p = b.p AND n.e = b.e)"
+    return assign if last else f"{assign},\n{replace}"
+
+
+OP11 = f"""WITH {_KEPT},
+part AS MATERIALIZED (SELECT rk, p, x[4 * p + 1:4 * p + 4] AS v FROM kept, range(16) t(p)),
+starts AS (SELECT rk, row_number() OVER (ORDER BY vec_id, x) - 1 AS e FROM kept WHERE vec_id IS NOT NULL ORDER BY vec_id, x LIMIT 64),
+b0 AS MATERIALIZED (SELECT p, e, v FROM starts JOIN part USING (rk)),
+{", ".join(_code_round(r, r == 2) for r in range(3))},
+sha AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS h FROM b2),
+c AS (SELECT rk, string_agg(printf('%02x', (de % 64)::INTEGER), '' ORDER BY p) AS code, sum(de // 64)::BIGINT AS error FROM a2 GROUP BY 1)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h AS codebooks_sha256 FROM kept JOIN c USING (rk), sha"""
+
+
+def _cluster_round(r: int, last: bool) -> str:
+    assign = f"a{r} AS MATERIALIZED (SELECT rk, min(list_sum(list_transform(range(1, 65), lambda i: (q.x[i] - b.x[i]) * (q.x[i] - b.x[i])))::BIGINT * 64 + c) AS dc FROM kept q, b{r} b GROUP BY 1)"
+    means = f"(SELECT c, list(m ORDER BY i) AS x FROM (SELECT dc % 64 AS c, i, floor(sum(x[i])::DOUBLE / count(*))::BIGINT AS m FROM a{r} JOIN kept USING (rk), range(1, 65) t(i) GROUP BY ALL) GROUP BY c)"
+    return assign if last else f"{assign},\nb{r + 1} AS MATERIALIZED (SELECT b.c, coalesce(n.x, b.x) AS x FROM b{r} b LEFT JOIN {means} n ON n.c = b.c)"
+
+
+OP13 = f"""WITH {_KEPT},
+b0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), x) - 1 AS c, x FROM kept WHERE vec_id IS NOT NULL ORDER BY sha256('2:' || vec_id), x LIMIT 40),
+{", ".join(_cluster_round(r, r == 5) for r in range(6))},
+own AS (SELECT rk, (dc % 64)::INTEGER AS cluster, dc // 64 AS distance FROM a5)
+SELECT vec_id, cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia,
+ sha256(array_to_string(b.x, ',')) AS centroid_sha256 FROM own JOIN kept USING (rk) JOIN b5 b ON b.c = cluster"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1, "op3_jaccard_join": OP3, "op5_secret_scan": OP5, "op6_quote_links": OP6, "rendered_quote_links": RENDERED}
+    return {"op1_quality_rules": OP1, "op3_jaccard_join": OP3, "op5_secret_scan": OP5, "op6_quote_links": OP6, "rendered_quote_links": RENDERED, "op11_heap_codes": OP11, "op13_drake_clusters": OP13}

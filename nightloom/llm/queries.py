@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, compression_quality, deleted_interpolation, jaccard_join, media_jpeg, oracle, packing, quality_rules, quote_links, secrets, toxicity
+from . import arrow_files, bpe, centroids, common, compression_quality, deleted_interpolation, jaccard_join, media_jpeg, oracle, packing, quality_rules, quote_links, secrets, toxicity, vector_codes
 
 #: A public vocabulary by its name; ``public_tokenizers.path`` finds the file on each executor.
 TOKENIZER = "byte_bpe_50k.json"
@@ -63,6 +63,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", (common.fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op11_heap_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.code_digests(common.table(spark, sf_dir, "embeddings"))
+
+
+def op12_arrow_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    return arrow_files.digests(arrow_files.token_files(docs, TOKENIZER), docs.schema["doc_id"].dataType.simpleString())
+
+
+def op13_drake_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_digests(common.table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -76,6 +89,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_toxicity": op10_toxicity,
+        "op11_heap_codes": op11_heap_codes,
+        "op12_arrow_files": op12_arrow_files,
+        "op13_drake_clusters": op13_drake_clusters,
     }
 
 
