@@ -28,13 +28,13 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
 
 
 def queries() -> dict[str, Query]:
-    from nightloom.plans import catalogue_layers, catalogue_records, signals  # noqa: F401  they add their own
+    from nightloom.plans import catalogue_layers, catalogue_records, catalogue_training, signals  # noqa: F401  they add their own
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from nightloom.plans import catalogue_layers, catalogue_records, signals  # noqa: F401
+    from nightloom.plans import catalogue_layers, catalogue_records, catalogue_training, signals  # noqa: F401
 
     return dict(SQL)
 
