@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import importlib
+import uuid
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
@@ -15,7 +16,7 @@ from nightloom import schema
 from nightloom.functions import dsp
 from nightloom.operators import channels, metrics, prototypes, scaling, sequences, splits
 from nightloom.plans import models
-from nightloom.sources import sinks
+from nightloom.sources import sinks, store
 
 #: Named preprocessors of an epoch's samples; more can be registered.
 PREPROCESSORS: dict[str, Callable[[Column], Column]] = {
@@ -50,6 +51,15 @@ class DatasetSource(ABC):
     """A data set that can be ingested. Records that cannot be read leave no epochs, but keep their subject_id."""
 
     name: str
+    #: A folder for what read() decodes, where ingest() names one; it goes when the tables are written.
+    staging: str | None = None
+
+    def staged(self, decoded: DataFrame) -> DataFrame:
+        """What has been decoded, written once where there is a staging folder, so that later steps do not decode again."""
+        if self.staging is None:
+            return decoded
+        decoded.write.mode("overwrite").parquet(self.staging)
+        return decoded.sparkSession.read.schema(decoded.schema).parquet(self.staging)
 
     @abstractmethod
     def records(self, spark: SparkSession) -> DataFrame:
@@ -88,6 +98,7 @@ def ingest(spark: SparkSession, source: DatasetSource, path: str, preprocessors:
 
     ``scale_on``: a split whose subjects alone give the statistics; all subjects by default."""
     records = source.records(spark)
+    source.staging = f"{path}/staging-{uuid.uuid4().hex}"
     epochs, labels = source.read(spark, records)
     name = F.lit(source.name)
     own = labels.join(epochs.select("subject_id", "epoch_idx").distinct(), ["subject_id", "epoch_idx"], "left_semi")
@@ -95,6 +106,8 @@ def ingest(spark: SparkSession, source: DatasetSource, path: str, preprocessors:
     labels = spark.read.parquet(f"{path}/labels").where(F.col("dataset") == source.name)
     kept = epochs.join(labels.select("subject_id", "epoch_idx"), ["subject_id", "epoch_idx"], "left_semi")
     sinks.write_epochs(kept.select(name.alias("dataset"), "subject_id", "epoch_idx", "channel", "samples"), f"{path}/epochs")
+    store.remove(spark, source.staging)
+    source.staging = None
     epochs = spark.read.parquet(f"{path}/epochs").where(F.col("dataset") == source.name)
     others = [c for c in records.columns if c not in ("subject_id", "num_windows")]
     named = records.groupBy("subject_id").agg(F.min(F.struct(*others)).alias("_r")).select("subject_id", "_r.*")  # of several recordings, the first

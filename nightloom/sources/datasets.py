@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from nightloom.engine import DatasetSource
 from nightloom.functions import dsp
 from nightloom.operators import hypnogram, records
-from nightloom.sources import annotations, edf
+from nightloom.sources import annotations, edf, edf_files
 
 Candidate = str | tuple[str, str]
 
@@ -50,17 +50,17 @@ class Channel:
     sign: int = -1
     any_case: bool = True
 
-    def read(self, data: bytes, head: dict, start_s: float = 0.0, stop_s: float | None = None) -> tuple[np.ndarray, float] | None:
-        """The signal, from start to stop, and its rate; none where the file has no candidate."""
-        labels = [s["label"] for s in head["signals"]]
+    def read(self, file: edf_files.EdfFile, start_s: float = 0.0, stop_s: float | None = None) -> tuple[np.ndarray, float] | None:
+        """The signal, from start to stop, and its rate; none where the file has no candidate. No other channel is read."""
+        labels = [s["label"] for s in file.head["signals"]]
         known = [x.upper() for x in labels] if self.any_case else labels
         for candidate in self.candidates:
             names = [candidate] if isinstance(candidate, str) else [*candidate]
             names = [x.upper() for x in names] if self.any_case else names
             if all(x in known for x in names):
                 at = [known.index(x) for x in names]
-                parts = [edf.samples(data, head, k, start_s, stop_s) for k in at]
-                return (parts[0] if len(parts) == 1 else parts[0] + self.sign * parts[1]), head["signals"][at[0]]["rate"]
+                parts = [file.samples(k, start_s, stop_s) for k in at]
+                return (parts[0] if len(parts) == 1 else parts[0] + self.sign * parts[1]), file.head["signals"][at[0]]["rate"]
         return None
 
 
@@ -119,13 +119,13 @@ class Recordings(DatasetSource):
 
     def signals(self, spark: SparkSession, found: DataFrame) -> DataFrame:
         """(subject_id, path, epoch_idx, channel, samples). A file without all channels leaves no rows."""
-        me, names = self, [c.name for c in self.channels]
+        me, names, ranged = self, [c.name for c in self.channels], edf_files.readable(self.folder)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for subject, path, data, start, stop in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
-                    head = edf.header(data)
-                    signals = [c.read(data, head, start or 0.0, stop) for c in me.channels]
+                    file = edf_files.EdfFile.of(data) if data is not None else edf_files.EdfFile.open(path)
+                    signals = [c.read(file, start or 0.0, stop) for c in me.channels]
                     if any(s is None for s in signals):
                         continue
                     parts = me.cut(signals)
@@ -135,17 +135,20 @@ class Recordings(DatasetSource):
                         arrays = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * p.shape[1], pa.int32()), pa.array(p.reshape(-1)))
                         yield pa.RecordBatch.from_arrays([pa.array([subject] * n, pa.int32()), pa.array([path] * n), pa.array(np.arange(n), pa.int32()), pa.array([channel] * n), arrays], names=["subject_id", "path", "epoch_idx", "channel", "samples"])
 
-        files = edf.files(spark, self.folder, self.glob)
         few = found.select("subject_id", F.col("path").alias("_p"), self.key("path").alias("_k"))  # one row a file
         if (spans := self.spans(spark)) is not None:
             few = few.join(spans.select(self.key("path").alias("_k"), "start_s", "end_s"), "_k")
         else:
             few = few.withColumns({"start_s": F.lit(0.0), "end_s": F.lit(None).cast("double")})
-        own = files.join(F.broadcast(few), F.col("path") == F.col("_p")).select(F.col("subject_id").cast("int").alias("subject_id"), "path", "content", "start_s", "end_s")
+        if ranged:  # a task opens its files itself and reads the channels' bytes; as many tasks as files, but at most some thousands
+            own = few.withColumn("content", F.lit(None).cast("binary")).withColumnRenamed("_p", "path").repartition(max(1, min(found.count(), 4096)), "path")
+        else:
+            own = edf.files(spark, self.folder, self.glob).join(few, F.col("path") == F.col("_p"))
+        own = own.select(F.col("subject_id").cast("int").alias("subject_id"), "path", "content", "start_s", "end_s")
         return own.mapInArrow(run, "subject_id int, path string, epoch_idx int, channel string, samples array<float>")
 
     def read(self, spark: SparkSession, found: DataFrame) -> tuple[DataFrame, DataFrame]:
-        epochs = self.signals(spark, found)
+        epochs = self.staged(self.signals(spark, found))
         own = self.scorings(spark).withColumn("record_id", self.key("path")).drop("path")
         labels = own.join(found.select("record_id", F.col("subject_id").cast("int").alias("subject_id")), "record_id").select("subject_id", F.col("epoch_idx").cast("int").alias("epoch_idx"), "stage")
         labels = self.matched(labels, epochs).withColumn("source", F.col("epoch_idx"))

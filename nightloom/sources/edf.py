@@ -1,7 +1,7 @@
 """EDF and EDF+ files: headers, physical samples of channels, and annotations.
 
-Files come through Spark's ``binaryFile`` reader, so any store that Spark reads will do, and each is parsed by one task. A
-channel filter is applied before samples are decoded.
+Where ranges of files can be read, the data sources of ``edf_files`` read headers, channels and annotations without the rest.
+From other stores files come whole through Spark's ``binaryFile`` reader, one task each.
 """
 
 from __future__ import annotations
@@ -58,12 +58,18 @@ def annotations(data: bytes, h: dict) -> list[tuple[float, float, str]]:
             continue
         at = sum(x["samples"] for x in h["signals"][:k])
         for record in _records(data, h)[:, at : at + s["samples"]]:
-            for item in record.tobytes().split(b"\0"):
-                if not item:
-                    continue
-                time, *texts = item.split(b"\x14")
-                onset, _, length = time.partition(b"\x15")
-                out += [(float(onset), float(length or 0), t.decode("utf-8", "replace")) for t in texts if t]
+            out += record_annotations(record.tobytes())
+    return out
+
+
+def record_annotations(record: bytes) -> list[tuple[float, float, str]]:
+    """(onset, duration, text) of one data record's annotations."""
+    out = []
+    for item in record.split(b"\0"):
+        if item:
+            time, *texts = item.split(b"\x14")
+            onset, _, length = time.partition(b"\x15")
+            out += [(float(onset), float(length or 0), t.decode("utf-8", "replace")) for t in texts if t]
     return out
 
 
@@ -85,6 +91,10 @@ def _mapped(found: DataFrame, fn, schema: str, kinds: list[pa.DataType]) -> Data
 
 def read_headers(spark: SparkSession, path: str, glob: str = "*.edf") -> DataFrame:
     """One row per file and signal. Only the start of each file goes to Python: a header is 256 bytes, and as many for each signal."""
+    from nightloom.sources import edf_files
+
+    if edf_files.readable(path):
+        return edf_files.load(spark, "edf_headers", path, pathGlobFilter=glob)
 
     def fn(name: str, data: bytes) -> list[tuple]:
         h = header(data)
@@ -97,6 +107,11 @@ def read_headers(spark: SparkSession, path: str, glob: str = "*.edf") -> DataFra
 def read_epochs(spark: SparkSession, path: str, channels: Sequence[str], epoch_s: float = 30.0, glob: str = "*.edf", spans: DataFrame | None = None) -> DataFrame:
     """(path, label, rate, epoch_idx, samples) of the channels whose label is named; whole epochs only, a batch for each
     channel. ``spans`` (path, start_s, end_s): the part of each file that is read; other files are left out."""
+    from nightloom.sources import edf_files
+
+    if spans is None and edf_files.readable(path):
+        found = edf_files.load(spark, "edf", path, pathGlobFilter=glob, epochSeconds=str(epoch_s))
+        return found.where(F.col("label").isin(*channels)).select("path", "label", "rate", "epoch_idx", "samples")
     wanted, kinds = set(channels), "path string, label string, rate double, epoch_idx int, samples array<float>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,17 +131,23 @@ def read_epochs(spark: SparkSession, path: str, channels: Sequence[str], epoch_s
         own = found.select("path", "content", F.lit(0.0).alias("start_s"), F.lit(None).cast("double").alias("end_s"))
     else:
         key = lambda c: F.element_at(F.split(c, "/"), -1)
-        own = found.join(F.broadcast(spans.select(key("path").alias("_f"), "start_s", "end_s")), key("path") == F.col("_f")).select("path", "content", "start_s", "end_s")  # one row a file
+        own = found.join(spans.select(key("path").alias("_f"), "start_s", "end_s"), key("path") == F.col("_f")).select("path", "content", "start_s", "end_s")
     return own.mapInArrow(run, kinds)
 
 
 def read_annotations(spark: SparkSession, path: str, glob: str = "*.edf") -> DataFrame:
-    """(path, n, onset_s, duration_s, code), n in the order of the file."""
+    """(path, n, onset_s, duration_s, code), n in the order of the file: by signal, record and place. It is a number to order by,
+    and dense only where files are read whole."""
+    from nightloom.sources import edf_files
+
+    if edf_files.readable(path):
+        n = (F.col("signal").cast("long") * (1 << 22) + F.col("record")) * 4096 + F.col("item")
+        return edf_files.load(spark, "edf_annotations", path, pathGlobFilter=glob).select("path", n.alias("n"), "onset_s", "duration_s", "code")
 
     def fn(name: str, data: bytes) -> list[tuple]:
         return [(name, i, *a) for i, a in enumerate(annotations(data, header(data)))]
 
-    return _mapped(files(spark, path, glob), fn, "path string, n int, onset_s double, duration_s double, code string", [pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.string()])
+    return _mapped(files(spark, path, glob), fn, "path string, n long, onset_s double, duration_s double, code string", [pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.string()])
 
 
 def epoch_stages(annots: DataFrame, mapping: dict[str, int]) -> DataFrame:
