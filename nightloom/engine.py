@@ -3,20 +3,23 @@
 from __future__ import annotations
 
 import argparse
+import dataclasses
 import importlib
 import uuid
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nightloom import schema
 from nightloom.functions import dsp
-from nightloom.operators import channels, metrics, prototypes, scaling, sequences, splits
+from nightloom.operators import channels, gather, metrics, prototypes, scaling, sequences, splits
 from nightloom.plans import models
 from nightloom.sources import sinks, store
+from nightloom.training import loop, nets
 
 #: Named preprocessors of an epoch's samples; more can be registered.
 PREPROCESSORS: dict[str, Callable[[Column], Column]] = {
@@ -82,10 +85,11 @@ class DatasetSource(ABC):
 
 @dataclass
 class Tables:
-    """The tables of some data sets, read lazily from a folder."""
+    """The tables of some data sets, read lazily from a folder; their raw epochs from a bundle (see compress()) where one is given."""
 
     spark: SparkSession
     path: str
+    bundle: str | None = None
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in ("subjects", "folds", "epochs", "labels", "scaling") or name.startswith("spectra_"):
@@ -167,15 +171,22 @@ class EpochDataset:
 
     def samples(self, split: str) -> DataFrame:
         """(record, rel_idx, stages, x): training sequences with their epochs, x[epoch][channel][sample]. Positions beyond the
-        record are zeros, standardised like the rest."""
-        own = self.wide(split)
-        index = sequences.sequences(self.labels().join(self.split(split), list(self._key), "left_semi"), self.sequence_length, "record")
-        pad = self._pad().select(F.col("x").alias("_pad"))
-        rows = index.join(own, ["record", "epoch_idx"], "left").crossJoin(F.broadcast(pad)).withColumn("x", F.coalesce("x", "_pad"))
-        out = rows.groupBy("record", "rel_idx").agg(F.array_sort(F.collect_list(F.struct("off", "stage", "x"))).alias("s"))
-        out = out.select("record", "rel_idx", F.transform("s", lambda e: e["stage"]).alias("stages"), F.transform("s", lambda e: e["x"]).alias("x"))
+        record are zeros, standardised like the rest. Each epoch is shuffled once, as it is stored."""
+        stats = {(r["dataset"], r["channel"]): (np.array(r["mean"]), np.array(r["std"])) for r in self.statistics().collect()}
+        if missing := [c for c in self.selected_channels if (self.datasets[0], c) not in stats]:
+            raise KeyError(f"no scaling statistics of {self.datasets[0]} for {', '.join(missing)}")
+        pad = np.stack([gather.standard(np.zeros(len(mean)), mean, std) for mean, std in (stats[self.datasets[0], c] for c in self.selected_channels)])
+        places = self.tables.spark.createDataFrame([(*key, i) for i, key in enumerate(stats)], "dataset string, channel string, stat int")
+        labels = self.labels().join(self.split(split), list(self._key), "left_semi").select("record", "epoch_idx", "stage")
+        own = self.stored_signal(split).join(F.broadcast(places), ["dataset", "channel"]).withColumn("record", F.concat_ws("/", "dataset", F.col("subject_id").cast("string")))  # a row for each data set and channel
+        out = gather.samples(labels, own, list(stats.values()), pad, self.sequence_length, len(self.selected_channels), schema.PAD_STAGE)
         return out if self.target is None else out.withColumn("y", self.target(F.col("stages")))
 
+    def statistics(self) -> DataFrame:
+        """(dataset, channel, mean, std) of the chosen channels; a row for each, as long as an epoch."""
+        own = self.tables.scaling.where((F.col("prep") == self.prep) & F.col("dataset").isin(*self.datasets) & F.col("channel").isin(*self.selected_channels))
+        return scaling.packed(own, ["dataset", "channel"])
+
     def night_samples(self, split: str) -> DataFrame:
         """(record, stages, x): whole records for validation and test, one row each."""
         rows = self.labels().join(self.split(split), list(self._key), "left_semi").select("record", "epoch_idx", "stage").join(self.wide(split), ["record", "epoch_idx"])
@@ -192,24 +203,36 @@ class EpochDataset:
         rows = own.groupBy("record", "epoch_idx").agg(F.array_sort(F.collect_list(F.struct("channel_idx", "samples"))).alias("c"))
         return rows.where(F.size("c") == len(self.selected_channels)).select("record", F.col("epoch_idx").cast("int").alias("epoch_idx"), F.transform("c", lambda e: e["samples"]).alias("x"))
 
-    def _pad(self) -> DataFrame:
-        """One row: the epoch of zeros, standardised with the statistics of the first data set."""
-        stats = scaling.packed(self.tables.scaling.where((F.col("prep") == self.prep) & (F.col("dataset") == self.datasets[0])), ["channel"])
-        own = channels.select_channels(stats, self.selected_channels).withColumn("z", scaling.standardised(F.transform("mean", lambda m: F.lit(0.0)), F.col("mean"), F.col("std")))
-        return own.agg(F.array_sort(F.collect_list(F.struct("channel_idx", "z"))).alias("c")).select(F.transform("c", lambda e: e["z"]).alias("x"))
-
     def nights(self, split: str) -> DataFrame:
         return sequences.whole_records(self.labels().join(self.split(split), list(self._key), "left_semi"), "record")
 
     def signal(self, split: str) -> DataFrame:
         """Standardised epochs of the chosen channels, in the caller's order: samples, or a preprocessor's spectra as one array."""
-        if self.prep == "raw":
+        return self.stored_signal(split).join(F.broadcast(self.statistics()), ["dataset", "channel"]).withColumn("samples", scaling.standardised(F.col("samples"), F.col("mean"), F.col("std"))).drop("mean", "std")
+
+    def stored_signal(self, split: str) -> DataFrame:
+        """The same before standardisation."""
+        if self.prep == "raw" and self.tables.bundle is not None:
+            epochs = sinks.read_bundle(self.tables.spark, self.tables.bundle, split).drop("split")
+        elif self.prep == "raw":
             epochs = self.tables.epochs
         else:
             epochs = getattr(self.tables, f"spectra_{self.prep}").withColumn("samples", F.flatten("spec")).drop("spec")
-        own = channels.select_channels(epochs.where(F.col("dataset").isin(*self.datasets)), self.selected_channels).join(self.split(split), list(self._key), "left_semi")
-        stats = scaling.packed(self.tables.scaling.where(F.col("prep") == self.prep), ["dataset", "channel"])
-        return own.join(F.broadcast(stats), ["dataset", "channel"]).withColumn("samples", scaling.standardised(F.col("samples"), F.col("mean"), F.col("std"))).drop("mean", "std")
+        return channels.select_channels(epochs.where(F.col("dataset").isin(*self.datasets)), self.selected_channels).join(self.split(split), list(self._key), "left_semi")
+
+    def examples(self, split: str, features: Callable[[Column], Column], context: int = 1) -> DataFrame:
+        """(dataset, record, epoch_idx, x, y): for each labelled epoch the features of all its channels, those of the ``context``
+        epochs around it in a row, zeros beyond the record. ``features`` makes a small array from an epoch's samples."""
+        own = self.signal(split).withColumn("record", F.concat_ws("/", "dataset", F.col("subject_id").cast("string")))
+        small = own.select("dataset", "record", F.col("epoch_idx").cast("int").alias("epoch_idx"), "channel_idx", features(F.col("samples")).cast("array<double>").alias("f"))
+        wide = small.groupBy("dataset", "record", "epoch_idx").agg(F.array_sort(F.collect_list(F.struct("channel_idx", "f"))).alias("c"))
+        wide = wide.where(F.size("c") == len(self.selected_channels)).select("dataset", "record", "epoch_idx", F.flatten(F.transform("c", lambda e: e["f"])).alias("f"))
+        labels = self.labels().select("record", F.col("epoch_idx").cast("int").alias("epoch_idx"), F.col("stage").cast("int").alias("y"))
+        rows = wide.join(labels, ["record", "epoch_idx"])
+        w = Window.partitionBy("dataset", "record").orderBy("epoch_idx")
+        none = F.transform("f", lambda v: F.lit(0.0))
+        around = [F.coalesce(F.lag("f", -o).over(w), none) for o in range(-(context // 2), context - context // 2)]
+        return rows.select("dataset", "record", "epoch_idx", F.concat(*around).alias("x"), "y")
 
 
 def zipped(split: str, **views: EpochDataset) -> DataFrame:
@@ -229,6 +252,45 @@ def evaluate(preds: DataFrame, by: Sequence[str] = ("dataset",), y: str = "y", p
     return mean.join(pooled.select(*by, *[F.col(m).alias(f"pooled_{m}") for m in metrics.METRICS]), list(by)) if by else mean.crossJoin(pooled.select(*[F.col(m).alias(f"pooled_{m}") for m in metrics.METRICS]))
 
 
+def network(spec: str, n_features: int, n_scores: int, loss: str = "cel", **options) -> object:
+    """A model to train: ``dense:32,16`` with hidden layers of these sizes, ``linear``, or ``module:Class`` of one's own, which
+    is called with the same arguments as nets.Dense."""
+    kind, _, rest = spec.partition(":")
+    if kind in ("linear", "dense"):
+        hidden = [int(h) for h in rest.split(",") if h]
+        return nets.Dense((n_features, *hidden, n_scores), loss=loss, **options)
+    return imported(spec)((n_features, n_scores), loss=loss, **options)
+
+
+def train(data: EpochDataset, path: str, features: Callable[[Column], Column], model: str = "linear", context: int = 1, classes: int = 5, settings: loop.Settings | None = None, params: np.ndarray | None = None, resume: bool = True, loss: str = "cel") -> loop.Fitted:
+    """Trains a model on a data set's training split and validates it on the validation split; ``path`` is the run's folder."""
+    examples, valid = (data.examples(s, features, context) for s in ("train", "valid"))
+    first = examples.where(F.col("x").isNotNull()).select(F.size("x")).first()
+    if first is None:
+        raise ValueError("no training examples")
+    net = network(model, first[0], classes if loss == "cel" else 1, loss)
+    return loop.fit(examples, valid, net, path, settings, params, resume)
+
+
+def finetune(data: EpochDataset, start: str, path: str, features: Callable[[Column], Column], learning_rate: float = 1e-7, weight_decay: float | None = None, settings: loop.Settings | None = None, **more) -> loop.Fitted:
+    """As train(), from the best parameters of another run, with a rate of its own; the decay is the rate unless given."""
+    own = loop.Settings(**(dataclasses.asdict(settings or loop.Settings()) | {"learning_rate": learning_rate, "weight_decay": learning_rate if weight_decay is None else weight_decay}))
+    return train(data, path, features, settings=own, params=loop.checkpoint(data.tables.spark, start), resume=False, **more)
+
+
+def test_model(data: Sequence[EpochDataset], fitted: loop.Fitted, features: Callable[[Column], Column], context: int = 1, results: str | None = None, aggregate: bool = False) -> DataFrame:
+    """Loss and metrics on the test splits, a row for each data set or one for all together; written as one CSV if asked for."""
+    rows = None
+    for d in data:
+        own = d.examples("test", features, context)
+        rows = own if rows is None else rows.unionByName(own)
+    out = loop.test(rows, fitted.model, fitted.params, () if aggregate else ("dataset",))
+    out = out.withColumn("dataset", F.lit("aggregate")) if aggregate else out
+    if results is not None:
+        sinks.write_report(out, results)
+    return out
+
+
 def mean_loss(preds: DataFrame, loss: str = "cel", y: str = "y", p: str = "p") -> DataFrame:
     return preds.agg(F.avg(LOSSES[loss](F.col(y), F.col(p))).alias("loss"))
 
@@ -297,6 +359,26 @@ def main(argv: Sequence[str] | None = None) -> None:
     pack.add_argument("output")
     pack.add_argument("--fold", type=int, default=0)
     pack.add_argument("--half", nargs="*", default=("shhs",))
+    for command, what in (("train", "train a model on ingested data sets"), ("finetune", "go on from another run's best checkpoint")):
+        fit = commands.add_parser(command, help=what)
+        fit.add_argument("tables")
+        fit.add_argument("checkpoint", help="folder of the run")
+        fit.add_argument("-d", "--datasets", nargs="+", required=True)
+        fit.add_argument("-x", "--features", default="nightloom.training.features:log_band_powers", help="module:function of an epoch's samples")
+        fit.add_argument("-m", "--model", default="linear", help="linear, dense:32,16 or module:Class")
+        fit.add_argument("--channels", nargs="+", default=("EEG",))
+        fit.add_argument("--context", type=int, default=1)
+        fit.add_argument("--fold", type=int, default=0)
+        fit.add_argument("--epochs", type=int, default=10)
+        fit.add_argument("--batch-rows", type=int, default=4096)
+        fit.add_argument("--learning-rate", type=float, default=1e-3 if command == "train" else 1e-7)
+        fit.add_argument("--weight-decay", type=float, default=0.0 if command == "train" else None)
+        fit.add_argument("--monitor", default="val_acc")
+        fit.add_argument("--mode", default="max", choices=("max", "min"))
+        fit.add_argument("--results", help="CSV of the tests, after training")
+        fit.add_argument("--bundle", help="read epochs from this bundle of compress")
+        if command == "finetune":
+            fit.add_argument("--start", required=True, help="folder of the run to go on from")
     test = commands.add_parser("test", help="metrics of a Parquet table (dataset, subject_id, y, p)")
     test.add_argument("predictions")
     test.add_argument("--results", required=True)
@@ -313,6 +395,16 @@ def main(argv: Sequence[str] | None = None) -> None:
         preprocess(spark, args)
     elif args.command == "compress":
         compress(spark, args.tables, args.output, args.fold, args.half)
+    elif args.command in ("train", "finetune"):
+        data = EpochDataset(Tables(spark, args.tables, args.bundle), args.datasets, args.channels, fold=args.fold)
+        features, more = imported(args.features), {"model": args.model, "context": args.context}
+        settings = loop.Settings(learning_rate=args.learning_rate, weight_decay=args.weight_decay or 0.0, batch_rows=args.batch_rows, epochs=args.epochs, monitor=args.monitor, mode=args.mode)
+        if args.command == "train":
+            fitted = train(data, args.checkpoint, features, settings=settings, **more)
+        else:
+            fitted = finetune(data, args.start, args.checkpoint, features, args.learning_rate, args.weight_decay, settings, **more)
+        if args.results:
+            test_model([data], fitted, features, args.context, args.results)
     elif args.command == "test":
         preds = spark.read.parquet(args.predictions)
         sinks.write_report(evaluate(preds, () if args.aggregate else ("dataset",)), args.results)

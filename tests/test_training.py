@@ -55,25 +55,25 @@ def one_machine(x, y, batch, net, s, epochs, params=None):
 
 def test_training_equals_one_machine_and_resumes(spark, tmp_path):
     x, y = rows_of()
-    net, s = nets.Dense((5, 6, 3)), loop.Settings(learning_rate=0.02, weight_decay=1e-3, batch_rows=70, epochs=6)
+    net, s = nets.Dense((5, 6, 3)), loop.Settings(learning_rate=0.02, weight_decay=1e-3, batch_rows=140, epochs=4)
     data = frame(spark, x, y)
     batch = np.zeros(len(x), int)
-    for r in loop.dealt(data, 6, "record", "epoch_idx").collect():
+    for r in loop.dealt(data, 3, "record", "epoch_idx").collect():
         batch[r.epoch_idx] = r.batch
-    want = one_machine(x, y, batch, net, s, 6)
+    want = one_machine(x, y, batch, net, s, 4)
     nulls = spark.createDataFrame([("z", 1, None, 1), ("z", 2, [0.0] * 5, None), (None, None, None, None)], data.schema)
     got = loop.fit(data.unionByName(nulls), data, net, str(tmp_path / "a"), s)
     assert np.allclose(got.last, want[-1][0], atol=1e-6)
     log = got.log.collect()
-    assert [r.epoch for r in log] == list(range(6)) and np.allclose([(r.val_loss, r.val_acc, r.rate) for r in log], [w[1:] for w in want], atol=1e-6)
-    best = max(range(6), key=lambda e: (want[e][2], -e))
+    assert [r.epoch for r in log] == list(range(4)) and np.allclose([(r.val_loss, r.val_acc, r.rate) for r in log], [w[1:] for w in want], atol=1e-6)
+    best = max(range(4), key=lambda e: (want[e][2], -e))
     assert np.allclose(got.params, want[best][0], atol=1e-6) and np.allclose(loop.checkpoint(spark, str(tmp_path / "a")), want[best][0], atol=1e-6)
     assert len(list((tmp_path / "a" / "last").iterdir())) == len(list((tmp_path / "a" / "best").iterdir())) == 1
     assert not [p for p in (tmp_path / "a").iterdir() if p.name.startswith("work")]
 
     loop.fit(data, data, net, str(tmp_path / "b"), loop.Settings(**(s.__dict__ | {"epochs": 2})))
     again = loop.fit(data, data, net, str(tmp_path / "b"), s)
-    assert np.allclose(again.last, got.last, atol=1e-9) and [r.epoch for r in again.log.collect()] == list(range(6))
+    assert np.allclose(again.last, got.last, atol=1e-9) and [r.epoch for r in again.log.collect()] == list(range(4))
     done = loop.fit(data, data, net, str(tmp_path / "b"), s)
     assert np.allclose(done.last, got.last, atol=1e-9)
 
