@@ -18,7 +18,7 @@ from nightloom import schema
 from nightloom.functions import dsp
 from nightloom.operators import channels, gather, metrics, prototypes, scaling, sequences, splits
 from nightloom.plans import models
-from nightloom.sources import sinks, store
+from nightloom.sources import folds, sinks, store
 from nightloom.training import loop, nets
 
 #: Named preprocessors of an epoch's samples; more can be registered.
@@ -91,8 +91,13 @@ class Tables:
     path: str
     bundle: str | None = None
 
+    @property
+    def folds(self) -> DataFrame:
+        """The folds as the last whole rewrite has left them."""
+        return folds.current(self.spark, self.path)
+
     def __getattr__(self, name: str) -> DataFrame:
-        if name in ("subjects", "folds", "epochs", "labels", "scaling") or name.startswith("spectra_"):
+        if name in ("subjects", "epochs", "labels", "scaling") or name.startswith("spectra_"):
             return self.spark.read.parquet(f"{self.path}/{name}")
         raise AttributeError(name)
 
@@ -117,9 +122,9 @@ def ingest(spark: SparkSession, source: DatasetSource, path: str, preprocessors:
     named = records.groupBy("subject_id").agg(F.min(F.struct(*others)).alias("_r")).select("subject_id", "_r.*")  # of several recordings, the first
     table = sequences.subject_table(labels).join(named, "subject_id", "left")
     sinks.write_table(source.customise(table).withColumn("dataset", name), f"{path}/subjects", "dataset")
-    folds = source.folds(table)
-    sinks.write_table(folds.withColumn("dataset", name), f"{path}/folds", "dataset")
-    of = epochs if scale_on is None else epochs.join(folds.where((F.col("split") == scale_on) & (F.col("fold") == 0)).select("subject_id"), "subject_id", "left_semi")
+    own_folds = source.folds(table)
+    folds.rewrite(spark, path, own_folds.select(name.alias("dataset"), "subject_id", "fold", "split"))
+    of = epochs if scale_on is None else epochs.join(own_folds.where((F.col("split") == scale_on) & (F.col("fold") == 0)).select("subject_id"), "subject_id", "left_semi")
     stats = scaling.positional_scaling(of, "samples", ["channel"]).withColumn("prep", F.lit("raw"))
     for prep in preprocessors:
         spectra = epochs.select("dataset", "subject_id", "epoch_idx", "channel", PREPROCESSORS[prep](F.col("samples")).alias("spec"))
@@ -151,11 +156,11 @@ class EpochDataset:
 
     def split(self, name: str) -> DataFrame:
         """(dataset, subject_id) of a split in this fold. A negative fold is one seeded draw for the whole data set."""
-        folds = self.tables.folds.where(F.col("dataset").isin(*self.datasets))
+        own = self.tables.folds.where(F.col("dataset").isin(*self.datasets))
         if self.fold >= 0:
-            return folds.where((F.col("fold") == self.fold) & (F.col("split") == name)).select(*self._key)
-        drawn = folds.groupBy("dataset").agg(F.min_by("fold", F.xxhash64("dataset", "fold", F.lit(self.fold))).alias("_f"))
-        return folds.join(F.broadcast(drawn), "dataset").where((F.col("fold") == F.col("_f")) & (F.col("split") == name)).select(*self._key)
+            return own.where((F.col("fold") == self.fold) & (F.col("split") == name)).select(*self._key)
+        drawn = own.groupBy("dataset").agg(F.min_by("fold", F.xxhash64("dataset", "fold", F.lit(self.fold))).alias("_f"))
+        return own.join(F.broadcast(drawn), "dataset").where((F.col("fold") == F.col("_f")) & (F.col("split") == name)).select(*self._key)
 
     def folds(self) -> int:
         """Folds that every data set has, at most 100."""

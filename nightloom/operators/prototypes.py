@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from nightloom.operators import scaling
+
 
 def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, v: s + v)
@@ -75,10 +77,8 @@ def transition_graph(states: DataFrame, classes: int, least_share: float = 0.03,
 
 def mean_spectrum(rows: DataFrame, by: Sequence[str], spectrum: str) -> DataFrame:
     """Mean and sample deviation of each bin, decibels made linear (10 to the x / 20)."""
-    own = rows.select(*by, F.posexplode(spectrum).alias("bin", "x")).withColumn("x", F.pow(F.lit(10.0), F.col("x").cast("double") / 20))
-    s = own.groupBy(*by, "bin").agg(F.count("*").alias("n"), F.avg("x").alias("_m"), F.stddev_samp("x").alias("_s"))
-    few = F.col("n") < 2
-    return s.select(*by, "bin", "n", F.when(few, F.lit(0.0)).otherwise(F.col("_m")).alias("mean"), F.when(few, F.lit(0.0)).otherwise(F.col("_s")).alias("std"))
+    linear = rows.select(*by, F.transform(spectrum, lambda x: F.pow(F.lit(10.0), x.cast("double") / 20)).alias("_x"))
+    return scaling.positional_scaling(linear, "_x", by).withColumnRenamed("pos", "bin")
 
 
 # Frequency bands in hertz.

@@ -5,8 +5,9 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from nightloom.functions import udtfs
 from nightloom.plans.catalogue import query
-from nightloom.plans.surrogate import CODES, codebook, vectors
+from nightloom.plans.surrogate import CODES, EP, codebook, epochs, vectors
 from nightloom.training import codebooks, explain, loop, nets
 from nightloom.training.optim import Adam
 
@@ -96,3 +97,13 @@ def codebook_step(spark, d):
     out = [(c, i, float(book.number[c]), float(v), loss) for c in range(len(start)) for i, v in enumerate(book.codes[c])]
     own = spark.createDataFrame(out, "code int, pos int, number double, value double, loss double")
     return own.select("code", "pos", F.round("number", 6).alias("number"), (F.round("value", 6) + 0.0).alias("value"), F.round("loss", 6).alias("loss"))
+
+
+@query(f"""WITH {EP}, n AS (SELECT subject_id, count(*) AS n FROM ep GROUP BY 1), r AS (SELECT subject_id, unnest(range(greatest(n - 5, 0) + 1)) AS rel_idx FROM n), o AS (SELECT *, unnest(range(5)) AS off FROM r)
+SELECT o.subject_id AS record, rel_idx::INTEGER AS rel_idx, off::INTEGER AS off, (rel_idx + off)::INTEGER AS epoch_idx, coalesce(stage, 5) AS stage, stage IS NULL AS padded FROM o LEFT JOIN ep ON ep.subject_id = o.subject_id AND ep.epoch_idx = rel_idx + off""")
+def sequences_from_sql(spark, d):
+    """Sequences by the table function, called from SQL."""
+    own = epochs(spark, d).select("subject_id", "epoch_idx", "stage")
+    udtfs.register(spark, own.schema["subject_id"].dataType.simpleString())
+    own.createOrReplaceTempView("record_sequences_input")
+    return spark.sql("SELECT * FROM record_sequences(TABLE(record_sequences_input) PARTITION BY (subject_id), 5)")

@@ -139,3 +139,27 @@ def test_channel_priority(spark):
 def test_filterbank_is_triangular():
     bank = prototypes.filterbank(4, 33, 64.0, 0.0, 32.0)
     assert all(0 < w <= 1 for _, _, w in bank) and {f for _, f, _ in bank} == {0, 1, 2, 3}
+
+
+def test_states_by_position(spark):
+    """Merged states against numpy: ragged arrays, nulls, large and close values, many keys, states handed on early."""
+    import numpy as np
+
+    from nightloom.operators import scaling
+
+    rng = np.random.default_rng(2)
+    rows = [(int(k), None if k % 17 == 3 else f"g{k % 3}", [None if rng.random() < 0.1 else float(1e6 + rng.normal()) for _ in range(int(rng.integers(0, 6)))]) for k in range(300)] + [(1, "g1", None), (2, "only", [5.0])]
+    own = spark.createDataFrame(rows, "k int, g string, x array<double>").repartition(5)
+    before, scaling.HELD_POSITIONS = scaling.HELD_POSITIONS, 10
+    try:
+        got = {(r.g, r.pos): r for r in scaling.positional_scaling(own, "x", ["g"]).collect()}
+        assert scaling.position_states(own, "x").count() >= 5
+    finally:
+        scaling.HELD_POSITIONS = before
+    want = {}
+    for _, g, x in rows:
+        for p, v in enumerate(x or ()):
+            want.setdefault((g, p), []).extend([] if v is None else [v])
+    assert got.keys() == want.keys()
+    for key, v in want.items():
+        assert got[key].n == len(v) and np.isclose(got[key].mean, np.mean(v) if len(v) > 1 else 0, rtol=1e-12) and np.isclose(got[key].std, np.std(v, ddof=1) if len(v) > 1 else 0, rtol=1e-6)
