@@ -9,9 +9,9 @@ make it most likely. The final estimates use all training texts.
 Neither the counts nor the texts fit one machine, and shipping each token to its count and back would move the corpus
 several times. So texts are read into blocks of a few million tokens. A block asks for each of its distinct words and
 n-grams once: the sorted hashes go to the counting task that owns them, as one compressed array for each pair of block and
-task that has any. The answer is an array of counts in the order of the question. The blocks themselves do not travel with the
-questions: the texts are read again, and a block is joined to its answers as the numbers of its words in its own
-vocabulary. Contexts are counted as the n-grams that they are, and n-grams are spread by the hash of all their words, so a
+task that has any. The answer is an array of counts in the order of the question. The texts are read and hashed once: a block
+is written as the numbers of its words in its own vocabulary, which questions, weights and scores are made from; it is
+joined to its answers by its number. Contexts are counted as the n-grams that they are, and n-grams are spread by the hash of all their words, so a
 very frequent word is no hot task. Nothing is dropped, capped or sampled. Only histograms of held-out estimates on a
 fixed grid reach the driver.
 
@@ -22,13 +22,13 @@ distinct n-grams of all blocks; each costs some 100 bytes besides its keys, whic
 Defined results: null and empty texts are one end token; a null id counts as the empty text in the fold and is not
 learned from; repeated rows each teach and return; without training texts all counts are 0 and the score is the uniform
 share's; a very long text is a block of its own; an empty table gives no rows; columns other than id and text are never
-read. Words and n-grams are told apart by 64-bit hashes. As the table is read more than once, it has to come in the
-same order each time, as files do; where it does not, the join of a block to its answers fails and says so.
+read. Words and n-grams are told apart by 64-bit hashes. The rows may come in any order, and in another one each time they
+are read: the table is read once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -46,6 +46,8 @@ BEGIN = np.uint64(xxhash.xxh3_64_intdigest(b"\x00begin"))
 ORDER = 3
 BUCKETS, OCTAVE, LEVELS = 24, 4, 160
 BLOCK_TOKENS = 1_000_000
+#: Bytes of a row group of blocks, so that a task that reads them holds a few.
+ROW_GROUP = 16 << 20
 #: Bytes of text for each counting task; a task's memory follows this, not the corpus.
 TASK_BYTES = 4 << 20
 
@@ -107,49 +109,15 @@ def number_of(words: np.ndarray, lens: np.ndarray, ids: list, place: tuple) -> i
     return int(np.uint64(xxhash.xxh3_64_intdigest(repr((place, ids)).encode() + words.tobytes() + lens.tobytes())).astype(np.int64))
 
 
-def _blocks(docs: DataFrame, make: Callable, schema: str, only_kept: bool, id_col: str, text_col: str) -> DataFrame:
-    """Rows that ``make`` gives for (number, ids, folds, hashes of words, lengths, kept) of each block. Texts that are kept back
-    for the weights have blocks of their own, which are the same whether or not others are read."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bool, list] = {True: [], False: []}
-        size, count, key = {True: 0, False: 0}, {True: 0, False: 0}, None
-        task = TaskContext.get().partitionId()
-
-        def flush(side: bool) -> Iterator[pa.RecordBatch]:
-            own, held[side], size[side] = held[side], [], 0
-            count[side] += 1
-            ids, folds, hashes = zip(*own, strict=True)
-            words, lens = np.concatenate(hashes), np.array([len(w) for w in hashes])
-            yield from make(number_of(words, lens, [*ids], (task, side, count[side])), [*ids], np.array(folds), words, lens, side, key)
-
-        for batch in batches:
-            key = batch.schema.field(0).type
-            for i, f, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), common.texts(batch, "_text"), strict=True):
-                own = np.append(common.word_hashes(data.translate(common.ASCII_LOWER)), END)
-                side = f == 9
-                held[side].append((i, f, own))
-                size[side] += len(own)
-                if size[side] >= BLOCK_TOKENS:
-                    yield from flush(side)
-        for side in (True, False):
-            if held[side]:
-                yield from flush(side)
-
-    small = common.keyed(docs, id_col, text_col).toDF("_id", "_text")
-    small = small.select("_id", common.fold(F.col("_id"), 10).cast("int").alias("_fold"), "_text")
-    return (small.where("_fold = 9") if only_kept else small).mapInArrow(run, schema)
-
-
 _BINARIES = pa.list_(pa.binary())
 
 
-def questions(docs: DataFrame, parts: int, order: int, id_col: str, text_col: str) -> DataFrame:
+def questions(texts: DataFrame, parts: int, order: int) -> DataFrame:
     """dest (the counting task), block, kept, and for each n the block's distinct n-grams there and how often training texts
     of the block have them."""
     names = ["dest", "block", "kept", "keys", "counts"]
 
-    def make(block, ids, folds, words, lens, kept, key) -> Iterator[pa.RecordBatch]:
+    def asked(block: int, kept: bool, folds: np.ndarray, words: np.ndarray, lens: np.ndarray) -> Iterator[pa.RecordBatch]:
         train = np.repeat((folds != 0).astype(np.float64), lens)
         rows: dict[int, tuple[list, list]] = {}
         for k, own in enumerate(grams(words, lens, order)):
@@ -166,7 +134,14 @@ def questions(docs: DataFrame, parts: int, order: int, id_col: str, text_col: st
             some = at[a : a + 256]
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([block] * len(some), pa.int64()), pa.array([kept] * len(some)), *[pa.array([rows[p][i] for p in some], _BINARIES) for i in (0, 1)]], names=names)
 
-    return _blocks(docs, make, "dest int, block long, kept boolean, keys array<binary>, counts array<binary>", False, id_col, text_col)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block, kept, folds, lens, numbers, vocabulary = (batch.column(k)[i] for k in range(6))
+                lens, words = np.asarray(lens.values).astype(np.int64), unpack_ints(vocabulary.as_py(), np.uint64)[unpack_ints(numbers.as_py(), np.uint32)]
+                yield from asked(block.as_py(), kept.as_py(), np.asarray(folds.values), words, lens)
+
+    return texts.select("block", "kept", "folds", "lens", "numbers", "vocabulary").mapInArrow(run, "dest int, block long, kept boolean, keys array<binary>, counts array<binary>")
 
 
 def counted(asked: DataFrame, order: int) -> DataFrame:
@@ -203,18 +178,44 @@ def counted(asked: DataFrame, order: int) -> DataFrame:
     return asked.groupBy("dest").applyInArrow(fn, "block long, part int, kept boolean, full array<binary>, rest array<binary>, n array<long>")
 
 
-def blocks(docs: DataFrame, id_col: str, text_col: str, only_kept: bool = False) -> DataFrame:
-    """block, kept, ids, folds, lens, the number of each token's word, and the vocabulary, the most frequent word first."""
+def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """block, kept, ids, folds, lens, the number of each token's word, and the vocabulary, the most frequent word first. Texts that
+    are kept back for the weights have blocks of their own."""
     key_name = docs.schema[id_col].dataType.simpleString()
 
-    def make(block, ids, folds, words, lens, kept, key) -> Iterator[pa.RecordBatch]:
-        uniq, inverse, count = np.unique(words, return_inverse=True, return_counts=True)
-        rank = np.empty(len(uniq), np.uint32)
-        rank[np.argsort(-count, kind="stable")] = np.arange(len(uniq), dtype=np.uint32)
-        columns = [pa.array([block], pa.int64()), pa.array([kept]), pa.array([ids], pa.list_(key)), pa.array([folds.tolist()], pa.list_(pa.int32())), pa.array([lens.tolist()], pa.list_(pa.int32()))]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array([pack_ints(rank[inverse])]), pa.array([pack_ints(uniq[np.argsort(rank)])])], names=["block", "kept", "ids", "folds", "lens", "numbers", "vocabulary"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bool, list] = {True: [], False: []}
+        size, count, key = {True: 0, False: 0}, {True: 0, False: 0}, None
+        task = TaskContext.get().partitionId()
 
-    return _blocks(docs, make, f"block long, kept boolean, ids array<{key_name}>, folds array<int>, lens array<int>, numbers binary, vocabulary binary", only_kept, id_col, text_col)
+        def block(side: bool) -> pa.RecordBatch:
+            own, held[side], size[side] = held[side], [], 0
+            count[side] += 1
+            ids, folds, hashes = zip(*own, strict=True)
+            words, lens = np.concatenate(hashes), np.array([len(w) for w in hashes])
+            uniq, inverse, often = np.unique(words, return_inverse=True, return_counts=True)
+            rank = np.empty(len(uniq), np.uint32)
+            rank[np.argsort(-often, kind="stable")] = np.arange(len(uniq), dtype=np.uint32)
+            number = number_of(words, lens, [*ids], (task, side, count[side]))
+            columns = [pa.array([number], pa.int64()), pa.array([side]), pa.array([[*ids]], pa.list_(key)), pa.array([folds], pa.list_(pa.int32())), pa.array([lens.tolist()], pa.list_(pa.int32()))]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([pack_ints(rank[inverse])]), pa.array([pack_ints(uniq[np.argsort(rank)])])], names=["block", "kept", "ids", "folds", "lens", "numbers", "vocabulary"])
+
+        for batch in batches:
+            key = batch.schema.field(0).type
+            for i, f, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), common.texts(batch, "_text"), strict=True):
+                own = np.append(common.word_hashes(data.translate(common.ASCII_LOWER)), END)
+                side = f == 9
+                held[side].append((i, f, own))
+                size[side] += len(own)
+                if size[side] >= BLOCK_TOKENS:
+                    yield block(side)
+        for side in (True, False):
+            if held[side]:
+                yield block(side)
+
+    small = common.keyed(docs, id_col, text_col).toDF("_id", "_text")
+    small = small.select("_id", common.fold(F.col("_id"), 10).cast("int").alias("_fold"), "_text")
+    return small.mapInArrow(run, f"block long, kept boolean, ids array<{key_name}>, folds array<int>, lens array<int>, numbers binary, vocabulary binary")
 
 
 @dataclass(frozen=True)
@@ -237,7 +238,7 @@ class Estimates:
 
 def estimates(block: pa.Table, answers: pa.Table, without_kept: bool, totals: Totals, order: int) -> Estimates:
     if block.num_rows != 1:
-        raise ValueError("a block has no row of its own; the table was not read in the same order twice")
+        raise ValueError("a block has no row of its own")
     own = block.select(["lens", "numbers", "vocabulary"]).to_pylist()[0]
     rows = sorted(answers.select(["part", "rest" if without_kept else "full"]).to_pylist(), key=lambda r: r["part"])
     lens, number, vocabulary = np.array(own["lens"], dtype=np.int64), unpack_ints(own["numbers"], np.uint32), unpack_ints(own["vocabulary"], np.uint64)
@@ -248,7 +249,7 @@ def estimates(block: pa.Table, answers: pa.Table, without_kept: bool, totals: To
         counts = np.concatenate(parts).astype(np.float64) if parts else np.zeros(0)
         keys, at = np.unique(hashes, return_inverse=True)
         if len(keys) != len(counts):
-            raise ValueError("a block's answers do not fit it; the table was not read in the same order twice")
+            raise ValueError("a block's answers do not fit it")
         found.append(counts[at])
         del keys, at
     likely, bucket = [found[0] / max(totals.tokens, 1)], []
@@ -312,12 +313,13 @@ def language_scores(docs: DataFrame, parts: int | None = None, id_col: str = "do
     if parts is None:
         size = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")))).first()[0] or 0
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
-    counts = common.written(counted(questions(docs, parts, order, id_col, text_col), order), "counts")
+    texts, _ = common.stored(blocks(docs, id_col, text_col), "blocks", {"parquet.block.size": ROW_GROUP})
+    counts = common.written(counted(questions(texts, parts, order), order), "counts")
     sums = counts.where(F.col("block").isNull()).select(*[F.sum(F.get("n", F.lit(i))) for i in range(6)]).first()
     full, rest = (Totals(*(int(x or 0) for x in sums[i : i + 3])) for i in (0, 3))
     answers = counts.where(F.col("block").isNotNull()).select("block", "part", "kept", "full", "rest")
 
-    kept = blocks(docs, id_col, text_col, only_kept=True).groupBy("block").cogroup(answers.where("kept").groupBy("block"))
+    kept = texts.where("kept").groupBy("block").cogroup(answers.where("kept").groupBy("block"))
     weights: list[np.ndarray] = []
     for k in range(1, order):
 
@@ -349,5 +351,5 @@ def language_scores(docs: DataFrame, parts: int | None = None, id_col: str = "do
             "score": pa.array(np.add.reduceat(logp, first)),
         })
 
-    every = blocks(docs, id_col, text_col).groupBy("block").cogroup(answers.groupBy("block"))
+    every = texts.groupBy("block").cogroup(answers.groupBy("block"))
     return every.applyInArrow(score, f"{id_col} {key_name}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

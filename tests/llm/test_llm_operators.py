@@ -774,6 +774,19 @@ def test_language_scores_without_training_texts(spark):
     assert [(r.n_known, r.train_tokens, r.score) for r in got] == [(0, 0, 0.0)] * 3
 
 
+def test_language_scores_of_tables_without_an_order(spark, monkeypatch):
+    """Rows that come in another order each time they are read: dealt anew, joined, limited."""
+    monkeypatch.setattr(deleted_interpolation, "BLOCK_TOKENS", 1500)
+    rows = [(i, t) for i, t in corpus(n=60) if i is not None]
+    docs = made(spark, rows)
+    key = lambda r: (r.doc_id, r.n_tokens, round(r.base_score, 6), round(r.score, 4))
+    want = sorted(key(r) for r in deleted_interpolation.language_scores(docs, 3).collect())
+    joined = docs.join(docs.select("doc_id").distinct().repartition(7), "doc_id").orderBy(F.rand())
+    for other in (docs.repartition(6), joined, docs.repartition(5).limit(len(rows))):
+        got = sorted(key(r) for r in deleted_interpolation.language_scores(other, 3).collect())
+        assert [g[:3] for g in got] == [w[:3] for w in want] and np.allclose([g[3] for g in got], [w[3] for w in want], rtol=1e-3)
+
+
 def test_language_scores_of_a_table_united_with_itself(spark, tmp_path):
     made(spark, [(i, t) for i, t in corpus(3, 40) if i is not None]).coalesce(1).write.parquet(path := str(tmp_path / "once"))
     once = spark.read.parquet(path)
