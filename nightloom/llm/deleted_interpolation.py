@@ -45,7 +45,7 @@ END = np.uint64(xxhash.xxh3_64_intdigest(b"\x00end"))
 BEGIN = np.uint64(xxhash.xxh3_64_intdigest(b"\x00begin"))
 ORDER = 3
 BUCKETS, OCTAVE, LEVELS = 24, 4, 160
-BLOCK_TOKENS = 1_000_000
+BLOCK_TOKENS = 1_500_000
 #: Bytes of a row group of blocks, so that a task that reads them holds a few.
 ROW_GROUP = 16 << 20
 #: Bytes of text for each counting task; a task's memory follows this, not the corpus.
@@ -65,7 +65,7 @@ def unpack_ints(data: bytes, kind: type) -> np.ndarray:
 
 
 def pack_keys(x: np.ndarray) -> bytes:
-    """Sorted 64-bit keys by their differences."""
+    """64-bit keys by their differences, modulo 2^64; small where keys are sorted, as words of one frequency are."""
     return pack_ints(np.diff(x, prepend=np.uint64(0)))
 
 
@@ -138,7 +138,7 @@ def questions(texts: DataFrame, parts: int, order: int) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 block, kept, folds, lens, numbers, vocabulary = (batch.column(k)[i] for k in range(6))
-                lens, words = np.asarray(lens.values).astype(np.int64), unpack_ints(vocabulary.as_py(), np.uint64)[unpack_ints(numbers.as_py(), np.uint32)]
+                lens, words = np.asarray(lens.values).astype(np.int64), unpack_keys(vocabulary.as_py())[unpack_ints(numbers.as_py(), np.uint32)]
                 yield from asked(block.as_py(), kept.as_py(), np.asarray(folds.values), words, lens)
 
     return texts.select("block", "kept", "folds", "lens", "numbers", "vocabulary").mapInArrow(run, "dest int, block long, kept boolean, keys array<binary>, counts array<binary>")
@@ -198,7 +198,7 @@ def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             rank[np.argsort(-often, kind="stable")] = np.arange(len(uniq), dtype=np.uint32)
             number = number_of(words, lens, [*ids], (task, side, count[side]))
             columns = [pa.array([number], pa.int64()), pa.array([side]), pa.array([[*ids]], pa.list_(key)), pa.array([folds], pa.list_(pa.int32())), pa.array([lens.tolist()], pa.list_(pa.int32()))]
-            return pa.RecordBatch.from_arrays([*columns, pa.array([pack_ints(rank[inverse])]), pa.array([pack_ints(uniq[np.argsort(rank)])])], names=["block", "kept", "ids", "folds", "lens", "numbers", "vocabulary"])
+            return pa.RecordBatch.from_arrays([*columns, pa.array([pack_ints(rank[inverse])]), pa.array([pack_keys(uniq[np.argsort(rank)])])], names=["block", "kept", "ids", "folds", "lens", "numbers", "vocabulary"])
 
         for batch in batches:
             key = batch.schema.field(0).type
@@ -241,7 +241,7 @@ def estimates(block: pa.Table, answers: pa.Table, without_kept: bool, totals: To
         raise ValueError("a block has no row of its own")
     own = block.select(["lens", "numbers", "vocabulary"]).to_pylist()[0]
     rows = sorted(answers.select(["part", "rest" if without_kept else "full"]).to_pylist(), key=lambda r: r["part"])
-    lens, number, vocabulary = np.array(own["lens"], dtype=np.int64), unpack_ints(own["numbers"], np.uint32), unpack_ints(own["vocabulary"], np.uint64)
+    lens, number, vocabulary = np.array(own["lens"], dtype=np.int64), unpack_ints(own["numbers"], np.uint32), unpack_keys(own["vocabulary"])
     words, first = vocabulary[number], starts_of(lens)
     found: list[np.ndarray] = []
     for k, hashes in enumerate(grams(words, lens, order)):
