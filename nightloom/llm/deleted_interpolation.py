@@ -73,6 +73,31 @@ def unpack_keys(data: bytes) -> np.ndarray:
     return np.cumsum(unpack_ints(data, np.uint64), dtype=np.uint64)
 
 
+def pack_numbers(x: np.ndarray) -> bytes:
+    """Numbers below 2^28, small ones in fewer bytes: seven bits a byte, of which the last one has its highest bit set. Bytes of a
+    number stay together, so phrases that come again are compressed."""
+    x = x.astype(np.int64)
+    size = 1 + (x >= 1 << 7) + (x >= 1 << 14) + (x >= 1 << 21)
+    ends = np.cumsum(size)
+    out = np.zeros(int(ends[-1]) if len(x) else 0, np.uint8)
+    for k in range(4):
+        some = size > k
+        out[ends[some] - 1 - k] = (x[some] >> (7 * k)) & 127
+    out[ends - 1] |= 128
+    return zstandard.ZstdCompressor(level=6).compress(out.tobytes())
+
+
+def unpack_numbers(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
+    ends = np.flatnonzero(raw & 128)
+    size = np.diff(ends, prepend=-1)
+    out = np.zeros(len(ends), np.int64)
+    for k in range(4):
+        some = size > k
+        out[some] |= (raw[ends[some] - k].astype(np.int64) & 127) << (7 * k)
+    return out
+
+
 def joined(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     """Hashes of contexts with the word behind each."""
     with np.errstate(over="ignore"):
@@ -138,7 +163,7 @@ def questions(texts: DataFrame, parts: int, order: int) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 block, kept, folds, lens, numbers, vocabulary = (batch.column(k)[i] for k in range(6))
-                lens, words = np.asarray(lens.values).astype(np.int64), unpack_keys(vocabulary.as_py())[unpack_ints(numbers.as_py(), np.uint32)]
+                lens, words = np.asarray(lens.values).astype(np.int64), unpack_keys(vocabulary.as_py())[unpack_numbers(numbers.as_py())]
                 yield from asked(block.as_py(), kept.as_py(), np.asarray(folds.values), words, lens)
 
     return texts.select("block", "kept", "folds", "lens", "numbers", "vocabulary").mapInArrow(run, "dest int, block long, kept boolean, keys array<binary>, counts array<binary>")
@@ -198,7 +223,7 @@ def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             rank[np.argsort(-often, kind="stable")] = np.arange(len(uniq), dtype=np.uint32)
             number = number_of(words, lens, [*ids], (task, side, count[side]))
             columns = [pa.array([number], pa.int64()), pa.array([side]), pa.array([[*ids]], pa.list_(key)), pa.array([folds], pa.list_(pa.int32())), pa.array([lens.tolist()], pa.list_(pa.int32()))]
-            return pa.RecordBatch.from_arrays([*columns, pa.array([pack_ints(rank[inverse])]), pa.array([pack_keys(uniq[np.argsort(rank)])])], names=["block", "kept", "ids", "folds", "lens", "numbers", "vocabulary"])
+            return pa.RecordBatch.from_arrays([*columns, pa.array([pack_numbers(rank[inverse])]), pa.array([pack_keys(uniq[np.argsort(rank)])])], names=["block", "kept", "ids", "folds", "lens", "numbers", "vocabulary"])
 
         for batch in batches:
             key = batch.schema.field(0).type
@@ -241,7 +266,7 @@ def estimates(block: pa.Table, answers: pa.Table, without_kept: bool, totals: To
         raise ValueError("a block has no row of its own")
     own = block.select(["lens", "numbers", "vocabulary"]).to_pylist()[0]
     rows = sorted(answers.select(["part", "rest" if without_kept else "full"]).to_pylist(), key=lambda r: r["part"])
-    lens, number, vocabulary = np.array(own["lens"], dtype=np.int64), unpack_ints(own["numbers"], np.uint32), unpack_keys(own["vocabulary"])
+    lens, number, vocabulary = np.array(own["lens"], dtype=np.int64), unpack_numbers(own["numbers"]), unpack_keys(own["vocabulary"])
     words, first = vocabulary[number], starts_of(lens)
     found: list[np.ndarray] = []
     for k, hashes in enumerate(grams(words, lens, order)):

@@ -813,6 +813,8 @@ def test_integers_survive_packing():
     x = np.sort(np.random.default_rng(0).integers(0, 2**63, 1000).astype(np.uint64))
     assert (deleted_interpolation.unpack_keys(deleted_interpolation.pack_keys(x)) == x).all()
     assert len(deleted_interpolation.unpack_keys(deleted_interpolation.pack_keys(x[:0]))) == 0
+    n = np.array([0, 1, 127, 128, 16383, 16384, 2**21 - 1, 2**21, 2**28 - 1, 5])
+    assert deleted_interpolation.unpack_numbers(deleted_interpolation.pack_numbers(n)).tolist() == n.tolist() and not len(deleted_interpolation.unpack_numbers(deleted_interpolation.pack_numbers(n[:0])))
 
 
 # --- 8 ---
