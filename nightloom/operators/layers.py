@@ -69,12 +69,16 @@ def scaled_units(x: Column, factor: float = 1e6) -> Column:
     return F.transform(x, lambda v: v * F.lit(factor))
 
 
-def triplet_loss(rows: DataFrame, batch: str = "batch", id_col: str = "id", label: str = "label", vector: str = "vector", epsilon: float = EPSILON, margin: float = MARGIN) -> DataFrame:
+def triplet_loss(rows: DataFrame, batch: str = "batch", id_col: str = "id", label: str = "label", vector: str = "vector", epsilon: float = EPSILON, margin: float = MARGIN, most: int = 4096) -> DataFrame:
     """(batch, triplets, loss, norm): the mean of the positive triplet losses under cosine similarity, over the pairs that a
-    multi-similarity miner keeps, and the mean length of the vectors. Pairs are within a batch, whose size the caller bounds.
+    multi-similarity miner keeps, and the mean length of the vectors. Pairs are within a batch; a batch of more than ``most``
+    rows is an error.
 
     A negative pair counts if it is almost as similar as its anchor's least similar positive one, a positive pair if it is
     hardly more similar than the most similar negative one."""
+    size = F.count("*").over(W.partitionBy(batch))
+    fits = F.when(F.col("_size") <= most, F.lit(True)).otherwise(F.raise_error(F.lit("batch too large for all of its pairs")).cast("boolean"))
+    rows = rows.withColumn("_size", size).where(fits).drop("_size")
     a = rows.select(batch, F.col(id_col).alias("a"), F.col(label).alias("_la"), F.col(vector).alias("_va"))
     b = rows.select(batch, F.col(id_col).alias("b"), F.col(label).alias("_lb"), F.col(vector).alias("_vb"))
     pairs = a.join(b, batch).where("a <> b").select(batch, "a", (F.col("_la") == F.col("_lb")).alias("same"), prototypes.cosine(F.col("_va"), F.col("_vb")).alias("s"))

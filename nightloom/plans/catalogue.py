@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nightloom.functions import dsp
@@ -132,11 +132,14 @@ def event_gaps(spark, d):
     return hypnogram.change_points(epochs(spark, d), ["subject_id"]).select("event_id", "gap_us", "units")
 
 
-@query(f"""WITH {EP}, a AS (SELECT subject_id, epoch_idx, value FROM ep WHERE epoch_idx < 60), b AS (SELECT subject_id, epoch_idx, stage FROM ep WHERE epoch_idx >= 5)
-SELECT subject_id, count(*) AS n, sum(stage)::BIGINT AS stages FROM a JOIN b USING (subject_id, epoch_idx) GROUP BY 1""")
+@query(f"""WITH {EP}, b AS (SELECT o_custkey AS subject_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS epoch_idx, o_orderkey % 5 AS stage FROM orders)
+SELECT subject_id, count(*) AS n, round(sum(value), 4) AS signal, sum(b.stage)::BIGINT AS stages FROM ep JOIN b USING (subject_id, epoch_idx) GROUP BY 1""")
 def signal_label_join(spark, d):
-    e = epochs(spark, d)
-    return hypnogram.reconcile(e.select("subject_id", "epoch_idx", "value").where("epoch_idx < 60"), e.select("subject_id", "epoch_idx", "stage").where("epoch_idx >= 5")).groupBy("subject_id").agg(F.count("*").alias("n"), F.sum("stage").alias("stages"))
+    """Events as the signal's epochs, orders as labels: both are cut to the shorter record."""
+    at = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    labels = table(spark, d, "orders").select(F.col("o_custkey").alias("subject_id"), at.alias("epoch_idx"), (F.col("o_orderkey") % 5).alias("stage"))
+    both = hypnogram.reconcile(epochs(spark, d).select("subject_id", "epoch_idx", "value"), labels)
+    return both.groupBy("subject_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("signal"), F.sum("stage").alias("stages"))
 
 
 @query(f"""WITH {EP}, sg AS (SELECT subject_id, count(*) - subject_id % 3 AS s, count(*) AS n FROM ep GROUP BY subject_id)
@@ -285,13 +288,17 @@ def stratified_validation(spark, d):
     return splits.stratified_with_validation(own, "grp", 4, (F.col("subject_id") * 7919) % 10007)
 
 
-AV = f"""{EP}, a AS (SELECT DISTINCT subject_id FROM ep WHERE stage = 0 AND value < 2), b AS (SELECT DISTINCT subject_id FROM ep WHERE stage = 2 AND value < 2),
+AV = """a AS (SELECT DISTINCT user_id AS subject_id FROM events), b AS (SELECT DISTINCT o_custkey AS subject_id FROM orders),
 av AS (SELECT coalesce(a.subject_id, b.subject_id) AS subject_id, CASE WHEN a.subject_id IS NOT NULL AND b.subject_id IS NOT NULL THEN 'both' WHEN a.subject_id IS NOT NULL THEN 'first' ELSE 'second' END AS availability FROM a FULL JOIN b ON a.subject_id = b.subject_id)"""
 
 
+def _sessions(spark, d):
+    """Who has events, and who has orders, as two sessions."""
+    return table(spark, d, "events").select(F.col("user_id").alias("subject_id")), table(spark, d, "orders").select(F.col("o_custkey").alias("subject_id"))
+
+
 def _availability(spark, d):
-    e = epochs(spark, d).where("value < 2")
-    return splits.availability(e.where("stage = 0"), e.where("stage = 2"))
+    return splits.availability(*_sessions(spark, d))
 
 
 @query(f"WITH {AV} SELECT subject_id, availability FROM av")
@@ -300,15 +307,14 @@ def availability_strata(spark, d):
 
 
 @query(f"""WITH {AV}, r AS (SELECT *, count(*) OVER (PARTITION BY availability) AS n, row_number() OVER (PARTITION BY availability ORDER BY (subject_id * 7919) % 10007, subject_id) - 1 AS r FROM av)
-SELECT subject_id, availability, CASE WHEN r < floor(n * 0.7) THEN 'train' WHEN r < floor(n * 0.7) + floor(n * 0.15) THEN 'test' ELSE 'valid' END AS split FROM r""")
+SELECT subject_id, availability, CASE WHEN r < floor(n * 0.7::DOUBLE) THEN 'train' WHEN r < floor(n * 0.7::DOUBLE) + floor(n * 0.15::DOUBLE) THEN 'test' ELSE 'valid' END AS split FROM r""")
 def strata_split(spark, d):
     return splits.strata_split(_availability(spark, d), "availability", (F.col("subject_id") * 7919) % 10007)
 
 
 @query(f"WITH {AV} SELECT 'both' AS kind, count(*) AS n FROM (SELECT subject_id FROM a INTERSECT SELECT subject_id FROM b) UNION ALL SELECT 'first', count(*) FROM (SELECT subject_id FROM a EXCEPT SELECT subject_id FROM b) UNION ALL SELECT 'any', count(*) FROM (SELECT subject_id FROM a UNION SELECT subject_id FROM b)")
 def session_sets(spark, d):
-    e = epochs(spark, d).where("value < 2")
-    a, b = e.where("stage = 0").select("subject_id"), e.where("stage = 2").select("subject_id")
+    a, b = _sessions(spark, d)
     count = lambda name, df: df.agg(F.lit(name).alias("kind"), F.count("*").alias("n"))
     return count("both", a.intersect(b)).unionAll(count("first", a.distinct().subtract(b))).unionAll(count("any", a.union(b).distinct()))
 
@@ -379,10 +385,10 @@ def tumbling_epochs(spark, d):
     return own.select("vec_id", "epoch_idx", F.round(F.aggregate("x", F.lit(0.0), lambda a, v: a + v.cast("double")), 4).alias("total"))
 
 
-@query("SELECT vec_id, 80 AS n, round(embedding[5]::DOUBLE, 5) AS at_20 FROM embeddings")
+@query("SELECT vec_id, pos::INTEGER AS pos, CASE WHEN pos < 16 THEN 0.0 ELSE round(embedding[pos - 15]::DOUBLE, 6) + 0.0 END AS y FROM embeddings, range(80) t(pos)")
 def left_zero_pad(spark, d):
-    own = vectors(spark, d).select("vec_id", channels.pad_left(F.col("embedding"), 20).alias("x"))
-    return own.select("vec_id", F.size("x").alias("n"), F.round(F.element_at("x", 21).cast("double"), 5).alias("at_20"))
+    own = vectors(spark, d).select("vec_id", F.posexplode(channels.pad_left(F.col("embedding"), 20)).alias("pos", "v"))
+    return own.select("vec_id", "pos", (F.round(F.col("v").cast("double"), 6) + 0.0).alias("y"))
 
 
 # --- votes and metrics ---
@@ -589,9 +595,12 @@ def filterbank_projection(spark, d):
     return prototypes.project(vectors(spark, d), bank, "vec_id", "embedding").select("vec_id", "filter", F.round("energy", 5).alias("energy"))
 
 
-@query("SELECT p AS pos, i AS dim, round(CASE WHEN i % 2 = 0 THEN sin(p * exp(-ln(10000.0) * (i - i % 2) / 16)) ELSE cos(p * exp(-ln(10000.0) * (i - i % 2) / 16)) END, 6) AS value FROM (SELECT unnest(range(21)) AS p) CROSS JOIN (SELECT unnest(range(16)) AS i)")
+@query("SELECT vec_id, p::INTEGER AS pos, i::INTEGER AS dim, round(embedding[p * 16 + i + 1]::DOUBLE + CASE WHEN i % 2 = 0 THEN sin(p * exp(-ln(10000.0) * (i - i % 2) / 16)) ELSE cos(p * exp(-ln(10000.0) * (i - i % 2) / 16)) END, 6) + 0.0 AS value FROM embeddings, range(4) a(p), range(16) b(i)")
 def positional_encoding(spark, d):
-    return models.positional_encoding(spark, 21, 16).select("pos", "dim", r6("value"))
+    """Vectors as four steps of sixteen dimensions with their place encoded; the encoding is as large as one vector."""
+    own = vectors(spark, d).select("vec_id", F.posexplode("embedding").alias("at", "x"))
+    at = F.broadcast(models.positional_encoding(spark, 4, 16).withColumn("at", F.col("pos") * 16 + F.col("dim")))
+    return own.join(at, "at").select("vec_id", "pos", "dim", (F.round(F.col("x").cast("double") + F.col("value"), 6) + 0.0).alias("value"))
 
 
 @query(f"""WITH dist AS (SELECT a.vec_id AS proto, b.vec_id AS base, sqrt(list_sum(list_transform(range(1, 65), lambda i: (a.embedding[i]::DOUBLE - b.embedding[i]) * (a.embedding[i]::DOUBLE - b.embedding[i])))) AS distance FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id < {CODES} AND b.vec_id >= {CODES}),
@@ -611,9 +620,12 @@ def rand_index(spark, d):
     return metrics.rand_index(own, "code", "label").select(r6("ari"))
 
 
-@query(models.REGISTRY_SQL + " SELECT name, checkpoint FROM registry WHERE name = 'chambon2018' AND sequence_length = 21 AND in_channels = 3")
+@query(models.REGISTRY_SQL + f""", {EP}, w AS (SELECT subject_id, count(*) AS n, CASE WHEN count(*) >= 21 THEN 21 ELSE 0 END AS length, CASE WHEN subject_id % 2 = 0 THEN 3 ELSE 1 END AS channels FROM ep GROUP BY 1)
+SELECT subject_id, n, name, checkpoint FROM w LEFT JOIN registry ON name = 'chambon2018' AND sequence_length = length AND in_channels = channels""")
 def registry_lookup(spark, d):
-    return models.lookup(models.registry(spark), "chambon2018", 21, 3).select("name", "checkpoint")
+    """For each record the model that its length and channels ask for; none for short ones."""
+    own = epochs(spark, d).groupBy("subject_id").agg(F.count("*").alias("n"))
+    return models.looked_up(own, models.registry(spark), F.lit("chambon2018"), F.when(F.col("n") >= 21, 21).otherwise(0), F.when(F.col("subject_id") % 2 == 0, 3).otherwise(1)).select("subject_id", "n", "name", "checkpoint")
 
 
 @query(f"WITH {PR}, a AS (SELECT subject_id AS epoch, avg((y = p)::INTEGER::DOUBLE) AS acc FROM pr GROUP BY 1) SELECT arg_max(epoch, (round(acc, 9), -epoch)) AS best, round(max(acc), 6) AS acc, max(epoch) AS last FROM a".replace("arg_max(epoch, (round(acc, 9), -epoch))", "(SELECT epoch FROM a ORDER BY round(acc, 9) DESC, epoch LIMIT 1)"))
@@ -661,11 +673,12 @@ def short_record_warning(spark, d):
     return own.select("subject_id", (F.col("n") < 60).alias("short"), r6("mean"))
 
 
-@query("SELECT vec_id, label, round(list_sum(embedding::DOUBLE[]) / 64, 6) AS pooled, round(embedding[1]::DOUBLE, 6) AS first, round(embedding[1]::DOUBLE + embedding[32]::DOUBLE, 6) AS stretched FROM embeddings")
+@query("SELECT vec_id, label, round(list_sum(embedding::DOUBLE[]) / 64, 6) + 0.0 AS pooled, pos::INTEGER AS pos, round(embedding[pos // 2 + 1]::DOUBLE, 6) + 0.0 AS stretched FROM embeddings, range(128) t(pos)")
 def pooled_and_stretched(spark, d):
     x = F.col("embedding").cast("array<double>")
-    twice = models.stretched(F.slice(x, 1, 32), 2)
-    return vectors(spark, d).select("vec_id", "label", F.round(F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / 64, 6).alias("pooled"), F.round(F.get(x, F.lit(0)), 6).alias("first"), F.round(F.element_at(twice, 2) + F.element_at(twice, 64), 6).alias("stretched"))
+    pooled = F.round(F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / 64, 6) + 0.0
+    own = vectors(spark, d).select("vec_id", "label", pooled.alias("pooled"), F.posexplode(models.stretched(x, 2)).alias("pos", "v"))
+    return own.select("vec_id", "label", "pooled", "pos", (F.round("v", 6) + 0.0).alias("stretched"))
 
 
 # --- iterative models: no SQL ---

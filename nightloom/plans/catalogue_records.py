@@ -9,9 +9,11 @@ from nightloom.plans.catalogue import FOLD, UN, query, r6
 from nightloom.plans.surrogate import CODES, EP, PR, SUBJ, epochs, predictions, table, vectors
 
 
-@query("SELECT x AS record FROM (SELECT unnest(range(83))::INTEGER AS x) WHERE x NOT IN (39, 68, 69, 78, 79)")
+@query("WITH c AS (SELECT x AS record FROM (SELECT unnest(range(83)) AS x) WHERE x NOT IN (39, 68, 69, 78, 79)) SELECT record::INTEGER AS record, count(event_id) AS epochs FROM c LEFT JOIN events ON user_id = record GROUP BY 1")
 def constant_subjects(spark, d):
-    return records.constant_subjects(spark)
+    """The epochs that each subject of the constant list has; a subject may have none."""
+    n = epochs(spark, d).groupBy("subject_id").agg(F.count("*").alias("epochs"))
+    return records.constant_subjects(spark).join(n, F.col("record") == F.col("subject_id"), "left").select("record", F.coalesce("epochs", F.lit(0)).alias("epochs"))
 
 
 @query("SELECT o_custkey, o_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS epoch_idx_all FROM orders JOIN lineitem ON o_orderkey = l_orderkey")

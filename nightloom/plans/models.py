@@ -29,6 +29,14 @@ def lookup(models: DataFrame, name: str, sequence_length: int, in_channels: int)
     return models.where((F.col("name") == name) & (F.col("sequence_length") == sequence_length) & (F.col("in_channels") == in_channels))
 
 
+def looked_up(rows: DataFrame, models: DataFrame, name: Column, sequence_length: Column, in_channels: Column) -> DataFrame:
+    """Rows with the registered model of their name, length and channels; null where there is none. The registry is a constant
+    of a few rows."""
+    own = rows.withColumns({"_n": name, "_l": sequence_length, "_c": in_channels})
+    same = (F.col("_n") == F.col("name")) & (F.col("_l") == F.col("sequence_length")) & (F.col("_c") == F.col("in_channels"))
+    return own.join(F.broadcast(models), same, "left").drop("_n", "_l", "_c")
+
+
 def best_checkpoint(log: DataFrame, epoch: str, metric: str, largest: bool = True) -> DataFrame:
     """best, the metric there, and the last epoch; of equally good epochs the first."""
     value = F.round(metric, 9) if largest else -F.round(metric, 9)

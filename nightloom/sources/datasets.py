@@ -3,7 +3,7 @@ filtered and cut, and how its labels are cleaned. Each file is one task's work;
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -30,6 +30,7 @@ RODENT_EEG1, RODENT_EEG2, RODENT_EMG = ("EEG", "EEG1", "EEG EEG1A-B"), ("EEG2",
 INTERVAL_EEG = ("EEG C4-A1", "EEG C4-REF", "EEG C3-A2", "EEG C3-REF")
 INTERVAL_EOG = (("EOG LEFT", "EOG RIGHT"), ("EOG2", "EOG1"), ("EEG EOG1-REF", "EEG EOG2-REF"))
 INTERVAL_EMG = ("EMG CHIN", "EMG1", "EMG2", "EMG3", "EMG4", "EMG5")
+INTERVAL_EEG_REF, INTERVAL_EOG_REF = ("EEG C4-REF", "EEG C3-REF"), (("EEG EOG1-REF", "EEG EOG2-REF"),)
 DEPTH_EEG = (("EEG C4", "EEG A1"), ("EEG C4", "EEG A2"), ("EEG OPPEEG-C4", "EEG OPPEEG-A1"))
 DEPTH_EOG = (("EOG LIO", "EOG RSO"), ("EOG OPPEEG-LIO", "EOG OPPEEG-RSO"))
 DEPTH_EMG = ("EMG EMG CHIN", "EMG OPPEEG-EMG C")
@@ -336,11 +337,16 @@ class Kornum(Recordings):
 
 
 class SleepyRat(Recordings):
-    """Rats: epochs of four seconds at 128 Hz, a table of two scorers' letters beside each recording; all records test."""
+    """Rats: epochs of four seconds at 128 Hz, a table of two scorers' letters for each recording; all records test. Recordings lie
+    below folders Cohort<letter>; by default only the healthy cohorts are taken. Those below no such folder are."""
 
-    def __init__(self, folder: str, scorer: int = 1, **kw):
+    def __init__(self, folder: str, scorer: int = 2, cohorts: Sequence[str] = ("A", "D"), **kw):
         channels = (Channel("EEG1", RODENT_EEG1), Channel("EEG2", RODENT_EEG2), Channel("EMG", RODENT_EMG, 10.0, None))
-        super().__init__(folder, **{"name": "sleepyrat", "channels": channels, "epoch_s": 4, "rate": 128, "extra": {"scorer": scorer}} | kw)
+        super().__init__(folder, **{"name": "sleepyrat", "channels": channels, "epoch_s": 4, "rate": 128, "extra": {"scorer": scorer, "cohorts": [c.upper() for c in cohorts]}} | kw)
+
+    def wanted(self):
+        cohort = F.regexp_extract("path", r"/Cohort([^/]+)/", 1)
+        return (cohort == "") | F.upper(cohort).isin(self.extra["cohorts"])
 
     def scorings(self, spark: SparkSession) -> DataFrame:
         return annotations.rat_csv(spark, annotations.Files(self.folder, "*.csv"), self.extra["scorer"])
@@ -382,7 +388,8 @@ class Alzheimers(Parkinsons):
     """The same with eight lines before the intervals, no lights-off, and no unknown labels."""
 
     def __init__(self, folder: str, **kw):
-        super().__init__(folder, **{"name": "alzheimers"} | kw)
+        channels = (Channel("EEG", INTERVAL_EEG_REF), Channel("EOG", INTERVAL_EOG_REF), Channel("EMG", INTERVAL_EMG, 10.0, None))
+        super().__init__(folder, **{"name": "alzheimers", "channels": channels} | kw)
 
     def wanted(self):
         return F.lit(True)

@@ -114,8 +114,7 @@ def test_wsc_recordings(spark, tmp_path):
 
 def test_interval_recordings(spark, tmp_path):
     """Signals are cropped to where their scorings start, which is neither the recording's nor the file's beginning."""
-    names = ("EEG C4-REF", "EOG LEFT", "EOG RIGHT", "EMG1")
-    for kind, lines in (("pd", "0\t30\tWake\n60\t60\tLIGHTS_OFF\n60\t90\tWake\n90\t120\tS2\n120\t150\tmovement\n150\t180\tREM\n180\t190\tWake\n"), ("ad", "h\n" * 8 + "30\t60\tS1\n60\t90\tS3\n")):
+    for kind, names, lines in (("pd", ("EEG C4-REF", "EOG LEFT", "EOG RIGHT", "EMG1"), "0\t30\tWake\n60\t60\tLIGHTS_OFF\n60\t90\tWake\n90\t120\tS2\n120\t150\tmovement\n150\t180\tREM\n180\t190\tWake\n"), ("ad", ("EEG C4-A1", "EEG C3-REF", "EOG LEFT", "EOG RIGHT", "EEG EOG1-REF", "EEG EOG2-REF", "EMG1"), "h\n" * 8 + "30\t60\tS1\n60\t90\tS3\n")):
         for record in ("r1", "r1_nap"):
             d = tmp_path / kind / record
             d.mkdir(parents=True)
@@ -125,8 +124,10 @@ def test_interval_recordings(spark, tmp_path):
     assert labels == {0: [0, 2, 4]}
     x = edf.samples(*both(tmp_path / "pd" / "r1" / "x.edf", 0), 60, 180)
     assert np.allclose(epochs[0, 2, "EEG"], dsp.resample_rate(dsp.fir_bandpass(x, 200, taps=501), 200, 100)[9000:], atol=1e-3)
-    _, labels, _ = ingested(spark, datasets.Alzheimers(str(tmp_path / "ad")), tmp_path / "out2")
+    _, labels, epochs = ingested(spark, datasets.Alzheimers(str(tmp_path / "ad")), tmp_path / "out2")
     assert labels == {0: [1, 3], 1: [1, 3]}
+    x = edf.samples(*both(tmp_path / "ad" / "r1" / "x.edf", 1), 30, 90)  # not C4-A1, which this data set's list lacks
+    assert np.allclose(epochs[0, 0, "EEG"], dsp.resample_rate(dsp.fir_bandpass(x, 200, taps=501), 200, 100)[:3000], atol=1e-3)
     d = tmp_path / "ic" / "Subj001" / "Night001"
     d.mkdir(parents=True)
     edf.write(str(d / "a.edf"), [(n, 100, wave(400, 100, k)) for k, n in enumerate(("EEG C4", "EEG A1", "EOG LIO", "EOG RSO", "EMG EMG CHIN"))])
@@ -146,7 +147,13 @@ def test_rodent_recordings(spark, tmp_path):
     rat.mkdir()
     edf.write(str(rat / "A1.edf"), [(c, 64, wave(16, 64, k)) for k, c in enumerate(("EEG EEG1A-B", "EEG EEG2A-B", "EMG EMG"))])
     (rat / "A1.csv").write_text("0,w,n\n1,n,n\n2,1,r\n3,r,r\n")
-    t, labels, epochs = ingested(spark, datasets.SleepyRat(str(rat), scorer=2), tmp_path / "rat-out")
+    for cohort in "BD":
+        (rat / f"Cohort{cohort}").mkdir()
+        (rat / f"Cohort{cohort}" / f"{cohort}1.edf").write_bytes((rat / "A1.edf").read_bytes())
+    assert datasets.SleepyRat(str(rat)).extra == {"scorer": 2, "cohorts": ["A", "D"]}
+    assert [r.record_id for r in datasets.SleepyRat(str(rat)).records(spark).orderBy("subject_id").collect()] == ["A1", "D1"]
+    assert datasets.SleepyRat(str(rat), cohorts=["b"]).records(spark).where("record_id = 'B1'").count() == 1
+    t, labels, epochs = ingested(spark, datasets.SleepyRat(str(rat), scorer=2, cohorts=()), tmp_path / "rat-out")
     assert labels == {0: [1, 1, 2, 2]} and epochs[0, 0, "EMG"].shape == (512,) and t.folds.first().split == "test"
 
 
