@@ -268,6 +268,9 @@ def encode_column(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
 
 def decode_column(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """id and text of arrays of ids. Null and empty arrays are the empty text; bytes that are no UTF-8 are decoded with the
+    replacement sign, as the library does; null document ids stay; an empty table gives no rows; a null or unknown id within
+    an array is an error; further columns are ignored, whatever their names."""
     key = tokens.schema[id_col].dataType.simpleString()
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:

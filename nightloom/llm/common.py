@@ -43,13 +43,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return found
 
 
+_CLEANED: set[str] = set()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there: later steps neither recompute nor lose it."""
+    """Write df to the shared checkpoint folder and go on from there: later steps neither recompute nor lose it. The application's
+    own folder of checkpoints, which nothing can read after it, goes with it."""
     spark = df.sparkSession
+    context = spark.sparkContext
     where = checkpoint_dir(spark)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(where)
-    return df.checkpoint(eager=True)
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(where)
+    out = df.checkpoint(eager=True)
+    own = context._jsc.sc().getCheckpointDir().get()
+    if own not in _CLEANED:
+        path, store = _path(spark, own)
+        store.deleteOnExit(path)
+        _CLEANED.add(own)
+    return out
 
 
 def _path(spark: SparkSession, path: str):

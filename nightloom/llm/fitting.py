@@ -39,7 +39,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, rows_per
 
 
 def counted_words(sample: DataFrame, words: Callable[[bytes], set[str]]) -> DataFrame:
-    """(word, n0, n1): in how many of the sample's texts of each label a word is, as ``words`` gives them for a text."""
+    """(word, n0, n1): in how many of the sample's texts of each label a word is, as ``words`` gives them for a text. Null and
+    empty texts have the words of the empty text; repeated rows count each; an empty sample gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -52,7 +53,8 @@ def counted_words(sample: DataFrame, words: Callable[[bytes], set[str]]) -> Data
 
 
 def features_of(sample: DataFrame, features: Callable[[bytes], tuple[float, ...]]) -> tuple[np.ndarray, np.ndarray]:
-    """(features, labels) of the sample's texts in the order of their ranks; only these numbers reach the driver."""
+    """(features, labels) of the sample's texts in the order of their ranks; only these numbers reach the driver. Null
+    texts have the features of the empty one, equal texts equal features; an empty sample gives empty arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -130,7 +130,8 @@ def best_fit(counts: DataFrame, sizes: Sequence[int] = SIZES, shard_pieces: int
 
 def sequences(docs: DataFrame, packed: DataFrame, vocabulary: str, end_id: int, largest: int = max(SIZES), id_col: str = "doc_id") -> DataFrame:
     """One row per bin of best_fit(bpe_counts(docs)): bin_id, bin_size, starts of its pieces, and ids, the token ids of all
-    its pieces with end_id behind each document. Rows of equal id and text are encoded once."""
+    its pieces with end_id behind each document. Rows of equal id and text are encoded once; null ids meet null ids; null and
+    empty texts are the end id alone; empty tables give no rows; further columns are ignored, whatever their names."""
     ids = bpe.encode_column(docs, vocabulary, id_col, with_hash=True).dropDuplicates([id_col, "text_hash"])
     whole = F.concat("ids", F.array(F.lit(end_id).cast("int")))
     cut = ids.select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash"), whole.alias("ids")).select("_id", "_hash", "ids", F.explode(F.sequence(F.lit(0), F.expr(f"(size(ids) - 1) div {largest}").cast("int"))).alias("_piece"))

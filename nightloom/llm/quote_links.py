@@ -162,7 +162,8 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
 
 def rendered_replies(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """The messages as replies that quote: of every three turns, one quotes the turn before, one that and the one before it,
-    and one quotes nothing. For tables whose messages hold no quotations."""
+    and one quotes nothing. For tables whose messages hold no quotations. A turn that comes more than once is quoted by its least
+    text; null texts are quoted as nothing; an empty table gives no rows; further columns are ignored."""
     own = common.keyed(messages, conv_col, turn_col, role_col, text_col).toDF("conv", "turn", "role", "text")
     one = own.groupBy("conv", "turn").agg(F.min("text").alias("text"))
     back = lambda k: one.select(F.col("conv").alias(f"_c{k}"), (F.col("turn") + k).alias(f"_t{k}"), F.col("text").alias(f"_x{k}"))
