@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,10 +30,11 @@ def random_folds(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
 
 
 def rank_folds(subjects: DataFrame, order: Column, train: float = 0.7, test: float = 0.15, record: str = "subject_id") -> DataFrame:
-    """train / test / valid by rank in a fixed order; one row a record, so one task ranks them."""
+    """train / test / valid by rank in a fixed order; one row a record, so one task ranks them. Shares are taken as decimals:
+    0.7 of 90 records are 63, where binary fractions make 62."""
     ranked = subjects.select(record, order.alias("_o")).distinct()
     ranked = ranked.withColumn("rank", F.row_number().over(W.orderBy("_o", record)) - 1).crossJoin(F.broadcast(ranked.agg(F.count("*").alias("n"))))
-    a, b = F.floor(F.col("n") * train), F.floor(F.col("n") * test)
+    a, b = (F.floor(F.col("n") * F.lit(Decimal(str(share)))) for share in (train, test))
     return ranked.select(record, F.when(F.col("rank") < a, "train").when(F.col("rank") < a + b, "test").otherwise("valid").alias("split"))
 
 

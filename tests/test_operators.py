@@ -90,6 +90,12 @@ def test_scaling(spark):
         scaling.guarded(spark.createDataFrame([([float("nan")],)], "x array<float>"), "x").collect()
 
 
+def test_rank_folds_take_exact_shares(spark):
+    for n, sizes in {90: {"train": 63, "test": 13, "valid": 14}, 180: {"train": 126, "test": 27, "valid": 27}, 10: {"train": 7, "test": 1, "valid": 2}}.items():
+        folds = splits.rank_folds(spark.range(n).withColumnRenamed("id", "subject_id"), F.col("subject_id"))
+        assert {r["split"]: r["count"] for r in folds.groupBy("split").count().collect()} == sizes
+
+
 def test_splits(spark):
     assert [splits.random_split(20).count(s) for s in ("train", "test", "valid")] == [14, 3, 3]
     assert [splits.random_split(10).count(s) for s in ("train", "test", "valid")] == [7, 1, 2]
