@@ -91,5 +91,13 @@ def covering(intervals: DataFrame, start: str, stop: str, step: int = 1) -> Data
     return intervals.where(F.col(stop) > F.col(start)).withColumn("unit", F.explode(F.sequence(F.expr(f"{start} div {step}"), F.expr(f"({stop} - 1) div {step}"))))
 
 
+def within(intervals: DataFrame, units: DataFrame, on: Sequence[str], start: str, stop: str, unit: str, step: int = 64) -> DataFrame:
+    """Each unit with each interval [start, stop) that holds it, by a join within bins of ``step`` units. Only intervals, once
+    for each bin that they touch, and units are shuffled; their pairs are not."""
+    pieces = covering(intervals, start, stop, step).withColumnRenamed("unit", "_bin")
+    binned = units.withColumn("_bin", F.expr(f"{unit} div {step}"))
+    return pieces.join(binned, [*on, "_bin"]).where((F.col(unit) >= F.col(start)) & (F.col(unit) < F.col(stop))).drop("_bin")
+
+
 def in_hours(seconds: Column) -> Column:
     return seconds / 3600

@@ -77,8 +77,8 @@ def parallel_views(spark, d):
 @query(f"WITH {EP}, iv AS (SELECT l_orderkey, l_orderkey % 150 AS subject_id, l_linenumber * 7 AS a, l_linenumber * 7 + CAST(l_quantity AS INTEGER) AS b FROM lineitem) SELECT l_orderkey, count(*) AS n, sum(stage)::BIGINT AS stages FROM iv JOIN ep ON iv.subject_id = ep.subject_id AND epoch_idx >= a AND epoch_idx < b GROUP BY 1")
 def interval_range_join(spark, d):
     own = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_orderkey") % 150).alias("subject_id"), (F.col("l_linenumber") * 7).alias("a"), (F.col("l_linenumber") * 7 + F.col("l_quantity").cast("int")).alias("b"))
-    units = records.covering(own, "a", "b").withColumnRenamed("unit", "epoch_idx")
-    return units.join(epochs(spark, d), ["subject_id", "epoch_idx"]).groupBy("l_orderkey").agg(F.count("*").alias("n"), F.sum("stage").alias("stages"))
+    met = records.within(own, epochs(spark, d).select("subject_id", "epoch_idx", "stage"), ["subject_id"], "a", "b", "epoch_idx")
+    return met.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.sum("stage").alias("stages"))
 
 
 @query("WITH rec AS (SELECT p_partkey, 'a/' || p_brand || '_' || p_partkey || '.edf' AS path FROM part), sco AS (SELECT 'b/' || p_brand || '_' || p_partkey || '-nsrr.xml' AS path FROM part WHERE p_partkey % 2 = 0) SELECT rec.path AS recording, sco.path AS scoring, p_brand || '_' || rec.p_partkey AS record_id FROM rec JOIN part USING (p_partkey) JOIN sco ON sco.path = 'b/' || p_brand || '_' || rec.p_partkey || '-nsrr.xml'")

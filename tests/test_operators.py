@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from nightloom.operators import channels, hypnogram, metrics, prototypes, scaling, sequences, splits, voting
+from nightloom.operators import channels, hypnogram, metrics, prototypes, records, scaling, sequences, splits, voting
 
 
 def stages(spark, *records):
@@ -90,6 +90,17 @@ def test_scaling(spark):
         scaling.guarded(spark.createDataFrame([([float("nan")],)], "x array<float>"), "x").collect()
 
 
+def test_range_join_shuffles_no_pairs(spark):
+    units = spark.range(300).select((F.col("id") % 3).cast("int").alias("s"), F.expr("cast(id div 3 as int)").alias("at"))
+    spans = spark.createDataFrame([(i, i % 3, a, b) for i, (a, b) in enumerate([(0, 100), (63, 65), (64, 64), (9, 3), (-70, 1), (90, 500), (70, 71), (-5, 0)])], "i int, s int, a int, b int")
+    got = records.within(spans, units, ["s"], "a", "b", "at")
+    by = {r["i"]: sorted(x["at"] for x in got.where(F.col("i") == r["i"]).collect()) for r in spans.collect()}
+    assert by == {0: [*range(100)], 1: [63, 64], 2: [], 3: [], 4: [0], 5: [*range(90, 100)], 6: [70], 7: []}
+    many = spans.crossJoin(spark.range(100)).where("a = 0")
+    pieces = records.covering(many, "a", "b", 64)
+    assert pieces.count() == 200  # 10,000 units, of which one row each was shuffled before
+
+
 def test_rank_folds_take_exact_shares(spark):
     for n, sizes in {90: {"train": 63, "test": 13, "valid": 14}, 180: {"train": 126, "test": 27, "valid": 27}, 10: {"train": 7, "test": 1, "valid": 2}}.items():
         folds = splits.rank_folds(spark.range(n).withColumnRenamed("id", "subject_id"), F.col("subject_id"))
