@@ -85,12 +85,18 @@ def run_length_csv(spark: SparkSession, path: str | Files, epoch_s: int = 30) ->
 def parse_run_length(own: DataFrame, epoch_s: int = 30) -> DataFrame:
     cells = F.split("line", ",")
     own = own.select("path", F.trim(F.get(cells, F.lit(0))).try_cast("int").alias("start"), F.trim(F.get(cells, F.lit(1))).try_cast("int").alias("length"), hypnogram.recode(F.trim(F.get(cells, F.lit(2))), hypnogram.LETTERS, 0).alias("stage"))
-    seconds = hypnogram.expand_intervals(own, "start", "length", "second").withColumn("epoch_idx", F.expr(f"second div {epoch_s}"))
-    scored = seconds.groupBy("path", "epoch_idx", "stage").agg(F.count("*").alias("n"))
-    missing = scored.groupBy("path", "epoch_idx").agg((epoch_s - F.sum("n")).alias("n")).where("n > 0").select("path", "epoch_idx", F.lit(0).alias("stage"), "n")
-    counts = scored.unionByName(missing).groupBy("path", "epoch_idx", "stage").agg(F.sum("n").alias("n"))
-    best = F.max(F.struct("n", (-F.col("stage")).alias("rank")))
-    return counts.groupBy("path", "epoch_idx").agg((-best["rank"]).cast("int").alias("stage"))
+    # An interval's seconds in an epoch are counted, not expanded. ``div`` cuts towards 0, so epoch 0 begins behind -epoch_s.
+    last = F.col("start") + F.col("length") - 1
+    touched = own.where(F.col("length") > 0).withColumn("_last", last)
+    touched = touched.withColumn("epoch_idx", F.explode(F.sequence(F.expr(f"start div {epoch_s}"), F.expr(f"_last div {epoch_s}"))))
+    low = F.col("epoch_idx") * epoch_s - F.when(F.col("epoch_idx") > 0, 0).otherwise(epoch_s - 1)
+    high = F.col("epoch_idx") * epoch_s + F.when(F.col("epoch_idx") < 0, 0).otherwise(epoch_s - 1)
+    n = F.least("_last", high) - F.greatest("start", low) + 1
+    stages = sorted({0, *hypnogram.LETTERS.values()})
+    counts = touched.groupBy("path", "epoch_idx").agg(*[F.coalesce(F.sum(F.when(F.col("stage") == c, n)), F.lit(0)).alias(f"_{c}") for c in stages])
+    missing = F.greatest(F.lit(epoch_s) - sum((F.col(f"_{c}") for c in stages[1:]), F.col("_0")), F.lit(0))
+    best = F.greatest(*[F.struct((F.col(f"_{c}") + (missing if c == 0 else 0)).alias("n"), F.lit(-c).alias("rank")) for c in stages])
+    return counts.select("path", "epoch_idx", (-best["rank"]).cast("int").alias("stage"))
 
 
 def stage_txt(spark: SparkSession, path: str | Files) -> DataFrame:

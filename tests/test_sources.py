@@ -49,6 +49,25 @@ def test_scoring_files(spark, tmp_path):
     assert an.discover(spark, str(tmp_path), "*.txt").count() == 8
 
 
+def test_run_length_counts_seconds_without_rows_for_them(spark):
+    def plain(rows):
+        """Second by second."""
+        seen = {}
+        for path, start, length, stage in rows:
+            for second in range(start, start + length):
+                seen.setdefault((path, int(second / 30)), []).append(stage)
+        return {k: max(range(5), key=lambda c: (v.count(c) + max(30 - len(v), 0) * (c == 0), -c)) for k, v in seen.items()}
+
+    rows = [("a", 0, 40, 0), ("a", 40, 20, 2), ("a", 60, 10, 4), ("a", 95, 300, 3), ("a", 100, 0, 1), ("b", -75, 50, 1), ("b", -40, 60, 2), ("b", 5, 14, 3), ("b", 90, 15, 2), ("b", 105, 15, 1), ("c", 0, 10, 4), ("c", 0, 30, 1), ("c", 0, 20, 4)]
+    letters = ["W", "N1", "N2", "N3", "REM"]
+    own = spark.createDataFrame([(p, i, f"{a}, {n},{letters[c]} ") for i, (p, a, n, c) in enumerate(rows)] + [("d", 0, "x,y,W"), ("d", 1, "0,30,?")], "path string, n int, line string")
+    got = an.parse_run_length(own)
+    assert {(r.path, r.epoch_idx): r.stage for r in got.collect()} == plain(rows) | {("d", 0): 0}
+    assert "epoch_idx" in got.columns and got._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1
+    long = spark.createDataFrame([("e", 0, "0,2000000000,N2")], "path string, n int, line string")
+    assert an.parse_run_length(long, 100_000_000).count() == 20
+
+
 class Night(engine.DatasetSource):
     name = "made"
 
