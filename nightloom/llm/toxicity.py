@@ -35,6 +35,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Container, Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from itertools import pairwise
 
 import numpy as np
@@ -52,6 +53,8 @@ LOOKALIKES = {
 }
 SEPARATORS = frozenset(".-_*~'`^,:;=/\\\u200b\u00ad")
 BRACKETS = frozenset("\"()[]{}<>«»„“”‘’")
+#: Marks that stand for no letter and are cut off a word's end.
+_BEHIND = ".,;:?\"'"
 #: Tokens of these alone stand between neighbours.
 MARKS = (SEPARATORS | BRACKETS | frozenset("#%?&|!")) - LOOKALIKES.keys()
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -65,17 +68,20 @@ _START, _END = "\x02", "\x03"
 JOINED = 2.0
 
 
+@lru_cache(1 << 15)
+def _folded(token: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", token).lower() if not unicodedata.combining(c) and not c.isspace())
+
+
 def folded(token: str) -> str:
     """A lower-case token without accents, its letters of plain width."""
-    if token.isascii():
-        return token
-    return "".join(c for c in unicodedata.normalize("NFKD", token).lower() if not unicodedata.combining(c) and not c.isspace())
+    return token if token.isascii() else _folded(token) if len(token) < 64 else _folded.__wrapped__(token)
 
 
 def tokens_of(data: bytes) -> list[str]:
     """The tokens of a text between blanks, lower-cased and folded."""
     found = data.decode("utf-8", "replace").lower().split()
-    return found if data.isascii() else [w for w in map(folded, found) if w]
+    return found if data.isascii() else [w for w in (x if x.isascii() else folded(x) for x in found) if w]
 
 
 class CharModel:
@@ -120,11 +126,19 @@ def stands_for(token: str, i: int, j: int) -> str:
     return _LETTERS if odd and i and token[i - 1].isalnum() and token[j : j + 1].isalnum() else ""
 
 
+#: The column of a plain letter that stands once.
+_ONE = {c: [(c, 0.0)] for c in _LETTERS}
+
+
 def columns(token: str) -> Iterator[list[tuple[str, float]]]:
     """The lattice of a token: for each run of one character, the strings it may stand for and their costs."""
     i = 0
     while i < len(token):
         c, j = token[i], i
+        if c in _ONE and token[i + 1 : i + 2] != c:
+            yield _ONE[c]
+            i += 1
+            continue
         while j < len(token) and token[j] == c:
             j += 1
         run, here = j - i, []
@@ -144,6 +158,13 @@ def columns(token: str) -> Iterator[list[tuple[str, float]]]:
 def _through(best: dict, column: list[tuple[str, float]], model: CharModel) -> dict:
     """The best path to each context after a column, from those before it: (log probability, (path before, letters))."""
     then: dict = {}
+    if len(column) == 1 and len(column[0][0]) == 1:
+        ((x, cost),) = column
+        for context, (logp, path) in best.items():
+            p, c = logp + cost + model.log(context, x), context[1] + x
+            if c not in then or p > then[c][0]:
+                then[c] = (p, (path, x))
+        return then
     for context, (logp, path) in best.items():
         for letters, cost in column:
             p, c = logp + cost, context
@@ -234,6 +255,9 @@ class Model:
 
     def word(self, word: str) -> float:
         """Log-odds of one token."""
+        if word.isascii() and word.isalpha() and not _TWICE.search(word):  # nothing to restore
+            found = self.found(word)
+            return self.none if found is None else found
         word = folded(word)
         found = self.found(self.restored(word))
         if found is None:  # what the lattice changed for nothing
@@ -316,6 +340,23 @@ class Model:
         states = self.spelled(frozenset(("",)), token, 0)[0] - {""}
         return (states, min(map(len, states)), next(iter(states)) if len(states) == 1 else "") if states else None
 
+    def judged(self, token: str, cache: dict) -> tuple[float, tuple[frozenset[str], int, str] | None]:
+        """Log-odds of a token and its opening(). Letters with marks behind them are what the letters are alone, unless a word of
+        the table goes on with the first mark."""
+        own = cache.get(token)
+        if own is None:
+            core = token.rstrip(_BEHIND)
+            if core != token and core.isascii() and core.isalpha():
+                own = cache.get(core)
+                if own is None:
+                    own = cache[core] = (self.word(core), self.opening(core))
+                if own[1] is not None and any(at + token[len(core)] in self.heads() for at in own[1][0]):
+                    own = (own[0], self.opening(token))
+            else:
+                own = (self.word(token), self.opening(token))
+            cache[token] = own
+        return own
+
     def shreds(self, tokens: list[str], opens: dict[str, tuple[frozenset[str], int, str]], floor: float, cache: dict) -> dict[str, float]:
         """The words above ``floor`` that neighbouring tokens make together, with their log-odds. A word begins at any token of
         ``opens`` and goes on as long as every token adds to a beginning of one of the table's words."""
@@ -356,13 +397,12 @@ class Model:
 
         opens = {}
         for w in words:
-            own = cache.get(w)
-            if own is None:
-                own = cache[w] = (self.word(w), self.opening(w))
-            offer(own[0])
+            own = cache.get(w) or self.judged(w, cache)
+            if own[0] > top[2]:
+                offer(own[0])
             if own[1] is not None:
                 opens[w] = own[1]
-        if marks := {w for w in words if MARKS.issuperset(w)}:
+        if marks := {w for w in words if w[0] in MARKS and MARKS.issuperset(w)}:
             tokens = [w for w in tokens if w not in marks]
         together = self.shreds(tokens, opens, max(JOINED, top[2]), cache)
         if any(len(w) == 1 for w in words):  # letters may be spaced out

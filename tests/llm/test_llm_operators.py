@@ -278,6 +278,21 @@ def fitted_toxicity(rows, toxic):
     return toxicity.fit(sample[::2], sample[1::2])
 
 
+def test_toxicity_shortcuts_change_nothing():
+    rng, chars = np.random.RandomState(3), toxicity.CharModel({"grumble": 5, "foot": 3, "don't": 2, "grumpy": 1})
+    model = toxicity.Model(chars, {"grumble": 5.0, "grum+": 3.0, "foot": 2.5, "don't": 4.0, "a.b": 3.0, "grumb": 2.2}, -0.5)
+    tokens = ["".join(rng.choice(list("grumblefoten.,'\":;?!$3é-"), rng.randint(1, 9))) for _ in range(4000)]
+    cache: dict = {}
+    for token in [*tokens, "don'", "don't", "don,", "a.", "a", "grumble,", "grummble.", "foot?!", "grumbl\"'"]:
+        plain = model.found(model.restored(toxicity.folded(token)))
+        plain = model.found(toxicity.folded(token).strip(toxicity._EDGE)) if plain is None else plain
+        plain = model.none if plain is None else plain
+        own = model.judged(token, cache)
+        assert own == (model.word(token), model.opening(token))
+        assert own[0] == plain or toxicity._ODD.search(toxicity.folded(token))
+    assert model.judged("grumble,", cache) == model.judged("grumble", cache) and "grumble" in cache
+
+
 def test_toxicity(spark):
     rows, _, toxic = labelled()
     docs, labels = made(spark, [*rows, (900, None), (901, "")]), spark.createDataFrame(toxic, "doc_id long, toxic int")
