@@ -31,7 +31,7 @@ def keep_where(docs: DataFrame, make: Callable[[], Callable[[list[bytes]], np.nd
 
 
 def not_toxic(docs: DataFrame, model: toxicity.Model, cut: float = 0.5) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by its fitting sample
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the table of odds
 
     def make() -> Callable[[list[bytes]], np.ndarray]:
         cache: dict[bytes, float] = {}

@@ -213,6 +213,29 @@ def test_fit_on_executors_is_the_fit_in_one_place(spark):
     assert np.allclose(model.scores(data), one.scores(data))
 
 
+def test_toxicity_learns_from_all_labelled_rows(spark):
+    """More rows of a label than any earlier bound: odds and scores are those of all rows fitted in one place."""
+    rows = [(i, f"mild{i % 50} ka lo" + (" grumblefoot" if i % 4 == 1 else "") + (" dom" if i % 3 == 0 else "")) for i in range(9000)]
+    docs, labels = made(spark, rows), spark.createDataFrame([(i, i % 2) for i in range(9000)], "doc_id long, toxic int")
+    model = toxicity.toxicity_model(docs, labels)
+    sample = [(r._build, (r._text.encode(), r._label)) for r in fitting.labelled_sample(docs, labels, "toxic", None).collect()]
+    assert len(sample) == 9000
+    one = toxicity.fit(*[[x for b, x in sample if b == side] for side in (True, False)])
+    assert model.odds.keys() == one.odds.keys() and all(math.isclose(model.odds[w], one.odds[w]) for w in one.odds)
+    assert model.chars.three == one.chars.three
+    data = [t.encode() for _, t in rows[:100]]
+    assert np.allclose(model.scores(data), one.scores(data))
+
+
+def test_rare_words_in_the_table_of_odds():
+    counts = [("chance", 0, 2), ("telling", 1, 9), ("frequent", 100, 1), ("once", 0, 1)]
+    assert [(w, has) for w, _, has in toxicity.log_odds(counts, (90_000, 10_000))] == [("chance", False), ("telling", True), ("frequent", True)]
+    model = toxicity.Model(toxicity.CharModel({"grumble": 5, "mild": 3}), {"grum+": 3.0, "grumble": 5.0})
+    odds = [("grumpily", -1.0, False), ("mildly", -1.0, False), ("grumpi+", 0.5, False), ("mildl+", 0.1, False), ("grumble", 5.0, True)]
+    assert dict(toxicity.exceptions(odds, model)) == {"grumpily": -1.0, "grumpi+": 0.5}
+    assert len(toxicity.CharModel({"дом": 2, "город": 3, "мир": 1}).three) == len(toxicity.CharModel({"дом": 2}).three)
+
+
 def brute_odds(model, token):
     """Log-odds of a token without a cache: restored, else as it stands, else by the longest prefix."""
     for w in (model.restored(token), token.strip(toxicity._EDGE)):
