@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -89,12 +89,13 @@ def features_of(sample: DataFrame, features: Callable[[bytes], tuple[float, ...]
     return np.array([r[2] for r in rows], dtype=float), np.array([r[1] for r in rows], dtype=float)
 
 
-def feature_table(sample: DataFrame, features: Callable[[bytes], tuple[float, ...]]) -> DataFrame:
-    """(_label, x) of the sample's texts, as a table in the shared folder, for logistic_of(). Defined as features_of()."""
+def feature_table(sample: DataFrame, features: Callable[[list[bytes]], Iterable[tuple[float, ...]]]) -> DataFrame:
+    """(_label, x) of the sample's texts, as a table in the shared folder, for logistic_of(). ``features`` gets the texts of a
+    batch; otherwise defined as features_of()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [[float(v) for v in features(x)] for x in common.texts(batch, "_text")]
+            rows = [[float(v) for v in own] for own in features(common.texts(batch, "_text"))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["_label", "x"])
 
     common.bounded_batches(sample.sparkSession)

@@ -20,7 +20,8 @@ ids (whole texts); a word that the table lacks backs off to its longest known pr
 executors, and there the table is cut out of the counts: words in one text of ``FREQUENT``, of which there cannot be more
 in a larger corpus; rarer ones whose log-odds are above ``JOINED`` and not explained by chance; and words or prefixes that
 these would wrongly put above it. Only that table, and the trigrams of an alphabet, reach the driver and the workers.
-The three highest log-odds among a text's distinct words go through a logistic model, fitted on the half of the labelled
+Tokens whose log-odds cannot be among a text's three highest, and neighbours that lead nowhere, are told by glance.Tables and
+not restored. The three highest log-odds among a text's distinct words go through a logistic model, fitted on the half of the labelled
 texts that built no table, by sums over the executors.
 
 Defined results: null and empty texts have no words and get the model's score for none; without labelled rows of both
@@ -37,7 +38,6 @@ import unicodedata
 from collections import Counter
 from collections.abc import Callable, Container, Iterable, Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import common, fitting
+from . import common, fitting, glance
 
 # What a sign may stand for.
 LOOKALIKES = {
@@ -72,20 +72,61 @@ _START, _END = "\x02", "\x03"
 JOINED = 2.0
 
 
-@lru_cache(1 << 15)
 def _folded(token: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", token).lower() if not unicodedata.combining(c) and not c.isspace())
 
 
+class _Folds(dict):
+    """What each character of a lower-case text is folded to: decomposition goes by characters. A blank stays one; a capital
+    sigma too, as its small form depends on its neighbours."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        kept = (x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x) and not x.isspace())
+        self[code] = " " if c.isspace() else "".join(x if x == "Σ" else x.lower() for x in kept)
+        return self[code]
+
+
+_FOLDS = _Folds()
+
+
 def folded(token: str) -> str:
     """A lower-case token without accents, its letters of plain width."""
-    return token if token.isascii() else _folded(token) if len(token) < 64 else _folded.__wrapped__(token)
+    if token.isascii():
+        return token
+    found = token.translate(_FOLDS)
+    return _folded(token) if "Σ" in found else found.replace(" ", "")
+
+
+def plain_text(data: bytes) -> str:
+    """A text, lower-cased and folded."""
+    text = data.decode("utf-8", "replace").lower()
+    if data.isascii():
+        return text
+    found = text.translate(_FOLDS)
+    return " ".join(map(folded, text.split())) if "Σ" in found else found
 
 
 def tokens_of(data: bytes) -> list[str]:
     """The tokens of a text between blanks, lower-cased and folded."""
-    found = data.decode("utf-8", "replace").lower().split()
-    return found if data.isascii() else [w for w in (x if x.isascii() else folded(x) for x in found) if w]
+    return plain_text(data).split()
+
+
+#: Bytes of texts that are glanced at together.
+STACK = 1 << 16
+
+
+def stacks(data: list[bytes]) -> Iterator[list[bytes]]:
+    """The texts in order, in stacks of about STACK bytes; a longer text is one of its own."""
+    own, size = [], 0
+    for x in data:
+        if own and size + len(x) > STACK:
+            yield own
+            own, size = [], 0
+        own.append(x)
+        size += len(x)
+    if own:
+        yield own
 
 
 _OTHER = "\x04"
@@ -245,6 +286,10 @@ def restore_shreds(tokens: Iterable[str], model: CharModel) -> str:
     return _text(max(((p + model.log(c, _END), path) for c, (p, path) in best.items()), key=lambda x: x[0])[1])
 
 
+#: What a model remembers of its table and of tokens.
+_LOOKED_UP = ("_heads", "_dead", "_tables")
+
+
 @dataclass
 class Model:
     chars: CharModel
@@ -254,7 +299,7 @@ class Model:
     prefixes: tuple[int, ...] = (7, 6, 5, 4)
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("_heads", "_next")}
+        return {k: v for k, v in self.__dict__.items() if k not in _LOOKED_UP}
 
     def restored(self, word: str, known: Container[str] | None = None) -> str:
         """The word behind a token; ``known``: words that are not disguised by a letter that stands twice."""
@@ -312,20 +357,14 @@ class Model:
                         self._heads[whole[:k]] = (max(best, s), word, prefix)
         return self._heads
 
-    def leading_on(self, at: str) -> set[str]:
-        """What a token of letters may begin with, up to three of them, that goes on with a beginning of the table's words, or
-        with anything behind the end of a prefix; beginnings in which a letter repeats are not among them."""
-        if not hasattr(self, "_next"):
-            self._next: dict[str, set[str]] = {}
-        found = self._next.get(at)
-        if found is None:
-            heads, found, at_end = self.heads(), set(), [("", False)]
-            for _ in range(3):
-                ahead = [(start + x, free or heads.get(at + start + x)) for start, free in at_end for x in _LETTERS]
-                at_end = [(start, free is True or free[2] > JOINED) for start, free in ahead if free]
-                found.update(start for start, _ in at_end)
-            self._next[at] = found
-        return found
+    def tables(self) -> glance.Tables:
+        """What tells which tokens of a text have to be looked at."""
+        if not hasattr(self, "_tables"):
+            odds = ((squeezed(w.removesuffix("+")) + "+" * w.endswith("+"), s) for w, s in self.odds.items())
+            heads = {h: prefix > -math.inf for h, (_, _, prefix) in self.heads().items()}
+            mute = "".join(c for c in _EDGE if c not in LOOKALIKES)
+            self._tables = glance.Tables(odds, self.none, heads, mute, mute, _EDGE, "".join(MARKS))
+        return self._tables
 
     def spelled(self, states: frozenset[str], token: str, least: int) -> tuple[frozenset[str], float]:
         """Where the readings of a token lead from beginnings of the table's words, and the highest log-odds of what they meet
@@ -410,19 +449,27 @@ class Model:
             cache[token] = own
         return own
 
-    def shreds(self, tokens: list[str], opens: dict[str, tuple[frozenset[str], int, str]], floor: float, cache: dict) -> dict[str, float]:
+    def shreds(self, tokens: list[str], opens: dict[str, tuple[frozenset[str], int, str]], floor: float, cache: dict, starts: Iterable[int] | None = None) -> dict[str, float]:
         """The words above ``floor`` that neighbouring tokens make together, with their log-odds. A word begins at any token of
-        ``opens`` and goes on as long as every token adds to a beginning of one of the table's words."""
+        ``opens`` (``starts``: of these positions) and goes on as long as every token adds to a beginning of one of the table's words."""
         out: dict[str, float] = {}
-        self.leading_on("")
-        nexts = self._next
-        for i in [i for i, w in enumerate(tokens[:-1]) if w in opens]:
-            states, least, only = opens[tokens[i]]
-            if only:
-                after = tokens[i + 1]
-                after = (after if after[0] != only[-1] else after.lstrip(only[-1]))[:3]
-                if after and after not in (nexts.get(only) or self.leading_on(only)) and after.isascii() and after.isalpha() and not _TWICE.search(after):
-                    continue  # three letters tell most that lead nowhere
+        if not hasattr(self, "_dead"):
+            self._dead: dict[frozenset[str], set[str]] = {}
+        if len(self._dead) > REMEMBERED // 100:
+            self._dead.clear()
+        dead = {w: self._dead.setdefault(at[0], set()) for w, at in opens.items()}
+        for i in range(len(tokens) - 1) if starts is None else starts:
+            if tokens[i] not in dead:
+                continue
+            states, least, _ = opens[tokens[i]]
+            start = tokens[i + 1][:3]
+            if start in dead[tokens[i]]:
+                continue
+            if start.isascii() and start.isalpha():
+                ahead, met = self.spelled(states, start, least)
+                if not ahead and met <= JOINED:  # three letters tell most that lead nowhere
+                    dead[tokens[i]].add(start)
+                    continue
             for j in range(i + 1, len(tokens)):
                 ahead, met = self.spelled(states, tokens[j], least)
                 states = ahead - states
@@ -438,10 +485,19 @@ class Model:
         return out
 
     def features(self, data: bytes, cache: dict) -> tuple[float, ...]:
+        return next(self.features_of([data], cache))
+
+    def features_of(self, data: list[bytes], cache: dict) -> Iterator[tuple[float, ...]]:
+        """features() of each of the texts, which are glanced at in stacks."""
+        for some in stacks(data):
+            texts = [plain_text(x) for x in some]
+            for x, text, seen in zip(some, texts, self.tables().glances(texts), strict=True):
+                yield self._features(x, text, seen, cache)
+
+    def _features(self, data: bytes, text: str, seen: glance.Glance, cache: dict) -> tuple[float, ...]:
         if len(cache) > REMEMBERED:
             cache.clear()
-        tokens = tokens_of(data)
-        words = set(tokens)
+        tokens = text.split()
         top = [self.none] * 3
 
         def offer(s: float) -> None:
@@ -449,19 +505,27 @@ class Model:
                 top[2] = s
                 top.sort(reverse=True)
 
-        opens = {}
-        for w in words:
-            own = cache.get(w) or self.judged(w, cache)
-            if own[0] > top[2]:
-                offer(own[0])
-            if own[1] is not None:
-                opens[w] = own[1]
-        if marks := {w for w in words if w[0] in MARKS and MARKS.issuperset(w)}:
-            tokens = [w for w in tokens if w not in marks]
-        together = self.shreds(tokens, opens, max(JOINED, top[2]), cache)
-        if any(len(w) == 1 for w in words):  # letters may be spaced out
-            for run in spaced_runs(data):
-                together.update(self.spaced(run))
+        for w in {tokens[i] for i in seen.odd.tolist()}:
+            offer((cache.get(w) or self.judged(w, cache))[0])
+        some = np.flatnonzero(seen.bounds > top[2])
+        some = some[np.argsort(-seen.bounds[some], kind="stable")]
+        met = set()
+        for i, bound in zip(some.tolist(), seen.bounds[some].tolist(), strict=True):
+            if bound <= top[2]:
+                break  # the others are none of the three highest
+            w = tokens[i]
+            if w not in met:
+                met.add(w)
+                offer((cache.get(w) or self.judged(w, cache))[0])
+        runs = spaced_runs(data, tokens) if seen.spaced or "\u034f" in text else set()
+        near = tokens if len(seen.kept) == len(tokens) else [tokens[i] for i in seen.kept.tolist()]
+        starts = sorted([*seen.odd_starts.tolist(), *seen.starts.tolist()])
+        judged = ((w, (cache.get(w) or self.judged(w, cache))[1]) for w in {near[i] for i in starts})
+        opens = {w: own for w, own in judged if own is not None}
+        together = self.shreds(near, opens, max(JOINED, top[2]), cache, starts)
+        for run in runs:
+            together.update(self.spaced(run))
+        words = set(tokens) if together else set()
         for w, s in together.items():
             if w not in words:
                 offer(s)
@@ -471,9 +535,7 @@ class Model:
         if self.calibration is None:
             return np.zeros(len(data))
         cache = {} if cache is None else cache
-        out = np.empty((len(data), 5))
-        for i, x in enumerate(data):
-            out[i] = self.features(x, cache)
+        out = np.array(list(self.features_of(data, cache)), dtype=float).reshape(-1, 5)
         return fitting.probability(out, self.calibration)
 
 
@@ -481,9 +543,23 @@ _SIGN = "[A-Za-z0-9À-ɏ！-～#%?&" + re.escape("".join(sorted({*LOOKALIKES, *S
 _SPACED = re.compile(rf"(?:(?<=\s)|^)(?:{_SIGN}\s+){{2,}}{_SIGN}(?=\s|$)")
 
 
-def spaced_runs(data: bytes) -> set[str]:
-    """Runs of single signs between spaces, closed up; gaps wider than the run's narrowest are left as one blank."""
-    found = set()
+#: What single signs of _SIGN fold to, where that is more than one character.
+_DIGRAPHS = frozenset(("dz", "ij", "l·", "lj", "nj", "ʼn"))
+
+
+def may_be_spaced(tokens: list[str]) -> bool:
+    """Whether three neighbouring tokens are what single signs fold to. One mark of those behind a sign is not folded away."""
+    short = {w for w in {*tokens} if len(w) == 1 or w in _DIGRAPHS or (w[-1] == "͏" and (len(w.replace("͏", "")) == 1 or w.replace("͏", "") in _DIGRAPHS))}
+    at = [i for i, w in enumerate(tokens) if w in short] if short else []
+    return any(c - a == 2 for a, c in zip(at, at[2:]))
+
+
+def spaced_runs(data: bytes, tokens: list[str] | None = None) -> set[str]:
+    """Runs of single signs between spaces, closed up; gaps wider than the run's narrowest are left as one blank. ``tokens``:
+    those of the text."""
+    found: set[str] = set()
+    if not may_be_spaced(tokens_of(data) if tokens is None else tokens):
+        return found
     for m in _SPACED.finditer(data.decode("utf-8", "replace")):
         signs, gaps = [folded(x) for x in m[0].lower().split()], [len(g) for g in re.findall(r"\s+", m[0])]
         if 1 < len(set(signs)) and any(c.isalpha() for c in signs):
@@ -643,5 +719,5 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, learns: Column | None = N
     table = context.broadcast(Model(model.chars, model.odds))
     model.odds = model.odds | dict(_rows(odds, lambda rows: exceptions(log_odds(rows, both), table.value), "word string, odds double").toLocalIterator())
     judge, cache = context.broadcast(model), {}
-    model.calibration = fitting.logistic_of(fitting.feature_table(rest, lambda data: judge.value.features(data, cache)))
+    model.calibration = fitting.logistic_of(fitting.feature_table(rest, lambda data: judge.value.features_of(data, cache)))
     return model

@@ -316,6 +316,30 @@ def test_toxicity_shortcuts_change_nothing():
     assert model.judged("grumble,", cache) == model.judged("grumble", cache) and "grumble" in cache
 
 
+def test_toxicity_looks_at_few_tokens():
+    """What stacks of texts are glanced at leaves out changes no feature, and is most of a plain text."""
+    rng, chars = random.Random(5), toxicity.CharModel({"grumble": 5, "foot": 3, "don't": 2, "grumpy": 1})
+    odds = {"grumble": 5.0, "grum+": 3.0, "foot": 2.5, "don't": 4.0, "a.b": 3.0, "grumb": 2.2, "good": 0.9, "goo+": 0.8, "mellow": 0.4, "mello+": 0.3, "(x": 2.1, "": 0.1, "straße": 2.4, "kindness": -1.0}
+    pieces = ["gru", "mble", "foot", "fo", "ot", "good", "goood", "goodly", "mellow", "mel", "low", "straße", "дом", "é", "ǆ", "g r u m b l e", "f o o t", "-", "«", "|", "(", "x", "don't", "don", "kindness", "!!", "%%%", "$", "\u034f", "\u00a0", " ", "𝚺"]
+    for none in (0.0, -0.5):
+        model = toxicity.Model(chars, odds, none)
+        texts = ["".join(rng.choice(pieces) + " " * rng.randint(0, 1) for _ in range(rng.randint(0, 30))).encode() for _ in range(1500)]
+        for data, got in zip(texts, model.features_of(texts, {}), strict=True):
+            tokens = toxicity.tokens_of(data)
+            near = [w for w in tokens if not toxicity.MARKS.issuperset(w)]
+            each = {w: model.word(w) for w in tokens}
+            top = sorted([*each.values(), *[none] * 3], reverse=True)[2]
+            more = model.shreds(near, {w: at for w in set(near) if (at := model.opening(w))}, max(toxicity.JOINED, top), {})
+            for run in toxicity.spaced_runs(data):
+                more |= model.spaced(run)
+            top = sorted([*(more | each).values(), *[none] * 3], reverse=True)[:3]
+            assert got == (*top, max(top[0] - 4.5, 0.0), max(top[1] - 4.5, 0.0)), data
+    cache: dict = {}
+    plain = ["".join(rng.choice("bcdhjkpqvwz") for _ in range(6)) + rng.choice(("", ",", "%%%", "tt")) for _ in range(3000)]
+    assert model.features(" ".join([*plain, "foot", "good", "mellow"]).encode(), cache)[0] == 2.5 and len(cache) < 30
+    assert toxicity._folded("ὁσ𝚺 é´b\u0301ıǆ") == toxicity.folded("ὁσ𝚺 é´b\u0301ıǆ")
+
+
 def test_toxicity(spark):
     rows, _, toxic = labelled()
     docs, labels = made(spark, [*rows, (900, None), (901, "")]), spark.createDataFrame(toxic, "doc_id long, toxic int")
